@@ -109,12 +109,13 @@ class Spread:
         """Write the points once for an iterative job.
 
         When the per-group parameters are too many to broadcast, the points are first hash-partitioned by
-        (keys, salt): a checkpoint keeps its partitioning, so each later ``attach`` shuffles only the parameters.
+        (keys, salt): a checkpoint keeps its partitioning, so each later ``attach`` shuffles only the parameters. It
+        keeps the order too, which spares later sort-based aggregates their sort.
         """
         points = self.points
         if not fits_broadcast(self.groups, row_bytes):
             points = points.repartition(*self.keys, "salt")
-        return replace(self, points=materialize(points))
+        return replace(self, points=materialize(points.sortWithinPartitions(*self.keys)))
 
     def chunks(self, columns: list[str], rows_per_chunk: int = ROWS_PER_CHUNK) -> Spread:
         """Pack points into rows of about ``rows_per_chunk`` points: one array per column of ``columns``.
@@ -132,12 +133,23 @@ class Spread:
                 *self.keys,
                 "salt",
                 "chunk",
-                F.transform("_rows", lambda r: r["event_id"]).alias("event_ids"),
-                *[F.flatten(F.transform("_rows", lambda r, c=c: r[c])).alias(c) for c in columns],
+                F.col("_rows")["event_id"].alias("event_ids"),
+                *[F.flatten(F.col("_rows")[c]).alias(c) for c in columns],
             )
         )
         return replace(self, points=packed)
 
+    def pooled(self) -> Spread:
+        """The same rows as one group: key ``pool``; the former keys stay on the rows."""
+        sizes = self.sizes.agg(F.sum("n").alias("n")).select(
+            F.lit(0).alias("pool"), "n", F.lit(1).cast("bigint").alias("n_salts")
+        )
+        points = self.points.withColumn("pool", F.lit(0))
+        return Spread(points, materialize(sizes), ["pool"], 1, self.total, self.total)
+
+    def with_points(self, points: DataFrame) -> Spread:
+        return replace(self, points=points)
+
 
 def spread(points: DataFrame, keys: list[str], rows_per_salt: int = ROWS_PER_SALT) -> Spread:
     """Count the groups of ``points`` (which has ``event_id``, unique per group) and salt the large ones.
