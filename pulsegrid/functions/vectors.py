@@ -58,16 +58,12 @@ def nearest(centers: Column, x: Column) -> Column:
     return F.array_min(F.filter(scored, lambda s: s["d2"].isNotNull()))
 
 
-def sum_by_position(x: Column, width: int) -> Column:
+def sum_by_position(column: str, width: int) -> Column:
     """Aggregate: element-wise sum of a vector column of known width, as ``width`` plain sums.
 
-    Plain sums keep Spark's partial aggregation, so only one row per (task, group) is shuffled.
+    Plain sums keep Spark's hash aggregation with partial sums, so one row per (task, group) is shuffled.
     """
-    return F.array(*[F.sum(F.get(x, F.lit(i))) for i in range(width)])
-
-
-def mean_by_position(x: Column, width: int) -> Column:
-    return F.array(*[F.avg(F.get(x, F.lit(i))) for i in range(width)])
+    return F.expr("array(" + ", ".join(f"sum(get({column}, {i}))" for i in range(width)) + ")")
 
 
 def sum_vectors(x: Column) -> Column:

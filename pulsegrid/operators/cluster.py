@@ -10,7 +10,7 @@ from ..functions.rules import EVENTS_PER_CLUSTER, MAX_CLUSTERS, MIN_CLUSTERS, cl
 from ..functions.vectors import sum_by_position
 from ..plans.spread import Spread, materialize, number_rows, spread
 from ..session import KEYS
-from .kmeans import center_bytes, kmeans, library_kmeans
+from .kmeans import kmeans, library_kmeans
 from .mixture import gaussian_mixture, library_mixture
 
 METHODS = ("km", "mlkm", "sklkm", "gmm", "sklgmm")
@@ -50,7 +50,7 @@ def cluster_events(
     rest_sizes = points.sizes.filter(F.col("n") > MIN_CLUSTERS)
     k_rule: Column = F.lit(k) if k else cluster_count(F.col("n"))
     k_max = k or _clusters_at_most(points.largest)
-    rest = points.with_points(points.attach(rest_sizes.select(*KEYS))).settle(center_bytes(k_max, width))
+    rest = points.with_points(points.attach(rest_sizes.select(*KEYS)))
     if method == "km":
         placed, _ = kmeans(rest, k_rule, k_max, width, seed=seed, **options)
     else:
@@ -66,7 +66,7 @@ def cluster_summary(assigned: DataFrame, width: int) -> DataFrame:
     """
     summary = assigned.groupBy(*KEYS, "cluster").agg(
         F.count(F.lit(1)).alias("n"),
-        sum_by_position(F.col("x"), width).alias("sum"),
+        sum_by_position("x", width).alias("sum"),
         F.min("channel").alias("s_chn"),
         F.max("channel").alias("e_chn"),
     )

@@ -1,16 +1,26 @@
-"""k-means over many groups at once: every round is one job for all channels together."""
+"""k-means over many groups at once: every round is one job for all channels together.
+
+Distances are matrix products on chunk rows; sums per cluster add up over chunks. ``centers`` is one flat array per
+group, k times the width.
+"""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.rules import MAX_CLUSTERS, uniform
-from ..functions.vectors import mean_by_position, nearest, squared_distance
-from ..plans.spread import Spread, materialize, pin
+from ..functions.vectors import squared_distance
+from ..plans.chunked import add_up, per_group, per_point
+from ..plans.spread import Spread
+from .moments import points_of
+
+VECTOR = T.ArrayType(T.DoubleType())
 
 # Fixed value of the workload: assignments are made max_iter + 1 times.
 MAX_ITER = 20
@@ -34,10 +44,23 @@ def random_seeds(points: Spread, k: Column, seed: int = 1) -> DataFrame:
         .filter(F.col("_rank") <= k)
     )
     picked = F.array_sort(F.collect_list(F.struct("_rank", "x")))
-    return best.groupBy(*points.keys).agg(F.transform(picked, lambda s: s["x"]).alias("centers"))
+    return best.groupBy(*points.keys).agg(F.flatten(picked["x"]).alias("centers"))
+
+
+def squared_distances(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Points by centres, as sums of squared differences (no cancellation)."""
+    out = np.empty((len(x), len(centers)))
+    for c, center in enumerate(centers):
+        away = x - center
+        out[:, c] = np.einsum("ij,ij->i", away, away)
+    return out
 
 
-def spread_out_seeds(points: Spread, k: Column, k_max: int, row_bytes: int, seed: int = 1) -> DataFrame:
+def _centers_of(cells: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
+    return cells["centers"].reshape(-1, x.shape[1])
+
+
+def spread_out_seeds(points: Spread, chunks: Spread, k: Column, k_max: int, row_bytes: int, seed: int = 1) -> DataFrame:
     """k-means++ seeds, ``keys…, centers``: each next seed is drawn with probability ∝ squared distance.
 
     The draw is a race: among exponential times with rate d², the smallest belongs to a point with probability
@@ -45,53 +68,66 @@ def spread_out_seeds(points: Spread, k: Column, k_max: int, row_bytes: int, seed
     are partitioned. Points that equal a seed never win; identical points give fewer seeds.
     """
     keys = points.keys
-    first = points.points.groupBy(*keys).agg(F.min_by("x", F.struct(uniform(seed, 0, F.col("event_id")), "event_id")).alias("_x"))
-    seeds = materialize(first.join(points.sizes, keys).select(*keys, k.alias("_k"), F.array("_x").alias("centers")))
+    first = points.points.groupBy(*keys).agg(F.min_by("x", F.struct(uniform(seed, 0, F.col("event_id")), "event_id")).alias("centers"))
+    seeds = points.hold(first.join(points.sizes, keys).select(*keys, k.alias("_k"), "centers"), row_bytes)
+
+    def gap(cells: dict[str, np.ndarray]) -> list[np.ndarray]:
+        x = points_of(cells)
+        return [x, squared_distances(x, _centers_of(cells, x)).min(axis=1)]
+
     for step in range(1, k_max):
-        open_groups = seeds.filter(F.col("_k") > step)
-        near = points.attach(open_groups.select(*keys, "centers"), row_bytes).select(
-            *keys, "event_id", "x", nearest(F.col("centers"), F.col("x"))["d2"].alias("_d2")
-        )
-        time = F.when(F.col("_d2") > 0, -F.ln(uniform(seed, step, F.col("event_id"))) / F.col("_d2"))
-        won = (
-            pin(near, "_t", time)
-            .filter(F.col("_t").isNotNull())
-            .groupBy(*keys)
-            .agg(F.min_by("x", F.struct("_t", "event_id")).alias("_x"))
-        )
-        grown = F.when(F.col("_x").isNull(), F.col("centers")).otherwise(F.concat("centers", F.array("_x")))
-        seeds = materialize(seeds.join(won, keys, "left").select(*keys, "_k", grown.alias("centers")))
+        wanting = seeds.filter(F.col("_k") > step).select(*keys, "centers")
+        fields = [T.StructField("x", VECTOR), T.StructField("d2", T.DoubleType())]
+        near = per_point(chunks.attach(wanting, row_bytes), keys, ["x", "centers"], fields, gap).filter("d2 > 0")
+        time = -F.ln(uniform(seed, step, F.col("event_id"))) / F.col("d2")
+        won = near.groupBy(*keys).agg(F.min_by("x", F.struct(time, "event_id")).alias("_x"))
+        grown = F.when(F.col("_x").isNull(), F.col("centers")).otherwise(F.concat("centers", "_x"))
+        seeds = points.hold(seeds.join(won, keys, "left").select(*keys, "_k", grown.alias("centers")), row_bytes)
     return seeds.drop("_k")
 
 
-def assign_nearest(points: Spread, centers: DataFrame, row_bytes: int) -> DataFrame:
-    """Points with ``cluster`` (the first nearest centre) and ``d2``."""
-    matched = points.attach(centers, row_bytes)
-    best = pin(matched, "_best", nearest(F.col("centers"), F.col("x")))
-    return best.select(*points.points.columns, F.col("_best.c").alias("cluster"), F.col("_best.d2").alias("d2"))
+def assign_nearest(chunks: Spread, centers: DataFrame, row_bytes: int) -> DataFrame:
+    """``keys…, event_id, x, cluster, d2``: the nearest centre of each point, the first on ties."""
 
+    def nearest(cells: dict[str, np.ndarray]) -> list[np.ndarray]:
+        x = points_of(cells)
+        gaps = squared_distances(x, _centers_of(cells, x))
+        best = gaps.argmin(axis=1)
+        return [x, best.astype(np.int32), gaps[np.arange(len(x)), best]]
 
-def move_centers(points: Spread, centers: DataFrame, width: int, row_bytes: int) -> DataFrame:
-    """One round: the mean of each cluster's points; an empty cluster keeps its centre. Adds ``moved``."""
-    keys = points.keys
-    means = assign_nearest(points, centers, row_bytes).groupBy(*keys, "cluster").agg(mean_by_position(F.col("x"), width).alias("mean"))
-    lookup = means.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("cluster", "mean"))).alias("_means"))
-    updated = F.transform("centers", lambda c, i: F.coalesce(F.try_element_at("_means", i), c))
-    return (
-        centers.select(*keys, "centers")
-        .join(lookup, keys)
-        .withColumn("_new", updated)
-        .select(*keys, F.col("_new").alias("centers"), (F.col("_new") != F.col("centers")).alias("moved"))
-    )
+    fields = [T.StructField("x", VECTOR), T.StructField("cluster", T.IntegerType()), T.StructField("d2", T.DoubleType())]
+    return per_point(chunks.attach(centers, row_bytes), chunks.keys, ["x", "centers"], fields, nearest)
+
+
+def move_centers(chunks: Spread, centers: DataFrame, row_bytes: int) -> DataFrame:
+    """One round: the mean of each cluster's points; an empty cluster keeps its centre. Adds ``moved`` (0 or 1)."""
+
+    def sums_of(cells: dict[str, np.ndarray]) -> np.ndarray:
+        x = points_of(cells)
+        at = _centers_of(cells, x)
+        member = np.eye(len(at))[squared_distances(x, at).argmin(axis=1)]
+        return np.concatenate([member.sum(axis=0)[:, None], member.T @ x], axis=1).reshape(-1)
+
+    sums = add_up(chunks.attach(centers.select(*chunks.keys, "centers"), row_bytes), chunks.keys, ["event_ids", "x", "centers"], sums_of)
+
+    def renew(cells: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        k = len(cells["stats"]) - len(cells["centers"])
+        parts, old = cells["stats"].reshape(k, -1), cells["centers"].reshape(k, -1)
+        counts = np.rint(parts[:, :1])
+        new = np.where(counts > 0, parts[:, 1:] / np.maximum(counts, 1), old)
+        return {"centers": new, "moved": np.array([float((new != old).any())])}
+
+    joined = sums.join(centers.select(*chunks.keys, "centers"), chunks.keys)
+    return per_group(joined, chunks.keys, ["stats", "centers"], ["centers", "moved"], renew)
 
 
-def lloyd(points: Spread, centers: DataFrame, width: int, row_bytes: int, max_iter: int = MAX_ITER) -> DataFrame:
+def lloyd(chunks: Spread, centers: DataFrame, row_bytes: int, max_iter: int = MAX_ITER) -> DataFrame:
     """Centres after ``max_iter`` rounds. Rounds stop early once no centre moves, which gives the same result."""
     for _ in range(max_iter):
-        centers = materialize(move_centers(points, centers, width, row_bytes))
-        if centers.filter("moved").isEmpty():
+        centers = chunks.hold(move_centers(chunks, centers, row_bytes), row_bytes)
+        if centers.filter("moved[0] > 0").isEmpty():
             break
-    return centers.select(*points.keys, "centers")
+    return centers.select(*chunks.keys, "centers")
 
 
 def kmeans(
@@ -104,21 +140,22 @@ def kmeans(
     seed: int = 1,
     centers: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Points with ``cluster`` and ``d2``, and the centres they were assigned to.
+    """``keys…, event_id, x, cluster, d2``, and the centres that the points were assigned to.
 
     The last assignment is made before a further update, so the centres returned are those of the assignment.
     ``init``: ``kpp`` or ``random``; given ``centers`` replace it.
     """
     row_bytes = center_bytes(k_max, width)
+    chunks = points.chunks(["x"], row_bytes).settle()
     if centers is None:
         if init == "kpp":
-            centers = spread_out_seeds(points, k, k_max, row_bytes, seed)
+            centers = spread_out_seeds(points, chunks, k, k_max, row_bytes, seed)
         elif init == "random":
-            centers = materialize(random_seeds(points, k, seed))
+            centers = points.hold(random_seeds(points, k, seed), row_bytes)
         else:
             raise ValueError(f"unsupported init {init!r}")
-    centers = lloyd(points, centers, width, row_bytes, max_iter)
-    return assign_nearest(points, centers, row_bytes), centers
+    centers = lloyd(chunks, centers, row_bytes, max_iter)
+    return assign_nearest(chunks, centers, row_bytes), centers
 
 
 def cluster_error(assigned: DataFrame, keys: list[str]) -> DataFrame:

@@ -175,7 +175,7 @@ def merge_mutual(
         moved = state.join(joined, [*SCOPE, "ord"], "left").withColumn("ord", F.coalesce("unit", "ord"))
         state = materialize(
             moved.groupBy(*SCOPE, "ord").agg(
-                F.sum("n").alias("n"), sum_by_position(F.col("sum"), width).alias("sum"), F.min("s_chn").alias("s_chn"), F.max("e_chn").alias("e_chn")
+                F.sum("n").alias("n"), sum_by_position("sum", width).alias("sum"), F.min("s_chn").alias("s_chn"), F.max("e_chn").alias("e_chn")
             )
         )
     return units

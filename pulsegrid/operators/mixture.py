@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.chunked import add_up, per_group, per_point
-from ..plans.spread import Spread, materialize
+from ..plans.spread import Spread
 from .kmeans import random_seeds
 from .moments import covariance, from_upper, points_of, upper
 
@@ -58,17 +58,17 @@ def ridged(covs: np.ndarray) -> np.ndarray:
 def responsibilities(chunks: Spread, parameters: DataFrame, row_bytes: int) -> DataFrame:
     """Expectation step: ``keys…, event_id, shares`` with one share per component."""
 
-    def shares(cells: dict[str, np.ndarray]) -> np.ndarray:
+    def shares(cells: dict[str, np.ndarray]) -> list[np.ndarray]:
         weights, means, covs = unpack(cells)
-        return responsibilities_of(points_of(cells), weights, means, ridged(covs))
+        return [responsibilities_of(points_of(cells), weights, means, ridged(covs))]
 
     output = T.StructField("shares", T.ArrayType(T.DoubleType()))
-    return per_point(chunks.attach(parameters, row_bytes), chunks.keys, ["x", *PARAMETERS], output, shares)
+    return per_point(chunks.attach(parameters, row_bytes), chunks.keys, ["x", *PARAMETERS], [output], shares)
 
 
 def start(chunks: Spread, seeds: DataFrame, row_bytes: int) -> DataFrame:
     """Equal weights, the seeds as means, and the group's sample variances on the diagonal."""
-    base = covariance(chunks).join(seeds.select(*chunks.keys, F.flatten("centers").alias("seeds")), chunks.keys)
+    base = covariance(chunks).join(seeds.select(*chunks.keys, F.col("centers").alias("seeds")), chunks.keys)
     counted = base.withColumn("count", F.array(F.col("n").cast("double")))
 
     def lay_out(cells: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -118,16 +118,16 @@ def em_round(chunks: Spread, parameters: DataFrame, row_bytes: int) -> DataFrame
 def label_points(chunks: Spread, parameters: DataFrame, row_bytes: int, weighted: bool = False) -> DataFrame:
     """``keys…, event_id, cluster``: the component of highest density (times weight, if ``weighted``)."""
 
-    def label(cells: dict[str, np.ndarray]) -> np.ndarray:
+    def label(cells: dict[str, np.ndarray]) -> list[np.ndarray]:
         weights, means, covs = unpack(cells)
         scores = log_density(points_of(cells), means, covs)
         if weighted:
             with np.errstate(divide="ignore"):
                 scores = scores + np.log(weights)
-        return scores.argmax(axis=1).astype(np.int32)
+        return [scores.argmax(axis=1).astype(np.int32)]
 
     output = T.StructField("cluster", T.IntegerType())
-    return per_point(chunks.attach(parameters, row_bytes), chunks.keys, ["x", *PARAMETERS], output, label)
+    return per_point(chunks.attach(parameters, row_bytes), chunks.keys, ["x", *PARAMETERS], [output], label)
 
 
 def gaussian_mixture(
@@ -135,10 +135,11 @@ def gaussian_mixture(
 ) -> tuple[DataFrame, DataFrame]:
     """``keys…, event_id, cluster`` and the fitted parameters. Components without points simply have no rows."""
     row_bytes = parameter_bytes(k_max, width)
-    chunks = points.chunks(["x"]).settle(row_bytes)
-    parameters = materialize(start(chunks, materialize(random_seeds(points, k, seed)), row_bytes))
+    chunks = points.chunks(["x"], row_bytes).settle()
+    seeds = chunks.hold(random_seeds(points, k, seed), row_bytes)
+    parameters = chunks.hold(start(chunks, seeds, row_bytes), row_bytes)
     for _ in range(max_iter + 1):
-        parameters = materialize(em_round(chunks, parameters, row_bytes))
+        parameters = chunks.hold(em_round(chunks, parameters, row_bytes), row_bytes)
     return label_points(chunks, parameters, row_bytes, weighted_label), parameters
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.chunked import add_up
-from ..plans.spread import Spread, materialize
+from ..plans.spread import Spread
 
 
 def points_of(cells: dict[str, np.ndarray], column: str = "x") -> np.ndarray:
@@ -51,5 +51,5 @@ def group_covariances(chunks: Spread, means: DataFrame, row_bytes: int) -> DataF
 
 def covariance(chunks: Spread, row_bytes: int = 1024) -> DataFrame:
     """Mean pass, then the centred second-moment pass."""
-    means = materialize(group_means(chunks))
+    means = chunks.hold(group_means(chunks), row_bytes)
     return group_covariances(chunks, means, row_bytes)

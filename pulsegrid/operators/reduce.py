@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.chunked import per_group, per_point
-from ..plans.spread import ROWS_PER_CHUNK, materialize, spread
+from ..plans.spread import ROWS_PER_CHUNK, spread
 from ..session import KEYS
 from .moments import covariance, from_upper, points_of
 
@@ -48,19 +48,19 @@ def pca_features(
     if basis not in ("channel", "pooled"):
         raise ValueError(f"unsupported basis {basis!r}")
     points = waves.select(*KEYS, "event_id", F.col(column).alias("x"))
-    chunks = spread(points, KEYS).chunks(["x"], rows_per_chunk)
+    chunks = spread(points, KEYS).chunks(["x"], BASIS_BYTES, rows_per_chunk)
     if basis == "pooled":
         chunks = chunks.pooled()
-    chunks = chunks.settle(BASIS_BYTES)
-    bases = materialize(pca_basis(covariance(chunks), chunks.keys, k))
+    chunks = chunks.settle()
+    bases = chunks.hold(pca_basis(covariance(chunks), chunks.keys, k), BASIS_BYTES)
     ready = chunks.attach(bases, BASIS_BYTES)
 
-    def project(cells: dict[str, np.ndarray]) -> np.ndarray:
+    def project(cells: dict[str, np.ndarray]) -> list[np.ndarray]:
         away = points_of(cells) - cells["mean"]
-        return away @ cells["basis"].reshape(-1, away.shape[1]).T
+        return [away @ cells["basis"].reshape(-1, away.shape[1]).T]
 
     output = T.StructField("x", T.ArrayType(T.DoubleType()))
-    return per_point(ready, KEYS, ["x", "mean", "basis"], output, project).select(
+    return per_point(ready, KEYS, ["x", "mean", "basis"], [output], project).select(
         *KEYS, "event_id", "x"
     )
 

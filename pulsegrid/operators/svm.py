@@ -1,22 +1,26 @@
 """One-versus-rest linear SVM by (sub)gradient descent, all classes in the same jobs, and the library's SVM.
 
 Objective per class: ``½‖w‖² + C Σ max(0, 1 - y(w·x + b))``. One pass over the points gives the loss of the present
-weights and the gradient of the next step for every class that has not converged.
+weights and the gradient of the next step for every class. Points are read as chunk rows, so margins of all points
+against all classes of a scope are one matrix product per chunk.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
+import numpy as np
 from pyspark.ml.classification import LinearSVC, OneVsRest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import uniform
-from ..functions.vectors import dot, one_versus_rest
-from ..plans.spread import Spread, materialize, number_rows, spread
+from ..functions.vectors import dot
+from ..plans.chunked import add_up, per_group
+from ..plans.spread import Spread, materialize, number_rows, pin, spread
 from ..session import KEYS
+from .moments import points_of
 
 SCOPE = KEYS[:2]
 PENALTY = 100.0
@@ -44,87 +48,109 @@ def descent(mode: str) -> Descent:
     return MODES[mode]
 
 
-def model_bytes(width: int, classes: int = 200) -> int:
-    return classes * (8 * width + 32)
+STATE = ["labels", "w", "b", "loss", "change", "done", "steps"]
 
 
-def pack_models(weights: DataFrame, scope: list[str]) -> DataFrame:
-    """One row per scope with all its models; kept units bound their number."""
-    return weights.groupBy(*scope).agg(F.collect_list(F.struct("label", "w", "b")).alias("models"))
+def model_bytes(width: int) -> int:
+    return 8 * (width + 7)
 
 
-def start_weights(points: Spread, width: int) -> DataFrame:
-    """Zero weights for every distinct label."""
-    labels = points.points.select(*points.keys, "label").distinct()
-    zero = F.array(*[F.lit(0.0)] * width)
+def scope_bytes(points: Spread, models: int, width: int) -> int:
+    """Average size of the models of one scope."""
+    return -(-models * model_bytes(width) // max(points.groups, 1)) + 64
+
+
+def start_state(labelled: DataFrame, scope: list[str], width: int) -> DataFrame:
+    """Training state, one row per scope with parallel arrays: zero weights for every distinct label, in order."""
+    labels = labelled.groupBy(*scope, "label").agg(F.lit(1)).groupBy(*scope).agg(F.array_sort(F.collect_list("label")).alias("labels"))
+    zeros = F.array_repeat(F.lit(0.0), F.size("labels"))
     return labels.select(
-        *points.keys,
-        "label",
-        zero.alias("w"),
-        F.lit(0.0).alias("b"),
-        F.lit(None).cast("double").alias("loss"),
-        F.lit(0.0).alias("change"),
-        F.lit(False).alias("done"),
-        F.lit(0).alias("steps"),
+        *scope,
+        F.col("labels").cast("array<double>").alias("labels"),
+        F.array_repeat(F.lit(0.0), F.size("labels") * width).alias("w"),
+        zeros.alias("b"),
+        F.array_repeat(F.lit(float("nan")), F.size("labels")).alias("loss"),
+        *[zeros.alias(c) for c in ("change", "done", "steps")],
     )
 
 
-def loss_and_gradient(points: Spread, weights: DataFrame, width: int, step: int = 0, with_loss: bool = True) -> DataFrame:
-    """``scope…, label, hinge, gw, gb``: hinge sum over all points, gradient sums over the batch of ``step``.
-
-    Points may carry ``batch`` and ``batches``; without them every point is in the batch.
-    """
-    scope = points.keys
-    matched = points.attach(pack_models(weights.filter("not done"), scope), model_bytes(width))
-    batched = "batch" in points.points.columns
-    in_batch = (F.col("batch") == F.lit(step) % F.col("batches")) if batched else F.lit(True)
-    if batched and not with_loss:
-        matched = matched.filter(in_batch)
-    target = one_versus_rest(F.col("own"), F.col("m.label"))
-    scored = (
-        matched.withColumn("_in", in_batch)
-        .withColumnRenamed("label", "own")
-        .select(*scope, "x", "own", "_in", F.explode("models").alias("m"))
-        .select(*scope, "x", "_in", F.col("m.label").alias("label"), target.alias("_y"), (dot(F.col("m.w"), F.col("x")) + F.col("m.b")).alias("_s"))
-        .withColumn("_margin", F.col("_y") * F.col("_s"))
-        .withColumn("_pull", F.when(F.col("_in") & (F.col("_margin") < 1), -F.col("_y")).otherwise(F.lit(0.0)))
+def models_of(state: DataFrame, scope: list[str], width: int) -> DataFrame:
+    """``scope…, label, w, b, loss, done, steps`` from the training state."""
+    at = F.col("_i")
+    cell = lambda c: F.get(F.col(c), at)
+    return state.select(*scope, *STATE, F.explode(F.sequence(F.lit(0), F.size("labels") - 1)).alias("_i")).select(
+        *scope,
+        cell("labels").cast("int").alias("label"),
+        F.slice("w", at * width + 1, width).alias("w"),
+        cell("b").alias("b"),
+        cell("loss").alias("loss"),
+        (cell("done") > 0).alias("done"),
+        cell("steps").cast("int").alias("steps"),
     )
-    gradient = [F.sum(F.col("_pull") * F.get("x", F.lit(j))) for j in range(width)]
-    return scored.groupBy(*scope, "label").agg(
-        F.sum(F.greatest(F.lit(0.0), 1 - F.col("_margin"))).alias("hinge"),
-        F.array(*gradient).alias("gw"),
-        F.sum("_pull").alias("gb"),
+
+
+def state_of(models: DataFrame, scope: list[str]) -> DataFrame:
+    """Parallel arrays ``labels, w, b`` per scope from a table of models, in label order."""
+    rows = F.array_sort(F.collect_list(F.struct("label", "w", "b")))
+    packed = models.groupBy(*scope).agg(rows.alias("_m"))
+    return packed.select(
+        *scope,
+        F.col("_m")["label"].cast("array<double>").alias("labels"),
+        F.flatten(F.col("_m")["w"]).alias("w"),
+        F.col("_m")["b"].alias("b"),
     )
 
 
+def loss_and_gradient(chunks: Spread, state: DataFrame, row_bytes: int, step: int = 0, batched: bool = False) -> DataFrame:
+    """``scope…, stats``: per model, the hinge sum over all points and the gradient sums over the batch of ``step``.
+
+    ``stats`` is (hinge, gradient of b, gradient of w) for each model.
+    """
+    used = ["event_ids", "x", "label", "labels", "w", "b", *(["batch", "batches"] if batched else [])]
+
+    def statistic(cells: dict[str, np.ndarray]) -> np.ndarray:
+        x = points_of(cells)
+        w = cells["w"].reshape(len(cells["labels"]), -1)
+        y = np.where(cells["label"][:, None] == cells["labels"], 1.0, -1.0)
+        margin = y * (x @ w.T + cells["b"])
+        pull = np.where(margin < 1, -y, 0.0)
+        if batched:
+            pull[cells["batch"] != step % cells["batches"]] = 0.0
+        hinge = np.maximum(0.0, 1.0 - margin).sum(axis=0)
+        return np.concatenate([hinge[:, None], pull.sum(axis=0)[:, None], pull.T @ x], axis=1).reshape(-1)
+
+    return add_up(chunks.attach(state, row_bytes), chunks.keys, used, statistic)
+
+
 def advance(
-    points: Spread, weights: DataFrame, plan: Descent, width: int, step: int, penalty: float, eval_every: int = 1
+    chunks: Spread, state: DataFrame, plan: Descent, row_bytes: int, step: int, penalty: float, eval_every: int, batched: bool
 ) -> DataFrame:
-    """Test each class for convergence with the loss of its weights, then take one step if it has not."""
-    with_loss = step % eval_every == 0
-    sums = loss_and_gradient(points, weights, width, step, with_loss)
-    joined = weights.join(sums, [*points.keys, "label"], "left")
-    if with_loss:
-        fresh = 0.5 * dot(F.col("w"), F.col("w")) + F.lit(penalty) * F.col("hinge")
-        percent = F.try_divide(F.abs(F.col("loss") - F.col("_fresh")), F.col("loss")) * 100
-        change = 0.5 * F.col("change") + 0.5 * F.col("_percent") if plan.smoothed else F.col("_percent")
-        joined = joined.withColumn("_fresh", fresh).withColumn("_percent", percent).withColumn("_change", change)
-        stop = F.coalesce(F.col("_change") < plan.epsilon, F.col("_fresh") == 0)
-    else:
-        joined = joined.withColumn("_fresh", F.col("loss")).withColumn("_change", F.col("change"))
-        stop = F.lit(False)
-    joined = joined.withColumn("_stop", F.col("done") | stop)
-    walked = F.zip_with("w", F.coalesce("gw", F.array_repeat(F.lit(0.0), width)), lambda w, g: w - plan.rate * (w + penalty * g))
-    return joined.select(
-        *points.keys,
-        "label",
-        F.when(F.col("_stop"), F.col("w")).otherwise(walked).alias("w"),
-        F.when(F.col("_stop"), F.col("b")).otherwise(F.col("b") - plan.rate * penalty * F.coalesce("gb", F.lit(0.0))).alias("b"),
-        F.when(F.col("done"), F.col("loss")).otherwise(F.col("_fresh")).alias("loss"),
-        F.when(F.col("done"), F.col("change")).otherwise(F.coalesce("_change", "change")).alias("change"),
-        F.col("_stop").alias("done"),
-        F.when(F.col("_stop"), F.col("steps")).otherwise(F.col("steps") + 1).alias("steps"),
-    )
+    """Test each model for convergence with the loss of its weights, then take one step if it has not converged."""
+    sums = loss_and_gradient(chunks, state.select(*chunks.keys, "labels", "w", "b"), row_bytes, step, batched)
+    evaluate = step % eval_every == 0
+
+    def walk(cells: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        models = len(cells["labels"])
+        w, b, loss, change = cells["w"].reshape(models, -1), cells["b"], cells["loss"], cells["change"]
+        parts = cells["stats"].reshape(models, -1)
+        live = cells["done"] == 0
+        stop = ~live
+        if evaluate:
+            fresh = 0.5 * (w * w).sum(axis=1) + penalty * parts[:, 0]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                percent = np.abs(loss - fresh) / loss * 100
+            # The first evaluation has no earlier loss: nothing is compared, nothing is averaged.
+            tested = ~np.isnan(loss)
+            moved = np.where(tested, 0.5 * change + 0.5 * percent if plan.smoothed else percent, change)
+            stop = stop | (tested & (moved < plan.epsilon)) | (fresh == 0)
+            loss, change = np.where(live, fresh, loss), np.where(live, moved, change)
+        go = ~stop
+        w = np.where(go[:, None], w - plan.rate * (w + penalty * parts[:, 2:]), w)
+        b = np.where(go, b - plan.rate * penalty * parts[:, 1], b)
+        new = {"labels": cells["labels"], "w": w, "b": b, "loss": loss, "change": change}
+        return new | {"done": stop.astype(float), "steps": cells["steps"] + go}
+
+    return per_group(sums.join(state, chunks.keys), chunks.keys, ["stats", *STATE], STATE, walk)
 
 
 def with_batches(labelled: DataFrame, scope: list[str], batch: int, seed: int) -> DataFrame:
@@ -156,32 +182,48 @@ def fit_svm(
     ``fixed_steps`` takes exactly that many steps without testing, and leaves the loss before the last one.
     """
     plan = descent(mode)
-    if plan.batch is not None:
+    batched = plan.batch is not None
+    if batched:
         labelled = with_batches(labelled, scope, plan.batch, seed)
-    points = spread(labelled, scope).settle(model_bytes(width))
-    weights = materialize(start_weights(points, width))
+    points = spread(labelled, scope)
+    state = materialize(start_state(labelled, scope, width))
+    models = state.agg(F.coalesce(F.sum(F.size("labels")), F.lit(0))).first()[0]
+    row_bytes = scope_bytes(points, models, width)
+    chunks = points.chunks(["x", "label", *(["batch", "batches"] if batched else [])], row_bytes).settle()
     if fixed_steps is not None:
-        plan = Descent(plan.rate, -1.0, plan.batch, plan.smoothed)
-        max_steps = fixed_steps
+        plan, max_steps = replace(plan, epsilon=-1.0), fixed_steps
     for step in range(max_steps):
-        weights = materialize(advance(points, weights, plan, width, step, penalty, eval_every))
-        if fixed_steps is None and weights.filter("not done").isEmpty():
+        state = chunks.hold(advance(chunks, state, plan, row_bytes, step, penalty, eval_every, batched), row_bytes)
+        if fixed_steps is None and state.filter("exists(done, d -> d = 0)").isEmpty():
             break
-    return weights.drop("change")
+    return models_of(state, scope, width)
+
 
+def svm_loss(labelled: DataFrame, models: DataFrame, width: int, scope: list[str] = SCOPE, penalty: float = PENALTY) -> DataFrame:
+    """``scope…, label, loss`` of given models."""
+    points = spread(labelled, scope)
+    row_bytes = scope_bytes(points, models.count(), width)
+    state = materialize(state_of(models, scope))
+    sums = loss_and_gradient(points.chunks(["x", "label"], row_bytes), state, row_bytes).join(state, scope)
 
-def svm_loss(points: Spread, weights: DataFrame, width: int, penalty: float = PENALTY) -> DataFrame:
-    """``scope…, label, loss`` of given weights."""
-    sums = loss_and_gradient(points, weights.withColumn("done", F.lit(False)), width)
-    full = 0.5 * dot(F.col("w"), F.col("w")) + F.lit(penalty) * F.col("hinge")
-    return weights.join(sums, [*points.keys, "label"]).select(*points.keys, "label", full.alias("loss"))
+    def total(cells: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        w = cells["w"].reshape(len(cells["labels"]), -1)
+        hinge = cells["stats"].reshape(len(w), -1)[:, 0]
+        return {"labels": cells["labels"], "loss": 0.5 * (w * w).sum(axis=1) + penalty * hinge}
+
+    losses = per_group(sums, scope, ["stats", "labels", "w"], ["labels", "loss"], total)
+    return losses.select(*scope, F.explode(F.arrays_zip("labels", "loss")).alias("_m")).select(
+        *scope, F.col("_m.labels").cast("int").alias("label"), "_m.loss"
+    )
 
 
-def predict(samples: DataFrame, weights: DataFrame, scope: list[str] = SCOPE, width: int = 10) -> DataFrame:
+def predict(samples: DataFrame, models: DataFrame, scope: list[str] = SCOPE, width: int = 10) -> DataFrame:
     """Samples with ``predicted`` and ``score``: the class of highest ``w·x + b``, the lowest label on ties."""
-    matched = spread(samples, scope).attach(pack_models(weights, scope), model_bytes(width))
+    points = spread(samples, scope)
+    rows = F.collect_list(F.struct("label", "w", "b")).alias("models")
+    matched = points.attach(models.groupBy(*scope).agg(rows), scope_bytes(points, models.count(), width))
     scores = F.transform("models", lambda m: F.struct((-(dot(m["w"], F.col("x")) + m["b"])).alias("s"), m["label"].alias("label")))
-    best = matched.withColumn("_best", F.array_min(scores))
+    best = pin(matched, "_best", F.array_min(scores))
     return best.select(*samples.columns, F.col("_best.label").alias("predicted"), (-F.col("_best.s")).alias("score"))
 
 

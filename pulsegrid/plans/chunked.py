@@ -82,28 +82,26 @@ def per_point(
     chunks: DataFrame,
     keys: list[str],
     columns: list[str],
-    output: T.StructField,
-    work: Callable[[dict[str, np.ndarray]], np.ndarray],
+    outputs: list[T.StructField],
+    work: Callable[[dict[str, np.ndarray]], list[np.ndarray]],
 ) -> DataFrame:
-    """``keys…, event_id, output``: one row per point; ``work`` returns a value or a vector for each."""
-    vector = isinstance(output.dataType, T.ArrayType)
-    schema = T.StructType([*[chunks.schema[k] for k in keys], T.StructField("event_id", T.LongType()), output])
+    """``keys…, event_id, outputs…``: one row per point; ``work`` gives one array, or matrix, per output."""
+    schema = T.StructType([*[chunks.schema[k] for k in keys], T.StructField("event_id", T.LongType()), *outputs])
     columns = ["event_ids", *[c for c in columns if c != "event_ids"]]
 
+    def column_of(values: np.ndarray) -> pa.Array:
+        if values.ndim == 1:
+            return pa.array(values)
+        offsets = np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.reshape(-1)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [(cells["event_ids"], work(cells)) for cells in _cells(batch, columns)]
-            if not made:
-                continue
-            ids = np.concatenate([i for i, _ in made])
-            values = np.concatenate([v for _, v in made])
-            repeat = np.repeat(np.arange(len(made)), [len(i) for i, _ in made])
-            heads = [batch.column(batch.schema.get_field_index(k)).take(pa.array(repeat)) for k in keys]
-            if vector:
-                offsets = np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]
-                body = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.reshape(-1)))
-            else:
-                body = pa.array(values)
-            yield pa.RecordBatch.from_arrays([*heads, pa.array(ids), body], names=[*keys, "event_id", output.name])
+            for i, cells in enumerate(_cells(batch, columns)):
+                rows = len(cells["event_ids"])
+                at = pa.array(np.full(rows, i))
+                heads = [batch.column(batch.schema.get_field_index(k)).take(at) for k in keys]
+                made = [column_of(v) for v in work(cells)]
+                yield pa.RecordBatch.from_arrays([*heads, pa.array(cells["event_ids"]), *made], names=schema.names)
 
     return chunks.select(*keys, *columns).mapInArrow(run, schema)

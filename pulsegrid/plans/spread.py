@@ -16,10 +16,12 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import checkpoint_folder
 
 BROADCAST_BYTES = 64 * 1024 * 1024
+HOLD_BYTES = 4 * 1024 * 1024
 MAX_HOT_GROUPS = 50_000
 ROWS_PER_SALT = 500_000
 ROWS_PER_CHUNK = 1024
@@ -31,6 +33,22 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def task_count(df: DataFrame) -> int:
+    """Partitions for rows that are read many times: never fewer than there are cores."""
+    session = df.sparkSession
+    return max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
+
+
+def hold(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
+    """Iteration state of at most ``rows`` rows: kept as a local table while small, written out beyond that.
+
+    ``rows`` and ``row_bytes`` are bounds known before the state is computed (groups times parameters).
+    """
+    if rows * row_bytes > HOLD_BYTES:
+        return materialize(df)
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
+
+
 def pin(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Add a column that is computed exactly once per row.
 
@@ -105,37 +123,33 @@ class Spread:
         )
         return self.points.join(salted, [*self.keys, "salt"], how)
 
-    def settle(self, row_bytes: int = 64) -> Spread:
-        """Write the points once for an iterative job.
+    def hold(self, params: DataFrame, row_bytes: int = 64) -> DataFrame:
+        """Cut the lineage of a table with at most one row per group."""
+        return hold(params, self.groups, row_bytes)
 
-        When the per-group parameters are too many to broadcast, the points are first hash-partitioned by
-        (keys, salt): a checkpoint keeps its partitioning, so each later ``attach`` shuffles only the parameters. It
-        keeps the order too, which spares later sort-based aggregates their sort.
-        """
-        points = self.points
-        if not fits_broadcast(self.groups, row_bytes):
-            points = points.repartition(*self.keys, "salt")
-        return replace(self, points=materialize(points.sortWithinPartitions(*self.keys)))
+    def settle(self) -> Spread:
+        """Write the points once, for a job that reads them many times. A checkpoint keeps its partitioning."""
+        return replace(self, points=materialize(self.points))
 
-    def chunks(self, columns: list[str], rows_per_chunk: int = ROWS_PER_CHUNK) -> Spread:
-        """Pack points into rows of about ``rows_per_chunk`` points: one array per column of ``columns``.
+    def chunks(self, columns: list[str], row_bytes: int = 64, rows_per_chunk: int = ROWS_PER_CHUNK) -> Spread:
+        """Pack points into rows of about ``rows_per_chunk`` points: one flat array per column of ``columns``.
 
         The chunk of a point is a hash of its id, so it does not depend on the partitioning of the input, and a
-        group of n points becomes ceil(n / rows_per_chunk) rows which Spark can place anywhere.
+        group of n points becomes ceil(n / rows_per_chunk) rows. While per-group parameters of ``row_bytes`` can be
+        broadcast, chunks are spread evenly over all tasks. Otherwise they are placed by (keys, salt): each later
+        ``attach`` then shuffles the parameters only.
         """
         sized = self.attach(self.sizes.select(*self.keys, F.col("n").alias("_n")))
         chunk = F.pmod(F.xxhash64("event_id", F.lit("chunk")), F.ceil(F.col("_n") / rows_per_chunk))
+        place = [*self.keys, "salt"] + (["chunk"] if fits_broadcast(self.groups, row_bytes) else [])
+        nested = {f.name for f in self.points.schema.fields if isinstance(f.dataType, T.ArrayType)}
+        cells = [(F.flatten(F.col("_rows")[c]) if c in nested else F.col("_rows")[c]).alias(c) for c in columns]
         packed = (
             sized.withColumn("chunk", chunk)
+            .repartition(task_count(sized), *place)
             .groupBy(*self.keys, "salt", "chunk")
             .agg(F.collect_list(F.struct("event_id", *columns)).alias("_rows"))
-            .select(
-                *self.keys,
-                "salt",
-                "chunk",
-                F.col("_rows")["event_id"].alias("event_ids"),
-                *[F.flatten(F.col("_rows")[c]).alias(c) for c in columns],
-            )
+            .select(*self.keys, "salt", "chunk", F.col("_rows")["event_id"].alias("event_ids"), *cells)
         )
         return replace(self, points=packed)
 

@@ -42,14 +42,14 @@ def test_spread_keeps_every_row_and_splits_hot_groups(spark, plan):
     assert salts == (8 if plan == "salted" else 1)
     sized = points.attach(points.sizes.select(*KEYS, "n"))
     assert sorted(sized.groupBy("channel", "n").count().select("n", "count").collect()) == [(2, 2), (15, 15), (180, 180)]
-    chunked = points.chunks(["x"], 16).points
+    chunked = points.chunks(["x"], rows_per_chunk=16).points
     assert chunked.agg(F.sum(F.size("event_ids"))).first()[0] == 197
     assert chunked.filter("channel = 0").count() >= 8
 
 
 def test_covariance(spark, plan):
     groups = {0: clouds() + 1000, 1: clouds(1, per=2, centers=1)}
-    rows = covariance(spread(table(spark, groups), KEYS).chunks(["x"], 32).settle()).collect()
+    rows = covariance(spread(table(spark, groups), KEYS).chunks(["x"], rows_per_chunk=32).settle()).collect()
     assert len(rows) == 2
     for r in rows:
         x = groups[r.channel]
@@ -97,21 +97,21 @@ def numpy_lloyd(x, centers, rounds):
 
 def test_lloyd_matches_brute_force(spark, plan):
     groups = {0: clouds(gap=1.0), 1: clouds(1, per=20, gap=0.5)}
-    points = spread(table(spark, groups), KEYS).settle()
-    start = [("r", 0, c, [x[0].tolist(), x[1].tolist(), x[2].tolist(), [99.0] * 4]) for c, x in groups.items()]
-    centers = spark.createDataFrame(start, "recording string, interval_id int, channel int, centers array<array<double>>")
+    points = spread(table(spark, groups), KEYS)
+    start = [("r", 0, c, [*x[:3].reshape(-1).tolist(), *[99.0] * 4]) for c, x in groups.items()]
+    centers = spark.createDataFrame(start, "recording string, interval_id int, channel int, centers array<double>")
     placed, used = KM.kmeans(points, F.lit(4), 4, 4, max_iter=6, centers=centers)
     got = placed.toPandas().sort_values(["channel", "event_id"])
     for c, x in groups.items():
-        label, expect = numpy_lloyd(x, np.array(start[c][3]), 7)
+        label, expect = numpy_lloyd(x, np.reshape(start[c][3], (4, 4)), 7)
         assert got[got.channel == c].cluster.tolist() == label.tolist()
-        assert np.allclose(used.filter(F.col("channel") == c).first().centers, expect)
+        assert np.allclose(used.filter(F.col("channel") == c).first().centers, expect.reshape(-1))
     errors = KM.cluster_error(placed, KEYS).toPandas()
     assert errors.n.sum() == 240 and errors.wsse.sum() == pytest.approx(got.d2.sum())
 
 
 def test_cost_never_rises(spark):
-    points = spread(table(spark, {0: clouds(gap=1.0)}), KEYS).settle()
+    points = spread(table(spark, {0: clouds(gap=1.0)}), KEYS)
     cost = [KM.kmeans(points, F.lit(3), 3, 4, max_iter=m)[0].agg(F.sum("d2")).first()[0] for m in (0, 1, 3)]
     assert cost == sorted(cost, reverse=True)
 
@@ -120,11 +120,11 @@ def test_seeds_do_not_depend_on_partitioning(spark, plan):
     df = table(spark, {0: clouds(), 1: clouds(1), 2: np.ones((9, 4))})
     found = []
     for parts in (1, 7):
-        points = spread(df.repartition(parts), KEYS).settle()
-        seeds = KM.spread_out_seeds(points, F.lit(3), 3, 128)
-        found.append({r.channel: r.centers for r in seeds.collect()})
+        points = spread(df.repartition(parts), KEYS)
+        seeds = KM.spread_out_seeds(points, points.chunks(["x"], 128), F.lit(3), 3, 128)
+        found.append({r.channel: np.reshape(r.centers, (-1, 4)).tolist() for r in seeds.collect()})
         other = KM.random_seeds(points, F.lit(3)).collect()
-        assert all(len(r.centers) == 3 for r in other)
+        assert all(len(r.centers) == 12 for r in other)
     assert found[0] == found[1]
     assert [len(found[0][c]) for c in range(3)] == [3, 3, 1]
     assert len({tuple(s) for s in found[0][0]}) == 3
@@ -166,7 +166,7 @@ def test_mixture_matches_brute_force(spark, plan):
     x = clouds(gap=3.0)
     points = spread(table(spark, {0: x}), KEYS)
     labels, parameters = gaussian_mixture(points, F.lit(3), 3, 4, max_iter=4)
-    seeds = np.array(KM.random_seeds(points, F.lit(3)).first().centers)
+    seeds = np.reshape(KM.random_seeds(points, F.lit(3)).first().centers, (3, 4))
     ridge = 1e-6 * np.eye(4)
     weights, means = np.full(3, 1 / 3), seeds
     covs = np.stack([np.diag(np.cov(x.T).diagonal()) + ridge] * 3)

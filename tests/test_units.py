@@ -7,7 +7,6 @@ from pulsegrid.operators import merge as M
 from pulsegrid.operators import svm as S
 from pulsegrid.operators.report import check_conservation, run_report, scatter_2d
 from pulsegrid.plans import spread as plans
-from pulsegrid.plans.spread import spread
 
 SUMMARY = "recording string, interval_id int, channel int, cluster int, ord bigint, n bigint, sum array<double>, s_chn int, e_chn int"
 
@@ -212,10 +211,9 @@ def test_svm_modes_and_prediction(spark):
     library = S.library_svm(df).withColumn("recording", F.lit("r")).withColumn("interval_id", F.lit(0))
     got = S.predict(df, library, width=3).toPandas().sort_values("event_id")
     assert (got.predicted.to_numpy() == label).mean() > 0.9
-    points = spread(df, S.SCOPE)
     slow = S.fit_svm(df, "BGD", width=3, fixed_steps=5)
-    optimum = {r.label: r.loss for r in S.svm_loss(points, library, 3).collect()}
-    start = {r.label: r.loss for r in S.svm_loss(points, slow, 3).collect()}
+    optimum = {r.label: r.loss for r in S.svm_loss(df, library, 3).collect()}
+    start = {r.label: r.loss for r in S.svm_loss(df, slow, 3).collect()}
     assert all(optimum[c] < start[c] for c in optimum)
     tie = spark.createDataFrame([("r", 0, c, [1.0, 0.0, 0.0], 0.5) for c in (7, 3, 5)], "recording string, interval_id int, label int, w array<double>, b double")
     assert {r.predicted for r in S.predict(df, tie, width=3).collect()} == {3}
