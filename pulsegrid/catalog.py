@@ -23,7 +23,7 @@ from .operators.report import run_report, scatter_2d
 from .plans.pipeline import sort_blocks
 from .plans.spread import materialize, spread
 from .session import KEYS
-from .sources.series import explode_blocks, first_interval, series_from_table, signal_blocks, split_intervals, with_time
+from .sources.series import centre, explode_blocks, first_interval, series_from_table, signal_blocks, split_intervals, with_time
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,9 +61,7 @@ def price_series(spark: SparkSession, folder: str) -> DataFrame:
     lines = spark.read.parquet(f"{folder}/lineitem.parquet").select("l_suppkey", *SERIES_ORDER)
     cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
     series = series_from_table(lines, F.col("l_suppkey"), SERIES_ORDER, cents, "lineitem")
-    means = series.groupBy(*KEYS).agg(F.floor(F.sum("value") / F.count("value")).alias("_mean"))
-    # Suppliers grow with the data, so no broadcast is asked for; the size of the joined table decides.
-    return series.join(means, KEYS).select(*KEYS, "sample", (F.col("value") - F.col("_mean")).cast("double").alias("value"))
+    return centre(series)
 
 
 def price_blocks(spark: SparkSession, folder: str) -> DataFrame:
@@ -117,7 +115,7 @@ def _signal_blocks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 EVENT_SERIES_SQL = """WITH s AS (
-  SELECT user_id AS channel, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS at, value FROM events)
+  SELECT user_id AS channel, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS place, value FROM events)
 """
 
 
@@ -129,14 +127,14 @@ def event_series(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "intervals",
     EVENT_SERIES_SQL
-    + "SELECT channel, CAST(at // 16 AS BIGINT) AS interval_id, at % 16 AS sample, (at % 16) / 30000.0::DOUBLE AS seconds, value FROM s",
+    + "SELECT channel, place // 16 AS interval_id, place % 16 AS sample, (place % 16) / 30000.0::DOUBLE AS seconds, value FROM s",
 )
 def _intervals(spark: SparkSession, folder: str) -> DataFrame:
     timed = with_time(event_series(spark, folder), 30000)
     return timed.select("channel", long("interval_id"), "sample", "seconds", "value")
 
 
-@query("first_interval", EVENT_SERIES_SQL + "SELECT channel, at AS sample, value FROM s WHERE at < 16")
+@query("first_interval", EVENT_SERIES_SQL + "SELECT channel, place AS sample, value FROM s WHERE place < 16")
 def _first_interval(spark: SparkSession, folder: str) -> DataFrame:
     return first_interval(event_series(spark, folder)).select("channel", "sample", "value")
 
@@ -501,7 +499,7 @@ def _merge_mutual_round(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("merge_mutual")
 def _merge_mutual(spark: SparkSession, folder: str) -> DataFrame:
-    return merge.merge_mutual(third_summary(spark, folder), similarity=0.6).select("ord", "unit")
+    return merge.merge_mutual(third_summary(spark, folder), similarity=0.3).select("ord", "unit")
 
 
 @query("merge_greedy")
@@ -611,8 +609,8 @@ def _svm_bgd_steps(spark: SparkSession, folder: str) -> DataFrame:
     return model_cells(svm.fit_svm(vectors(spark, folder).drop("channel"), "BGD", WIDTH, fixed_steps=3))
 
 
-BATCH_SQL = f""", placed AS (SELECT vec_id, row_number() OVER (ORDER BY {UNIFORM_SQL.format(step=0)}, vec_id) - 1 AS at FROM emb),
-batches AS (SELECT vec_id, at // {{size}} AS batch, CAST(ceil(count(*) OVER () / {{size}}.0) AS BIGINT) AS batches FROM placed)"""
+BATCH_SQL = f""", placed AS (SELECT vec_id, row_number() OVER (ORDER BY {UNIFORM_SQL.format(step=0)}, vec_id) - 1 AS place FROM emb),
+batches AS (SELECT vec_id, place // {{size}} AS batch, CAST(ceil(count(*) OVER () / {{size}}.0) AS BIGINT) AS batches FROM placed)"""
 
 
 @query("svm_mbgd_steps", _descent_sql(3, "1e-5", BATCH_SQL.format(size=20), "batch = {t} % batches"))

@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.rules import MERGE_PASSES, MINIMAL_SUPPORT, SIMILARITY, VICINITY
+from ..functions.rules import MAX_CLUSTERS, MERGE_PASSES, MINIMAL_SUPPORT, SIMILARITY, VICINITY
 from ..functions.vectors import distance, dot, norm, scale, subtract, sum_by_position
-from ..plans.spread import exact_median, materialize, number_rows, spread
+from ..plans.spread import exact_median, hold, materialize, number_rows, pin, spread
 from ..session import KEYS
 
 SCOPE = KEYS[:2]
@@ -40,7 +40,7 @@ def vicinity_pairs(summary: DataFrame, vicinity: int = VICINITY) -> DataFrame:
     later = summary.select(*SCOPE, *side("b"), F.explode(reach).alias("_bucket"))
     near = (F.col("a_ord") < F.col("b_ord")) & (F.col("b_e_chn") - F.col("a_s_chn") <= vicinity)
     gap = distance(centroid(F.col("a_sum"), F.col("a_n")), centroid(F.col("b_sum"), F.col("b_n")))
-    return earlier.join(later, [*SCOPE, "_bucket"]).filter(near).withColumn("distance", gap).drop("_bucket")
+    return earlier.join(later, [*SCOPE, "_bucket"]).filter(near).drop("_bucket").withColumn("distance", gap)
 
 
 def nearest_earlier(pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -158,26 +158,28 @@ def mutual_partners(pairs: DataFrame, similarity: float = SIMILARITY) -> DataFra
 def merge_mutual(
     summary: DataFrame, vicinity: int = VICINITY, similarity: float = SIMILARITY, max_rounds: int = 64
 ) -> DataFrame:
-    """``recording, interval_id, ord, unit``: rounds of mutual nearest pairs until none is left.
+    """``recording, interval_id, ord, unit``: rounds of mutual nearest pairs until none is left, at most ``max_rounds``.
 
     Independent of any order and distributed throughout; the result differs from the greedy one by design.
     """
     state = summary.select(*SCOPE, "ord", "n", "sum", "s_chn", "e_chn")
-    sample = summary.select(F.size("sum")).first()
-    width = sample[0] if sample else 0
     units = summary.select(*SCOPE, "ord", F.col("ord").cast("bigint").alias("unit"))
+    rows, width = summary.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("sum")), F.lit(0))).first()
+    row_bytes = 8 * width + 64
     for _ in range(max_rounds):
-        joined = materialize(mutual_partners(vicinity_pairs(state, vicinity), similarity))
+        close = vicinity_pairs(state, vicinity).select(*SCOPE, "a_ord", "b_ord", "distance")
+        close = hold(pin(close, "_near", F.col("distance") < similarity).filter("_near"), rows * (vicinity + 1) * MAX_CLUSTERS, 64)
+        joined = hold(mutual_partners(close, similarity), rows, row_bytes)
         if joined.isEmpty():
             break
         step = joined.select(*SCOPE, F.col("ord").alias("unit"), F.col("unit").alias("_to"))
-        units = materialize(units.join(step, [*SCOPE, "unit"], "left").select(*SCOPE, "ord", F.coalesce("_to", "unit").cast("bigint").alias("unit")))
+        renamed = units.join(step, [*SCOPE, "unit"], "left")
+        units = hold(renamed.select(*SCOPE, "ord", F.coalesce("_to", "unit").cast("bigint").alias("unit")), rows, row_bytes)
         moved = state.join(joined, [*SCOPE, "ord"], "left").withColumn("ord", F.coalesce("unit", "ord"))
-        state = materialize(
-            moved.groupBy(*SCOPE, "ord").agg(
-                F.sum("n").alias("n"), sum_by_position("sum", width).alias("sum"), F.min("s_chn").alias("s_chn"), F.max("e_chn").alias("e_chn")
-            )
+        summed = moved.groupBy(*SCOPE, "ord").agg(
+            F.sum("n").alias("n"), sum_by_position("sum", width).alias("sum"), F.min("s_chn").alias("s_chn"), F.max("e_chn").alias("e_chn")
         )
+        state = hold(summed, rows, row_bytes)
     return units
 
 

@@ -237,6 +237,6 @@ def library_svm(labelled: DataFrame, penalty: float = PENALTY, max_iter: int = 1
     index = (F.array_position(F.array(*[F.lit(v) for v in labels]), F.col("label")) - 1).cast("double")
     vectors = labelled.select(array_to_vector("x").alias("features"), index.alias("label"))
     base = LinearSVC(regParam=1.0 / (penalty * n), standardization=False, maxIter=max_iter)
-    model = OneVsRest(classifier=base).fit(vectors)
+    model = OneVsRest(classifier=base, parallelism=min(8, max(len(labels), 1))).fit(vectors)
     rows = [(label, [float(v) for v in m.coefficients], float(m.intercept)) for label, m in zip(labels, model.models)]
     return labelled.sparkSession.createDataFrame(rows, "label int, w array<double>, b double")

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.spread import number_rows
+from ..plans.spread import materialize, number_rows, position_join
 from ..session import KEYS
 
 
@@ -43,6 +43,17 @@ def split_intervals(series: DataFrame, interval_samples: int) -> DataFrame:
     )
 
 
+def centre(series: DataFrame) -> DataFrame:
+    """Whole-number series around its floored mean, per channel interval; a hot channel is spread by position."""
+    means = materialize(
+        series.groupBy(*KEYS).agg(F.floor(F.sum("value") / F.count("value")).alias("_mean"), F.count("value").alias("_n"))
+    )
+    joined = position_join(
+        series, means, KEYS, rows=means.count(), position=F.col("sample"), length=F.col("_n"), stride=1 << 20
+    )
+    return joined.select(*KEYS, "sample", (F.col("value") - F.col("_mean")).cast("double").alias("value"))
+
+
 def first_interval(df: DataFrame) -> DataFrame:
     """Only the first interval of each recording."""
     return df.filter("interval_id = 0")
