@@ -27,6 +27,12 @@ def _cells(batch: pa.RecordBatch, columns: list[str]) -> Iterator[dict[str, np.n
         yield {c: flat[at[i] : at[i + 1]] for c, (at, flat) in flats.items()}
 
 
+def _list_column(vectors: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(v) for v in vectors])]).astype(np.int32)
+    values = np.concatenate(vectors) if vectors else np.empty(0)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.float64)))
+
+
 def add_up(
     chunks: DataFrame, keys: list[str], columns: list[str], statistic: Callable[[dict[str, np.ndarray]], np.ndarray]
 ) -> DataFrame:
@@ -36,8 +42,7 @@ def add_up(
 
     def emit(sums: dict[tuple, np.ndarray], types: list[pa.DataType]) -> pa.RecordBatch:
         heads = [pa.array([k[i] for k in sums], t) for i, t in enumerate(types)]
-        stats = pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))
-        return pa.RecordBatch.from_arrays([*heads, stats], names=[*keys, "stats"])
+        return pa.RecordBatch.from_arrays([*heads, _list_column(list(sums.values()))], names=[*keys, "stats"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple, np.ndarray] = {}
@@ -72,7 +77,7 @@ def per_group(
         for batch in batches:
             done = [work(cells) for cells in _cells(batch, columns)]
             heads = [batch.column(batch.schema.get_field_index(k)) for k in keys]
-            made = [pa.array([np.ravel(d[o]).tolist() for d in done], pa.list_(pa.float64())) for o in outputs]
+            made = [_list_column([np.ravel(d[o]) for d in done]) for o in outputs]
             yield pa.RecordBatch.from_arrays([*heads, *made], names=[*keys, *outputs])
 
     return rows.select(*keys, *columns).mapInArrow(run, schema)

@@ -44,7 +44,11 @@ def split_intervals(series: DataFrame, interval_samples: int) -> DataFrame:
 
 
 def centre(series: DataFrame) -> DataFrame:
-    """Whole-number series around its floored mean, per channel interval; a hot channel is spread by position."""
+    """Whole-number series around its floored mean, per channel interval; a hot channel is spread by position.
+
+    The series is written once, since numbering its rows is the expensive part and it is read twice here.
+    """
+    series = materialize(series)
     means = materialize(
         series.groupBy(*KEYS).agg(F.floor(F.sum("value") / F.count("value")).alias("_mean"), F.count("value").alias("_n"))
     )
