@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 from ..functions.butterworth import bandpass_coefficients, block_filter, settle_length
 from ..functions.rules import FILTER_ORDER, HIGH_HZ, LOW_HZ, SAMPLE_HZ
 
+BATCH_SAMPLES = 4_000_000  # samples filtered at once; bounds a task's memory
+
 
 def warm_up(low: float = LOW_HZ, high: float = HIGH_HZ, sample_hz: float = SAMPLE_HZ, order: int = FILTER_ORDER) -> int:
     """Samples a block needs before its first useful one; blocks at an interval start need none."""
@@ -46,29 +48,33 @@ def bandpass(
     names = [f.name for f in kept]
     schema = T.StructType([*kept, T.StructField("abs_sum", T.DoubleType()), T.StructField("y", T.ArrayType(T.DoubleType()))])
 
+    def filtered_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        cell = lambda name: batch.column(batch.schema.get_field_index(name))
+        offsets = cell(samples).offsets.to_numpy()
+        flat = cell(samples).values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+        sizes = np.diff(offsets)
+        start, first, n_core = (cell(c).to_numpy() for c in ("start", "first", "n_core"))
+        matrix = np.zeros((len(sizes), int(sizes.max(initial=0))))
+        inside = np.arange(matrix.shape[1]) < sizes[:, None]
+        matrix[inside] = flat
+        filtered = kernel.run(matrix)
+        drop = np.maximum(start - first - keep_lead, 0)
+        if ((first > 0) & (drop < settle)).any():
+            raise ValueError("a block does not carry enough earlier samples for the filter")
+        keep = inside & (np.arange(matrix.shape[1]) >= drop[:, None])
+        stops = np.concatenate([[0], np.cumsum(sizes - drop)]).astype(np.int32)
+        y = pa.ListArray.from_arrays(pa.array(stops), pa.array(filtered[keep]))
+        spans = zip(filtered, start - first, n_core)
+        sums = pa.array([np.abs(row[at : at + n]).sum() for row, at, n in spans], pa.float64())
+        columns = [cell(n) for n in names]
+        columns[names.index("first")] = pa.array(first + drop, pa.int64())
+        return pa.RecordBatch.from_arrays([*columns, sums, y], names=[*names, "abs_sum", "y"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(batch.schema.get_field_index(samples))
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            sizes = np.diff(lists.offsets.to_numpy())
-            ends = np.cumsum(sizes)
-            start = batch.column(batch.schema.get_field_index("start")).to_numpy()
-            first = batch.column(batch.schema.get_field_index("first")).to_numpy()
-            matrix = np.zeros((len(sizes), int(sizes.max(initial=0))))
-            inside = np.arange(matrix.shape[1]) < sizes[:, None]
-            matrix[inside] = flat
-            filtered = kernel.run(matrix)
-            drop = np.maximum(start - first - keep_lead, 0)
-            if ((first > 0) & (drop < settle)).any():
-                raise ValueError("a block does not carry enough earlier samples for the filter")
-            keep = inside & (np.arange(matrix.shape[1]) >= drop[:, None])
-            offsets = np.concatenate([[0], np.cumsum(sizes - drop)]).astype(np.int32)
-            y = pa.ListArray.from_arrays(pa.array(offsets), pa.array(filtered[keep]))
-            columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
-            columns[names.index("first")] = pa.array(first + drop, pa.int64())
-            n_core = batch.column(batch.schema.get_field_index("n_core")).to_numpy()
-            spans = zip(filtered, start - first, n_core)
-            sums = pa.array([np.abs(row[at : at + n]).sum() for row, at, n in spans], pa.float64())
-            yield pa.RecordBatch.from_arrays([*columns, sums, y], names=[*names, "abs_sum", "y"])
+            held = len(batch.column(batch.schema.get_field_index(samples)).flatten())
+            rows = max(1, batch.num_rows * BATCH_SAMPLES // max(held, 1))
+            for at in range(0, batch.num_rows, rows):
+                yield filtered_rows(batch.slice(at, rows))
 
     return blocks.mapInArrow(run, schema)

@@ -17,7 +17,7 @@ from ..operators.report import check_conservation, run_report
 from ..operators.svm import fit_svm, predict
 from ..plans.spread import materialize
 from ..session import KEYS
-from ..sources.recording import BLOCK_LIMIT, CHANNELS, INTERVAL_SECONDS, read_recording
+from ..sources.recording import BLOCK_LIMIT, CHANNELS, INTERVAL_SECONDS, frame_ranges, read_recording
 from ..sources.sinks import write_result
 
 
@@ -110,6 +110,8 @@ def sort_recording(
     interval = interval_s * sample_hz
     length = block_len or min(interval, BLOCK_LIMIT)
     lead = detect.lead_needed(window, offset)
+    ranges = 1 if first_interval_only else frame_ranges(path, channels, interval)
+    cores = spark.sparkContext.defaultParallelism
     blocks = read_recording(
         spark,
         path,
@@ -119,6 +121,7 @@ def sort_recording(
         block_len=length,
         lead=warm_up(low, high, sample_hz) + lead,
         tail=detect.tail_needed(window, offset),
+        channel_groups=max(1, cores // max(ranges, 1)) if length >= interval else 1,
         **({"max_frames": interval} if first_interval_only else {}),
     )
     filtered = bandpass(blocks, low, high, sample_hz, keep_lead=lead)

@@ -42,6 +42,7 @@ INTERVAL_SECONDS = 3
 
 BLOCK_LIMIT = 131_072  # samples; an interval up to this length is one block
 PARTITION_BYTES = 128 * 1024 * 1024
+BATCH_SAMPLES = 4_000_000  # samples per Arrow batch
 
 
 @dataclass
@@ -52,6 +53,8 @@ class FrameRange(InputPartition):
     frames: int  # frames of the interval
     first_block: int
     last_block: int  # exclusive
+    first_channel: int
+    last_channel: int  # exclusive
 
 
 def list_files(path: str) -> list[tuple[str, int]]:
@@ -75,7 +78,8 @@ def list_files(path: str) -> list[tuple[str, int]]:
 
 class RecordingSource(DataSource):
     """Options: ``channels``, ``sample_hz``, ``interval_s``, ``block_len``, ``lead``, ``tail``, ``max_frames``,
-    ``partition_bytes``, ``pushdown``."""
+    ``partition_bytes``, ``channel_groups`` (tasks per frame range, each for some channels; the range is read by each
+    of them, so this is for recordings with fewer ranges than cores), ``pushdown``."""
 
     @classmethod
     def name(cls) -> str:
@@ -100,6 +104,7 @@ class RecordingReader(DataSourceReader):
         self.tail = number("tail", 0)
         self.max_frames = number("max_frames", 0)
         self.partition_bytes = number("partition_bytes", PARTITION_BYTES)
+        self.channel_groups = min(number("channel_groups", 1), self.channels)
         self.wanted_intervals = (0, None)
         self.wanted_channels: set[int] | None = None
         if min(self.channels, self.interval, self.block_len) < 1:
@@ -109,6 +114,7 @@ class RecordingReader(DataSourceReader):
         frame_bytes = 2 * self.channels
         blocks_per_task = max(1, self.partition_bytes // (frame_bytes * self.block_len))
         low, high = self.wanted_intervals
+        edges = np.linspace(0, self.channels, self.channel_groups + 1).astype(int).tolist()
         ranges = []
         for path, size in list_files(self.path):
             if size % frame_bytes:
@@ -122,16 +128,17 @@ class RecordingReader(DataSourceReader):
                 frames = min(self.interval, total - origin)
                 blocks = -(-frames // self.block_len)
                 for at in range(0, blocks, blocks_per_task):
-                    ranges.append(FrameRange(path, interval_id, origin, frames, at, min(at + blocks_per_task, blocks)))
+                    end = min(at + blocks_per_task, blocks)
+                    ranges += [FrameRange(path, interval_id, origin, frames, at, end, *g) for g in zip(edges, edges[1:])]
         # Spark wants at least one partition.
-        return ranges or [FrameRange("", 0, 0, 0, 0, 0)]
+        return ranges or [FrameRange("", 0, 0, 0, 0, 0, 0, 0)]
 
     def read(self, part: FrameRange) -> Iterator[pa.RecordBatch]:
         if part.first_block >= part.last_block:
             return
         local = "://" not in part.path
         filesystem, inner = (fs.LocalFileSystem(), part.path) if local else fs.FileSystem.from_uri(part.path)
-        wanted = np.arange(self.channels, dtype=np.int32)
+        wanted = np.arange(part.first_channel, part.last_channel, dtype=np.int32)
         if self.wanted_channels is not None:
             wanted = wanted[np.isin(wanted, sorted(self.wanted_channels))]
         if not len(wanted):
@@ -143,8 +150,12 @@ class RecordingReader(DataSourceReader):
                 stop = min(start + self.block_len, part.frames)
                 first, end = max(start - self.lead, 0), min(stop + self.tail, part.frames)
                 raw = handle.read_at((end - first) * width, (part.origin + first) * width)
-                lines = np.frombuffer(raw, dtype="<i2").reshape(-1, self.channels).T[wanted]
-                yield self._batch(part, block, start, stop - start, first, wanted, np.ascontiguousarray(lines))
+                frames = np.frombuffer(raw, dtype="<i2").reshape(-1, self.channels)
+                step = max(1, BATCH_SAMPLES // len(frames))
+                for at in range(0, len(wanted), step):
+                    some = wanted[at : at + step]
+                    lines = np.ascontiguousarray(frames[:, some].T)
+                    yield self._batch(part, block, start, stop - start, first, some, lines)
 
     @staticmethod
     def _batch(part, block, start, n_core, first, channels, lines) -> pa.RecordBatch:
@@ -192,6 +203,11 @@ class FilteringReader(RecordingReader):
         self.wanted_intervals = (low, high)
 
 
+def frame_ranges(path: str, channels: int, interval_frames: int) -> int:
+    """Number of interval pieces in the files, the natural number of tasks for whole-interval blocks."""
+    return sum(-(-size // (2 * channels * interval_frames)) for _, size in list_files(path))
+
+
 def read_recording(spark: SparkSession, path: str, **options) -> DataFrame:
     """Blocks of an interleaved int16 recording; see the module text for the options."""
     spark.dataSource.register(RecordingSource)
