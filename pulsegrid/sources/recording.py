@@ -46,7 +46,7 @@ BATCH_SAMPLES = 4_000_000  # samples per Arrow batch
 
 
 @dataclass
-class FrameRange(InputPartition):
+class FrameRange:
     path: str
     interval_id: int
     origin: int  # first frame of the interval in the file
@@ -55,6 +55,25 @@ class FrameRange(InputPartition):
     last_block: int  # exclusive
     first_channel: int
     last_channel: int  # exclusive
+    bytes: int
+
+
+@dataclass
+class ScanTask(InputPartition):
+    ranges: list[FrameRange]
+
+
+def pack_ranges(ranges: list[FrameRange], limit: int) -> list[ScanTask]:
+    """Neighbouring ranges in one task while they stay within ``limit`` bytes; small files do not become small tasks."""
+    tasks: list[ScanTask] = []
+    held = limit + 1
+    for r in ranges:
+        if held + r.bytes > limit:
+            tasks.append(ScanTask([]))
+            held = 0
+        tasks[-1].ranges.append(r)
+        held += r.bytes
+    return tasks
 
 
 def list_files(path: str) -> list[tuple[str, int]]:
@@ -79,7 +98,8 @@ def list_files(path: str) -> list[tuple[str, int]]:
 class RecordingSource(DataSource):
     """Options: ``channels``, ``sample_hz``, ``interval_s``, ``block_len``, ``lead``, ``tail``, ``max_frames``,
     ``partition_bytes``, ``channel_groups`` (tasks per frame range, each for some channels; the range is read by each
-    of them, so this is for recordings with fewer ranges than cores), ``pushdown``."""
+    of them, so this is for recordings with fewer ranges than cores), ``min_tasks`` (ranges are packed up to
+    ``partition_bytes`` only while this many tasks remain), ``pushdown``."""
 
     @classmethod
     def name(cls) -> str:
@@ -105,12 +125,13 @@ class RecordingReader(DataSourceReader):
         self.max_frames = number("max_frames", 0)
         self.partition_bytes = number("partition_bytes", PARTITION_BYTES)
         self.channel_groups = min(number("channel_groups", 1), self.channels)
+        self.min_tasks = max(number("min_tasks", 1), 1)
         self.wanted_intervals = (0, None)
         self.wanted_channels: set[int] | None = None
         if min(self.channels, self.interval, self.block_len) < 1:
             raise ValueError("channels, interval and block_len must be positive")
 
-    def partitions(self) -> list[FrameRange]:
+    def partitions(self) -> list[ScanTask]:
         frame_bytes = 2 * self.channels
         blocks_per_task = max(1, self.partition_bytes // (frame_bytes * self.block_len))
         low, high = self.wanted_intervals
@@ -129,13 +150,18 @@ class RecordingReader(DataSourceReader):
                 blocks = -(-frames // self.block_len)
                 for at in range(0, blocks, blocks_per_task):
                     end = min(at + blocks_per_task, blocks)
-                    ranges += [FrameRange(path, interval_id, origin, frames, at, end, *g) for g in zip(edges, edges[1:])]
+                    size_read = (min(end * self.block_len, frames) - at * self.block_len) * frame_bytes
+                    groups = zip(edges, edges[1:])
+                    ranges += [FrameRange(path, interval_id, origin, frames, at, end, *g, size_read) for g in groups]
+        share = sum(r.bytes for r in ranges) // self.min_tasks
         # Spark wants at least one partition.
-        return ranges or [FrameRange("", 0, 0, 0, 0, 0, 0, 0)]
+        return pack_ranges(ranges, min(self.partition_bytes, share)) or [ScanTask([])]
 
-    def read(self, part: FrameRange) -> Iterator[pa.RecordBatch]:
-        if part.first_block >= part.last_block:
-            return
+    def read(self, task: ScanTask) -> Iterator[pa.RecordBatch]:
+        for part in task.ranges:
+            yield from self._read_range(part)
+
+    def _read_range(self, part: FrameRange) -> Iterator[pa.RecordBatch]:
         local = "://" not in part.path
         filesystem, inner = (fs.LocalFileSystem(), part.path) if local else fs.FileSystem.from_uri(part.path)
         wanted = np.arange(part.first_channel, part.last_channel, dtype=np.int32)
@@ -214,6 +240,7 @@ def read_recording(spark: SparkSession, path: str, **options) -> DataFrame:
     list_files(path)
     pushdown = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
     reader = spark.read.format("recording").option("pushdown", pushdown)
+    reader = reader.option("min_tasks", str(spark.sparkContext.defaultParallelism))
     for key, value in options.items():
         reader = reader.option(key, str(value))
     return reader.load(path)

@@ -18,9 +18,9 @@ def test_scan_splits_into_channels_intervals_and_blocks(spark, tmp_path):
     data = np.random.default_rng(0).integers(-900, 900, (5, 2500)).astype("<i2")
     write_probe(tmp_path / "probe.bin", data)
     blocks = read_recording(
-        spark, str(tmp_path), channels=5, sample_hz=1000, interval_s=1, block_len=300, lead=40, tail=30, partition_bytes=5000
+        spark, str(tmp_path), channels=5, sample_hz=1000, interval_s=1, block_len=300, lead=40, tail=30, partition_bytes=5000, min_tasks=1
     )
-    assert blocks.rdd.getNumPartitions() == 2 * 4 + 2
+    assert blocks.rdd.getNumPartitions() == 3 + 3 + 1
     got = explode_blocks(blocks).toPandas().sort_values(["interval_id", "channel", "sample"])
     assert got.groupby("interval_id").size().tolist() == [5000, 5000, 2500]
     for c in range(5):
@@ -47,6 +47,18 @@ def test_filters_reach_the_source(spark, tmp_path):
     assert limited.count() == 4
 
 
+def test_packing_and_channel_groups(spark, tmp_path):
+    data = np.random.default_rng(0).integers(-900, 900, (6, 1000)).astype("<i2")
+    for i in range(9):
+        write_probe(tmp_path / f"probe{i}.bin", data + i)
+    settings = dict(channels=6, sample_hz=1000, interval_s=1)
+    packed = read_recording(spark, str(tmp_path), min_tasks=3, **settings)
+    assert packed.rdd.getNumPartitions() == 3 and packed.count() == 54
+    split = read_recording(spark, str(tmp_path / "probe0.bin"), channel_groups=4, min_tasks=4, **settings)
+    assert split.rdd.getNumPartitions() == 4
+    assert {r.channel: r.samples for r in split.collect()} == {c: data[c].tolist() for c in range(6)}
+
+
 def test_bad_input(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         read_recording(spark, str(tmp_path / "none.bin"))
