@@ -33,10 +33,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def task_count(df: DataFrame) -> int:
-    """Partitions for rows that are read many times: never fewer than there are cores."""
+def task_count(df: DataFrame, rows: int) -> int:
+    """Partitions for rows that are read many times: no fewer than there are cores, and no more than hold 16 rows."""
     session = df.sparkSession
-    return max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
+    cores = session.sparkContext.defaultParallelism
+    return max(cores, min(int(session.conf.get("spark.sql.shuffle.partitions")), rows // 16))
 
 
 def hold(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
@@ -146,7 +147,7 @@ class Spread:
         cells = [(F.flatten(F.col("_rows")[c]) if c in nested else F.col("_rows")[c]).alias(c) for c in columns]
         packed = (
             sized.withColumn("chunk", chunk)
-            .repartition(task_count(sized), *place)
+            .repartition(task_count(sized, self.total // rows_per_chunk + self.groups), *place)
             .groupBy(*self.keys, "salt", "chunk")
             .agg(F.collect_list(F.struct("event_id", *columns)).alias("_rows"))
             .select(*self.keys, "salt", "chunk", F.col("_rows")["event_id"].alias("event_ids"), *cells)
