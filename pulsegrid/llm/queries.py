@@ -4,11 +4,13 @@ from .exact import OP5_SQL, op5_exact_dedup
 from .fingerprints import op4_fingerprints
 from .lines import OP3_SQL, op3_line_dedup
 from .mixing import OP7_SQL, op7_mixing
+from .near import op6_jaccard_join
 
 QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_fingerprints": op4_fingerprints,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_mixing": op7_mixing,
 }
 
