@@ -5,8 +5,10 @@ from .fingerprints import op4_fingerprints
 from .lines import OP3_SQL, op3_line_dedup
 from .mixing import OP7_SQL, op7_mixing
 from .near import op6_jaccard_join
+from .suffixes import op2_suffix_dedup
 
 QUERIES = {
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_line_dedup": op3_line_dedup,
     "op4_fingerprints": op4_fingerprints,
     "op5_exact_dedup": op5_exact_dedup,
