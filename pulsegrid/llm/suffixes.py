@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import anchors
-from .common import materialize, read_documents, tiered_join, whole_text
+from .common import compress_text, materialize, read_documents, tiered_join, unpack_text, whole_text
 from .shingles import mix64, text_bytes
 
 LENGTH = 100
@@ -112,7 +112,7 @@ def _pack(head, grams, parts, batch):
     )
 
 
-def _answer(key, frame: pd.DataFrame) -> pd.DataFrame:
+def _answer(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     """For one part: the anchors of each batch whose gram another batch has, a sample of such grams, and hot ones."""
     posted = frame[frame["kind"] == "posted"]
     out = [frame.loc[frame["kind"] != "posted", ["batch", "kind", "blob"]]]
@@ -164,18 +164,6 @@ def _decide(frame: pd.DataFrame) -> pd.DataFrame:
 # ---- 2. suffixes to the buckets of their ranges ----
 
 
-def _compress(batches):
-    """Text travels compressed: prose shrinks much more in whole documents than in a shuffle's blocks."""
-    packer = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
-        packed = pa.array([packer.compress(x or b"") for x in batch.column("text").to_pylist()], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("k"), packed], ["id", "k", "packed"])
-
-
-def _unpack(blob: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-
-
 def _suffixes(length: int, gram: int, parts: int, splitters: np.ndarray, hot: np.ndarray, pieces: np.ndarray):
     """Blobs of suffixes by bucket. Ranges come first, then the pieces of each hot gram."""
     offsets = len(splitters) + 1 + np.concatenate([[0], np.cumsum(pieces)])
@@ -203,7 +191,7 @@ def _suffixes(length: int, gram: int, parts: int, splitters: np.ndarray, hot: np
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("id", "k", "packed", "alive")]
             for id_, k, packed, alive in zip(*columns):
-                text = _unpack(packed)
+                text = unpack_text(packed)
                 places, hashes, first, last = anchors(text, length, gram)
                 alive = np.frombuffer(alive, "<u4")
                 places, hashes, first, last = places[alive], hashes[alive], first[alive], last[alive]
@@ -310,7 +298,7 @@ def _bucket(length: int, gram: int, ranges: int):
     span = length - gram + 1
     out = {"kind": "int32", "id": "int64", "k": "int64", "at": "int64", "to": "int64", "s1": "int64", "s2": "int64"}
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         parts = []
         for blob in frame["blob"]:
             raw = zstandard.ZstdDecompressor().decompress(blob)
@@ -344,7 +332,7 @@ def _cut(batches):
     for batch in batches:
         removed, spans, sha, kept = [], [], [], []
         for packed, found in zip(batch.column("packed").to_pylist(), batch.column("found").to_pylist()):
-            text = _unpack(packed)
+            text = unpack_text(packed)
             edge = np.zeros(len(text) + 1, np.int64)
             np.add.at(edge, [f["at"] for f in found], 1)
             np.add.at(edge, [f["to"] for f in found], -1)
@@ -392,7 +380,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
     splitters = np.unique(keys[:: max(1, len(keys) // parts)])
     pieces = -(-hot[1] // limit)
 
-    texts = named.select("id", "k", "text").mapInArrow(_compress, "id bigint, k bigint, packed binary")
+    texts = named.select("id", "k", "text").mapInArrow(compress_text, "id bigint, k bigint, packed binary")
     live = rows.filter("first and alive is not null").dropDuplicates(["id", "k"]).select("id", "k", "alive")
     work = texts.join(live.hint("shuffle_merge"), ["id", "k"]).dropDuplicates(["id", "k"]).select("id", "k", "packed", "alive")
     blobs = work.mapInArrow(_suffixes(length, gram, parts, splitters, hot[0].view(np.uint64), pieces), "bucket bigint, blob binary")
@@ -418,7 +406,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     strings compared across buckets are known by hashes of 64, 128 and 128 bits.
     """
     rows, spans = repeated_spans(docs, length, gram)
-    texts = rows_of(docs).select("id", "k", "text").mapInArrow(_compress, "id bigint, k bigint, packed binary")
+    texts = rows_of(docs).select("id", "k", "text").mapInArrow(compress_text, "id bigint, k bigint, packed binary")
     grouped = spans.groupBy("id", "k").agg(F.collect_list(F.struct("at", "to")).alias("found"))
     cut = texts.join(grouped.hint("shuffle_merge"), ["id", "k"]).dropDuplicates(["id", "k"]).select("id", "k", "packed", "found")
     cut = cut.mapInArrow(_cut, "id bigint, k bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
