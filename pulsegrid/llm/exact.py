@@ -9,21 +9,29 @@ from pyspark.sql import functions as F
 
 from .common import materialize, read_documents, row_key, scratch, tiered_join, whole_text
 
-STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PER_TRIGGER = 64
 HITS_PER_SALT = 1_000
 
 
 @contextmanager
-def _rocks(spark: SparkSession):
-    """State stores of queries that start inside are RocksDB: state lives on disk, changes in the checkpoint folder."""
-    before = spark.conf.get(STORE)
-    spark.conf.set(STORE, ROCKS)
+def _settings(spark: SparkSession):
+    """State stores of queries that start inside are RocksDB: state lives on disk, changes in the checkpoint folder.
+
+    A store is closed when its task ends, so a machine holds the files of the stores in use only.
+    """
+    values = {
+        "spark.sql.streaming.stateStore.providerClass": ROCKS,
+        "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+    }
+    before = {name: spark.conf.get(name) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(STORE, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def sha_digest(text: Column) -> Column:
@@ -50,7 +58,7 @@ def dedup_stream(arrivals: DataFrame, folder: str) -> DataFrame:
     state = arrivals.groupBy("digest").agg(
         F.count(F.lit(1)).alias("n"), F.max(F.struct("doc_id", "_k1", "_k2")).alias("keep")
     )
-    with _rocks(spark):
+    with _settings(spark):
         query = (
             state.writeStream.format("noop")
             .outputMode("update")
