@@ -2,18 +2,22 @@
 
 from .exact import OP5_SQL, op5_exact_dedup
 from .fingerprints import op4_fingerprints
+from .language import op1_language_id
 from .lines import OP3_SQL, op3_line_dedup
 from .mixing import OP7_SQL, op7_mixing
 from .near import op6_jaccard_join
+from .pieces import op9_sentencepiece
 from .suffixes import op2_suffix_dedup
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_line_dedup": op3_line_dedup,
     "op4_fingerprints": op4_fingerprints,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_mixing": op7_mixing,
+    "op9_sentencepiece": op9_sentencepiece,
 }
 
 ORACLES = {"op3_line_dedup": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op7_mixing": OP7_SQL}
