@@ -18,6 +18,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SPACE = " \t\n\x0b\x0c\r"
 MAX_HOT_KEYS = 5_000
 MIN_HOT_ROWS = 1_000
+ROWS_PER_TASK = 100_000
 
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -58,6 +59,11 @@ def tiered_join(rows: DataFrame, keyed: DataFrame, on: list[str], weight: str) -
     return rows.join(hot, on).unionByName(rows.join(hot, on, "left_anti").join(cold.hint("shuffle_merge"), on))
 
 
+def fitted(df: DataFrame, rows: int) -> DataFrame:
+    """No more tasks than ``rows`` narrow rows need, and no fewer than there are cores."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_PER_TASK)))
+
+
 def compress_text(batches):
     """For ``mapInArrow``: the last column, binary ``text``, becomes ``packed``; the columns before it stay.
 
@@ -83,6 +89,7 @@ __all__ = [
     "UPPER",
     "ascii_lower",
     "compress_text",
+    "fitted",
     "let",
     "materialize",
     "read_documents",

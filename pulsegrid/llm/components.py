@@ -5,33 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, tiered_join
+from .common import fitted, materialize
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """``v`` and ``root``, the smallest vertex reachable from it, for every vertex of ``edges`` (``a``, ``b``; longs).
 
     Alternates two steps until nothing changes: every vertex links its larger neighbours to the smallest vertex next to
-    it, then links its smaller neighbours and itself to the smallest of them. Each step keeps the components and the
-    edges grow no more than linearly; the number of rounds is logarithmic. A vertex with very many neighbours is split
-    by ``tiered_join``. Each round is written, so a lost executor costs one round at most.
+    it, then links its smaller neighbours and itself to the smallest of them. Each step keeps the components, the edges
+    do not grow, and the number of rounds is logarithmic. Minima are combined before they are shuffled. Both sides of
+    the joins are written tables, so that adaptive execution splits a vertex with very many neighbours. Each round is
+    written, so a lost executor costs one round at most.
     """
     links = edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     links = materialize(links.distinct())
-    before = None
+    count, before = links.count(), None
     while True:
-        both = materialize(links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))))
-        least = both.groupBy("u").agg(F.min("v").alias("_m"), F.count(F.lit(1)).alias("_n"))
-        least = materialize(least.withColumn("_m", F.least("_m", "u")))
-        large = tiered_join(both, least, ["u"], "_n").filter(F.col("v") > F.col("u"))
-        large = materialize(large.select(F.col("v").alias("u"), F.col("_m").alias("v")).distinct())
-        least = materialize(large.groupBy("u").agg(F.min("v").alias("_m"), F.count(F.lit(1)).alias("_n")))
-        small = tiered_join(large, least, ["u"], "_n").filter(F.col("v") != F.col("_m")).select(F.col("v").alias("u"), F.col("_m").alias("v"))
-        stars = least.select("u", F.col("_m").alias("v"))
-        links = materialize(small.unionByName(stars).distinct())
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("_m"))
+        least = materialize(fitted(least.withColumn("_m", F.least("_m", "u")), count))
+        large = both.join(least.hint("shuffle_merge"), "u").filter(F.col("v") > F.col("u"))
+        large = materialize(fitted(large.select(F.col("v").alias("u"), F.col("_m").alias("v")).distinct(), count))
+        least = materialize(fitted(large.groupBy("u").agg(F.min("v").alias("_m")), count))
+        small = large.join(least.hint("shuffle_merge"), "u").filter(F.col("v") != F.col("_m")).select(F.col("v").alias("u"), F.col("_m").alias("v"))
+        links = materialize(fitted(small.unionByName(least.select("u", F.col("_m").alias("v"))).distinct(), count))
         state = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
-        before = state
+        count, before = state[0], state
     roots = links.select(F.col("u").alias("v"), F.col("v").alias("root"))
     return roots.unionByName(roots.select("root").distinct().select(F.col("root").alias("v"), "root"))
