@@ -2,11 +2,13 @@
 
 from .exact import OP5_SQL, op5_exact_dedup
 from .fingerprints import op4_fingerprints
+from .html import op8_main_text
 from .language import op1_language_id
 from .lines import OP3_SQL, op3_line_dedup
 from .mixing import OP7_SQL, op7_mixing
 from .near import op6_jaccard_join
 from .pieces import op9_sentencepiece
+from .pii import op10_personal_data
 from .suffixes import op2_suffix_dedup
 
 QUERIES = {
@@ -17,7 +19,9 @@ QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_mixing": op7_mixing,
+    "op8_main_text": op8_main_text,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_personal_data": op10_personal_data,
 }
 
 ORACLES = {"op3_line_dedup": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op7_mixing": OP7_SQL}
