@@ -39,6 +39,12 @@ def row_key(*columns: Column) -> list[Column]:
     return [F.xxhash64(*columns).alias("_k1"), F.xxhash64(F.lit("second"), *columns).alias("_k2")]
 
 
+def whole_rows(docs: DataFrame, *named_by: str) -> DataFrame:
+    """``_row``, a struct of all columns whatever their names, with the key of ``named_by`` and the text."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    return docs.select(row, *row_key(*map(F.col, named_by), whole_text()))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only. ``lower`` agrees on texts of ASCII alone, and is faster there."""
     plain = F.octet_length(text) == F.char_length(text)
@@ -97,5 +103,6 @@ __all__ = [
     "scratch",
     "tiered_join",
     "unpack_text",
+    "whole_rows",
     "whole_text",
 ]

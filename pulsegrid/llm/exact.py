@@ -7,7 +7,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read_documents, row_key, scratch, tiered_join, whole_text
+from .common import materialize, read_documents, row_key, scratch, tiered_join, whole_rows, whole_text
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PER_TRIGGER = 64
@@ -157,9 +157,8 @@ def drop_copies(docs: DataFrame, digest=sha_digest) -> DataFrame:
     """
     groups = exact_groups(docs, digest)
     kept = groups.filter((F.col("_k1") == F.col("keep_1")) & (F.col("_k2") == F.col("keep_2")))
-    rows = docs.select("*", *row_key(F.col("doc_id"), whole_text()))
-    kept = kept.select("_k1", "_k2")
-    return rows.join(kept.hint("shuffle_merge"), ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"]).select(*docs.columns)
+    kept = kept.select("_k1", "_k2").hint("shuffle_merge")
+    return whole_rows(docs, "doc_id").join(kept, ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"]).select("_row.*")
 
 
 def op5_exact_dedup(spark, folder):

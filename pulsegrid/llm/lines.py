@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, ascii_lower, materialize, read_documents, row_key, tiered_join, whole_text
+from .common import SPACE, ascii_lower, materialize, read_documents, row_key, tiered_join, whole_rows, whole_text
 
 
 def line_key(line: Column) -> Column:
@@ -42,18 +42,18 @@ def drop_shared_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -
         .drop("_docs")
     )
     dropped = tiered_join(lines, shared, ["_h1", "_h2"], "_rows").groupBy(*names).agg(F.collect_set("_at").alias("_gone"))
-    split = F.split(whole_text(), "\n", -1)
+    split = F.split(whole_text("_row.text"), "\n", -1)
     stays = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.coalesce("_gone", F.array().cast("array<int>")))
-    return (
-        docs.select("*", *key)
+    kept = (
+        whole_rows(docs, "doc_id")
         .join(dropped.hint("shuffle_merge"), names, "left")
         .withColumn("_lines", split)
         .withColumn("_stays", stays)
         .withColumn("n_lines", F.size("_lines").cast("bigint"))
         .withColumn("n_dropped", (F.size("_lines") - F.size("_stays")).cast("bigint"))
         .withColumn("kept_text", F.array_join(F.transform("_stays", lambda i: F.get(F.col("_lines"), i)), "\n"))
-        .drop(*names, "_gone", "_lines", "_stays")
     )
+    return kept.select("_row.*", "n_lines", "n_dropped", "kept_text")
 
 
 def op3_line_dedup(spark, folder):

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, read_documents, row_key, tiered_join, whole_text
+from .common import materialize, read_documents, row_key, tiered_join, whole_rows, whole_text
 
 REPEAT_LIMIT = 2.0
 BLOCK_SHARE = 64
@@ -126,10 +126,9 @@ def mix(
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs``, each as often as the mixture takes it. Any further columns stay."""
     emitted, _ = mix(docs, **how)
-    keyed = docs.select("*", *row_key(F.col("doc_id"), F.col("source"), whole_text()))
     times = emitted.groupBy("_k1", "_k2").agg(F.count(F.lit(1)).alias("_times"))
-    taken = keyed.join(times.hint("shuffle_merge"), ["_k1", "_k2"])
-    return taken.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_times")))).select(*docs.columns)
+    taken = whole_rows(docs, "doc_id", "source").join(times.hint("shuffle_merge"), ["_k1", "_k2"])
+    return taken.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_times")))).select("_row.*")
 
 
 def op7_mixing(spark, folder):

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import read_documents
 
@@ -262,8 +263,8 @@ def encode_documents(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """
     docs = docs.drop("ids", "exact")
     pieces = docs.sparkSession.sparkContext.broadcast(read_pieces(path))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(_encode(pieces), f"{fields}, ids array<int>, exact boolean")
+    added = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("exact", T.BooleanType())]
+    return docs.mapInArrow(_encode(pieces), T.StructType([*docs.schema.fields, *added]))
 
 
 def decode_documents(encoded: DataFrame, path: str = MODEL) -> DataFrame:
@@ -276,8 +277,7 @@ def decode_documents(encoded: DataFrame, path: str = MODEL) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
     encoded = encoded.drop("decoded")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
-    return encoded.mapInArrow(run, f"{fields}, decoded string")
+    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
 def op9_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
