@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -17,7 +18,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 SLICE_CHARS = 1 << 20
 LONG_WORD = 256
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 400_000
 COMMIT_EVERY = 64
 
 
@@ -32,6 +33,7 @@ class Pieces:
     spelled: list[bytes]
     longest: int
     inside: set[str] = field(default_factory=set)
+    sizes: dict[str, tuple[int, ...]] = field(default_factory=dict)
 
 
 def read_pieces(path: str = MODEL) -> Pieces:
@@ -51,7 +53,12 @@ def read_pieces(path: str = MODEL) -> Pieces:
     unknown = next(i for i, _, t in kind.values() if t == 2)
     spelled[unknown] = " ⁇ ".encode()
     inside = {p[i : i + 2] for p in ids for i in range(len(p) - 1)}
-    return Pieces(ids, {i: s for i, s, t in kind.values() if t == 1}, byte_ids, unknown, spelled, max(map(len, ids)), inside)
+    ends: dict[str, set[int]] = {}
+    for p in ids:
+        if len(p) > 1:
+            ends.setdefault(p[-2:], {1}).add(len(p))
+    sizes = {end: tuple(sorted(found, reverse=True)) for end, found in ends.items()}
+    return Pieces(ids, {i: s for i, s, t in kind.values() if t == 1}, byte_ids, unknown, spelled, max(map(len, ids)), inside, sizes)
 
 
 class Encoder:
@@ -97,60 +104,58 @@ class Encoder:
 
     def follows(self, left: int, right: int, spelled: str) -> bool:
         """Whether piece ``right`` stays as it is after piece ``left``; ``spelled`` is their text."""
-        if len(self.fits) >= 3 * CACHE_ENTRIES:
+        if len(self.fits) >= 2 * CACHE_ENTRIES:
             self.fits.clear()
         known = self.fits[left << 32 | right] = self.merge(spelled) == [left, right]
         return known
 
     def viterbi(self, text: str):
-        """Yields final (id, character) pairs in order; the character is given for unknown ones, whose id is -1."""
-        ids, longest, follows, fits = self.p.ids, self.p.longest, self.follows, self.fits
-        base, last, width = 0, [0], [0]  # survivor and its length, for positions from base on
+        """Yields lists of final ids. Unknown characters are given by their bytes, or by the unknown id."""
+        longest, known, fits, sizes = self.p.longest, self.p.ids.get, self.fits.get, self.p.sizes.get
+        base, last, width = 0, [-1], [0]  # the survivors from position base on, and their lengths
         for end in range(1, len(text) + 1):
-            for size in range(min(longest, end), 0, -1):
+            for size in sizes(text[end - 2 : end], (1,)) if end > 1 else (1,):
                 begin = end - size
-                piece = ids.get(text[begin:end])
+                if begin < base:
+                    continue
+                piece = known(text[begin:end])
                 if piece is None:
-                    if size > 1:
+                    continue
+                left = last[begin - base] if begin else -1
+                if left >= 0:
+                    fit = fits(left << 32 | piece)
+                    if fit is False or fit is None and not self.follows(left, piece, text[begin - width[begin - base] : end]):
                         continue
-                    piece = -1
-                if begin and piece >= 0:
-                    at = begin - base
-                    if at < 0:
-                        continue
-                    left = last[at]
-                    if left >= 0:
-                        known = fits.get(left << 32 | piece)
-                        if known is False or known is None and not follows(left, piece, text[begin - width[at] : end]):
-                            continue
-                last.append(piece)
-                width.append(size)
                 break
+            else:
+                piece, size = -1, 1
+            last.append(piece)
+            width.append(size)
             if end % COMMIT_EVERY == 0 or end == len(text):
+                # Paths of all positions that can be continued; the longest piece reaches back so far and no further.
                 alive = {end} if end == len(text) else set(range(max(base, end - longest + 1), end + 1))
                 while len(alive) > 1:
                     far = max(alive)
                     alive.discard(far)
                     alive.add(far - width[far - base])
-                meet = alive.pop()
-                path, at = [], meet
+                meet = at = alive.pop()
+                path = []
                 while at > base:
-                    path.append((last[at - base], text[at - 1]))
+                    piece = last[at - base]
+                    if piece >= 0:
+                        path.append(piece)
+                    elif self.p.byte_ids:
+                        path += [self.p.byte_ids[b] for b in reversed(text[at - 1].encode())]
+                    else:
+                        path.append(self.p.unknown)
                     at -= width[at - base]
-                yield from reversed(path)
+                path.reverse()
+                yield path
                 last, width, base = last[meet - base :], width[meet - base :], meet
 
     def final(self, text: str) -> bytes:
-        """Ids of a text as 32-bit integers; unknown characters become their bytes."""
-        out = []
-        for piece, character in self.viterbi(text):
-            if piece >= 0:
-                out.append(piece)
-            elif self.p.byte_ids:
-                out += [self.p.byte_ids[b] for b in character.encode()]
-            else:
-                out.append(self.p.unknown)
-        return np.array(out, "<i4").tobytes()
+        """Ids of a text as 32-bit integers."""
+        return b"".join([array("i", ids).tobytes() for ids in self.viterbi(text)])
 
     def segments(self, text: str):
         """Cuts where no piece can span: all paths meet there, so each part stands for itself."""
@@ -198,27 +203,33 @@ class Encoder:
 
 
 class _Words(dict):
-    """Ids of words that begin with a space, remembered up to a number of entries."""
+    """Ids of words that begin with a space and of parts of words, in two generations of bounded size.
+
+    What is not found among the younger entries is taken from the older ones before it is made. When the younger ones
+    are too many, they become the older ones.
+    """
 
     def __init__(self, encoder: Encoder):
         super().__init__()
-        self.encoder, self.parts = encoder, {}
+        self.encoder, self.old = encoder, {}
 
     def __missing__(self, word: str) -> bytes:
-        text = MARK + word
-        if len(text) > LONG_WORD:
-            return self.encoder.final(text)
+        if len(word) > LONG_WORD:
+            return self.encoder.final(MARK + word)
+        out = self.old.get(word)
+        if out is None and word[:1] == " ":  # a part that stands inside a word, under a name that no word has
+            out = self.encoder.final(word[1:])
+        elif out is None:
+            first, *others = self.encoder.segments(MARK + word)
+            if others:
+                begin = self[first[1:]] if len(first) > 1 else self[" " + MARK]
+                out = begin + b"".join([self[" " + part] for part in others])
+            else:
+                out = self.encoder.final(first)
         if len(self) >= CACHE_ENTRIES:
+            self.old = dict(self)
             self.clear()
-        if len(self.parts) >= CACHE_ENTRIES:
-            self.parts.clear()
-        found = []
-        for part in self.encoder.segments(text):
-            ids = self.parts.get(part)
-            if ids is None:
-                ids = self.parts[part] = self.encoder.final(part)
-            found.append(ids)
-        self[word] = out = b"".join(found)
+        self[word] = out
         return out
 
 
