@@ -150,7 +150,8 @@ def page_wrapper(page: list) -> dict:
     while todo:
         for child in todo.pop()[1]:
             if not isinstance(child, str):
-                todo.append(child)
+                if not boilerplate(child[0]):
+                    todo.append(child)
             elif len(child) > len(longest):
                 longest = child
     return wrapper_of(page) | {"d": [_slot(longest)["lo"]]}
