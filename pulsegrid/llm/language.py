@@ -22,6 +22,7 @@ DIM = 16
 PER_LANGUAGE = 800
 MAX_SAMPLE = 20_000
 EPOCHS = 12
+MIN_STEPS = 500
 MINI = 64
 RATE = 0.5
 REJECT_SHARE = 0.002
@@ -147,9 +148,11 @@ def fit(sample: DataFrame, seed: int = 1) -> LanguageModel:
             x[r, ids[i]] = share[i]
         return x
 
-    steps, total = 0, EPOCHS * math.ceil(len(train) / MINI)
-    for _ in range(EPOCHS):
-        for part in np.array_split(rng.permutation(train), math.ceil(len(train) / MINI)):
+    each = math.ceil(len(train) / MINI)
+    epochs = max(EPOCHS, -(-MIN_STEPS // each))
+    steps, total = 0, epochs * each
+    for _ in range(epochs):
+        for part in np.array_split(rng.permutation(train), each):
             rate = np.float32(RATE * (1 - steps / total))
             steps += 1
             x = dense(part)

@@ -175,9 +175,9 @@ class Encoder:
             end = len(text)
             if end - at > SLICE_CHARS:
                 end = text.find(" ", at + SLICE_CHARS)
+                while end > 0 and text[end - 1] in " " + MARK:  # a run of spaces stays together
+                    end = text.find(" ", end + 1)
                 end = len(text) if end < 0 else end
-                while end < len(text) and text[end - 1] in " " + MARK:  # a run of spaces stays together
-                    end += 1
             part = text[at:end]
             if at == 0:
                 part = " " + part
