@@ -26,7 +26,7 @@ MIN_STEPS = 500
 MINI = 64
 RATE = 0.5
 REJECT_SHARE = 0.002
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 UNKNOWN = "und"
 
 _LOWER = np.arange(256, dtype=np.uint8)

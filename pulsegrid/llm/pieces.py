@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import heapq
+import threading
 from array import array
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,6 +22,7 @@ SLICE_CHARS = 1 << 20
 LONG_WORD = 256
 CACHE_ENTRIES = 400_000
 COMMIT_EVERY = 64
+IDLE_SECONDS = 5
 
 
 @dataclass
@@ -240,27 +243,40 @@ def decode(ids: np.ndarray, spelled: list[bytes]) -> str:
 
 
 _LAST: list[Encoder] = []
+_CLEAR: list[threading.Timer] = []
 
 
-def _encoder(pieces: Pieces) -> Encoder:
-    """One encoder per worker process, so that what it remembers serves the next tasks too."""
+@contextmanager
+def _encoder(pieces: Pieces):
+    """One encoder per worker process, so that what it remembers serves the next tasks too.
+
+    A worker that stays without such a task for some seconds gives the memory back to other stages.
+    """
+    while _CLEAR:
+        _CLEAR.pop().cancel()
     if not _LAST or _LAST[0].p is not pieces:
         _LAST[:] = [Encoder(pieces)]
-    return _LAST[0]
+    try:
+        yield _LAST[0]
+    finally:
+        timer = threading.Timer(IDLE_SECONDS, _LAST.clear)
+        timer.daemon = True
+        _CLEAR.append(timer)
+        timer.start()
 
 
 def _encode(shared):
     def run(batches):
-        encoder = _encoder(shared.value)
-        for batch in batches:
-            ids, exact = [], []
-            for text in batch.column("text").to_pylist():
-                ids.append(encoder.encode(text or ""))
-                exact.append(decode(ids[-1], encoder.p.spelled) == (text or ""))
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            values = np.concatenate(ids) if ids else np.empty(0, "<i4")
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(exact, pa.bool_())], [*batch.schema.names, "ids", "exact"])
+        with _encoder(shared.value) as encoder:
+            for batch in batches:
+                ids, exact = [], []
+                for text in batch.column("text").to_pylist():
+                    ids.append(encoder.encode(text or ""))
+                    exact.append(decode(ids[-1], encoder.p.spelled) == (text or ""))
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+                values = np.concatenate(ids) if ids else np.empty(0, "<i4")
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(exact, pa.bool_())], [*batch.schema.names, "ids", "exact"])
 
     return run
 
