@@ -7,6 +7,7 @@ cents around its floored channel mean as the value; all values are whole numbers
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,9 +21,10 @@ from .operators.bandpass import bandpass, warm_up
 from .operators.moments import covariance
 from .operators.reduce import library_pca, pca_features
 from .operators.report import run_report, scatter_2d
-from .plans.pipeline import sort_blocks
+from .plans.pipeline import Sorted, sort_blocks
 from .plans.spread import materialize, spread
-from .session import KEYS
+from .session import KEYS, checkpoint_folder
+from .sources.sinks import write_result
 from .sources.series import centre, explode_blocks, first_interval, series_from_table, signal_blocks, split_intervals, with_time
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -271,14 +273,14 @@ def _column_means(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "covariance",
     EMB_SQL
-    + """, d AS (SELECT unnest(range(8)) AS i), e AS (SELECT i AS j FROM d)
+    + """, d AS (SELECT unnest(range(64)) AS i), e AS (SELECT i AS j FROM d)
     SELECT label, i, j, round(covar_pop(x[i + 1], x[j + 1]), 8) + 0.0 AS cov FROM emb, d, e WHERE i <= j GROUP BY ALL""",
 )
 def _covariance(spark: SparkSession, folder: str) -> DataFrame:
-    points = vectors(spark, folder, F.col("label"), dims=8)
+    points = vectors(spark, folder, F.col("label"))
     found = covariance(spread(points, KEYS).chunks(["x"]))
     places = F.flatten(
-        F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.transform(F.sequence(i, F.lit(7)), lambda j: F.struct(i.alias("i"), j.alias("j"))))
+        F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda i: F.transform(F.sequence(i, F.lit(WIDTH - 1)), lambda j: F.struct(i.alias("i"), j.alias("j"))))
     )
     cells = found.select(F.col("channel").alias("label"), F.explode(F.arrays_zip(places.alias("at"), "cov")).alias("c"))
     return cells.select("label", F.col("c.at.i").cast("bigint").alias("i"), F.col("c.at.j").cast("bigint").alias("j"), rounded("c.cov", 8).alias("cov"))
@@ -294,6 +296,39 @@ def _pca_pooled(spark: SparkSession, folder: str) -> DataFrame:
     return pca_features(vectors(spark, folder, F.col("label")), 10, basis="pooled", column="x").select("channel", "event_id", "x")
 
 
+FACTS_SQL = EMB_SQL + """, d AS (SELECT unnest(range(64)) AS i),
+v AS (SELECT {by} AS channel, i, var_pop(x[i + 1]) * count(*) AS energy, count(*) AS n FROM emb, d GROUP BY ALL)
+SELECT channel, any_value(n) AS n, round(sum(energy), 6) + 0.0 AS energy, true AS centred, true AS uncorrelated, true AS falling FROM v GROUP BY channel"""
+
+
+def component_facts(features: DataFrame, width: int = WIDTH) -> DataFrame:
+    """What fixes principal components up to their signs: mean zero, no covariances, falling variances, all energy."""
+    found = covariance(spread(features, KEYS).chunks(["x"]))
+    diagonal = F.array(*[F.get("cov", F.lit(i * width - i * (i - 1) // 2)) for i in range(width)])
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + F.abs(v))
+    facts = found.withColumn("_d", diagonal)
+    steps = F.zip_with(F.slice("_d", 1, width - 1), F.slice("_d", 2, width - 1), lambda a, b: a >= b - 1e-9)
+    return facts.select(
+        long("channel"),
+        "n",
+        rounded(F.col("n") * total(F.col("_d")), 6).alias("energy"),
+        F.forall("mean", lambda m: F.abs(m) < 1e-9).alias("centred"),
+        (total(F.col("cov")) - total(F.col("_d")) < 1e-8).alias("uncorrelated"),
+        F.forall(steps, lambda s: s).alias("falling"),
+    )
+
+
+@query("pca_project_facts", FACTS_SQL.format(by="label"))
+def _pca_project_facts(spark: SparkSession, folder: str) -> DataFrame:
+    return component_facts(pca_features(vectors(spark, folder, F.col("label")), WIDTH, column="x"))
+
+
+@query("pca_pooled_facts", FACTS_SQL.format(by="0::BIGINT"))
+def _pca_pooled_facts(spark: SparkSession, folder: str) -> DataFrame:
+    found = pca_features(vectors(spark, folder, F.col("label")), WIDTH, basis="pooled", column="x")
+    return component_facts(found.withColumn("channel", F.lit(0)))
+
+
 @query("mlpca")
 def _mlpca(spark: SparkSession, folder: str) -> DataFrame:
     return library_pca(vectors(spark, folder), 10, "x").select("event_id", "x")
@@ -359,10 +394,10 @@ def _kmeanspp_seeds(spark: SparkSession, folder: str) -> DataFrame:
     "random_seeds",
     EMB_SQL
     + f""", r AS (SELECT x, row_number() OVER (ORDER BY {UNIFORM_SQL.format(step=0)}, vec_id) - 1 AS seed FROM emb)
-    SELECT seed, i - 1 AS i, x[i] AS value FROM r, (SELECT unnest(range(1, 65)) AS i) WHERE seed < 4""",
+    SELECT seed, i - 1 AS i, x[i] AS value FROM r, (SELECT unnest(range(1, 65)) AS i) WHERE seed < 15""",
 )
 def _random_seeds(spark: SparkSession, folder: str) -> DataFrame:
-    return seed_cells(kmeans.random_seeds(spread(vectors(spark, folder), KEYS), F.lit(4)))
+    return seed_cells(kmeans.random_seeds(spread(vectors(spark, folder), KEYS), F.lit(15), 15))
 
 
 @query("kmeans")
@@ -383,18 +418,35 @@ def _sklkm(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("sklgmm")
 def _sklgmm(spark: SparkSession, folder: str) -> DataFrame:
-    return clusters.cluster_events(vectors(spark, folder, dims=8), "sklgmm", 8).select("event_id", "cluster")
+    features = pca_features(vectors(spark, folder), 10, column="x")
+    return clusters.cluster_events(features, "sklgmm", 10).select("event_id", "cluster")
 
 
 @query("gmm")
 def _gmm(spark: SparkSession, folder: str) -> DataFrame:
-    return clusters.cluster_events(vectors(spark, folder, F.col("label"), dims=8), "gmm", 8).select("channel", "event_id", "cluster")
+    features = pca_features(vectors(spark, folder, F.col("label")), 10, column="x")
+    return clusters.cluster_events(features, "gmm", 10).select("channel", "event_id", "cluster")
+
+
+@query(
+    "gmm_moments",
+    EMB_SQL + ", d AS (SELECT unnest(range(64)) AS i) SELECT label, i, round(avg(x[i + 1]), 6) + 0.0 AS mean, true AS whole FROM emb, d GROUP BY ALL",
+)
+def _gmm_moments(spark: SparkSession, folder: str) -> DataFrame:
+    """After a maximisation step a mixture's weights add up to 1, and its mean is the mean of the data."""
+    points = spread(vectors(spark, folder, F.col("label")), KEYS)
+    _, parameters = mixture.gaussian_mixture(points, F.lit(3), 3, WIDTH)
+    whole = F.abs(F.aggregate("weights", F.lit(0.0), lambda a, w: a + w) - 1) < 1e-9
+    cells = parameters.select("channel", "weights", whole.alias("whole"), F.posexplode("means").alias("_p", "m"))
+    share = F.get("weights", F.floor(F.col("_p") / WIDTH).cast("int")) * F.col("m")
+    means = cells.groupBy(F.col("channel").alias("label"), (F.col("_p") % WIDTH).cast("bigint").alias("i"), "whole").agg(F.sum(share).alias("m"))
+    return means.select("label", "i", rounded("m", 6).alias("mean"), "whole")
 
 
 @query(
     "gmm_e_step",
     EMB_SQL
-    + """, d AS (SELECT unnest(range(1, 9)) AS i),
+    + """, d AS (SELECT unnest(range(1, 65)) AS i),
     v AS (SELECT i, var_samp(x[i]) + 2e-6 AS s FROM emb, d GROUP BY i),
     m AS (SELECT vec_id AS c, x AS m FROM emb WHERE vec_id < 3),
     l AS (SELECT emb.vec_id, c, exp(sum(-0.5 * ((x[i] - m[i]) * (x[i] - m[i]) / s + ln(s)))) AS p
@@ -402,8 +454,8 @@ def _gmm(spark: SparkSession, folder: str) -> DataFrame:
     SELECT vec_id, c AS component, round(p / sum(p) OVER (PARTITION BY vec_id), 6) + 0.0 AS share FROM l""",
 )
 def _gmm_e_step(spark: SparkSession, folder: str) -> DataFrame:
-    points = vectors(spark, folder, dims=8)
-    row_bytes = mixture.parameter_bytes(3, 8)
+    points = vectors(spark, folder)
+    row_bytes = mixture.parameter_bytes(3, WIDTH)
     chunks = spread(points, KEYS).chunks(["x"], row_bytes)
     parameters = mixture.start(chunks, given_centers(points, 3), row_bytes)
     shares = mixture.responsibilities(chunks, parameters, row_bytes)
@@ -564,7 +616,7 @@ def _thrown_events(spark: SparkSession, folder: str) -> DataFrame:
     "run_report",
     UNIT_SQL
     + """SELECT sum(n)::BIGINT AS events, count(*) AS clusters, count(*) AS units, count(*) FILTER (kept) AS kept_units,
-    coalesce(sum(n) FILTER (kept), 0)::BIGINT AS kept_events, coalesce(sum(n) FILTER (NOT kept), 0)::BIGINT AS thrown_events FROM u""",
+    coalesce(sum(n) FILTER (kept), 0)::BIGINT AS kept_events, coalesce(sum(n) FILTER (NOT kept), 0)::BIGINT AS thrown_events, sum(n)::BIGINT AS found_events, 0::BIGINT AS dropped_events FROM u""",
 )
 def _run_report(spark: SparkSession, folder: str) -> DataFrame:
     _, merged, units = label_units(spark, folder)
@@ -646,11 +698,13 @@ def mean_models(points: DataFrame) -> DataFrame:
     "svm_predict",
     MEAN_MODEL_SQL
     + f""", scores AS (SELECT vec_id, c, {DOT.format(a="w", b="x")} AS s FROM emb, models)
-    SELECT vec_id, arg_min(c, (-s, c)) AS predicted, round(max(s), 6) + 0.0 AS score FROM scores GROUP BY vec_id""",
+    SELECT vec_id, arg_min(c, (-s, c)) AS predicted, round(max(s), 6) + 0.0 AS score FROM scores GROUP BY vec_id
+    UNION ALL SELECT vec_id, NULL, NULL FROM emb WHERE vec_id < 50""",
 )
 def _svm_predict(spark: SparkSession, folder: str) -> DataFrame:
     points = vectors(spark, folder)
-    scored = svm.predict(points.drop("label"), materialize(mean_models(points)), width=WIDTH)
+    other = points.filter("event_id < 50").withColumn("interval_id", F.col("interval_id") + 1)  # an interval without a model
+    scored = svm.predict(points.unionByName(other).drop("label"), materialize(mean_models(points)), width=WIDTH)
     return scored.select(F.col("event_id").alias("vec_id"), "predicted", rounded("score", 6).alias("score"))
 
 
@@ -690,16 +744,32 @@ def _scatter_2d(spark: SparkSession, folder: str) -> DataFrame:
 # ---------------------------------------------------------------- the whole job
 
 
+@query(
+    "sort_series_events",
+    WAVE_SQL
+    + """, busy AS (SELECT channel FROM found GROUP BY channel HAVING count(*) >= 2)
+    SELECT channel, count(*) AS events FROM spans JOIN busy USING (channel) WHERE span <> 0 GROUP BY channel""",
+)
+def _sort_series_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Events per channel at the end of the whole job, kept and thrown."""
+    return price_run(spark, folder).assigned.groupBy(long("channel")).agg(F.count(F.lit(1)).alias("events"))
+
+
+@query("sink_round_trip", "SELECT vec_id, label FROM embeddings")
+def _sink_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    path = f"{checkpoint_folder(spark)}/sink-{uuid.uuid4().hex}"
+    write_result(vectors(spark, folder, F.col("label")), path, partition_by=("interval_id",))
+    return spark.read.parquet(path).select(F.col("event_id").alias("vec_id"), "label")
+
+
+def price_run(spark: SparkSession, folder: str) -> Sorted:
+    return sort_blocks(
+        price_blocks(spark, folder), window=WINDOW, factor=FACTOR, offset=OFFSET, max_threshold=LIMIT, minimal_support=0.0005, svm=None
+    )
+
+
 @query("sort_series")
 def sort_series(spark: SparkSession, folder: str) -> DataFrame:
     """Series to labelled events, through every stage but the recording file."""
-    done = sort_blocks(
-        price_blocks(spark, folder),
-        window=WINDOW,
-        factor=FACTOR,
-        offset=OFFSET,
-        max_threshold=LIMIT,
-        minimal_support=0.0005,
-        max_steps=5,
-    )
+    done = price_run(spark, folder)
     return done.labelled.select("channel", "event_id", "cluster", "unit", "label")

@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 ZERO = 0.0
 
 
-def add(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda p, q: p + q)
-
-
 def subtract(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda p, q: p - q)
 
@@ -47,17 +43,6 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def project(basis: Column, x: Column) -> Column:
-    """Matrix-vector product; ``basis`` is ``ARRAY<ARRAY<DOUBLE>>``, one row per output coordinate."""
-    return F.transform(basis, lambda row: dot(row, x))
-
-
-def nearest(centers: Column, x: Column) -> Column:
-    """``struct(d2, c)`` of the nearest centre, the first on ties; null centres never win."""
-    scored = F.transform(centers, lambda m, c: F.struct(squared_distance(m, x).alias("d2"), c.alias("c")))
-    return F.array_min(F.filter(scored, lambda s: s["d2"].isNotNull()))
-
-
 def sum_by_position(column: str, width: int) -> Column:
     """Aggregate: element-wise sum of a vector column of known width, as ``width`` plain sums.
 
@@ -71,9 +56,5 @@ def sum_vectors(x: Column) -> Column:
     return vector_to_array(Summarizer.sum(array_to_vector(x)))
 
 
-def one_versus_rest(label: Column, target: Column) -> Column:
-    return F.when(label == target, F.lit(1.0)).otherwise(F.lit(-1.0))
-
-
 def doubles(x: Column) -> Column:
     return x.cast("array<double>")

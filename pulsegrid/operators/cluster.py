@@ -10,8 +10,8 @@ from ..functions.rules import EVENTS_PER_CLUSTER, MAX_CLUSTERS, MIN_CLUSTERS, cl
 from ..functions.vectors import sum_by_position
 from ..plans.spread import Spread, materialize, number_rows, spread
 from ..session import KEYS
-from .kmeans import kmeans, library_kmeans
-from .mixture import gaussian_mixture, library_mixture
+from .kmeans import kmeans
+from .mixture import gaussian_mixture
 
 METHODS = ("km", "mlkm", "sklkm", "gmm", "sklgmm")
 
@@ -32,9 +32,9 @@ def cluster_events(
 ) -> DataFrame:
     """``keys…, event_id, x, cluster``.
 
-    ``km`` and ``gmm`` work per channel interval, all of them in the same jobs. ``mlkm`` (also ``sklkm``) and
-    ``sklgmm`` fit one library model over all channels together. Without ``k`` the number of clusters follows the
-    event count of the channel interval (of everything, for the library models).
+    ``km`` and ``gmm`` work per channel interval; ``mlkm`` (also ``sklkm``) and ``sklgmm`` per interval, over its
+    channels together. All groups are in the same jobs. Without ``k`` the number of clusters follows the event count
+    of the group.
     """
     method = method.lower()
     if method not in METHODS:
@@ -42,10 +42,11 @@ def cluster_events(
     points = spread(features.select(*KEYS, "event_id", "x"), KEYS)
     columns = [*KEYS, "event_id", "x", "cluster"]
     if method in ("mlkm", "sklkm", "sklgmm"):
-        if points.total == 0:
-            return features.select(*KEYS, "event_id", "x", F.lit(None).cast("int").alias("cluster"))
-        fit = library_mixture if method == "sklgmm" else library_kmeans
-        return fit(features.select(*KEYS, "event_id", "x"), k or _clusters_at_most(points.total), seed=seed, **options).select(columns)
+        largest = points.sizes.groupBy(*KEYS[:2]).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0
+        fit = gaussian_mixture if method == "sklgmm" else kmeans
+        rule = F.lit(k) if k else cluster_count(F.col("n"))
+        placed, _ = fit(points, rule, k or _clusters_at_most(largest), width, seed=seed, pool=KEYS[:2], **options)
+        return placed.select(columns)
 
     rest_sizes = points.sizes.filter(F.col("n") > MIN_CLUSTERS)
     k_rule: Column = F.lit(k) if k else cluster_count(F.col("n"))
@@ -54,8 +55,7 @@ def cluster_events(
     if method == "km":
         placed, _ = kmeans(rest, k_rule, k_max, width, seed=seed, **options)
     else:
-        labels, _ = gaussian_mixture(rest, k_rule, k_max, width, seed=seed, **options)
-        placed = rest.points.join(labels, [*KEYS, "event_id"])
+        placed, _ = gaussian_mixture(rest, k_rule, k_max, width, seed=seed, **options)
     return placed.select(columns).unionByName(bypass_small(points).select(columns))
 
 

@@ -247,16 +247,17 @@ def _settle_channels(events: DataFrame, rows: int, width: int, keep_last: bool,
     return joined.filter(stays).drop("_last", "_len")
 
 
-def normalise_waves(events: DataFrame) -> DataFrame:
-    """``(w + min) / (max + min)`` per waveform; a zero denominator has no result and the event is dropped."""
+def normalise_all(events: DataFrame) -> DataFrame:
+    """``(w + min) / (max + min)`` per waveform; with a zero denominator there is no result: ``wave`` is null."""
     low, high = F.array_min("wave"), F.array_max("wave")
-    return (
-        events.withColumn("_low", low)
-        .withColumn("_span", high + low)
-        .filter("_span <> 0")
-        .withColumn("wave", F.transform("wave", lambda v: (v + F.col("_low")) / F.col("_span")))
-        .drop("_low", "_span")
-    )
+    scaled = F.transform("wave", lambda v: (v + F.col("_low")) / F.col("_span"))
+    marked = events.withColumn("_low", low).withColumn("_span", high + low)
+    return marked.withColumn("wave", F.when(F.col("_span") != 0, scaled)).drop("_low", "_span")
+
+
+def normalise_waves(events: DataFrame) -> DataFrame:
+    """``normalise_all`` without the events that have no result."""
+    return normalise_all(events).filter("wave is not null")
 
 
 def flat_waves(events: DataFrame) -> DataFrame:

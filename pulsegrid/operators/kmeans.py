@@ -14,10 +14,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.rules import MAX_CLUSTERS, uniform
+from ..functions.rules import uniform
 from ..functions.vectors import squared_distance
 from ..plans.chunked import add_up, per_group, per_point
 from ..plans.spread import Spread
+from ..session import KEYS
 from .moments import points_of
 
 VECTOR = T.ArrayType(T.DoubleType())
@@ -30,16 +31,18 @@ def center_bytes(k: int, width: int) -> int:
     return 64 + 8 * k * width
 
 
-def random_seeds(points: Spread, k: Column, seed: int = 1) -> DataFrame:
+def random_seeds(points: Spread, k: Column, k_max: int, seed: int = 1) -> DataFrame:
     """``keys…, centers``: per group the k points with the smallest draws, so none is taken twice.
 
-    The constant bound lets Spark keep only the leading rows of each group before the shuffle.
+    The constant bound ``k_max`` lets Spark keep only the leading rows of each group before the shuffle. In groups of
+    several channels, draws depend on the channel too.
     """
-    order = W.partitionBy(*points.keys).orderBy("_u", "event_id")
-    drawn = points.points.withColumn("_u", uniform(seed, 0, F.col("event_id")))
+    ids = ["event_id", *[c for c in KEYS if c not in points.keys and c in points.points.columns]]
+    order = W.partitionBy(*points.keys).orderBy("_u", *ids)
+    drawn = points.points.withColumn("_u", uniform(seed, 0, *[F.col(c) for c in ids]))
     best = (
-        drawn.select(*points.keys, "event_id", "x", "_u", F.row_number().over(order).alias("_rank"))
-        .filter(F.col("_rank") <= MAX_CLUSTERS)
+        drawn.select(*points.keys, *ids, "x", "_u", F.row_number().over(order).alias("_rank"))
+        .filter(F.col("_rank") <= k_max)
         .join(points.sizes, points.keys)
         .filter(F.col("_rank") <= k)
     )
@@ -86,8 +89,11 @@ def spread_out_seeds(points: Spread, chunks: Spread, k: Column, k_max: int, row_
     return seeds.drop("_k")
 
 
-def assign_nearest(chunks: Spread, centers: DataFrame, row_bytes: int) -> DataFrame:
-    """``keys…, event_id, x, cluster, d2``: the nearest centre of each point, the first on ties."""
+def assign_nearest(chunks: Spread, centers: DataFrame, row_bytes: int, keys: list[str] | None = None) -> DataFrame:
+    """``keys…, event_id, x, cluster, d2``: the nearest centre of each point, the first on ties.
+
+    ``keys`` are columns of the chunk rows to return instead of the groups' keys.
+    """
 
     def nearest(cells: dict[str, np.ndarray]) -> list[np.ndarray]:
         x = points_of(cells)
@@ -96,7 +102,7 @@ def assign_nearest(chunks: Spread, centers: DataFrame, row_bytes: int) -> DataFr
         return [x, best.astype(np.int32), gaps[np.arange(len(x)), best]]
 
     fields = [T.StructField("x", VECTOR), T.StructField("cluster", T.IntegerType()), T.StructField("d2", T.DoubleType())]
-    return per_point(chunks.attach(centers, row_bytes), chunks.keys, ["x", "centers"], fields, nearest)
+    return per_point(chunks.attach(centers, row_bytes), keys or chunks.keys, ["x", "centers"], fields, nearest)
 
 
 def move_centers(chunks: Spread, centers: DataFrame, row_bytes: int) -> DataFrame:
@@ -139,23 +145,28 @@ def kmeans(
     init: str = "kpp",
     seed: int = 1,
     centers: DataFrame | None = None,
+    pool: list[str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """``keys…, event_id, x, cluster, d2``, and the centres that the points were assigned to.
 
     The last assignment is made before a further update, so the centres returned are those of the assignment.
-    ``init``: ``kpp`` or ``random``; given ``centers`` replace it.
+    ``init``: ``kpp`` or ``random``; given ``centers`` replace it. ``pool`` names a part of the keys: all groups that
+    agree in it are then clustered together, from random seeds.
     """
     row_bytes = center_bytes(k_max, width)
-    chunks = points.chunks(["x"], row_bytes).settle()
+    chunks, whole = points.chunks(["x"], row_bytes), points
+    if pool:
+        chunks, whole, init = chunks.pooled(pool), points.pooled(pool), "random"
+    chunks = chunks.settle()
     if centers is None:
         if init == "kpp":
             centers = spread_out_seeds(points, chunks, k, k_max, row_bytes, seed)
         elif init == "random":
-            centers = points.hold(random_seeds(points, k, seed), row_bytes)
+            centers = chunks.hold(random_seeds(whole, k, k_max, seed), row_bytes)
         else:
             raise ValueError(f"unsupported init {init!r}")
     centers = lloyd(chunks, centers, row_bytes, max_iter)
-    return assign_nearest(chunks, centers, row_bytes), centers
+    return assign_nearest(chunks, centers, row_bytes, points.keys), centers
 
 
 def cluster_error(assigned: DataFrame, keys: list[str]) -> DataFrame:
@@ -163,8 +174,16 @@ def cluster_error(assigned: DataFrame, keys: list[str]) -> DataFrame:
     return assigned.groupBy(*keys, "cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("d2").alias("wsse"))
 
 
+def one_interval(table: DataFrame) -> None:
+    """Refuse a table of several intervals: one library model would mix them."""
+    scope = [c for c in KEYS[:2] if c in table.columns]
+    if scope and len(table.select(*scope).distinct().head(2)) > 1:
+        raise ValueError("a library model fits one interval; this table has several")
+
+
 def library_kmeans(features: DataFrame, k: int = 3, max_iter: int = MAX_ITER, seed: int = 1) -> DataFrame:
-    """The library's k-means over all channels together: features with ``cluster`` and ``d2``."""
+    """The library's k-means over all rows together, for a table of one interval: features with ``cluster``, ``d2``."""
+    one_interval(features)
     vectors = features.withColumn("_v", array_to_vector("x"))
     model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="_v", predictionCol="cluster").fit(vectors)
     rows = [(i, [float(v) for v in c]) for i, c in enumerate(model.clusterCenters())]

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.rules import MAX_CLUSTERS, MERGE_PASSES, MINIMAL_SUPPORT, SIMILARITY, VICINITY
+from ..functions.rules import MERGE_PASSES, MINIMAL_SUPPORT, SIMILARITY, VICINITY
 from ..functions.vectors import distance, dot, norm, scale, subtract, sum_by_position
 from ..plans.spread import exact_median, hold, materialize, number_rows, pin, spread
 from ..session import KEYS
@@ -73,7 +73,7 @@ def _merge_in_order(
     of its end, or opens a unit. Starts never decrease, so the eligible units are the last ones. Passes repeat
     until one merges nothing.
     """
-    member_of = np.arange(len(counts))
+    parent = np.arange(len(counts))
     units = list(range(len(counts)))  # founding cluster of each unit
     sums, counts, ends = sums.copy(), counts.astype(np.int64), ends.copy()
     for _ in range(passes):
@@ -94,11 +94,14 @@ def _merge_in_order(
             sums[target] += sums[unit]
             counts[target] += counts[unit]
             ends[target] = max(ends[target], ends[unit]) if strict else ends[unit]
-            member_of[member_of == unit] = target
+            parent[unit] = target
         if len(kept) == len(units):
             break
         units = kept
-    return member_of
+    # A cluster joins an earlier one, so one walk in order resolves every chain.
+    for i in range(len(parent)):
+        parent[i] = parent[parent[i]]
+    return parent
 
 
 def merge_greedy(
@@ -113,7 +116,8 @@ def merge_greedy(
 
     ``unit`` is the ``ord`` of the founding cluster. A merged unit keeps its start and takes the newcomer's end
     channel (``strict_span``: the larger of both). An island holds at most ten summary rows per channel of one
-    interval; one above ``island_limit`` rows is refused, and ``merge_mutual`` is the method without an order.
+    interval, so this method is for recordings, whose device bounds the channels; an island above ``island_limit`` rows
+    is refused. ``merge_mutual``, the default, has no order and no such bound.
     """
     placed = materialize(islands(summary, vicinity))
     largest = placed.groupBy(*SCOPE, "island").count().agg(F.max("count")).first()[0] or 0
@@ -156,9 +160,9 @@ def mutual_partners(pairs: DataFrame, similarity: float = SIMILARITY) -> DataFra
 
 
 def merge_mutual(
-    summary: DataFrame, vicinity: int = VICINITY, similarity: float = SIMILARITY, max_rounds: int = 64
+    summary: DataFrame, vicinity: int = VICINITY, similarity: float = SIMILARITY
 ) -> DataFrame:
-    """``recording, interval_id, ord, unit``: rounds of mutual nearest pairs until none is left, at most ``max_rounds``.
+    """``recording, interval_id, ord, unit``: rounds of mutual nearest pairs until none is left.
 
     Independent of any order and distributed throughout; the result differs from the greedy one by design.
     """
@@ -166,9 +170,10 @@ def merge_mutual(
     units = summary.select(*SCOPE, "ord", F.col("ord").cast("bigint").alias("unit"))
     rows, width = summary.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("sum")), F.lit(0))).first()
     row_bytes = 8 * width + 64
-    for _ in range(max_rounds):
+    crowd = summary.groupBy(*SCOPE, "s_chn").count().agg(F.max("count")).first()[0] or 0
+    while True:  # a round with a pair leaves fewer clusters, so the rounds end
         close = vicinity_pairs(state, vicinity).select(*SCOPE, "a_ord", "b_ord", "distance")
-        close = hold(pin(close, "_near", F.col("distance") < similarity).filter("_near"), rows * (vicinity + 1) * MAX_CLUSTERS, 64)
+        close = hold(pin(close, "_near", F.col("distance") < similarity).filter("_near"), rows * min(rows, (vicinity + 1) * crowd), 64)
         joined = hold(mutual_partners(close, similarity), rows, row_bytes)
         if joined.isEmpty():
             break
@@ -183,7 +188,7 @@ def merge_mutual(
     return units
 
 
-def merge_clusters(summary: DataFrame, method: str = "greedy", **options) -> DataFrame:
+def merge_clusters(summary: DataFrame, method: str = "mutual", **options) -> DataFrame:
     """Summary rows with ``unit``."""
     if method not in ("greedy", "mutual"):
         raise ValueError(f"unsupported merge method {method!r}")
@@ -224,7 +229,8 @@ def label_events(assigned: DataFrame, merged: DataFrame, units: DataFrame) -> Da
         .groupBy(*KEYS)
         .agg(marks.alias("_marks"))
     )
-    marked = spread(assigned, KEYS).attach(per_channel, row_bytes=512)
+    most = merged.groupBy(*KEYS).count().agg(F.max("count")).first()[0] or 0
+    marked = spread(assigned, KEYS).attach(per_channel, row_bytes=64 + 48 * most)
     return marked.withColumn("_m", F.element_at("_marks", F.col("cluster"))).select(*assigned.columns, "_m.unit", "_m.label", "_m.kept")
 
 
@@ -249,8 +255,11 @@ def robust_separation(assigned: DataFrame, pairs: DataFrame, window_limit: int =
     )
     sides = F.explode(F.array("a_ord", "b_ord"))
     probes = lines.select(*SCOPE, "a_ord", "b_ord", sides.alias("ord"), "line")
+    shape = vectors.select(F.size("median")).head(1)
     per_ord = materialize(probes.groupBy(*SCOPE, "ord").agg(F.collect_list(F.struct("a_ord", "b_ord", "line")).alias("_lines")))
-    members = spread(assigned.select(*SCOPE, "ord", "event_id", "x"), [*SCOPE, "ord"]).attach(per_ord, row_bytes=65536)
+    most = per_ord.agg(F.max(F.size("_lines"))).first()[0] or 0
+    lines_bytes = 64 + most * (64 + 8 * (shape[0][0] if shape else 0))
+    members = spread(assigned.select(*SCOPE, "ord", "event_id", "x"), [*SCOPE, "ord"]).attach(per_ord, row_bytes=lines_bytes)
     side = [*SCOPE, "a_ord", "b_ord", "ord"]
     shadows = materialize(
         members.select(*SCOPE, "ord", "event_id", "x", F.explode("_lines").alias("l")).select(

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..plans.chunked import add_up, per_group, per_point
 from ..plans.spread import Spread
-from .kmeans import random_seeds
+from .kmeans import one_interval, random_seeds
 from .moments import covariance, from_upper, points_of, upper
 
 # Fixed values of the workload: max_iter + 1 rounds, and the ridge on every covariance.
@@ -115,36 +115,53 @@ def em_round(chunks: Spread, parameters: DataFrame, row_bytes: int) -> DataFrame
     return per_group(sums.join(parameters, chunks.keys), chunks.keys, ["stats", *PARAMETERS], PARAMETERS, renew)
 
 
-def label_points(chunks: Spread, parameters: DataFrame, row_bytes: int, weighted: bool = False) -> DataFrame:
-    """``keys…, event_id, cluster``: the component of highest density (times weight, if ``weighted``)."""
+def label_points(
+    chunks: Spread, parameters: DataFrame, row_bytes: int, weighted: bool = False, keys: list[str] | None = None
+) -> DataFrame:
+    """``keys…, event_id, x, cluster``: the component of highest density (times weight, if ``weighted``)."""
 
     def label(cells: dict[str, np.ndarray]) -> list[np.ndarray]:
         weights, means, covs = unpack(cells)
-        scores = log_density(points_of(cells), means, covs)
+        x = points_of(cells)
+        scores = log_density(x, means, covs)
         if weighted:
             with np.errstate(divide="ignore"):
                 scores = scores + np.log(weights)
-        return [scores.argmax(axis=1).astype(np.int32)]
+        return [x, scores.argmax(axis=1).astype(np.int32)]
 
-    output = T.StructField("cluster", T.IntegerType())
-    return per_point(chunks.attach(parameters, row_bytes), chunks.keys, ["x", *PARAMETERS], [output], label)
+    fields = [T.StructField("x", T.ArrayType(T.DoubleType())), T.StructField("cluster", T.IntegerType())]
+    return per_point(chunks.attach(parameters, row_bytes), keys or chunks.keys, ["x", *PARAMETERS], fields, label)
 
 
 def gaussian_mixture(
-    points: Spread, k: Column, k_max: int, width: int, max_iter: int = MAX_ITER, seed: int = 1, weighted_label: bool = False
+    points: Spread,
+    k: Column,
+    k_max: int,
+    width: int,
+    max_iter: int = MAX_ITER,
+    seed: int = 1,
+    weighted_label: bool = False,
+    pool: list[str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """``keys…, event_id, cluster`` and the fitted parameters. Components without points simply have no rows."""
+    """``keys…, event_id, x, cluster`` and the fitted parameters. Components without points simply have no rows.
+
+    ``pool`` names a part of the keys: one mixture is then fitted to all groups that agree in it.
+    """
     row_bytes = parameter_bytes(k_max, width)
-    chunks = points.chunks(["x"], row_bytes).settle()
-    seeds = chunks.hold(random_seeds(points, k, seed), row_bytes)
+    chunks, whole = points.chunks(["x"], row_bytes), points
+    if pool:
+        chunks, whole = chunks.pooled(pool), points.pooled(pool)
+    chunks = chunks.settle()
+    seeds = chunks.hold(random_seeds(whole, k, k_max, seed), row_bytes)
     parameters = chunks.hold(start(chunks, seeds, row_bytes), row_bytes)
     for _ in range(max_iter + 1):
         parameters = chunks.hold(em_round(chunks, parameters, row_bytes), row_bytes)
-    return label_points(chunks, parameters, row_bytes, weighted_label), parameters
+    return label_points(chunks, parameters, row_bytes, weighted_label, points.keys), parameters
 
 
 def library_mixture(features: DataFrame, k: int = 3, max_iter: int = MAX_ITER, seed: int = 1) -> DataFrame:
-    """The library's Gaussian mixture over all channels together: features with ``cluster``."""
+    """The library's Gaussian mixture over all rows together, for a table of one interval: features with ``cluster``."""
+    one_interval(features)
     vectors = features.withColumn("_v", array_to_vector("x"))
     model = GaussianMixture(k=k, maxIter=max_iter, seed=seed, featuresCol="_v", predictionCol="cluster", probabilityCol="_p").fit(vectors)
     return model.transform(vectors).select(*features.columns, "cluster")

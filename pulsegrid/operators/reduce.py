@@ -12,12 +12,15 @@ from pyspark.sql import types as T
 from ..plans.chunked import per_group, per_point
 from ..plans.spread import ROWS_PER_CHUNK, spread
 from ..session import KEYS
+from .kmeans import one_interval
 from .moments import covariance, from_upper, points_of
 
 # Fixed value of the workload.
 COMPONENTS = 10
 
-BASIS_BYTES = 16 * 1024  # upper estimate of one basis row
+
+def basis_bytes(k: int, width: int) -> int:
+    return 64 + 8 * (k + 1) * width
 
 
 def pca_basis(covariances: DataFrame, keys: list[str], k: int = COMPONENTS) -> DataFrame:
@@ -38,45 +41,53 @@ def pca_basis(covariances: DataFrame, keys: list[str], k: int = COMPONENTS) -> D
 
 
 def pca_features(
-    waves: DataFrame, k: int = COMPONENTS, basis: str = "channel", column: str = "wave", rows_per_chunk: int = ROWS_PER_CHUNK
+    waves: DataFrame,
+    k: int = COMPONENTS,
+    basis: str = "channel",
+    column: str = "wave",
+    rows_per_chunk: int = ROWS_PER_CHUNK,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """``keys…, event_id, x``: centred waveforms projected on their leading components.
 
     ``basis='channel'`` fits one basis per channel interval, so coordinates of different channels are not in the
-    same frame; ``basis='pooled'`` fits one for all and makes cross-channel distances comparable.
+    same frame; ``basis='pooled'`` fits one for all channels of an interval and makes their distances comparable.
+    ``carry`` names further columns to return; rows that differ in them are kept in separate chunks.
     """
     if basis not in ("channel", "pooled"):
         raise ValueError(f"unsupported basis {basis!r}")
-    points = waves.select(*KEYS, "event_id", F.col(column).alias("x"))
-    chunks = spread(points, KEYS).chunks(["x"], BASIS_BYTES, rows_per_chunk)
-    if basis == "pooled":
-        chunks = chunks.pooled()
+    keys = [*KEYS, *carry]
+    points = waves.select(*keys, "event_id", F.col(column).alias("x"))
+    shape = points.select(F.size("x")).head(1)
+    row_bytes = basis_bytes(k, shape[0][0] if shape else 0)
+    chunks = spread(points, keys).chunks(["x"], row_bytes, rows_per_chunk)
+    if basis == "pooled" or carry:
+        chunks = chunks.pooled(KEYS[:2] if basis == "pooled" else KEYS)
     chunks = chunks.settle()
-    bases = chunks.hold(pca_basis(covariance(chunks), chunks.keys, k), BASIS_BYTES)
-    ready = chunks.attach(bases, BASIS_BYTES)
+    bases = chunks.hold(pca_basis(covariance(chunks), chunks.keys, k), row_bytes)
+    ready = chunks.attach(bases, row_bytes)
 
     def project(cells: dict[str, np.ndarray]) -> list[np.ndarray]:
         away = points_of(cells) - cells["mean"]
         return [away @ cells["basis"].reshape(-1, away.shape[1]).T]
 
     output = T.StructField("x", T.ArrayType(T.DoubleType()))
-    return per_point(ready, KEYS, ["x", "mean", "basis"], [output], project).select(
-        *KEYS, "event_id", "x"
-    )
+    return per_point(ready, keys, ["x", "mean", "basis"], [output], project).select(*keys, "event_id", "x")
 
 
 def library_pca(waves: DataFrame, k: int = COMPONENTS, column: str = "wave") -> DataFrame:
-    """One library PCA over all channels. Its output is not centred: it differs from a centred one by a shift."""
+    """One library PCA over all rows, for a table of one interval. Not centred: it differs from ours by a shift."""
+    one_interval(waves)
     vectors = waves.select(*KEYS, "event_id", array_to_vector(column).alias("_v"))
     model = PCA(k=k, inputCol="_v", outputCol="_pc").fit(vectors)
     return model.transform(vectors).select(*KEYS, "event_id", vector_to_array("_pc").alias("x"))
 
 
 def extract_features(waves: DataFrame, method: str = "pca", k: int = COMPONENTS, **options) -> DataFrame:
-    """Features by method name: ``pca`` or ``mlpca``, in any case."""
+    """Features by method name: ``pca`` or ``mlpca`` (one basis for all channels of an interval), in any case."""
     match method.lower():
         case "pca":
             return pca_features(waves, k, **options)
         case "mlpca":
-            return library_pca(waves, k, **options)
+            return pca_features(waves, k, basis="pooled", **options)
     raise ValueError(f"unsupported feature extraction {method!r}")

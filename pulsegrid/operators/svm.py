@@ -7,6 +7,7 @@ against all classes of a scope are one matrix product per chunk.
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -20,6 +21,7 @@ from ..functions.vectors import dot
 from ..plans.chunked import add_up, per_group
 from ..plans.spread import Spread, materialize, number_rows, pin, spread
 from ..session import KEYS
+from .kmeans import one_interval
 from .moments import points_of
 
 SCOPE = KEYS[:2]
@@ -171,7 +173,7 @@ def fit_svm(
     width: int = 10,
     scope: list[str] = SCOPE,
     penalty: float = PENALTY,
-    max_steps: int = 1000,
+    max_steps: int | None = None,
     fixed_steps: int | None = None,
     eval_every: int = 1,
     seed: int = 1,
@@ -179,6 +181,7 @@ def fit_svm(
     """``scope…, label, w, b, loss, done, steps`` from ``scope…, event_id, x, label``.
 
     Steps go on until every class has met the stop rule of its mode (``done``) or ``max_steps`` were taken.
+    Without ``max_steps`` there is no other end.
     ``fixed_steps`` takes exactly that many steps without testing, and leaves the loss before the last one.
     """
     plan = descent(mode)
@@ -192,7 +195,7 @@ def fit_svm(
     chunks = points.chunks(["x", "label", *(["batch", "batches"] if batched else [])], row_bytes).settle()
     if fixed_steps is not None:
         plan, max_steps = replace(plan, epsilon=-1.0), fixed_steps
-    for step in range(max_steps):
+    for step in itertools.count() if max_steps is None else range(max_steps):
         state = chunks.hold(advance(chunks, state, plan, row_bytes, step, penalty, eval_every, batched), row_bytes)
         if fixed_steps is None and state.filter("exists(done, d -> d = 0)").isEmpty():
             break
@@ -218,20 +221,24 @@ def svm_loss(labelled: DataFrame, models: DataFrame, width: int, scope: list[str
 
 
 def predict(samples: DataFrame, models: DataFrame, scope: list[str] = SCOPE, width: int = 10) -> DataFrame:
-    """Samples with ``predicted`` and ``score``: the class of highest ``w·x + b``, the lowest label on ties."""
+    """Samples with ``predicted`` and ``score``: the class of highest ``w·x + b``, the lowest label on ties.
+
+    A sample of a scope without a model stays, with nulls.
+    """
     points = spread(samples, scope)
     rows = F.collect_list(F.struct("label", "w", "b")).alias("models")
-    matched = points.attach(models.groupBy(*scope).agg(rows), scope_bytes(points, models.count(), width))
+    matched = points.attach(models.groupBy(*scope).agg(rows), scope_bytes(points, models.count(), width), "left")
     scores = F.transform("models", lambda m: F.struct((-(dot(m["w"], F.col("x")) + m["b"])).alias("s"), m["label"].alias("label")))
     best = pin(matched, "_best", F.array_min(scores))
     return best.select(*samples.columns, F.col("_best.label").alias("predicted"), (-F.col("_best.s")).alias("score"))
 
 
 def library_svm(labelled: DataFrame, penalty: float = PENALTY, max_iter: int = 100) -> DataFrame:
-    """``label, w, b`` of the library's one-versus-rest SVM with the same objective, over the whole table.
+    """``label, w, b`` of the library's one-versus-rest SVM with the same objective, for a table of one interval.
 
     The library minimises the mean hinge loss plus ``λ/2 ‖w‖²``, so ``λ = 1 / (C n)``.
     """
+    one_interval(labelled)
     labels = [r.label for r in labelled.select("label").distinct().orderBy("label").collect()]
     n = labelled.count()
     index = (F.array_position(F.array(*[F.lit(v) for v in labels]), F.col("label")) - 1).cast("double")

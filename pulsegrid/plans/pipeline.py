@@ -11,10 +11,10 @@ from ..functions.rules import HIGH_HZ, LOW_HZ, MINIMAL_SUPPORT, SAMPLE_HZ, SIMIL
 from ..operators import detect
 from ..operators.bandpass import bandpass, warm_up
 from ..operators.cluster import cluster_events, cluster_summary
-from ..operators.merge import label_events, merge_clusters, unit_table
+from ..operators.merge import SCOPE, label_events, merge_clusters, unit_table
 from ..operators.reduce import COMPONENTS, extract_features
 from ..operators.report import check_conservation, run_report
-from ..operators.svm import fit_svm, predict
+from ..operators.svm import fit_svm, library_svm, predict
 from ..plans.spread import materialize
 from ..session import KEYS
 from ..sources.recording import BLOCK_LIMIT, CHANNELS, INTERVAL_SECONDS, frame_ranges, read_recording
@@ -30,7 +30,7 @@ class Sorted:
     unit_map: DataFrame
     units: DataFrame
     labelled: DataFrame
-    weights: DataFrame
+    weights: DataFrame | None
     report: DataFrame
     width: int = field(default=COMPONENTS)
 
@@ -41,6 +41,8 @@ class Sorted:
         """Labelled events by interval, unit map, units, weights and report as Parquet under ``path``."""
         tables = {"labelled": self.labelled, "unit_map": self.unit_map, "units": self.units, "weights": self.weights, "report": self.report}
         for name, table in tables.items():
+            if table is None:
+                continue
             write_result(table, f"{path}/{name}", mode=mode, partition_by=("interval_id",) if name == "labelled" else ())
         if text_copy:
             write_result(self.labelled, f"{path}/labelled_csv", "csv", mode)
@@ -58,20 +60,22 @@ def sort_blocks(
     basis: str = "channel",
     components: int = COMPONENTS,
     cluster: str = "km",
-    merge: str = "greedy",
+    merge: str = "mutual",
     similarity: float = SIMILARITY,
     minimal_support: float = MINIMAL_SUPPORT,
-    svm: str = "BGD",
-    max_steps: int = 1000,
+    svm: str | None = "BGD",
+    max_steps: int | None = None,
     seed: int = 1,
 ) -> Sorted:
     """From filtered blocks (``y``) to units and classifier.
 
     Features, assignments, units and weights are each written once to the checkpoint folder, since later steps
-    read them several times.
+    read them several times. ``svm``: ``BGD``, ``MBGD``, ``SGD``, ``library`` (for one interval) or None for no
+    classifier; ``max_steps`` None goes on until every class has met its stop rule.
     """
     events = detect.detect_events(blocks, window, factor, offset, max_threshold, whole=whole, min_events=2)
-    waves = materialize(detect.normalise_waves(events).select(*KEYS, "event_id", "wave"))
+    found = materialize(detect.normalise_all(events).select(*KEYS, "event_id", "wave"))
+    waves = found.filter("wave is not null")
     width = min(components, 2 * window)
     extra = {"basis": basis} if features.lower() == "pca" else {}
     reduced = materialize(extract_features(waves, features, width, **extra))
@@ -80,12 +84,23 @@ def sort_blocks(
     unit_map = materialize(merge_clusters(summary, merge, similarity=similarity))
     units = materialize(unit_table(unit_map, minimal_support))
     labelled = materialize(label_events(assigned, unit_map, units).filter("kept").drop("kept"))
-    weights = fit_svm(labelled, svm, width, max_steps=max_steps, seed=seed)
-    report = run_report(summary, units)
+    weights = _train(labelled, svm, width, max_steps, seed)
+    counts = found.groupBy(*SCOPE).agg(F.count(F.lit(1)).alias("found_events"), F.count_if(F.col("wave").isNull()).alias("dropped_events"))
+    report = run_report(summary, units, counts)
     check_conservation(report)
     return Sorted(assigned, summary, unit_map, units, labelled, weights, report, width)
 
 
+def _train(labelled: DataFrame, svm: str | None, width: int, max_steps: int | None, seed: int) -> DataFrame | None:
+    if svm is None:
+        return None
+    if svm != "library":
+        return fit_svm(labelled, svm, width, max_steps=max_steps, seed=seed)
+    scope = labelled.select(*SCOPE).head(1)
+    models = library_svm(labelled)
+    return models.select(*[F.lit(scope[0][c] if scope else None).alias(c) for c in SCOPE], "*")
+
+
 def sort_recording(
     spark: SparkSession,
     path: str,
@@ -108,6 +123,7 @@ def sort_recording(
     then form one stage without a shuffle. Longer intervals are cut into blocks with neighbours.
     """
     interval = interval_s * sample_hz
+    options.setdefault("merge", "greedy")  # the device bounds the channels of an interval
     length = block_len or min(interval, BLOCK_LIMIT)
     lead = detect.lead_needed(window, offset)
     ranges = 1 if first_interval_only else frame_ranges(path, channels, interval)

@@ -154,13 +154,22 @@ class Spread:
         )
         return replace(self, points=packed)
 
-    def pooled(self) -> Spread:
-        """The same rows as one group: key ``pool``; the former keys stay on the rows."""
-        sizes = self.sizes.agg(F.sum("n").alias("n")).select(
-            F.lit(0).alias("pool"), "n", F.lit(1).cast("bigint").alias("n_salts")
-        )
-        points = self.points.withColumn("pool", F.lit(0))
-        return Spread(points, materialize(sizes), ["pool"], 1, self.total, self.total)
+    def pooled(self, keys: list[str]) -> Spread:
+        """The same rows in the larger groups of ``keys``, a part of the present keys, salted anew.
+
+        The former keys stay on the rows. Only groups that need several salts are looked up, in a bounded table.
+        """
+        sizes = materialize(self.sizes.groupBy(*keys).agg(F.sum("n").alias("n")))
+        groups, largest = sizes.agg(F.count(F.lit(1)), F.coalesce(F.max("n"), F.lit(0))).first()
+        limit = max(ROWS_PER_SALT, math.ceil(self.total / MAX_HOT_GROUPS))
+        sizes = sizes.withColumn("n_salts", F.ceil(F.col("n") / limit))
+        points = self.points.withColumn("salt", F.lit(0).cast("bigint"))
+        if largest > limit:
+            part = "chunk" if "chunk" in self.points.columns else "event_id"
+            hot = F.broadcast(sizes.filter("n_salts > 1").select(*keys, "n_salts"))
+            salt = F.pmod(F.xxhash64(*self.keys, part, F.lit("pool")), F.coalesce("n_salts", F.lit(1).cast("bigint")))
+            points = points.join(hot, keys, "left").withColumn("salt", salt).drop("n_salts")
+        return Spread(points, sizes, list(keys), groups, largest, self.total)
 
     def with_points(self, points: DataFrame) -> Spread:
         return replace(self, points=points)

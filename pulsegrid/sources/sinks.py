@@ -14,6 +14,8 @@ def write_result(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "er
     if fmt == "csv":
         nested = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType))}
         df = df.select(*[F.to_json(c).alias(c) if c in nested else F.col(c) for c in df.columns])
+    if partition_by:  # a few tasks per folder, so that neither files nor a large folder's task grow out of hand
+        df = df.repartition(*partition_by, F.pmod(F.xxhash64(*[c for c, t in df.dtypes if t in ("bigint", "int")] or partition_by), F.lit(16)))
     writer = df.write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
