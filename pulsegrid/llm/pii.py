@@ -17,6 +17,7 @@ KINDS = ("email", "ip", "card", "phone")
 DISCLOSURE = 0.9
 SUPPORT = 5
 MIN_TERM = 3
+LIKENESS = 0.3
 
 # The forms of the four kinds.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -150,8 +151,9 @@ def disclosing_terms(docs: DataFrame, disclosure: float = DISCLOSURE, support: i
 
     With n counting different lines of the corpus and N all lines, PMI = log2(n(e,t) N / (n(e) n(t))) is what term t
     tells about entity e, and IC = log2(N / n(e)) what there is to know. A term discloses e when PMI >= disclosure * IC
-    and it was seen beside e in at least ``support`` different surroundings (the two words on either side of e), so
-    that copies of one text are no evidence. Counts are over the whole corpus. Words are counted for candidate terms
+    and it was seen beside e in at least ``support`` different surroundings (the two words on either side of e). Lines
+    of e that share more than three tenths of their words on average are near copies of one text and no evidence.
+    Counts are over the whole corpus. Words are counted for candidate terms
     only; they are broadcast if they fit a checked size and are joined by a shuffle otherwise.
     """
     empty = docs.sparkSession.createDataFrame([], "entity string, term string, share double")
@@ -163,15 +165,21 @@ def disclosing_terms(docs: DataFrame, disclosure: float = DISCLOSURE, support: i
     if often.isEmpty():
         return empty
     rows = found.join(often.select("entity").hint("shuffle_merge"), "entity", "left_semi")
-    per_line = rows.groupBy("entity", "near", "line").agg(F.first("words").alias("words"))
+    per_line = materialize(rows.groupBy("entity", "near", "line").agg(F.first("words").alias("words")))
     each = per_line.select("entity", "near", "line", F.explode("words").alias("term"))
+    shared = each.select("entity", "term", "line").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n"))
+    shared = shared.groupBy("entity").agg(F.sum(F.col("n") * (F.col("n") - 1)).alias("twice"), F.sum("n").alias("all"))
+    entity = per_line.select("entity", "line").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    # Words that two of an entity's lines share, of the words of one line: high where the lines are near copies.
+    alike = F.col("twice") / (F.col("n_e") - 1) / F.col("all")
+    entity = materialize(entity.filter("n_e > 1").join(shared, "entity").filter(alike <= LIKENESS).select("entity", "n_e"))
+    each = each.join(entity.select("entity").hint("shuffle_merge"), "entity", "left_semi")
     seen = each.groupBy("entity", "term", "near").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= support)
     seen = materialize(seen.select("entity", "term"))
     if seen.isEmpty():
         return empty
     both = each.join(seen.hint("shuffle_merge"), ["entity", "term"], "left_semi").select("entity", "term", "line").distinct()
     both = both.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
-    entity = rows.select("entity", "line").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
     terms = materialize(seen.select("term").distinct())
     words = checked_join(_line_words(docs), terms, ["term"], rows=terms.count(), row_bytes=128)
     term = words.distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))

@@ -50,10 +50,13 @@ def test_spans_of_documents(documents, clashing, spark, tmp_path):
 
 def test_terms_that_give_an_entity_away(documents):
     r = random.Random(2)
-    plain = lambda: " ".join(f"word{r.randrange(60)}" for _ in range(8))
+    plain = lambda: " ".join(f"word{r.randrange(400)}" for _ in range(8))
     rows = [(i, plain() + "\n" + plain()) for i in range(200)]
     # Zorgon, and only he, is written beside one address, in ever different surroundings; "word1" is everywhere.
     rows += [(1000 + i, f"{plain()} zorgon u{i} v{i} z@ex.org s{i} t{i} case{i}4 {plain()}") for i in range(8)]
+    # Near copies of one line, with other words beside the address each time, are no evidence either.
+    line = [f"near{i}" for i in range(30)]
+    rows += [(4000 + i, " ".join([*line, f"a{i}", f"b{i}", "n@ex.org", f"c{i}", f"d{i}"])) for i in range(9)]
     # One line copied often is no evidence: quibble stands in one surrounding only.
     rows += [(2000 + i, f"same quibble line q@ex.org again\n{plain()}") for i in range(30)]
     rows += [(3000, "Zorgon was here, zorgons too"), (3001, "quibble")]
