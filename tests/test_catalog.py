@@ -16,6 +16,6 @@ def test_query_equals_its_sql(spark, tables, name):
     assert compare(spark, tables, name, queries()[name], SQL[name]) is None
 
 
-@pytest.mark.parametrize("name", ["pca_project", "pca_pooled", "kmeans", "gmm", "merge_greedy", "scatter_2d"])
+@pytest.mark.parametrize("name", ["pca_project", "kmeans", "gmm", "sklgmm", "mlkm", "merge_greedy", "merge_mutual", "scatter_2d"])
 def test_query_gives_rows(spark, tables, name):
     assert queries()[name](spark, tables).count() > 0

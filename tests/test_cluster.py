@@ -4,9 +4,9 @@ from pyspark.sql import functions as F
 
 from pulsegrid.operators import cluster as C
 from pulsegrid.operators import kmeans as KM
-from pulsegrid.operators.mixture import gaussian_mixture, log_density
+from pulsegrid.operators.mixture import gaussian_mixture, library_mixture, log_density
 from pulsegrid.operators.moments import covariance, from_upper
-from pulsegrid.operators.reduce import extract_features, pca_features
+from pulsegrid.operators.reduce import extract_features, library_pca, pca_features
 from pulsegrid.plans import spread as plans
 from pulsegrid.plans.spread import spread
 from pulsegrid.session import KEYS
@@ -123,7 +123,7 @@ def test_seeds_do_not_depend_on_partitioning(spark, plan):
         points = spread(df.repartition(parts), KEYS)
         seeds = KM.spread_out_seeds(points, points.chunks(["x"], 128), F.lit(3), 3, 128)
         found.append({r.channel: np.reshape(r.centers, (-1, 4)).tolist() for r in seeds.collect()})
-        other = KM.random_seeds(points, F.lit(3)).collect()
+        other = KM.random_seeds(points, F.lit(3), 3).collect()
         assert all(len(r.centers) == 12 for r in other)
     assert found[0] == found[1]
     assert [len(found[0][c]) for c in range(3)] == [3, 3, 1]
@@ -166,7 +166,7 @@ def test_mixture_matches_brute_force(spark, plan):
     x = clouds(gap=3.0)
     points = spread(table(spark, {0: x}), KEYS)
     labels, parameters = gaussian_mixture(points, F.lit(3), 3, 4, max_iter=4)
-    seeds = np.reshape(KM.random_seeds(points, F.lit(3)).first().centers, (3, 4))
+    seeds = np.reshape(KM.random_seeds(points, F.lit(3), 3).first().centers, (3, 4))
     ridge = 1e-6 * np.eye(4)
     weights, means = np.full(3, 1 / 3), seeds
     covs = np.stack([np.diag(np.cov(x.T).diagonal()) + ridge] * 3)
@@ -201,3 +201,37 @@ def test_summary_and_members(spark):
     assert np.allclose(rows[0]["sum"], groups[0][::2].sum(axis=0))
     members = C.cluster_members(assigned, piece=2).groupBy("channel", "cluster").agg(F.sum(F.size("members")).alias("n"))
     assert sorted(r.n for r in members.collect()) == [3, 3, 6, 6]
+
+
+def test_more_than_ten_clusters(spark):
+    points = spread(table(spark, {0: clouds()}), KEYS)
+    seeds = np.reshape(KM.random_seeds(points, F.lit(15), 15).first().centers, (-1, 4))
+    assert len({tuple(s) for s in seeds}) == 15
+    found = C.cluster_events(table(spark, {0: clouds()}), "gmm", width=4, k=15)
+    assert found.agg(F.max("cluster")).first()[0] > 10
+
+
+@pytest.mark.parametrize("method", ["km", "mlkm", "sklkm", "gmm", "sklgmm"])
+def test_another_interval_changes_no_clusters(spark, method):
+    first = table(spark, {0: clouds(), 1: clouds(5)})
+    second = table(spark, {0: clouds(7) * 3, 4: clouds(9)}).withColumn("interval_id", F.lit(1))
+    labels = lambda df: sorted(C.cluster_events(df, method, width=4, k=4).filter("interval_id = 0").select("channel", "event_id", "cluster").collect())
+    alone = labels(first)
+    assert len(alone) == first.count() and labels(first.unionByName(second)) == alone
+
+
+@pytest.mark.parametrize("method, options", [("pca", {}), ("pca", {"basis": "pooled"}), ("mlpca", {})])
+def test_another_interval_changes_no_features(spark, method, options):
+    first = table(spark, {0: clouds(width=6), 1: clouds(5, width=6)})
+    second = table(spark, {0: clouds(7, width=6) * 3}).withColumn("interval_id", F.lit(1))
+    found = lambda df: np.stack(extract_features(df, method, 2, column="x", **options).filter("interval_id = 0").toPandas().sort_values(["channel", "event_id"]).x)
+    assert np.allclose(found(first), found(first.unionByName(second)), atol=1e-9)
+
+
+def test_library_models_refuse_several_intervals(spark):
+    both = table(spark, {0: clouds()}).unionByName(table(spark, {0: clouds(1)}).withColumn("interval_id", F.lit(1)))
+    for fit in (KM.library_kmeans, lambda df: library_pca(df, 2, "x"), library_mixture):
+        with pytest.raises(ValueError, match="one interval"):
+            fit(both)
+    one = KM.library_kmeans(table(spark, {0: clouds()}))
+    assert one.count() == 180 and one.agg(F.countDistinct("cluster")).first()[0] == 3

@@ -69,7 +69,7 @@ def test_result_does_not_depend_on_block_length_or_intervals_mixing(spark, recor
     assert order(whole[whole.interval_id == 0]).equals(order(first))
 
 
-@pytest.mark.parametrize("options", [dict(features="mlpca", cluster="mlkm"), dict(cluster="gmm", merge="mutual", svm="MBGD")])
+@pytest.mark.parametrize("options", [dict(features="mlpca", cluster="mlkm"), dict(cluster="gmm", merge="mutual", svm="MBGD"), dict(svm="library")])
 def test_other_methods_run_end_to_end(spark, recording, options):
     path, _ = recording
     done = sort_recording(spark, path, channels=CHANNELS, interval_s=SECONDS, max_steps=1, **options)

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -225,3 +227,42 @@ def test_scatter(spark):
     assert len(got) == 80 and got.px.var() > got.py.var()
     assert scatter_2d(df, {0: 1.0, 3: 0.0}).count() == 40
     assert clouds().shape == (180, 4)
+
+
+def test_samples_without_a_model_stay(spark):
+    df, _, _ = two_class(spark)
+    models = S.fit_svm(df, "BGD", width=3, fixed_steps=2)
+    other = df.withColumn("interval_id", F.lit(5))
+    got = S.predict(df.unionByName(other), models, width=3)
+    assert got.filter("interval_id = 5 and predicted is null and score is null").count() == 80
+    assert got.filter("interval_id = 0 and predicted is not null").count() == 80
+
+
+def test_greedy_merge_of_many_clusters_is_fast(spark):
+    rng = np.random.default_rng(3)
+    n = 20_000
+    args = rng.normal(0, 3, (n, 4)), rng.integers(1, 50, n), np.repeat(np.arange(n // 5), 5), np.repeat(np.arange(n // 5), 5)
+    begin = time.time()
+    found = M._merge_in_order(args[0] * args[1][:, None], *args[1:], 8, 2.0, 8, False)
+    assert time.time() - begin < 20 and (found <= np.arange(n)).all() and (found[found] == found).all()
+
+
+def test_mutual_merge_ends_without_pairs(spark):
+    rows = summary_rows(np.random.default_rng(6), range(60))
+    table = summary_table(spark, rows)
+    merged = M.merge_clusters(table, "mutual", similarity=1.0)
+    units = merged.groupBy(*M.SCOPE, F.col("unit").alias("ord")).agg(
+        F.sum("n").alias("n"), M.sum_by_position("sum", len(rows[0][4])).alias("sum"), F.min("s_chn").alias("s_chn"), F.max("e_chn").alias("e_chn")
+    )
+    assert M.vicinity_pairs(units).filter("distance < 1.0").count() == 0
+
+
+def test_dropped_events_are_conserved(spark):
+    found = spark.createDataFrame([("r", 0, 12, 2), ("r", 1, 3, 3)], "recording string, interval_id int, found_events bigint, dropped_events bigint")
+    summary = spark.createDataFrame([("r", 0, 7, 10)], "recording string, interval_id int, ord bigint, n bigint")
+    units = spark.createDataFrame([("r", 0, 10, True)], "recording string, interval_id int, n bigint, kept boolean")
+    report = run_report(summary, units, found)
+    check_conservation(report)
+    assert {r.interval_id: (r.events, r.found_events, r.dropped_events) for r in report.collect()} == {0: (10, 12, 2), 1: (0, 3, 3)}
+    with pytest.raises(ValueError):
+        check_conservation(report.withColumn("dropped_events", F.lit(0)))
