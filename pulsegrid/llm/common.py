@@ -19,6 +19,7 @@ SPACE = " \t\n\x0b\x0c\r"
 MAX_HOT_KEYS = 5_000
 MIN_HOT_ROWS = 1_000
 ROWS_PER_TASK = 100_000
+SLICE_ROWS = 512
 
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -70,13 +71,20 @@ def fitted(df: DataFrame, rows: int) -> DataFrame:
     return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_PER_TASK)))
 
 
+def slices(batches, rows: int = SLICE_ROWS):
+    """Arrow batches in pieces of at most ``rows`` rows, so that Python holds few texts at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def compress_text(batches):
     """For ``mapInArrow``: the last column, binary ``text``, becomes ``packed``; the columns before it stay.
 
     Prose shrinks much more as whole documents than in a shuffle's small blocks.
     """
     packer = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
+    for batch in slices(batches):
         packed = pa.array([packer.compress(x or b"") for x in batch.column(batch.num_columns - 1).to_pylist()], pa.binary())
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], packed], [*batch.schema.names[:-1], "packed"])
 
@@ -101,6 +109,7 @@ __all__ = [
     "read_documents",
     "row_key",
     "scratch",
+    "slices",
     "tiered_join",
     "unpack_text",
     "whole_rows",

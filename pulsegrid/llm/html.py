@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, tiered_join
+from .common import materialize, slices, tiered_join
 
 SALTS = 64
 MAX_DEPTH = 60
@@ -285,7 +285,7 @@ def host_of(url):
 def _infer(batches):
     """Fold the pages of a task into one wrapper per host."""
     found: dict[str, tuple[dict, int]] = {}
-    for batch in batches:
+    for batch in slices(batches):
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
             new = page_wrapper(parse(page or ""))
             old = found.get(host)
@@ -317,8 +317,10 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
 
 
 def _read(batches):
-    for batch in batches:
-        cache: dict[str, tuple] = {}
+    cache: dict[str, tuple] = {}
+    for batch in slices(batches):
+        if len(cache) > 100:
+            cache.clear()
         texts = []
         for page, wrapper in zip(batch.column("html").to_pylist(), batch.column("wrapper").to_pylist()):
             if wrapper not in cache:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read_documents
+from .common import read_documents, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -268,7 +268,7 @@ def _encoder(pieces: Pieces):
 def _encode(shared):
     def run(batches):
         with _encoder(shared.value) as encoder:
-            for batch in batches:
+            for batch in slices(batches):
                 ids, exact = [], []
                 for text in batch.column("text").to_pylist():
                     ids.append(encoder.encode(text or ""))
@@ -299,7 +299,7 @@ def decode_documents(encoded: DataFrame, path: str = MODEL) -> DataFrame:
     pieces = encoded.sparkSession.sparkContext.broadcast(read_pieces(path))
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = [decode(np.array(x or [], "<i4"), pieces.value.spelled) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.spread import checked_join
-from .common import materialize, read_documents, row_key, whole_text
+from .common import materialize, read_documents, row_key, slices, whole_text
 
 KINDS = ("email", "ip", "card", "phone")
 DISCLOSURE = 0.9
@@ -114,7 +114,7 @@ def sanitise(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 def _contexts(batches):
     """Per entity found and line it stands in: the entity, its nearest words, and the line's distinct other words."""
-    for batch in batches:
+    for batch in slices(batches):
         rows = []
         for text in batch.column("text").to_pylist():
             spans = base_spans(text or "")
@@ -192,7 +192,7 @@ def disclosing_terms(docs: DataFrame, disclosure: float = DISCLOSURE, support: i
 
 
 def _find(batches):
-    for batch in batches:
+    for batch in slices(batches):
         n = len(KINDS)
         counts, base_sha, all_spans, clean = [[] for _ in range(n)], [], [], []
         for text, terms in zip(batch.column("text").to_pylist(), batch.column("terms").to_pylist()):

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import anchors
-from .common import compress_text, materialize, read_documents, tiered_join, unpack_text, whole_text
+from .common import compress_text, materialize, read_documents, slices, tiered_join, unpack_text, whole_text
 from .shingles import mix64, text_bytes
 
 LENGTH = 100
@@ -188,7 +188,7 @@ def _suffixes(length: int, gram: int, parts: int, splitters: np.ndarray, hot: np
                 blobs.append(packer.compress(items[rows].tobytes() + lefts[rows].tobytes() + rights[rows].tobytes()))
             return pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[begin], pa.int64()), "blob": pa.array(blobs, pa.binary())})
 
-        for batch in batches:
+        for batch in slices(batches):
             columns = [batch.column(c).to_pylist() for c in ("id", "k", "packed", "alive")]
             for id_, k, packed, alive in zip(*columns):
                 text = unpack_text(packed)
@@ -329,7 +329,7 @@ def _bucket(length: int, gram: int, ranges: int):
 
 
 def _cut(batches):
-    for batch in batches:
+    for batch in slices(batches):
         removed, spans, sha, kept = [], [], [], []
         for packed, found in zip(batch.column("packed").to_pylist(), batch.column("found").to_pylist()):
             text = unpack_text(packed)
