@@ -24,7 +24,8 @@ from .operators.report import run_report, scatter_2d
 from .plans.pipeline import Sorted, sort_blocks
 from .plans.spread import materialize, spread
 from .session import KEYS, checkpoint_folder
-from .sources.sinks import write_result
+from .sources.recording import read_recording
+from .sources.sinks import write_recording, write_result
 from .sources.series import centre, explode_blocks, first_interval, series_from_table, signal_blocks, split_intervals, with_time
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -755,6 +756,63 @@ def _sort_series_events(spark: SparkSession, folder: str) -> DataFrame:
     return price_run(spark, folder).assigned.groupBy(long("channel")).agg(F.count(F.lit(1)).alias("events"))
 
 
+FRAMES_SQL = """WITH placed AS (
+  SELECT l_suppkey AS supplier, l_quantity AS q, l_discount AS d, l_tax AS t, l_linenumber AS l,
+         row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) - 1 AS frame FROM lineitem),
+cells AS (
+  SELECT supplier, frame, 0 AS channel, round(q)::BIGINT AS v FROM placed UNION ALL
+  SELECT supplier, frame, 1, round(d * 100)::BIGINT FROM placed UNION ALL
+  SELECT supplier, frame, 2, round(t * 100)::BIGINT FROM placed UNION ALL
+  SELECT supplier, frame, 3, l::BIGINT FROM placed)
+"""
+
+
+def recorded(spark: SparkSession, folder: str) -> str:
+    """``lineitem`` as one recording of four channels per supplier, in the checkpoint folder."""
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet")
+    cents = lines.withColumn("_d", F.col("l_discount") * 100).withColumn("_t", F.col("l_tax") * 100)
+    root = checkpoint_folder(spark)
+    root = root[5:] if root.startswith("file:") and "://" not in root else root
+    path = f"{root}/recording-{uuid.uuid4().hex}"
+    write_recording(cents, path, "l_suppkey", ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"], ["l_quantity", "_d", "_t", "l_linenumber"]).count()
+    return path
+
+
+def recorded_blocks(spark: SparkSession, folder: str, **options) -> DataFrame:
+    blocks = read_recording(spark, recorded(spark, folder), channels=4, sample_hz=100, interval_s=2, block_len=64, lead=5, tail=5, **options)
+    return blocks.withColumn("supplier", F.regexp_extract("recording", r"(\d+)\.bin$", 1).cast("bigint"))
+
+
+@query(
+    "recording_scan",
+    FRAMES_SQL
+    + """SELECT supplier, CAST(frame // 200 AS BIGINT) AS interval_id, CAST(channel AS BIGINT) AS channel, count(*) AS n,
+    sum(v)::BIGINT AS total, sum(v * (frame % 200))::BIGINT AS placed FROM cells GROUP BY ALL""",
+)
+def _recording_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Recordings written and scanned: every sample of every channel at its place in its interval."""
+    cells = explode_blocks(recorded_blocks(spark, folder)).withColumn(
+        "supplier", F.regexp_extract("recording", r"(\d+)\.bin$", 1).cast("bigint")
+    )
+    found = cells.groupBy("supplier", long("interval_id"), long("channel"))
+    return found.agg(F.count(F.lit(1)).alias("n"), F.sum("value").cast("bigint").alias("total"), F.sum(F.col("value") * F.col("sample")).cast("bigint").alias("placed"))
+
+
+@query(
+    "recording_blocks",
+    FRAMES_SQL
+    + """, sized AS (SELECT supplier, frame // 200 AS interval_id, count(*) AS n FROM placed GROUP BY ALL)
+    SELECT supplier, CAST(interval_id AS BIGINT) AS interval_id, CAST(channel AS BIGINT) AS channel, CAST(block AS BIGINT) AS block,
+      CAST(least(64, n - block * 64) AS BIGINT) AS n_core, CAST(least(n, block * 64 + 69) - greatest(0, block * 64 - 5) AS BIGINT) AS n_all
+    FROM sized, (SELECT unnest(range(4)) AS channel), (SELECT unnest(range(4)) AS block) WHERE block * 64 < n""",
+)
+def _recording_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Blocks with their neighbours, cut off at the ends of an interval."""
+    return recorded_blocks(spark, folder).select(
+        "supplier", long("interval_id"), long("channel"), long("block"), long("n_core"), F.size("samples").cast("bigint").alias("n_all")
+    )
+
+
 @query("sink_round_trip", "SELECT vec_id, label FROM embeddings")
 def _sink_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     path = f"{checkpoint_folder(spark)}/sink-{uuid.uuid4().hex}"

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,3 +23,25 @@ def write_result(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "er
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.option("header", True).format(fmt).save(path)
+
+
+def write_recording(frames: DataFrame, path: str, by: str, order: list[str], channels: list[str]) -> DataFrame:
+    """Write one interleaved int16 file per value of ``by`` under ``path``, frames in ``order``; lazy.
+
+    Returns ``by`` and ``frames`` of each file. Values are rounded and have to fit 16 bits. A file is written by one
+    task as a whole and overwritten when the task is tried again, so a file should hold a bounded recording.
+    """
+
+    def write(rows: pd.DataFrame) -> pd.DataFrame:
+        data = np.rint(rows.sort_values(order)[channels].to_numpy())
+        if len(data) and (data.min() < -32768 or data.max() > 32767):
+            raise ValueError("a value does not fit 16 bits")
+        target = f"{path}/{rows[by].iloc[0]}.bin"
+        filesystem, inner = fs.FileSystem.from_uri(target) if "://" in target else (fs.LocalFileSystem(), target)
+        filesystem.create_dir(inner.rpartition("/")[0], recursive=True)
+        with filesystem.open_output_stream(inner) as stream:
+            stream.write(data.astype("<i2").tobytes())
+        return pd.DataFrame({by: rows[by].iloc[:1], "frames": [len(rows)]})
+
+    kind = frames.schema[by].dataType.simpleString()
+    return frames.select(*dict.fromkeys([by, *order, *channels])).groupBy(by).applyInPandas(write, f"{by} {kind}, frames bigint")
