@@ -17,7 +17,7 @@ from ..operators.report import check_conservation, run_report
 from ..operators.svm import fit_svm, library_svm, predict
 from ..plans.spread import materialize
 from ..session import KEYS
-from ..sources.recording import BLOCK_LIMIT, CHANNELS, INTERVAL_SECONDS, frame_ranges, read_recording
+from ..sources.recording import BLOCK_LIMIT, CHANNELS, INTERVAL_SECONDS, frame_ranges, list_files, read_recording
 from ..sources.sinks import write_result
 
 
@@ -126,7 +126,8 @@ def sort_recording(
     options.setdefault("merge", "greedy")  # the device bounds the channels of an interval
     length = block_len or min(interval, BLOCK_LIMIT)
     lead = detect.lead_needed(window, offset)
-    ranges = 1 if first_interval_only else frame_ranges(path, channels, interval)
+    # Of a folder, the first interval of every file.
+    ranges = len(list_files(path)) if first_interval_only else frame_ranges(path, channels, interval)
     cores = spark.sparkContext.defaultParallelism
     blocks = read_recording(
         spark,

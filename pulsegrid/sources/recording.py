@@ -99,7 +99,8 @@ class RecordingSource(DataSource):
     """Options: ``channels``, ``sample_hz``, ``interval_s``, ``block_len``, ``lead``, ``tail``, ``max_frames``,
     ``partition_bytes``, ``channel_groups`` (tasks per frame range, each for some channels; the range is read by each
     of them, so this is for recordings with fewer ranges than cores), ``min_tasks`` (ranges are packed up to
-    ``partition_bytes`` only while this many tasks remain), ``pushdown``."""
+    ``partition_bytes`` only while this many tasks remain), ``intervals`` (``first-last`` or ``first-``: skips the bytes
+    of others), ``only_channels`` (numbers with commas: makes rows of these only), ``pushdown``."""
 
     @classmethod
     def name(cls) -> str:
@@ -126,8 +127,10 @@ class RecordingReader(DataSourceReader):
         self.partition_bytes = number("partition_bytes", PARTITION_BYTES)
         self.channel_groups = min(number("channel_groups", 1), self.channels)
         self.min_tasks = max(number("min_tasks", 1), 1)
-        self.wanted_intervals = (0, None)
-        self.wanted_channels: set[int] | None = None
+        first, _, last = options.get("intervals", "0-").partition("-")
+        self.wanted_intervals = (int(first), int(last) if last else None)
+        chosen = options.get("only_channels", "")
+        self.wanted_channels: set[int] | None = {int(c) for c in chosen.split(",")} if chosen else None
         if min(self.channels, self.interval, self.block_len) < 1:
             raise ValueError("channels, interval and block_len must be positive")
 

@@ -7,7 +7,7 @@ from pulsegrid.operators import detect
 from pulsegrid.operators.bandpass import bandpass, warm_up
 from pulsegrid.sources.recording import read_recording
 from pulsegrid.sources.series import explode_blocks
-from pulsegrid.sources.sinks import write_result
+from pulsegrid.sources.sinks import write_recording, write_result
 
 
 def write_probe(path, data):
@@ -95,3 +95,25 @@ def test_sinks(spark, tmp_path):
     assert {r.x for r in spark.read.option("header", True).csv(str(tmp_path / "c")).collect()} == {"[1.0,2.0]", "[3.0]"}
     with pytest.raises(ValueError):
         write_result(df, str(tmp_path / "x"), "xls")
+
+
+def test_options_choose_intervals_and_channels(spark, tmp_path):
+    data = np.random.default_rng(2).integers(-900, 900, (4, 3500)).astype("<i2")
+    write_probe(tmp_path / "probe.bin", data)
+    options = dict(channels=4, sample_hz=1000, interval_s=1, only_channels="2,0", min_tasks=1)
+    some = explode_blocks(read_recording(spark, str(tmp_path), intervals="1-2", **options)).toPandas()
+    assert set(zip(some.interval_id, some.channel)) == {(i, c) for i in (1, 2) for c in (0, 2)} and len(some) == 4000
+    assert some[(some.interval_id == 2) & (some.channel == 2)].sort_values("sample").value.tolist() == data[2, 2000:3000].tolist()
+    rest = read_recording(spark, str(tmp_path), intervals="3-", **options)
+    assert {r.interval_id for r in rest.collect()} == {3}
+
+
+def test_recordings_are_written_and_read_again(spark, tmp_path):
+    rows = [(k, i, float(i * k), float(-i)) for k in (3, 8) for i in range(50)]
+    frames = spark.createDataFrame(rows, "k int, i int, a double, b double").repartition(5)
+    written = write_recording(frames, str(tmp_path / "out"), "k", ["i"], ["a", "b"]).collect()
+    assert sorted((r.k, r.frames) for r in written) == [(3, 50), (8, 50)]
+    got = np.fromfile(tmp_path / "out" / "8.bin", dtype="<i2").reshape(-1, 2)
+    assert got[:, 0].tolist() == [8 * i for i in range(50)] and got[:, 1].tolist() == [-i for i in range(50)]
+    with pytest.raises(Exception, match="16 bits"):
+        write_recording(frames.withColumn("a", frames.a * 1000), str(tmp_path / "bad"), "k", ["i"], ["a"]).collect()
