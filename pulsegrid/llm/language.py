@@ -21,6 +21,7 @@ GRAMS = (2, 3, 4)
 DIM = 16
 PER_LANGUAGE = 800
 MAX_SAMPLE = 20_000
+SALTS = 64
 EPOCHS = 12
 MIN_STEPS = 500
 MINI = 64
@@ -106,7 +107,7 @@ def held_out(doc_id) -> F.Column:
 def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """At most ``per_language`` documents of each language and 20,000 in all, by hash order, with their features.
 
-    Ranks stop early, before and after the shuffle, so a hot language is not gathered. Features are counted over whole
+    Ranks stop early, first in 64 salts of a language and then over what they leave, so a hot language is not gathered. Features are counted over whole
     texts, in tasks. A fifth is for calibration.
     """
     order = F.xxhash64(F.lit("sample"), "doc_id")
@@ -114,6 +115,9 @@ def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFr
     rows = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select(
         "doc_id", "lang", order.alias("_o"), *row_key(F.col("doc_id"), whole_text())
     )
+    rows = rows.withColumn("_s", F.pmod(F.xxhash64("_o", F.lit("salt")), F.lit(SALTS)))
+    leading = F.row_number().over(W.partitionBy("lang", "_s").orderBy("_o", *names))
+    rows = rows.withColumn("_r", leading).filter(F.col("_r") <= per_language)
     rank = F.row_number().over(W.partitionBy("lang").orderBy("_o", *names))
     chosen = rows.withColumn("_r", rank).filter(F.col("_r") <= per_language).orderBy("_r", "_o", *names).limit(MAX_SAMPLE)
     chosen = chosen.select(*names, "lang", (F.pmod("_o", F.lit(5)) == 0).alias("fold"))
