@@ -20,7 +20,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 SLICE_CHARS = 1 << 20
 LONG_WORD = 256
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 450_000
 COMMIT_EVERY = 64
 IDLE_SECONDS = 5
 
@@ -112,52 +112,66 @@ class Encoder:
         known = self.fits[left << 32 | right] = self.merge(spelled) == [left, right]
         return known
 
-    def viterbi(self, text: str):
-        """Yields lists of final ids. Unknown characters are given by their bytes, or by the unknown id."""
-        longest, known, fits, sizes = self.p.longest, self.p.ids.get, self.fits.get, self.p.sizes.get
-        base, last, width = 0, [-1], [0]  # the survivors from position base on, and their lengths
-        for end in range(1, len(text) + 1):
-            for size in sizes(text[end - 2 : end], (1,)) if end > 1 else (1,):
-                begin = end - size
-                if begin < base:
+    def advance(self, text: str, start: int, stop: int, base: int, last: list[int], width: list[int]) -> None:
+        """Append the survivors, and their lengths, of positions ``start`` to ``stop``; ``last`` begins at ``base``."""
+        known, fits, sizes, one = self.p.ids.get, self.fits.get, self.p.sizes.get, (1,)
+        for end in range(start, stop):
+            for size in sizes(text[end - 2 : end], one) if end > 1 else one:
+                at = end - size - base
+                if at < 0:
                     continue
-                piece = known(text[begin:end])
+                piece = known(text[end - size : end])
                 if piece is None:
                     continue
-                left = last[begin - base] if begin else -1
+                left = last[at]
                 if left >= 0:
                     fit = fits(left << 32 | piece)
-                    if fit is False or fit is None and not self.follows(left, piece, text[begin - width[begin - base] : end]):
+                    if fit is False or fit is None and not self.follows(left, piece, text[end - size - width[at] : end]):
                         continue
+                last.append(piece)
+                width.append(size)
                 break
             else:
-                piece, size = -1, 1
-            last.append(piece)
-            width.append(size)
-            if end % COMMIT_EVERY == 0 or end == len(text):
-                # Paths of all positions that can be continued; the longest piece reaches back so far and no further.
-                alive = {end} if end == len(text) else set(range(max(base, end - longest + 1), end + 1))
-                while len(alive) > 1:
-                    far = max(alive)
-                    alive.discard(far)
-                    alive.add(far - width[far - base])
-                meet = at = alive.pop()
-                path = []
-                while at > base:
-                    piece = last[at - base]
-                    if piece >= 0:
-                        path.append(piece)
-                    elif self.p.byte_ids:
-                        path += [self.p.byte_ids[b] for b in reversed(text[at - 1].encode())]
-                    else:
-                        path.append(self.p.unknown)
-                    at -= width[at - base]
-                path.reverse()
-                yield path
-                last, width, base = last[meet - base :], width[meet - base :], meet
+                last.append(-1)
+                width.append(1)
+
+    def path(self, text: str, at: int, base: int, last: list[int], width: list[int]) -> list[int]:
+        """Ids from ``base`` to ``at``. Unknown characters are given by their bytes, or by the unknown id."""
+        found = []
+        while at > base:
+            piece = last[at - base]
+            if piece >= 0:
+                found.append(piece)
+            elif self.p.byte_ids:
+                found += [self.p.byte_ids[b] for b in reversed(text[at - 1].encode())]
+            else:
+                found.append(self.p.unknown)
+            at -= width[at - base]
+        found.reverse()
+        return found
+
+    def viterbi(self, text: str):
+        """Yields lists of final ids."""
+        longest, base, last, width = self.p.longest, 0, [-1], [0]
+        for start in range(1, len(text) + 1, COMMIT_EVERY):
+            end = min(start + COMMIT_EVERY - 1, len(text))
+            self.advance(text, start, end + 1, base, last, width)
+            # Paths of all positions that can be continued; the longest piece reaches back so far and no further.
+            alive = {end} if end == len(text) else set(range(max(base, end - longest + 1), end + 1))
+            while len(alive) > 1:
+                far = max(alive)
+                alive.discard(far)
+                alive.add(far - width[far - base])
+            meet = alive.pop()
+            yield self.path(text, meet, base, last, width)
+            last, width, base = last[meet - base :], width[meet - base :], meet
 
     def final(self, text: str) -> bytes:
-        """Ids of a text as 32-bit integers."""
+        """Ids of a text as 32-bit integers. A text that fits the window is decided at its end."""
+        if len(text) <= COMMIT_EVERY:
+            last, width = [-1], [0]
+            self.advance(text, 1, len(text) + 1, 0, last, width)
+            return array("i", self.path(text, len(text), 0, last, width)).tobytes()
         return b"".join([array("i", ids).tobytes() for ids in self.viterbi(text)])
 
     def segments(self, text: str):
