@@ -6,18 +6,22 @@ import hashlib
 import re
 from bisect import bisect_right
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.spread import checked_join
 from .common import materialize, read_documents, row_key, slices, whole_text
+from .components import connected_components
+from .shingles import mix64
 
 KINDS = ("email", "ip", "card", "phone")
 DISCLOSURE = 0.9
 SUPPORT = 5
 MIN_TERM = 3
-LIKENESS = 0.3
+LIKENESS = 0.5
+BANDS = 16
 
 # The forms of the four kinds.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -146,13 +150,48 @@ def _line_words(docs: DataFrame) -> DataFrame:
     return docs.select(line).select(F.xxhash64("l").alias("line"), F.explode(words).alias("term"))
 
 
+def _bands(batches):
+    """Per line: the least hashes of its words, two orders at a time. Near copies agree in at least one such pair."""
+    salts = mix64(np.arange(1, 2 * BANDS + 1, dtype=np.uint64))
+    for batch in slices(batches):
+        bands = []
+        for words in batch.column("words").to_pylist():
+            tokens = np.array([int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little") for w in words], np.uint64)
+            least = np.array([mix64(tokens ^ s).min() for s in salts]).reshape(-1, 2)
+            bands.append(mix64(least[:, 0] ^ mix64(least[:, 1] ^ salts[::2])).view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column("line"), pa.array(bands, pa.list_(pa.int64()))], ["line", "bands"])
+
+
+def _near_copies(named: DataFrame, words: DataFrame) -> DataFrame:
+    """``entity``, ``line`` and ``copy``, one number for all lines of an entity that are near copies. Written.
+
+    Two lines are near copies when they share half of all their words, and so are those that a chain of such lines
+    connects. A line is compared with one line per band that it shares with others of its entity, so the work grows
+    with the lines, however many are alike. Lines without words are alone.
+    """
+    named = materialize(named.withColumn("v", F.xxhash64("entity", "line")))
+    bands = words.filter(F.size("words") > 0).mapInArrow(_bands, "line bigint, bands array<bigint>")
+    placed = named.join(bands.hint("shuffle_merge"), "line").select("entity", "v", "line", F.explode("bands").alias("band"))
+    placed = materialize(placed.select(F.xxhash64("entity", "band").alias("band"), "v", "line"))
+    heads = placed.groupBy("band").agg(F.min(F.struct("v", "line")).alias("head"), F.count(F.lit(1)).alias("m")).filter("m > 1")
+    pairs = placed.join(materialize(heads).hint("shuffle_merge"), "band").filter(F.col("v") != F.col("head.v"))
+    pairs = materialize(pairs.select("v", "line", F.col("head.v").alias("w"), F.col("head.line").alias("other")).distinct())
+    both = materialize(pairs.select("line", "other").distinct()).join(words.hint("shuffle_merge"), "line")
+    both = both.join(words.select(F.col("line").alias("other"), F.col("words").alias("others")).hint("shuffle_merge"), "other")
+    common = F.size(F.array_intersect("words", "others"))
+    alike = both.filter(common >= LIKENESS * (F.size("words") + F.size("others") - common)).select("line", "other")
+    links = pairs.join(materialize(alike).hint("shuffle_merge"), ["line", "other"]).select(F.col("v").alias("a"), F.col("w").alias("b"))
+    roots = connected_components(links)
+    return materialize(named.join(roots.hint("shuffle_merge"), "v", "left").select("entity", "line", F.coalesce("root", "v").alias("copy")))
+
+
 def disclosing_terms(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """Terms that reveal an entity: ``entity``, ``term``, ``share``. Written.
 
     With n counting different lines of the corpus and N all lines, PMI = log2(n(e,t) N / (n(e) n(t))) is what term t
     tells about entity e, and IC = log2(N / n(e)) what there is to know. A term discloses e when PMI >= disclosure * IC
-    and it was seen beside e in at least ``support`` different surroundings (the two words on either side of e). Lines
-    of e that share more than three tenths of their words on average are near copies of one text and no evidence.
+    and it was seen beside e in at least ``support`` different surroundings (the two words on either side of e) and as
+    many lines. In all of this, lines of e that are near copies of each other count as one line.
     Counts are over the whole corpus. Words are counted for candidate terms
     only; they are broadcast if they fit a checked size and are joined by a shuffle otherwise.
     """
@@ -165,29 +204,40 @@ def disclosing_terms(docs: DataFrame, disclosure: float = DISCLOSURE, support: i
     if often.isEmpty():
         return empty
     rows = found.join(often.select("entity").hint("shuffle_merge"), "entity", "left_semi")
-    per_line = materialize(rows.groupBy("entity", "near", "line").agg(F.first("words").alias("words")))
-    each = per_line.select("entity", "near", "line", F.explode("words").alias("term"))
-    shared = each.select("entity", "term", "line").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n"))
-    shared = shared.groupBy("entity").agg(F.sum(F.col("n") * (F.col("n") - 1)).alias("twice"), F.sum("n").alias("all"))
-    entity = per_line.select("entity", "line").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    # Words that two of an entity's lines share, of the words of one line: high where the lines are near copies.
-    alike = F.col("twice") / (F.col("n_e") - 1) / F.col("all")
-    entity = materialize(entity.filter("n_e > 1").join(shared, "entity").filter(alike <= LIKENESS).select("entity", "n_e"))
-    each = each.join(entity.select("entity").hint("shuffle_merge"), "entity", "left_semi")
-    seen = each.groupBy("entity", "term", "near").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= support)
-    seen = materialize(seen.select("entity", "term"))
+    words = materialize(rows.groupBy("line").agg(F.first("words").alias("words")))
+    per_line = materialize(rows.select("entity", "near", "line").distinct())
+    copies = _near_copies(per_line.select("entity", "line").distinct(), words)
+    # Lines, and lines with near copies as one.
+    entity = copies.groupBy("entity", "copy").agg(F.count(F.lit(1)).alias("n")).groupBy("entity").agg(F.sum("n").alias("all_e"), F.count(F.lit(1)).alias("n_e"))
+    entity = materialize(entity.filter(F.col("n_e") >= support))
+    if entity.isEmpty():
+        return empty
+    often = entity.select("entity").hint("shuffle_merge")
+    per_line = materialize(per_line.join(often, "entity", "left_semi").join(copies.hint("shuffle_merge"), ["entity", "line"]))
+    each = per_line.join(words.hint("shuffle_merge"), "line").select("entity", "near", "line", "copy", F.explode("words").alias("term"))
+
+    def different(rows, name):
+        rows = rows.groupBy("entity", "term", name).agg(F.lit(1).alias("one"))
+        return rows.groupBy("entity", "term").agg(F.count(F.lit(1)).alias(f"n_{name}"))
+
+    several = materialize(different(each, "copy").filter(F.col("n_copy") >= support))
+    each = each.join(several.select("entity", "term").hint("shuffle_merge"), ["entity", "term"], "left_semi")
+    seen = different(each, "near").filter(F.col("n_near") >= support)
+    seen = materialize(seen.join(several.hint("shuffle_merge"), ["entity", "term"]).select("entity", "term", F.col("n_copy").alias("n_both")))
     if seen.isEmpty():
         return empty
-    both = each.join(seen.hint("shuffle_merge"), ["entity", "term"], "left_semi").select("entity", "term", "line").distinct()
-    both = both.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
+    both = each.join(seen.hint("shuffle_merge"), ["entity", "term"]).select("entity", "term", "line", "n_both").distinct()
+    both = both.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("all_both"), F.first("n_both").alias("n_both"))
     terms = materialize(seen.select("term").distinct())
-    words = checked_join(_line_words(docs), terms, ["term"], rows=terms.count(), row_bytes=128)
-    term = words.distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    counted = checked_join(_line_words(docs), terms, ["term"], rows=terms.count(), row_bytes=128)
+    term = counted.distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     lines = docs.agg(F.sum(F.size(F.split(whole_text(), "\n", -1)))).first()[0]
-    n = F.lit(float(lines))
     joined = both.join(entity, "entity").join(term, "term")
+    n = F.lit(float(lines)) - F.col("all_e") + F.col("n_e")
     # A line may be cut differently in the two counts; a term is in no fewer lines than with the entity.
-    known = F.log2(F.col("n_both") * n / (F.col("n_e") * F.greatest("n_t", "n_both"))) / F.log2(n / F.col("n_e"))
+    n_t = F.greatest(F.col("n_t") - F.col("all_both"), F.lit(0)) + F.col("n_both")
+    # An entity that every line names has no information.
+    known = F.try_divide(F.log2(F.col("n_both") * n / (F.col("n_e") * n_t)), F.log2(n / F.col("n_e")))
     return materialize(joined.withColumn("share", known).filter(F.col("share") >= disclosure).select("entity", "term", "share"))
 
 

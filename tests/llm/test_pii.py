@@ -70,6 +70,22 @@ def test_terms_that_give_an_entity_away(documents):
     assert got[1000].base_sha256 == hashlib.sha256(got[1000].spans.split(",term")[0].encode()).hexdigest()
 
 
+def test_near_copies_count_once_and_hide_no_other_lines(documents):
+    r = random.Random(3)
+    plain = lambda: " ".join(f"word{r.randrange(400)}" for _ in range(8))
+    rows = [(i, plain()) for i in range(200)]
+    # Most lines with the address are near copies of one passage; zorgon stands beside it in six others.
+    line = [f"near{i}" for i in range(30)]
+    rows += [(1000 + i, f"{plain()} zorgon u{i} v{i} z@ex.org s{i} t{i} {plain()}") for i in range(6)]
+    rows += [(2000 + i, " ".join([*line[:28], f"other{i}", f"a{i}", f"b{i}", "z@ex.org", f"c{i}", f"d{i}"])) for i in range(40)]
+    # Four others and many near copies of a fifth line are five lines; three others and such copies are four.
+    for name, others in (("flimmo", 4), ("dralle", 3)):
+        rows += [(3000 + i, f"{plain()} {name} u{i} v{i} {name}@ex.org s{i} t{i} {plain()}") for i in range(others)]
+        rows += [(4000 + i, " ".join([name, *line, f"a{i}", f"b{i}", f"{name}@ex.org", f"c{i}", f"d{i}"])) for i in range(40)]
+    found = {(x.entity, x.term) for x in P.disclosing_terms(documents(rows)).collect()}
+    assert found == {("email:z@ex.org", "zorgon"), ("email:flimmo@ex.org", "flimmo")}
+
+
 def test_generalised_or_removed():
     assert P.generalised("AB12c") == "xx00x" and P.generalised("zorgon") == ""
     assert P.sanitise("a 1.2.3.4 b", [("ip", 2, 9), ("phone", 2, 9)]) == "a [IP] b"
