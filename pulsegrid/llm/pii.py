@@ -116,8 +116,27 @@ def sanitise(text: str, spans: list[tuple[str, int, int]]) -> str:
 # ---- what terms give away ----
 
 
+def _last(line: str, end: int) -> list[str]:
+    """The last two words before ``end``, without a look at the whole line."""
+    for reach in (64, 1024, 1 << 15):
+        if reach < end:
+            found = line[end - reach : end].split()
+            if len(found) > 2:  # the first may be cut
+                return found[-2:]
+    return line[:end].split()[-2:]
+
+
+def _next(line: str, begin: int) -> list[str]:
+    for reach in (64, 1024, 1 << 15):
+        if begin + reach < len(line):
+            found = line[begin : begin + reach].split()
+            if len(found) > 2:  # the last may be cut
+                return found[:2]
+    return line[begin:].split()[:2]
+
+
 def _contexts(batches):
-    """Per entity found and line it stands in: the entity, its nearest words, and the line's distinct other words."""
+    """Per entity found and line it stands in: the entity and its nearest words. Per such line: its distinct other words."""
     for batch in slices(batches):
         rows = []
         for text in batch.column("text").to_pylist():
@@ -129,15 +148,17 @@ def _contexts(batches):
                 lines.setdefault((begin, len(text) if end < 0 else end), []).append((kind, a, b))
             for (begin, end), inside in lines.items():
                 line = text[begin:end]
-                blank = list(line)
-                for _, a, b in inside:
-                    blank[a - begin : b - begin] = " " * (b - a)
-                blank = "".join(blank)
+                parts, at = [], 0
+                for _, a, b in sorted(inside, key=lambda x: x[1:]):
+                    parts += [line[at : max(a - begin, at)], " " * (b - begin - max(a - begin, at))]
+                    at = max(b - begin, at)
+                blank = "".join(parts) + line[at:]
                 words = sorted({w.lower() for w in WORD.findall(blank) if len(w) >= MIN_TERM})
                 digest = int.from_bytes(hashlib.blake2b(line.encode(), digest_size=8).digest(), "little", signed=True)
                 for kind, a, b in inside:
-                    near = " ".join(blank[: a - begin].split()[-2:] + ["_"] + blank[b - begin :].split(None, 2)[:2])
-                    rows.append((f"{kind}:{text[a:b].lower()}", near, digest, words))
+                    near = " ".join(_last(blank, a - begin) + ["_"] + _next(blank, b - begin))
+                    rows.append((f"{kind}:{text[a:b].lower()}", near, digest, None))
+                rows.append((None, None, digest, words))
         names = ["entity", "near", "line", "words"]
         types = [pa.string(), pa.string(), pa.int64(), pa.list_(pa.string())]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
@@ -199,13 +220,14 @@ def disclosing_terms(docs: DataFrame, disclosure: float = DISCLOSURE, support: i
     found = docs.select("text").mapInArrow(_contexts, "entity string, near string, line bigint, words array<string>")
     found = materialize(found)
     # Only entities with enough surroundings can be disclosed; copies are combined before they are shuffled.
-    often = found.groupBy("entity", "near").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= support)
+    often = found.filter("entity is not null").groupBy("entity", "near").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= support)
     often = materialize(often)
     if often.isEmpty():
         return empty
     rows = found.join(often.select("entity").hint("shuffle_merge"), "entity", "left_semi")
-    words = materialize(rows.groupBy("line").agg(F.first("words").alias("words")))
     per_line = materialize(rows.select("entity", "near", "line").distinct())
+    words = found.filter("words is not null").join(per_line.select("line").distinct().hint("shuffle_merge"), "line", "left_semi")
+    words = materialize(words.groupBy("line").agg(F.first("words").alias("words")))
     copies = _near_copies(per_line.select("entity", "line").distinct(), words)
     # Lines, and lines with near copies as one.
     entity = copies.groupBy("entity", "copy").agg(F.count(F.lit(1)).alias("n")).groupBy("entity").agg(F.sum("n").alias("all_e"), F.count(F.lit(1)).alias("n_e"))

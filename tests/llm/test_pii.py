@@ -86,6 +86,16 @@ def test_near_copies_count_once_and_hide_no_other_lines(documents):
     assert found == {("email:z@ex.org", "zorgon"), ("email:flimmo@ex.org", "flimmo")}
 
 
+def test_a_line_s_words_are_written_once():
+    import pyarrow as pa
+
+    line = " ".join(f"name{i} surname{i} a{i}@ex.org" for i in range(3_000))
+    rows = [r for b in P._contexts([pa.RecordBatch.from_pydict({"text": [line + "\nno entity", None]})]) for r in b.to_pylist()]
+    assert sum(len(r["words"] or ()) for r in rows) == 6_000 and len({r["line"] for r in rows}) == 1
+    found = {r["entity"]: r["near"] for r in rows if r["entity"]}
+    assert len(found) == 3_000 and found["email:a7@ex.org"] == "name7 surname7 _ name8 surname8"
+
+
 def test_generalised_or_removed():
     assert P.generalised("AB12c") == "xx00x" and P.generalised("zorgon") == ""
     assert P.sanitise("a 1.2.3.4 b", [("ip", 2, 9), ("phone", 2, 9)]) == "a [IP] b"
