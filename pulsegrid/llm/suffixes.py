@@ -69,15 +69,18 @@ def _post(length: int, gram: int, parts: int):
                 for name in ("id", "k", "t1", "t2"):
                     head[name] = batch.column(name).slice(begin, end - begin).to_numpy()
                 head["null"] = batch.column("doc_id").slice(begin, end - begin).is_null().to_numpy(zero_copy_only=False)
-                grams, seen = [], set()
+                # Of copies inside the batch, the row that can come first in the corpus stands for all.
+                by = np.lexsort((head["k"], head["id"], head["t2"], head["t1"]))
+                posts = np.ones(len(head), bool)
+                posts[by[1:]] = (head["t1"][by[1:]] != head["t1"][by[:-1]]) | (head["t2"][by[1:]] != head["t2"][by[:-1]])
+                grams = []
                 for i in range(begin, end):
                     text = data[offsets[i] : offsets[i + 1]]
                     row = head[i - begin]
                     row["bytes"], row["sha"] = len(text), hashlib.sha256(text).digest()
-                    if (row["t1"], row["t2"]) in seen:  # a copy inside the batch adds nothing
+                    if not posts[i - begin]:  # a copy inside the batch adds nothing
                         grams.append(np.empty(0, np.uint64))
                         continue
-                    seen.add((row["t1"], row["t2"]))
                     grams.append(anchors(text, length, gram)[1])
                     row["anchors"] = len(grams[-1])
                 yield _pack(head, grams, parts, (context.partitionId() << 32) | number)

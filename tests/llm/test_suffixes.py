@@ -58,6 +58,16 @@ def test_production_length_long_text_and_clashing_columns(documents, clashing):
     assert got[3][1] == 0 and got[4][1] == 100 and got[2][1] == 150 and got[5][1] == 60_000
 
 
+def test_copies_in_a_batch_whose_rows_are_not_in_order(spark):
+    r = random.Random(4)
+    text = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage, other = text(200), text(150)
+    copied = text(50) + passage + other + text(50) + other
+    rows = [(9, "z" + other), (8, copied), (7, "y" + passage), (5, copied), (2, passage + "x"), (1, text(300))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    assert {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in S.remove_repeats(docs).collect()} == brute(rows, 100)
+
+
 def test_repeated_rows_null_ids_and_empty_table(documents):
     text = "0123456789" * 20 + "end"
     found = S.remove_repeats(documents([(2, text), (2, text), (None, "z" + text), (3, text)])).collect()
