@@ -81,16 +81,11 @@ def _anchors(data, length, gram, at):
     for r in np.flatnonzero(~single):
         spots = order[lo[r] : hi[r]]
         s, e = change[r], ends[r] - 1
-        spots = spots[(spots >= s) & (spots < e + span)]
+        spots = spots[np.searchsorted(spots, s) : np.searchsorted(spots, e + span)]
         # start t is served by the first spot >= t
-        begin = s
-        for spot in spots:
-            if spot < begin:
-                continue
-            places.append(np.array([spot])), first.append(np.array([begin])), last.append(np.array([min(spot, e)]))
-            begin = spot + 1
-            if begin > e:
-                break
+        begin = np.concatenate([[s], spots[:-1] + 1])
+        spots, begin = spots[begin <= e], begin[begin <= e]
+        places.append(spots), first.append(begin), last.append(np.minimum(spots, e))
     p, f, l = (np.concatenate(x).astype(np.int64) for x in (places, first, last))
     by = np.argsort(f, kind="stable")
     return p[by] + at, hashes[p[by]], f[by] + at, l[by] + at

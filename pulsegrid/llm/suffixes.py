@@ -34,6 +34,7 @@ BATCH_BYTES = 8 << 20
 SAMPLES_PER_PART = 32
 MAX_HOT = 5_000
 MIN_HOT = 4_000
+NEIGHBOURS = 1 << 12
 COUNTED = 1 << 31
 SMALLEST = -(2**63)
 
@@ -180,7 +181,8 @@ def _suffixes(length: int, gram: int, parts: int, splitters: np.ndarray, hot: np
             if len(hot):
                 at = np.minimum(np.searchsorted(hot, items["key"]), len(hot) - 1)
                 is_hot = hot[at] == items["key"]
-                spread = mix64(items["k"].view(np.uint64)) % pieces[at].astype(np.uint64)
+                # By document and place, as one document may have any number; neighbours stay together.
+                spread = mix64(items["k"].view(np.uint64) ^ mix64((items["at"] // NEIGHBOURS).astype(np.uint64))) % pieces[at].astype(np.uint64)
                 bucket[is_hot] = (offsets[at] + spread.astype(np.int64))[is_hot]
             by = np.argsort(bucket, kind="stable")
             bucket = bucket[by]
@@ -297,6 +299,18 @@ def repeats(items: np.ndarray, left: np.ndarray, right: np.ndarray, length: int,
     return again, first
 
 
+def joined_spans(ids: np.ndarray, k: np.ndarray, at: np.ndarray, to: np.ndarray) -> pd.DataFrame:
+    """Spans of documents, with those that overlap or touch as one."""
+    by = np.lexsort((at, k, ids))
+    ids, k, at, to = ids[by], k[by], at[by], to[by]
+    document = np.cumsum((np.diff(ids, prepend=ids[:1]) != 0) | (np.diff(k, prepend=k[:1]) != 0))
+    reach = np.maximum.accumulate(document * (1 << 40) + to)  # how far the spans so far go, by document
+    new = np.ones(len(by), bool)
+    new[1:] = document[1:] * (1 << 40) + at[1:] > reach[:-1]
+    last = np.append(np.flatnonzero(new)[1:], len(by)) - 1 if len(by) else by
+    return pd.DataFrame({"id": ids[new], "k": k[new], "at": at[new], "to": reach[last] - document[last] * (1 << 40)})
+
+
 def _bucket(length: int, gram: int, ranges: int):
     span = length - gram + 1
     out = {"kind": "int32", "id": "int64", "k": "int64", "at": "int64", "to": "int64", "s1": "int64", "s2": "int64"}
@@ -315,7 +329,7 @@ def _bucket(length: int, gram: int, ranges: int):
         row, low = np.nonzero(edge > 0)
         high = np.nonzero(edge < 0)[1] - 1
         at = items["at"][row]
-        found = [pd.DataFrame({"kind": 0, "id": items["id"][row], "k": items["k"][row], "at": at - high, "to": at - low + length, "s1": 0, "s2": 0})]
+        found = [joined_spans(items["id"][row], items["k"][row], at - high, at - low + length).assign(kind=0, s1=0, s2=0)]
         if key[0] >= ranges:  # a piece of a hot gram: what is first here is compared with the other pieces
             row, offset = np.nonzero(first)
             shown = [left[r, :o][::-1].tobytes() + right[r, : span - 1 - o].tobytes() for r, o in zip(row.tolist(), offset.tolist())]
@@ -323,7 +337,7 @@ def _bucket(length: int, gram: int, ranges: int):
             marks = np.frombuffer(b"".join(marks), "<i8").reshape(-1, 2)
             at = items["at"][row] - offset
             found.append(pd.DataFrame({"kind": 1, "id": items["id"][row], "k": items["k"][row], "at": at, "to": at + length, "s1": marks[:, 0], "s2": marks[:, 1]}))
-        return pd.concat(found).astype(out)
+        return pd.concat(found)[list(out)].astype(out)
 
     return run
 
@@ -334,11 +348,11 @@ def _bucket(length: int, gram: int, ranges: int):
 def _cut(batches):
     for batch in slices(batches):
         removed, spans, sha, kept = [], [], [], []
-        for packed, found in zip(batch.column("packed").to_pylist(), batch.column("found").to_pylist()):
+        for packed, found in zip(batch.column("packed").to_pylist(), batch.column("found")):
             text = unpack_text(packed)
             edge = np.zeros(len(text) + 1, np.int64)
-            np.add.at(edge, [f["at"] for f in found], 1)
-            np.add.at(edge, [f["to"] for f in found], -1)
+            np.add.at(edge, found.values.field("at").to_numpy(zero_copy_only=False), 1)
+            np.add.at(edge, found.values.field("to").to_numpy(zero_copy_only=False), -1)
             gone = np.cumsum(edge[:-1]) > 0
             rest = text[~gone].tobytes()
             removed.append(int(gone.sum())), spans.append(int((np.diff(gone, prepend=False) & gone).sum()))

@@ -68,6 +68,33 @@ def test_copies_in_a_batch_whose_rows_are_not_in_order(spark):
     assert {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in S.remove_repeats(docs).collect()} == brute(rows, 100)
 
 
+def test_run_of_several_megabytes_in_one_document(documents):
+    import pyarrow as pa
+    import zstandard
+
+    n = 3_000_000
+    text = b"head" + b" " * n + b"tail"
+    places, hashes, _, _ = A.anchors(np.frombuffer(text, np.uint8), 100, 40)
+    alive = np.arange(len(places), dtype="<u4")
+    hot = S.order_key(hashes[len(hashes) // 2 :][:1], 16)
+    rows = pa.RecordBatch.from_pydict({"id": [1], "k": [77], "packed": [zstandard.ZstdCompressor().compress(text)], "alive": [alive.tobytes()]})
+    sizes = {}
+    for out in S._suffixes(100, 40, 16, np.empty(0, np.uint64), hot, np.array([750]))([rows]):
+        for bucket, blob in zip(out.column("bucket").to_pylist(), out.column("blob").to_pylist()):
+            sizes[bucket] = sizes.get(bucket, 0) + len(zstandard.ZstdDecompressor().decompress(blob)) // (S.ITEM.itemsize + 120)
+    assert sum(sizes.values()) >= n - 200 and max(sizes.values()) < n / 50
+    rows = [(1, text.decode()), (2, "x" + " " * 200)]
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans) for x in S.remove_repeats(documents(rows)).collect()}
+    assert got == {1: (n + 8, n - 1, 1), 2: (201, 200, 1)}
+
+
+def test_joined_spans():
+    one, k = np.array([5, 5, 5, 4, 5, 5]), np.array([1, 1, 1, 9, 2, 1])
+    got = S.joined_spans(one, k, np.array([10, 0, 3, 7, 2, 31]), np.array([30, 8, 5, 9, 4, 40]))
+    assert got.values.tolist() == [[4, 9, 7, 9], [5, 1, 0, 8], [5, 1, 10, 30], [5, 1, 31, 40], [5, 2, 2, 4]]
+    assert len(S.joined_spans(*[np.empty(0, np.int64)] * 4)) == 0
+
+
 def test_repeated_rows_null_ids_and_empty_table(documents):
     text = "0123456789" * 20 + "end"
     found = S.remove_repeats(documents([(2, text), (2, text), (None, "z" + text), (3, text)])).collect()
