@@ -239,6 +239,43 @@ def article_paths(wrapper: dict) -> list[tuple[str, ...]]:
         path, node = (*path, heavy["k"]), heavy
 
 
+def aligned(block: list, node: dict | None) -> list[dict | None]:
+    """For every child of the page's block, the wrapper's child that it is a case of, in the order of both.
+
+    Neighbours of one form are one group as in ``wrapper_of``, and a wrapper's child takes one group. As many groups as
+    possible have one, and of the wrapper's children those that are not optional come first.
+    """
+    keys, place = [], []
+    for child in block[1]:
+        key = "#" if isinstance(child, str) else child[0]
+        for back in (1, 2):
+            if len(keys) >= back and keys[-back] == key and (back == 1 or key != "#"):
+                place.append(len(keys) - back)
+                break
+        else:
+            place.append(len(keys))
+            keys.append(key)
+    known = node["c"] if node else []
+    if keys == [c["k"] for c in known]:
+        return [known[i] for i in place]
+    best = [[0] * (len(known) + 1) for _ in range(len(keys) + 1)]
+    for i in range(len(keys) - 1, -1, -1):
+        for j in range(len(known) - 1, -1, -1):
+            best[i][j] = max(best[i + 1][j], best[i][j + 1])
+            if keys[i] == known[j]["k"]:
+                best[i][j] = max(best[i][j], best[i + 1][j + 1] + 2 - known[j]["o"])
+    chosen, i, j = [None] * len(keys), 0, 0
+    while i < len(keys) and j < len(known):
+        if keys[i] == known[j]["k"] and best[i][j] == best[i + 1][j + 1] + 2 - known[j]["o"]:
+            chosen[i] = known[j]
+            i, j = i + 1, j + 1
+        elif best[i][j] == best[i][j + 1]:
+            j += 1
+        else:
+            i += 1
+    return [chosen[i] for i in place]
+
+
 def extract(page: list, wrapper: dict, paths: list[tuple[str, ...]]) -> str:
     """The page's article, read along the wrapper: the text of its slots in page order.
 
@@ -249,29 +286,22 @@ def extract(page: list, wrapper: dict, paths: list[tuple[str, ...]]) -> str:
     varied = len(wrapper.get("d", ())) >= TEMPLATE_PAGES
 
     def read(block, node):
-        known = {}
-        for child in node["c"] if node else ():
-            known.setdefault(child["k"], child)
-        for child in block[1]:
+        for child, case in zip(block[1], aligned(block, node)):
             if isinstance(child, str):
-                slot = known.get("#")
-                fixed = varied and slot and slot["lo"] == slot["hi"] and slot["n"] >= TEMPLATE_PAGES and not slot["r"]
+                fixed = varied and case and case["lo"] == case["hi"] == _slot(child)["lo"] and case["n"] >= TEMPLATE_PAGES and not case["r"]
                 if not fixed:
                     parts.append(child)
             elif not boilerplate(child[0]):
-                read(child, known.get(child[0]))
+                read(child, case)
 
     def enter(block, node, paths):
         if () in paths:
             read(block, node)
             return
-        for child in block[1]:
-            if isinstance(child, str):
-                continue
-            rest = [p[1:] for p in paths if p[0] == child[0]]
+        for child, case in zip(block[1], aligned(block, node)):
+            rest = [] if isinstance(child, str) else [p[1:] for p in paths if p[0] == child[0]]
             if rest:
-                below = next((c for c in node["c"] if c["k"] == child[0]), {"c": []}) if node else {"c": []}
-                enter(child, below, rest)
+                enter(child, case, rest)
 
     enter(page, wrapper, paths)
     return " ".join(parts)

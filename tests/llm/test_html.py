@@ -35,6 +35,16 @@ def test_template_words_on_every_page_go_and_optional_blocks_stay(spark):
     assert set(extracted(spark, copies).values()) == {"Same one two"}
 
 
+def test_fixed_first_paragraph_stands_for_itself_only(spark):
+    body = "<html><body><article><p>Advertisement</p><h1>T{0}</h1><figure>f{0}</figure><p>the body of {0}</p><p>more {0}</p></article></body></html>"
+    got = extracted(spark, [(i, f"https://i.example/{i}", body.format(i)) for i in range(20)])
+    assert got[3] == "T3 f3 the body of 3 more 3"
+    # The article's way leads through the second of two blocks of one form.
+    body = "<body><div><p>Same</p></div><hr><ul><li>x</li></ul><h2>y</h2><div><main><p>Fixed</p><ul><li>{0}</li></ul><h2>z{0}</h2><p>own text {0}</p></main></div></body>"
+    got = extracted(spark, [(i, f"https://j.example/{i}", body.format(i)) for i in range(20)])
+    assert got[3] == "3 z3 own text 3"
+
+
 def test_pages_without_article_elements(spark):
     body = "<body><div id=menu><p>Menu words</p></div><div class=wrap><div class=text><p>{0} long text goes here and on</p><p>and on {0}</p></div></div><div class=sidebar>links</div></body>"
     got = extracted(spark, [(i, "http://d.example/", body.format(i)) for i in range(3)])
