@@ -280,30 +280,32 @@ def extract(page: list, wrapper: dict, paths: list[tuple[str, ...]]) -> str:
     """The page's article, read along the wrapper: the text of its slots in page order.
 
     ``paths`` are the wrapper's ``article_paths``. A slot that holds the same words on all pages of a host with at least
-    8 different articles is part of the template.
+    8 different articles is part of the template: neither it nor a block around it is optional. A page that has neither
+    text nor blocks does not count.
     """
     parts: list[str] = []
     varied = len(wrapper.get("d", ())) >= TEMPLATE_PAGES
 
-    def read(block, node):
+    def read(block, node, always):
         for child, case in zip(block[1], aligned(block, node)):
             if isinstance(child, str):
-                fixed = varied and case and case["lo"] == case["hi"] == _slot(child)["lo"] and case["n"] >= TEMPLATE_PAGES and not case["r"]
+                fixed = always and case and not case["o"] and not case["r"] and case["n"] >= wrapper["n"]
+                fixed = fixed and case["lo"] == case["hi"] == _slot(child)["lo"]
                 if not fixed:
                     parts.append(child)
             elif not boilerplate(child[0]):
-                read(child, case)
+                read(child, case, bool(always and case and not case["o"]))
 
-    def enter(block, node, paths):
+    def enter(block, node, paths, always):
         if () in paths:
-            read(block, node)
+            read(block, node, always)
             return
         for child, case in zip(block[1], aligned(block, node)):
             rest = [] if isinstance(child, str) else [p[1:] for p in paths if p[0] == child[0]]
             if rest:
-                enter(child, case, rest)
+                enter(child, case, rest, bool(always and case and not case["o"]))
 
-    enter(page, wrapper, paths)
+    enter(page, wrapper, paths, varied)
     return " ".join(parts)
 
 
@@ -312,6 +314,11 @@ def host_of(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
+def joined(a: dict, b: dict) -> dict:
+    """``merge`` of two wrappers of a host; empty pages make nothing optional."""
+    return merge(a, b) if a["c"] and b["c"] else a if a["c"] else b
+
+
 def _infer(batches):
     """Fold the pages of a task into one wrapper per host."""
     found: dict[str, tuple[dict, int]] = {}
@@ -319,7 +326,7 @@ def _infer(batches):
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
             new = page_wrapper(parse(page or ""))
             old = found.get(host)
-            found[host] = (merge(old[0], new), old[1] + 1) if old else (new, 1)
+            found[host] = (joined(old[0], new), old[1] + 1) if old else (new, 1)
     salt = TaskContext.get().partitionId() % SALTS
     yield pa.RecordBatch.from_pydict(
         {"host": pa.array(list(found), pa.string()), "salt": pa.array([salt] * len(found), pa.int32()), "wrapper": pa.array([json.dumps(w) for w, _ in found.values()], pa.string()), "pages": pa.array([n for _, n in found.values()], pa.int64())}
@@ -330,7 +337,7 @@ def _join(frame: pd.DataFrame) -> pd.DataFrame:
     rows = sorted(frame["wrapper"])
     whole = json.loads(rows[0])
     for row in rows[1:]:
-        whole = merge(whole, json.loads(row))
+        whole = joined(whole, json.loads(row))
     return pd.DataFrame({"host": [frame["host"].iloc[0]], "salt": [0], "wrapper": [json.dumps(whole)], "pages": [frame["pages"].sum()]})
 
 
@@ -372,7 +379,8 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     Blocks are trimmed, their white space is one space, and they are joined by one space in page order. Null and empty
     pages, and pages without an article, have an empty text. Pages with a null url, or one without a host, share the
-    empty host. Other columns are ignored; repeated rows are returned each. Wrappers of hot hosts are broadcast, the
+    empty host. Words that are the same on all pages of a host are left out if at least 8 of its articles differ; a host
+    with fewer keeps them, and so does one with a page that has them not. Other columns are ignored; repeated rows are returned each. Wrappers of hot hosts are broadcast, the
     others join by host.
     """
     wrappers = infer_wrappers(pages)

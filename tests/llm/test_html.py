@@ -45,6 +45,17 @@ def test_fixed_first_paragraph_stands_for_itself_only(spark):
     assert got[3] == "3 z3 own text 3"
 
 
+def test_words_of_some_pages_only_stay(spark):
+    some = lambda i: "<h2>Conclusion</h2><p>end</p>" if i < 12 else ""
+    pages = [(i, f"https://k.example/{i}", page(f"T{i}", [f"the longer text {i}"], "<div class=x>Read on</div>" + some(i))) for i in range(30)]
+    got = extracted(spark, [*pages, (30, "https://k.example/30", None)])
+    assert got[3] == "T3 the longer text 3 Conclusion end" and got[20] == "T20 the longer text 20" and got[30] == ""
+    # A fixed slot inside an optional block.
+    some = lambda i: "<section><h3>Author</h3><p>about {0}</p></section>".format(i) if i < 12 else ""
+    got = extracted(spark, [(i, f"https://l.example/{i}", page(f"T{i}", [f"the longer text {i}"], some(i))) for i in range(30)])
+    assert got[3] == "T3 the longer text 3 Author about 3"
+
+
 def test_pages_without_article_elements(spark):
     body = "<body><div id=menu><p>Menu words</p></div><div class=wrap><div class=text><p>{0} long text goes here and on</p><p>and on {0}</p></div></div><div class=sidebar>links</div></body>"
     got = extracted(spark, [(i, "http://d.example/", body.format(i)) for i in range(3)])
