@@ -124,11 +124,16 @@ def mix(
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs``, each as often as the mixture takes it. Any further columns stay."""
+    """The rows of ``docs``, each as often as the mixture takes it, in the mixture's order. Any further columns stay.
+
+    Rows are written block by block and by rank inside a block, so every part of what is written has the mixture's
+    weights. Ranges are cut by block and rank, so no block has to fit into one task.
+    """
     emitted, _ = mix(docs, **how)
-    times = emitted.groupBy("_k1", "_k2").agg(F.count(F.lit(1)).alias("_times"))
+    times = materialize(emitted.select("_k1", "_k2", "block", "rank"))
     taken = whole_rows(docs, "doc_id", "source").join(times.hint("shuffle_merge"), ["_k1", "_k2"])
-    return taken.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_times")))).select("_row.*")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return taken.repartitionByRange(parts, "block", "rank").sortWithinPartitions("block", "rank").select("_row.*")
 
 
 def op7_mixing(spark, folder):

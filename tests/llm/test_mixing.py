@@ -41,6 +41,15 @@ def test_repeat_limit_loses_nothing_and_meets_weights(documents):
     assert sorted(first) == list(range(460, 480))
 
 
+def test_mixed_documents_are_written_in_the_mixture_s_order(documents, spark, tmp_path):
+    docs = corpus(documents, {"a": 300, "b": 100, "c": 20})
+    emitted = M.mix(docs)[0].collect()
+    M.mixed_documents(docs).write.parquet(str(tmp_path / "mixed"))
+    files = sorted((tmp_path / "mixed").glob("part-*"))
+    got = [r.doc_id for f in files for r in spark.read.parquet(str(f)).collect()]
+    assert len(files) > 1 and got == [r.doc_id for r in sorted(emitted, key=lambda r: (r.block, r["rank"]))]
+
+
 def test_entropy_target(documents):
     docs = corpus(documents, {"a": 300, "b": 30, "c": 3})
     _, sources = M.mix(docs, entropy=1.0)
