@@ -9,6 +9,7 @@ from .mixing import OP7_SQL, op7_mixing
 from .near import op6_jaccard_join
 from .pieces import op9_sentencepiece
 from .pii import op10_personal_data
+from .rules import OP11_SQL, op11_quality_rules
 from .suffixes import op2_suffix_dedup
 
 QUERIES = {
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_main_text": op8_main_text,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_personal_data": op10_personal_data,
+    "op11_quality_rules": op11_quality_rules,
 }
 
-ORACLES = {"op3_line_dedup": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op7_mixing": OP7_SQL}
+ORACLES = {"op3_line_dedup": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op7_mixing": OP7_SQL, "op11_quality_rules": OP11_SQL}
