@@ -53,7 +53,7 @@ THRESHOLDS = (
     Rule("word_length", "word_chars", "n_words", low=2, high=14),
     Rule("symbols", "n_symbols", "n_words", high=0.1),
     Rule("stop_words", "n_stop", "n_words", low=0.02),
-    Rule("repeated_lines", "n_dup_lines", "n_lines", high=0.3),
+    Rule("repeated_lines", "n_dup_lines", "n_lines", high=0.5),
     Rule("open_lines", "n_open_lines", "n_lines", high=0.9),
     Rule("repeated_words", "n_repeat_words", "n_words", high=0.3),
 )
