@@ -7,9 +7,10 @@ the alignment of a window is looked up by its two tuples of ids, and worked out
 
 from __future__ import annotations
 
+import json
 import math
-import os
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,9 @@ from .common import materialize, read_documents, scratch, slices
 TOKENIZERS = "/opt/tokenizers"
 TOKENIZER_A = "byte_bpe_50k.json"
 TOKENIZER_B = "piece_bpe_32k.model"
-WINDOWS_KEPT = 200_000
+# Fixed value: how the vocabulary's texts were cut into words.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+WINDOWS_KEPT = 300_000
 LONGEST_KEPT = 64
 DOCS_PER_BATCH = 64
 BATCH_BYTES = 8 << 20
@@ -44,26 +47,32 @@ class Vocabulary:
 
     def __init__(self, spelled: list[bytes]):
         self.spelled = spelled
-        self.length = np.array([len(x) for x in spelled], np.int64)
+        self.lengths = [len(x) for x in spelled]
+        self.length = np.array(self.lengths, np.int64)
         self.spaced = np.array([x[:1] == b" " for x in spelled])
 
 
 class ByteLevel(Vocabulary):
-    """A byte-level BPE file; texts are encoded behind a space, and special tokens are plain text."""
+    """A byte-level BPE file; texts are encoded behind a space, and no string is a special token.
+
+    Every byte has an id, so the tokens of a text always spell it. The file's merges stand in the order of the ids they
+    make, so the ids of the bytes say which pair is merged first.
+    """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
         letters = byte_letters()
-        spelled = [b""] * self.tokenizer.get_vocab_size(with_added_tokens=True)
-        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
-            spelled[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
-        super().__init__(spelled)
+        ranks = {bytes(letters[c] for c in token): i for token, i in model["vocab"].items() if all(c in letters for c in token)}
+        super().__init__([x for x, _ in sorted(ranks.items(), key=lambda item: item[1])])
+        if sorted(ranks.values()) != list(range(len(ranks))):
+            raise ValueError(f"ids of {path} have gaps")
+        self.encoding = tiktoken.Encoding("A", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast([" " + x for x in texts], add_special_tokens=False)]
+        return [self.encoding.encode_ordinary(" " + x) for x in texts]
 
 
 class Pieces(Vocabulary):
@@ -80,88 +89,137 @@ class Pieces(Vocabulary):
         return self.model.encode(texts, num_threads=1)
 
 
-def groups_of(a: tuple[int, ...], b: tuple[int, ...], length_a: np.ndarray, length_b: np.ndarray):
-    """The groups of a window as index ranges of both: cuts are where tokens of both end. Ends coincide at the last."""
-    end_a, end_b = np.cumsum(length_a[list(a)]), np.cumsum(length_b[list(b)])
-    at = np.searchsorted(end_b, end_a)
-    cut = np.flatnonzero(end_b[np.minimum(at, len(end_b) - 1)] == end_a)
-    return list(zip(np.append(0, cut[:-1] + 1).tolist(), (cut + 1).tolist(), np.append(0, at[cut[:-1]] + 1).tolist(), (at[cut] + 1).tolist()))
+def groups_of(a: list[int], b: list[int], length_a: list[int], length_b: list[int]):
+    """The groups of a window as index ranges of both: cuts are where tokens of both end. The last ends coincide."""
+    i = j = first_a = first_b = 0
+    end_a, end_b = length_a[a[0]], length_b[b[0]]
+    while True:
+        if end_a < end_b:
+            i += 1
+            end_a += length_a[a[i]]
+        elif end_b < end_a:
+            j += 1
+            end_b += length_b[b[j]]
+        else:
+            i, j = i + 1, j + 1
+            yield first_a, i, first_b, j
+            if i == len(a):
+                return
+            first_a, first_b = i, j
+            end_a += length_a[a[i]]
+            end_b += length_b[b[j]]
 
 
 class Windows(dict):
-    """Alignments of windows by their tuples of ids: text, groups, links, and how often each pair of ids is linked."""
+    """Numbers of windows by their ids, packed as (number of A's ids, A's ids, B's ids) in 32 bits each.
+
+    By number: the groups as text, how many they are, how many links they have, and the linked pairs, each as often as
+    it is linked. A window with very many links has its pairs in ``many`` instead, with counts.
+    """
 
     def __init__(self, a: Vocabulary, b: Vocabulary):
         super().__init__()
         self.a, self.b = a, b
-
-    def __missing__(self, window):
-        a, b = window
-        if len(a) == len(b) == 1:
-            out = f"{a[0]}|{b[0]}", 1, 1, (((a[0] << PAIR_BITS) | b[0], 1),)
-        else:
-            out = self.work_out(a, b)
-        if len(a) + len(b) <= LONGEST_KEPT:
-            if len(self) >= WINDOWS_KEPT:
-                self.clear()
-            self[window] = out
-        return out
-
-    def work_out(self, a, b):
-        spelled, links, pairs = [], 0, Counter()
-        for lo, hi, low, high in groups_of(a, b, self.a.length, self.b.length):
-            spelled.append(f"{','.join(map(str, a[lo:hi]))}|{','.join(map(str, b[low:high]))}")
+        self.text: list[str] = []
+        self.groups: list[int] = []
+        self.links: list[int] = []
+        self.pairs: list[tuple[int, ...]] = []
+        self.many: dict[int, Counter] = {}
+
+    def make_room(self) -> None:
+        """Forget all windows if they are too many; numbers given before are void then."""
+        if len(self.text) > WINDOWS_KEPT:
+            self.clear()
+            for kept in (self.text, self.groups, self.links, self.pairs, self.many):
+                kept.clear()
+
+    def __missing__(self, packed: bytes) -> int:
+        n_a, *ids = memoryview(packed).cast("i")
+        a, b = ids[:n_a], ids[n_a:]
+        spelled, links, pairs, many = [], 0, [], Counter()
+        for lo, hi, low, high in groups_of(a, b, self.a.lengths, self.b.lengths):
             links += (hi - lo) * (high - low)
+            if hi - lo == high - low == 1:
+                spelled.append(f"{a[lo]}|{b[low]}")
+                pairs.append((a[lo] << PAIR_BITS) | b[low])
+                continue
+            spelled.append(f"{','.join(map(str, a[lo:hi]))}|{','.join(map(str, b[low:high]))}")
+            if (hi - lo) * (high - low) <= LONGEST_KEPT:
+                pairs += [(x << PAIR_BITS) | y for x in a[lo:hi] for y in b[low:high]]
+                continue
             # By counts of ids: a group of n and m tokens has n * m links, but few different pairs.
             count_b = Counter(b[low:high]).items()
             for x, n in Counter(a[lo:hi]).items():
                 for y, m in count_b:
-                    pairs[(x << PAIR_BITS) | y] += n * m
-        return ";".join(spelled), len(spelled), links, tuple(pairs.items())
+                    many[(x << PAIR_BITS) | y] += n * m
+        number = len(self.text)
+        self.text.append(";".join(spelled))
+        self.groups.append(len(spelled))
+        self.links.append(links)
+        self.pairs.append(tuple(pairs))
+        if many:
+            self.many[number] = many
+        if len(ids) <= LONGEST_KEPT:
+            self[packed] = number
+        return number
 
 
 class Aligner:
     def __init__(self, folder: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.a, self.b = ByteLevel(f"{folder}/{TOKENIZER_A}"), Pieces(f"{folder}/{TOKENIZER_B}")
         self.windows = Windows(self.a, self.b)
 
-    def cuts(self, a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
-        """Ends of windows in tokens of both: verified shared ends before space-marked tokens, and the end of the text."""
+    def cut(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+        """Packed windows of the tokens of texts behind one another, and where windows end in tokens of A.
+
+        A window ends where tokens of both end and the next ones of both begin with a space; a text begins with one.
+        """
         end_a, end_b = np.cumsum(self.a.length[a]), np.cumsum(self.b.length[b])
-        at = np.searchsorted(end_b, end_a[:-1])
-        shared = np.flatnonzero(end_b[at] == end_a[:-1])
-        anchors = shared[self.a.spaced[a[shared + 1]] & self.b.spaced[b[at[shared] + 1]]]
-        return [*(anchors + 1).tolist(), len(a)], [*(at[anchors] + 1).tolist(), len(b)]
+        at = np.searchsorted(end_b, end_a)
+        ends = np.flatnonzero(end_b[at] == end_a)
+        inner = ends[:-1]
+        ends = np.append(inner[self.a.spaced[a[inner + 1]] & self.b.spaced[b[at[inner] + 1]]], len(a) - 1)
+        cut_a, cut_b = ends + 1, at[ends] + 1
+        n_a, n_b = np.diff(cut_a, prepend=0), np.diff(cut_b, prepend=0)
+        size = 1 + n_a + n_b
+        begin = np.cumsum(size) - size
+        packed = np.empty(int(size.sum()), np.int32)
+        packed[begin] = n_a
+        packed[np.repeat(begin + 1 - (cut_a - n_a), n_a) + np.arange(len(a))] = a
+        packed[np.repeat(begin + 1 + n_a - (cut_b - n_b), n_b) + np.arange(len(b))] = b
+        raw = packed.tobytes()
+        return cut_a, [raw[x:y] for x, y in zip((4 * begin).tolist(), (4 * (begin + size)).tolist())]
 
     def texts(self, texts: list[str | None]):
         """For each text: n_a, n_b, n_groups, n_links, groups, {pair: links}."""
-        there = [i for i, x in enumerate(texts) if x]
-        whole = [texts[i] for i in there]
-        found = dict(zip(there, zip(self.a.encode(whole), self.b.encode(whole)))) if whole else {}
-        for i, text in enumerate(texts):
-            a, b = found.get(i, ((), ()))
-            data = b" " + text.encode() if text else b""
-            if not text or b"".join(map(self.a.spelled.__getitem__, a)) != data or b"".join(map(self.b.spelled.__getitem__, b)) != data:
+        there = [x for x in texts if x]
+        found = []
+        for text, a, b in zip(there, self.a.encode(there), self.b.encode(there)) if there else ():
+            if b"".join(map(self.b.spelled.__getitem__, b)) == b" " + text.encode():
+                found.append((a, b))
+            else:
+                found.append(([], []))
+        known = self.windows
+        known.make_room()
+        numbers, ends = [], iter(())
+        if any(a for a, _ in found):
+            a, b = (np.fromiter(chain.from_iterable(x), np.int32, sum(map(len, x))) for x in zip(*found))
+            cut_a, keys = self.cut(a, b)
+            numbers = list(map(known.__getitem__, keys))
+            ends = iter(np.searchsorted(cut_a, np.cumsum([len(a) for a, _ in found]), "right").tolist())
+        at, found = 0, iter(found)
+        for text in texts:
+            a, b = next(found) if text else ((), ())
+            end = next(ends, 0) if text else at
+            if not a:
                 yield 0, 0, 0, 0, "", {}
                 continue
-            cut_a, cut_b = self.cuts(np.array(a), np.array(b))
-            a, b = tuple(a), tuple(b)
-            keys = [(a[i:j], b[k:m]) for i, j, k, m in zip([0, *cut_a], cut_a, [0, *cut_b], cut_b)]
-            parts = [self.windows[k] for k in keys]
-            pairs, n_groups, n_links = {}, 0, 0
-            for (_, groups, links, own), times in _counted(parts):
-                n_groups += groups * times
-                n_links += links * times
-                for pair, n in own:
-                    pairs[pair] = pairs.get(pair, 0) + n * times
-            yield len(a), len(b), n_groups, n_links, ";".join([p[0] for p in parts]), pairs
-
-
-def _counted(parts: list[tuple]):
-    """Each different object of a list with its number. Equal windows share one object while they are kept."""
-    by_id = {id(p): p for p in parts}
-    return [(by_id[i], n) for i, n in Counter(map(id, parts)).items()]
+            own, at = numbers[at:end], end
+            pairs = Counter(chain.from_iterable(map(known.pairs.__getitem__, own)))
+            if known.many:
+                for number in own:
+                    pairs.update(known.many.get(number, {}))
+            yield len(a), len(b), sum(map(known.groups.__getitem__, own)), sum(map(known.links.__getitem__, own)), ";".join(map(known.text.__getitem__, own)), pairs
 
 
 _ALIGNERS: dict[str, Aligner] = {}
@@ -180,7 +238,7 @@ def _align(folder: str):
 
     def packed(rows):
         ids, *numbers, pairs = zip(*rows)
-        flat = [p for own in pairs for p in own.keys()], [n for own in pairs for n in own.values()]
+        flat = [list(chain.from_iterable(map(part, pairs))) for part in (dict.keys, dict.values)]
         structs = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in flat], ["pair", "n"])
         offsets = np.concatenate([[0], np.cumsum([len(p) for p in pairs])]).astype(np.int32)
         row, doc_id = zip(*ids)
