@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,3 +33,10 @@ def uniform(seed: int, step: int, *ids: Column) -> Column:
     text = F.concat_ws(":", F.lit(str(seed)), F.lit(str(step)), *[c.cast("string") for c in ids])
     bits = F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint")
     return (bits.cast("double") + 0.5) / F.lit(float(2**52))
+
+
+def uniforms(seed: int, step: int, ids, *more: int) -> np.ndarray:
+    """The draws of ``uniform`` for integer ids, followed by ``more``, inside tasks."""
+    end = b"".join(b":%d" % m for m in more)
+    bits = [int(hashlib.md5(b"%d:%d:%d%b" % (seed, step, i, end)).hexdigest()[:13], 16) for i in ids]
+    return (np.array(bits, dtype=np.float64) + 0.5) / 2.0**52

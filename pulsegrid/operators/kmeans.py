@@ -7,16 +7,13 @@ group, k times the width.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.rules import uniform
-from ..functions.vectors import squared_distance
-from ..plans.chunked import add_up, per_group, per_point
+from ..functions.rules import uniform, uniforms
+from ..plans.chunked import add_up, best_point, chosen_points, per_group, per_point
 from ..plans.spread import Spread
 from ..session import KEYS
 from .moments import points_of
@@ -69,26 +66,93 @@ def spread_out_seeds(points: Spread, chunks: Spread, k: Column, k_max: int, row_
     The draw is a race: among exponential times with rate d², the smallest belongs to a point with probability
     ∝ d². So one minimum per group and round replaces a running sum, and the result does not depend on how rows
     are partitioned. Points that equal a seed never win; identical points give fewer seeds.
+
+    ``chunks`` are settled chunk rows of ``points``. The race is run inside them, and a task hands on one point per
+    group. Distances to all seeds so far are worked out anew each round: for the ten seeds there are at most, that is
+    cheaper than to write and to join a distance for every point.
     """
     keys = points.keys
-    first = points.points.groupBy(*keys).agg(F.min_by("x", F.struct(uniform(seed, 0, F.col("event_id")), "event_id")).alias("centers"))
+    first = best_point(chunks.points, keys, [], lambda cells: uniforms(seed, 0, cells["event_ids"])).select(*keys, F.col("x").alias("centers"))
     seeds = points.hold(first.join(points.sizes, keys).select(*keys, k.alias("_k"), "centers"), row_bytes)
 
-    def gap(cells: dict[str, np.ndarray]) -> list[np.ndarray]:
-        x = points_of(cells)
-        return [x, squared_distances(x, _centers_of(cells, x)).min(axis=1)]
+    def race(step: int):
+        def times(cells: dict[str, np.ndarray]) -> np.ndarray:
+            x = points_of(cells)
+            away = squared_distances(x, _centers_of(cells, x)).min(axis=1)
+            draws = -np.log(uniforms(seed, step, cells["event_ids"]))
+            return np.divide(draws, away, out=np.full(len(x), np.inf), where=away > 0)
+
+        return times
 
     for step in range(1, k_max):
         wanting = seeds.filter(F.col("_k") > step).select(*keys, "centers")
-        fields = [T.StructField("x", VECTOR), T.StructField("d2", T.DoubleType())]
-        near = per_point(chunks.attach(wanting, row_bytes), keys, ["x", "centers"], fields, gap).filter("d2 > 0")
-        time = -F.ln(uniform(seed, step, F.col("event_id"))) / F.col("d2")
-        won = near.groupBy(*keys).agg(F.min_by("x", F.struct(time, "event_id")).alias("_x"))
+        won = best_point(chunks.attach(wanting, row_bytes), keys, ["centers"], race(step)).select(*keys, F.col("x").alias("_x"))
         grown = F.when(F.col("_x").isNull(), F.col("centers")).otherwise(F.concat("centers", "_x"))
         seeds = points.hold(seeds.join(won, keys, "left").select(*keys, "_k", grown.alias("centers")), row_bytes)
     return seeds.drop("_k")
 
 
+def parallel_seeds(chunks: Spread, k: Column, k_max: int, width: int, seed: int = 1, rounds: int = 2, factor: int = 2) -> DataFrame:
+    """k-means‖ seeds, ``keys…, centers``, of groups of any size: a few rounds of oversampling, then a weighted race.
+
+    A round keeps every point with probability ``factor`` · k · d² / Σ d², with d the distance to the nearest candidate
+    so far, so about ``factor`` · k candidates join per round. Each candidate then weighs as many points as it is the
+    nearest of, and k-means++ draws the seeds among the weighted candidates of a group. Draws depend on ids alone; in
+    groups of several channels, on the channel too. ``chunks`` are settled.
+    """
+    keys = chunks.keys
+    other = [c for c in KEYS if c not in keys and c in chunks.points.columns]
+    rows = chunks.with_points(chunks.points.withColumn("_other", F.array(*[F.col(c).cast("bigint") for c in other]).cast("array<bigint>")))
+    wanted = chunks.sizes.select(*keys, F.array(k.cast("double")).alias("k"))
+    # Candidates are a sum of independent draws: three times their mean has never to be exceeded for them to fit.
+    row_bytes = center_bytes(1 + 3 * rounds * factor * k_max, width)
+    used = ["event_ids", "x", "_other", "centers"]
+
+    def draws(cells: dict[str, np.ndarray], step: int) -> np.ndarray:
+        return uniforms(seed, step, cells["event_ids"], *cells["_other"])
+
+    def gaps(cells: dict[str, np.ndarray]) -> np.ndarray:
+        x = points_of(cells)
+        return squared_distances(x, _centers_of(cells, x))
+
+    first = best_point(rows.points, keys, ["_other"], lambda cells: draws(cells, 0))
+    known = chunks.hold(first.select(*keys, F.col("x").alias("centers")), row_bytes)
+    for step in range(1, rounds + 1):
+
+        def keep(cells: dict[str, np.ndarray], step: int = step) -> np.ndarray:
+            away = gaps(cells).min(axis=1)
+            chance = np.divide(factor * cells["k"][0] * away, cells["stats"][0], out=np.zeros(len(away)), where=away > 0)
+            return draws(cells, step) < chance
+
+        spread_of = chunks.hold(add_up(rows.attach(known, row_bytes), keys, used, lambda cells: gaps(cells).min(axis=1).sum(keepdims=True)), 64)
+        params = known.join(spread_of, keys).join(wanted, keys)
+        found = chosen_points(rows.attach(params, row_bytes), [*keys, *other], [*used, "stats", "k"], keep)
+        listed = F.array_sort(F.collect_list(F.struct("event_id", *other, "x")))
+        found = found.groupBy(*keys).agg(F.flatten(F.transform(listed, lambda p: p["x"])).alias("_new"))
+        grown = F.concat("centers", F.coalesce("_new", F.array().cast("array<double>")))
+        known = chunks.hold(known.join(found, keys, "left").select(*keys, grown.alias("centers")), row_bytes)
+
+    def weights(cells: dict[str, np.ndarray]) -> np.ndarray:
+        away = gaps(cells)
+        return np.bincount(away.argmin(axis=1), minlength=away.shape[1]).astype(np.float64)
+
+    def race(cells: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        weight = cells["stats"]
+        points, at, near = cells["centers"].reshape(len(weight), -1), [], np.ones(len(weight))
+        for step in range(int(cells["k"][0])):
+            rate = weight * near
+            if not (rate > 0).any():
+                break
+            times = np.divide(-np.log(uniforms(seed, 100 + step, range(len(weight)))), rate, out=np.full(len(rate), np.inf), where=rate > 0)
+            at.append(int(times.argmin()))
+            near = squared_distances(points, points[at]).min(axis=1)
+        return {"seeds": points[at]}
+
+    heavy = add_up(rows.attach(known, row_bytes), keys, used, weights).join(known, keys).join(wanted, keys)
+    seeds = per_group(heavy, keys, ["stats", "centers", "k"], ["seeds"], race)
+    return chunks.hold(seeds.withColumnRenamed("seeds", "centers"), center_bytes(k_max, width))
+
+
 def assign_nearest(chunks: Spread, centers: DataFrame, row_bytes: int, keys: list[str] | None = None) -> DataFrame:
     """``keys…, event_id, x, cluster, d2``: the nearest centre of each point, the first on ties.
 
@@ -150,17 +214,20 @@ def kmeans(
     """``keys…, event_id, x, cluster, d2``, and the centres that the points were assigned to.
 
     The last assignment is made before a further update, so the centres returned are those of the assignment.
-    ``init``: ``kpp`` or ``random``; given ``centers`` replace it. ``pool`` names a part of the keys: all groups that
-    agree in it are then clustered together, from random seeds.
+    ``init``: ``kpp``, ``parallel`` or ``random``; given ``centers`` replace it. ``pool`` names a part of the keys: all
+    groups that agree in it are then clustered together, from seeds by ``parallel`` unless ``random`` is asked for.
     """
     row_bytes = center_bytes(k_max, width)
     chunks, whole = points.chunks(["x"], row_bytes), points
     if pool:
-        chunks, whole, init = chunks.pooled(pool), points.pooled(pool), "random"
+        chunks, whole = chunks.pooled(pool), points.pooled(pool)
+        init = "random" if init == "random" else "parallel"
     chunks = chunks.settle()
     if centers is None:
         if init == "kpp":
             centers = spread_out_seeds(points, chunks, k, k_max, row_bytes, seed)
+        elif init == "parallel":
+            centers = parallel_seeds(chunks, k, k_max, width, seed)
         elif init == "random":
             centers = chunks.hold(random_seeds(whole, k, k_max, seed), row_bytes)
         else:
@@ -179,15 +246,3 @@ def one_interval(table: DataFrame) -> None:
     scope = [c for c in KEYS[:2] if c in table.columns]
     if scope and len(table.select(*scope).distinct().head(2)) > 1:
         raise ValueError("a library model fits one interval; this table has several")
-
-
-def library_kmeans(features: DataFrame, k: int = 3, max_iter: int = MAX_ITER, seed: int = 1) -> DataFrame:
-    """The library's k-means over all rows together, for a table of one interval: features with ``cluster``, ``d2``."""
-    one_interval(features)
-    vectors = features.withColumn("_v", array_to_vector("x"))
-    model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="_v", predictionCol="cluster").fit(vectors)
-    rows = [(i, [float(v) for v in c]) for i, c in enumerate(model.clusterCenters())]
-    table = F.broadcast(features.sparkSession.createDataFrame(rows, "cluster int, _c array<double>"))
-    placed = model.transform(vectors).drop("_v").join(table, "cluster")
-    return placed.withColumn("d2", squared_distance(F.col("x"), F.col("_c"))).select(*features.columns, "cluster", "d2")
-

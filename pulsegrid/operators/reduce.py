@@ -64,7 +64,7 @@ def pca_features(
     if basis == "pooled" or carry:
         chunks = chunks.pooled(KEYS[:2] if basis == "pooled" else KEYS)
     chunks = chunks.settle()
-    bases = chunks.hold(pca_basis(covariance(chunks), chunks.keys, k), row_bytes)
+    bases = chunks.hold(pca_basis(covariance(chunks, 64 + 8 * (shape[0][0] if shape else 0)), chunks.keys, k), row_bytes)
     ready = chunks.attach(bases, row_bytes)
 
     def project(cells: dict[str, np.ndarray]) -> list[np.ndarray]:

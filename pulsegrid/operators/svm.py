@@ -11,15 +11,16 @@ import itertools
 from dataclasses import dataclass, replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LinearSVC, OneVsRest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.rules import uniform
-from ..functions.vectors import dot
 from ..plans.chunked import add_up, per_group
-from ..plans.spread import Spread, materialize, number_rows, pin, spread
+from ..plans.spread import Spread, materialize, number_rows, spread
 from ..session import KEYS
 from .kmeans import one_interval
 from .moments import points_of
@@ -223,14 +224,39 @@ def svm_loss(labelled: DataFrame, models: DataFrame, width: int, scope: list[str
 def predict(samples: DataFrame, models: DataFrame, scope: list[str] = SCOPE, width: int = 10) -> DataFrame:
     """Samples with ``predicted`` and ``score``: the class of highest ``w·x + b``, the lowest label on ties.
 
-    A sample of a scope without a model stays, with nulls.
+    Samples travel whole in chunk rows, and a chunk meets the models of its scope as one matrix, so scores are a
+    matrix product in a task. A sample of a scope without a model stays, with nulls, as does one without ``x``.
     """
-    points = spread(samples, scope)
-    rows = F.collect_list(F.struct("label", "w", "b")).alias("models")
-    matched = points.attach(models.groupBy(*scope).agg(rows), scope_bytes(points, models.count(), width), "left")
-    scores = F.transform("models", lambda m: F.struct((-(dot(m["w"], F.col("x")) + m["b"])).alias("s"), m["label"].alias("label")))
-    best = pin(matched, "_best", F.array_min(scores))
-    return best.select(*samples.columns, F.col("_best.label").alias("predicted"), (-F.col("_best.s")).alias("score"))
+    number = F.col("event_id") if "event_id" in samples.columns else F.xxhash64("x")
+    vector = F.coalesce(F.col("x"), F.array_repeat(F.lit(float("nan")), width))
+    packed = samples.select(*scope, number.cast("bigint").alias("event_id"), vector.alias("x"), F.struct(*[F.col(f"`{c}`") for c in samples.columns]).alias("_s"))
+    points = spread(packed, scope)
+    size = scope_bytes(points, models.count(), width)
+    rows = points.chunks(["x", "_s"], size).attach(state_of(models, scope), size, "left").select("_s", "x", "labels", "w", "b")
+    labels, scores = T.ArrayType(T.IntegerType()), T.ArrayType(T.DoubleType())
+    schema = T.StructType([rows.schema["_s"], T.StructField("predicted", labels), T.StructField("score", scores)])
+    scored = rows.mapInArrow(_scored, schema).select(F.explode(F.arrays_zip("_s", "predicted", "score")).alias("_r"))
+    return scored.select(*[F.col(f"_r._s.`{c}`") for c in samples.columns], "_r.predicted", "_r.score")
+
+
+def _scored(batches):
+    for batch in batches:
+        parts = []
+        for whole, x, labels, w, b in zip(*[batch.column(i) for i in range(5)]):
+            n = len(whole)
+            if not labels.is_valid:
+                parts.append((np.full(n, -1), np.zeros(n), np.zeros(n, bool)))
+                continue
+            labels, w, b, x = (v.values.to_numpy(zero_copy_only=False) for v in (labels, w, b, x))
+            x = x.reshape(n, -1)
+            score = x @ w.reshape(len(labels), -1).T + b
+            best = score.argmax(axis=1)  # models are in label order, and the first of equal scores is taken
+            parts.append((labels[best].astype(np.int32), score[np.arange(n), best], ~np.isnan(x).any(axis=1)))
+        offsets = pa.array(np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])]).astype(np.int32))
+        label, score, known = (np.concatenate(p) for p in zip(*parts))
+        columns = [pa.array(label.astype(np.int32), mask=~known), pa.array(score, mask=~known)]
+        made = [pa.ListArray.from_arrays(offsets, c) for c in columns]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *made], ["_s", "predicted", "score"])
 
 
 def library_svm(labelled: DataFrame, penalty: float = PENALTY, max_iter: int = 100) -> DataFrame:

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vectors import sum_vectors
@@ -110,3 +111,60 @@ def per_point(
                 yield pa.RecordBatch.from_arrays([*heads, pa.array(cells["event_ids"]), *made], names=schema.names)
 
     return chunks.select(*keys, *columns).mapInArrow(run, schema)
+
+
+def chosen_points(chunks: DataFrame, keys: list[str], columns: list[str], choose: Callable[[dict[str, np.ndarray]], np.ndarray]) -> DataFrame:
+    """``keys…, event_id, x`` of the points for which ``choose`` is true; no other point leaves its task."""
+    schema = T.StructType([*[chunks.schema[k] for k in keys], T.StructField("event_id", T.LongType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
+    columns = list(dict.fromkeys(["event_ids", "x", *columns]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, ids, points = [], [], []
+            for i, cells in enumerate(_cells(batch, columns)):
+                at = np.flatnonzero(choose(cells))
+                rows += [i] * len(at)
+                ids += cells["event_ids"][at].tolist()
+                points += list(cells["x"].reshape(len(cells["event_ids"]), -1)[at])
+            heads = [batch.column(batch.schema.get_field_index(k)).take(pa.array(rows, pa.int64())) for k in keys]
+            yield pa.RecordBatch.from_arrays([*heads, pa.array(ids, pa.int64()), _list_column(points)], names=schema.names)
+
+    return chunks.select(*dict.fromkeys([*keys, *columns])).mapInArrow(run, schema)
+
+
+def best_point(chunks: DataFrame, keys: list[str], columns: list[str], score: Callable[[dict[str, np.ndarray]], np.ndarray]) -> DataFrame:
+    """``keys…, event_id, score, x``: the point of smallest finite ``score`` in each group, the smallest id on ties.
+
+    A task hands on its best point of each group only, so what is shuffled does not depend on the number of points.
+    """
+    fields = [("event_id", T.LongType()), ("score", T.DoubleType()), ("x", T.ArrayType(T.DoubleType()))]
+    schema = T.StructType([*[chunks.schema[k] for k in keys], *[T.StructField(*f) for f in fields]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple, tuple] = {}
+        types: list[pa.DataType] = []
+
+        def emit() -> pa.RecordBatch:
+            heads = [pa.array([k[i] for k in best], t) for i, t in enumerate(types)]
+            scores, ids, points = zip(*best.values())
+            return pa.RecordBatch.from_arrays([*heads, pa.array(ids, pa.int64()), pa.array(scores, pa.float64()), _list_column(list(points))], names=schema.names)
+
+        for batch in batches:
+            types = [batch.schema.field(k).type for k in keys]
+            labels = zip(*[batch.column(batch.schema.get_field_index(k)).to_pylist() for k in keys])
+            for key, cells in zip(labels, _cells(batch, list(dict.fromkeys(["event_ids", "x", *columns])))):
+                scores, ids = score(cells), cells["event_ids"]
+                if not np.isfinite(scores).any():
+                    continue
+                at = min(np.flatnonzero(scores == np.nanmin(scores)), key=lambda i: ids[i])
+                if key not in best or (scores[at], ids[at]) < best[key][:2]:
+                    best[key] = float(scores[at]), int(ids[at]), cells["x"].reshape(len(ids), -1)[at].copy()
+                if len(best) > HELD_GROUPS:
+                    yield emit()
+                    best.clear()
+        if best:
+            yield emit()
+
+    found = chunks.select(*keys, *dict.fromkeys(["event_ids", "x", *columns])).mapInArrow(run, schema)
+    first = F.min(F.struct("score", "event_id", "x")).alias("_b")
+    return found.groupBy(*keys).agg(first).select(*keys, "_b.event_id", "_b.score", "_b.x")

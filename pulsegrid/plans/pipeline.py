@@ -18,7 +18,7 @@ from ..operators.svm import fit_svm, library_svm, predict
 from ..plans.spread import materialize
 from ..session import KEYS
 from ..sources.recording import BLOCK_LIMIT, CHANNELS, INTERVAL_SECONDS, frame_ranges, list_files, read_recording
-from ..sources.sinks import write_result
+from ..sources.sinks import commit_result, committed, write_result
 
 
 @dataclass(frozen=True)
@@ -38,12 +38,22 @@ class Sorted:
         return predict(samples, self.weights, width=self.width)
 
     def write(self, path: str, mode: str = "error", text_copy: bool = False) -> None:
-        """Labelled events by interval, unit map, units, weights and report as Parquet under ``path``."""
+        """Labelled events, unit map, units, weights and report under ``path``, each interval committed on its own.
+
+        ``mode``: ``error`` refuses a folder in which one of the run's intervals is committed; ``overwrite`` replaces
+        these intervals and leaves all others, so a run that was cut off can be started again into the same folder.
+        """
+        intervals = materialize(self.report.select(*SCOPE).distinct())
+        if mode not in ("error", "overwrite"):
+            raise ValueError(f"unsupported mode {mode!r}")
         tables = {"labelled": self.labelled, "unit_map": self.unit_map, "units": self.units, "weights": self.weights, "report": self.report}
+        tables = {name: table for name, table in tables.items() if table is not None}
+        if mode == "error":
+            for name in tables:
+                if not intervals.join(committed(intervals.sparkSession, f"{path}/{name}"), SCOPE, "left_semi").isEmpty():
+                    raise ValueError(f"intervals of this run are already committed under {path}/{name}; use mode='overwrite'")
         for name, table in tables.items():
-            if table is None:
-                continue
-            write_result(table, f"{path}/{name}", mode=mode, partition_by=("interval_id",) if name == "labelled" else ())
+            commit_result(table, f"{path}/{name}", intervals)
         if text_copy:
             write_result(self.labelled, f"{path}/labelled_csv", "csv", mode)
 

@@ -226,20 +226,3 @@ def number_rows(
     return placed.withColumn(out, F.col("_at") - F.col("_begin") + F.col("_before")).drop(
         "_at", "_part", "_begin", "_before"
     )
-
-
-def exact_median(df: DataFrame, keys: list[str], value: str, out: str, window_limit: int = 2_000_000) -> DataFrame:
-    """Exact median of ``value`` per group: the mean of the one or two middle rows, by exact position.
-
-    A group is never held in one task's hash map; ``number_rows`` decides how the positions are found.
-    """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    sizes = materialize(sizes)
-    ranked = number_rows(df.select(*keys, value), keys, [value], "_rank", window_limit)
-    rank = F.col("_rank")
-    middles = (
-        sizes.withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)))))
-        .select(*keys, "_rank")
-    )
-    picked = checked_join(ranked.withColumn("_rank", rank), middles, [*keys, "_rank"], rows=2 * sizes.count())
-    return picked.groupBy(*keys).agg(F.avg(value).alias(out))

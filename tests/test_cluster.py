@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.operators import cluster as C
 from pulsegrid.operators import kmeans as KM
-from pulsegrid.operators.mixture import gaussian_mixture, library_mixture, log_density
+from pulsegrid.operators.mixture import gaussian_mixture, log_density
 from pulsegrid.operators.moments import covariance, from_upper
 from pulsegrid.operators.reduce import extract_features, library_pca, pca_features
 from pulsegrid.plans import spread as plans
@@ -130,6 +130,25 @@ def test_seeds_do_not_depend_on_partitioning(spark, plan):
     assert len({tuple(s) for s in found[0][0]}) == 3
 
 
+def test_parallel_seeds(spark):
+    """Seeds are points, do not depend on partitioning, and lie in all clouds of a pooled interval."""
+    df = table(spark, {0: clouds(gap=30.0), 1: clouds(1, gap=30.0), 2: np.ones((9, 4))}).withColumn("interval_id", (F.col("channel") == 2).cast("int"))
+    rows = {tuple(r.x) for r in df.collect()}
+    found = []
+    for parts in (1, 7):
+        points = spread(df.repartition(parts), KEYS)
+        chunks = points.chunks(["x"], 128, rows_per_chunk=32).pooled(KEYS[:2]).settle()
+        seeds = KM.parallel_seeds(chunks, F.lit(3), 3, 4)
+        found.append({r.interval_id: np.reshape(r.centers, (-1, 4)).tolist() for r in seeds.collect()})
+    assert found[0] == found[1] and len(found[0][0]) == 3 and found[0][1] == [[1.0] * 4]
+    assert {tuple(s) for s in found[0][0]} <= rows
+    cost = {}
+    for init in ("parallel", "random"):
+        placed, _ = KM.kmeans(spread(df.filter("interval_id = 0"), KEYS), F.lit(3), 3, 4, init=init, pool=KEYS[:2])
+        cost[init] = placed.agg(F.sum("d2")).first()[0]
+    assert cost["parallel"] <= cost["random"] * (1 + 1e-9)
+
+
 def test_draws_are_proportional_to_squared_distance(spark):
     """Races over many seeds pick points 1 and 2 at squared distances 1 and 9 in that proportion."""
     points = spread(table(spark, {0: np.array([[0.0], [1.0], [3.0]])}), KEYS)
@@ -230,8 +249,5 @@ def test_another_interval_changes_no_features(spark, method, options):
 
 def test_library_models_refuse_several_intervals(spark):
     both = table(spark, {0: clouds()}).unionByName(table(spark, {0: clouds(1)}).withColumn("interval_id", F.lit(1)))
-    for fit in (KM.library_kmeans, lambda df: library_pca(df, 2, "x"), library_mixture):
-        with pytest.raises(ValueError, match="one interval"):
-            fit(both)
-    one = KM.library_kmeans(table(spark, {0: clouds()}))
-    assert one.count() == 180 and one.agg(F.countDistinct("cluster")).first()[0] == 3
+    with pytest.raises(ValueError, match="one interval"):
+        library_pca(both, 2, "x")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.operators.merge import SCOPE
 from pulsegrid.plans.pipeline import event_times, sort_recording
+from pulsegrid.sources.sinks import commit_result, committed, pending, read_result
 
 CHANNELS, SECONDS = 16, 2
 
@@ -49,8 +50,12 @@ def test_planted_units_are_found(spark, recording, tmp_path):
         peaks = found[found.channel == home].event_id.to_numpy()
         hit += bool(len(peaks)) and np.abs(peaks - at).min() <= 20
     assert hit / len(truth) > 0.85
-    stored = spark.read.parquet(str(tmp_path / "out" / "labelled"))
-    assert stored.count() == report.kept_events
+    stored = read_result(spark, str(tmp_path / "out" / "labelled"))
+    assert stored.count() == report.kept_events and stored.schema["recording"].dataType.simpleString() == "string"
+    with pytest.raises(ValueError, match="already committed"):
+        done.write(str(tmp_path / "out"))
+    done.write(str(tmp_path / "out"), "overwrite")
+    assert read_result(spark, str(tmp_path / "out" / "labelled")).count() == report.kept_events
     scored = done.predict(stored.select("recording", "interval_id", "channel", "event_id", "x"))
     assert scored.filter("predicted is null").count() == 0
     seconds = event_times(done.labelled).agg(F.max("seconds")).first()[0]
@@ -81,3 +86,27 @@ def test_no_events_gives_empty_results(spark, tmp_path):
     np.zeros((4, 3000), dtype="<i2").T.tofile(tmp_path / "flat.bin")
     done = sort_recording(spark, str(tmp_path / "flat.bin"), channels=4, interval_s=1)
     assert [t.count() for t in (done.assigned, done.summary, done.units, done.labelled, done.weights, done.report)] == [0] * 6
+
+
+ROWS = "recording string, interval_id int, event_id bigint, x array<double>"
+
+
+def test_a_run_replaces_its_own_intervals(spark, tmp_path):
+    path = str(tmp_path / "kept")
+    table = lambda rows: spark.createDataFrame([(r, i, e, [float(v)]) for r, i, e, v in rows], ROWS)
+    seen = lambda: sorted((r.recording, r.interval_id, r.event_id, r.x[0]) for r in read_result(spark, path).collect())
+    wanted = table([("007", 0, 0, 0), ("007", 1, 0, 0), ("a/b c", 0, 0, 0)])
+    assert pending(wanted, path).count() == 3
+    with pytest.raises(ValueError, match="nothing is committed"):
+        read_result(spark, path)
+    commit_result(table([("007", 0, 1, 1), ("007", 1, 1, 2), ("a/b c", 0, 1, 3), ("a/b c", 0, 2, 4)]), path)
+    assert seen() == [("007", 0, 1, 1.0), ("007", 1, 1, 2.0), ("a/b c", 0, 1, 3.0), ("a/b c", 0, 2, 4.0)]
+    commit_result(table([("007", 1, 5, 9)]), path)
+    assert seen() == [("007", 0, 1, 1.0), ("007", 1, 5, 9.0), ("a/b c", 0, 1, 3.0), ("a/b c", 0, 2, 4.0)]
+    # A repeated run without events in an interval leaves it empty.
+    commit_result(table([("007", 0, 1, 7)]), path, done=table([("007", 0, 0, 0), ("007", 1, 0, 0)]))
+    assert seen() == [("007", 0, 1, 7.0), ("a/b c", 0, 1, 3.0), ("a/b c", 0, 2, 4.0)]
+    assert pending(wanted, path).count() == 0 and committed(spark, path).count() == 3
+    # Rows that a run wrote before it was cut off are not seen, and their interval is still to do.
+    table([("new", 0, 1, 1)]).write.mode("append").partitionBy("recording", "interval_id").parquet(f"{path}/data")
+    assert len(seen()) == 3 and pending(table([("new", 0, 0, 0)]), path).count() == 1

@@ -6,7 +6,8 @@ from pulsegrid.functions.butterworth import bandpass_coefficients
 from pulsegrid.operators import detect
 from pulsegrid.operators.bandpass import bandpass, warm_up
 from pulsegrid.plans import spread as plans
-from pulsegrid.plans.spread import exact_median, number_rows
+from pulsegrid.plans.select import exact_median
+from pulsegrid.plans.spread import number_rows
 from pulsegrid.sources.series import explode_blocks, signal_blocks
 
 SERIES = "recording string, interval_id int, channel int, sample bigint, value double"

@@ -94,10 +94,11 @@ def test_pairs_and_nearest(spark):
         assert close[a] == min(close.values())
 
 
-def test_mutual_merge(spark):
-    rows = summary_rows(np.random.default_rng(2), range(12), size=1.5)
+@pytest.mark.parametrize("limit", [50_000, 20])
+def test_mutual_merge(spark, limit):
+    rows = summary_rows(np.random.default_rng(2), [*range(12), *range(30, 34)], size=1.5)
     table = summary_table(spark, rows)
-    units = {r.ord: r.unit for r in M.merge_mutual(table).collect()}
+    units = {r.ord: r.unit for r in M.merge_mutual(table, island_limit=limit).collect()}
     state = {o: [n, np.array(s), c, c] for c, _, o, n, s in rows}
     expect = {o: o for o in state}
     while True:
@@ -117,17 +118,17 @@ def test_mutual_merge(spark):
             n, s, lo, hi = state.pop(b)
             state[a] = [state[a][0] + n, state[a][1] + s, min(state[a][2], lo), max(state[a][3], hi)]
             expect = {o: a if u == b else u for o, u in expect.items()}
-    assert units == expect and len(state) < 36
+    assert units == expect and len(state) < 48
 
 
-@pytest.mark.parametrize("limit", [2_000_000, 30])
-def test_robust_separation(spark, limit):
+@pytest.mark.parametrize("rows_per_chunk,limit", [(1024, 1_000_000), (8, 1_000_000), (35, 3)])
+def test_robust_separation(spark, rows_per_chunk, limit):
     rng = np.random.default_rng(3)
     groups = {0: rng.normal(0, 1, (41, 3)), 1: rng.normal(2, 1, (30, 3)), 2: rng.normal(-1, 2, (1, 3))}
     rows = [("r", 0, o, o * 1000 + i, x.tolist()) for o, xs in groups.items() for i, x in enumerate(xs)]
     assigned = spark.createDataFrame(rows, "recording string, interval_id int, ord bigint, event_id bigint, x array<double>")
     pairs = spark.createDataFrame([("r", 0, a, b) for a, b in [(0, 1), (0, 2), (1, 2)]], "recording string, interval_id int, a_ord bigint, b_ord bigint")
-    for r in M.robust_separation(assigned, pairs, limit).collect():
+    for r in M.robust_separation(assigned, pairs, rows_per_chunk, limit).collect():
         line = np.median(groups[r.a_ord], axis=0) - np.median(groups[r.b_ord], axis=0)
         mad = [np.median(np.abs(p - np.median(p))) for p in (groups[r.a_ord] @ line, groups[r.b_ord] @ line)]
         assert r.separation == pytest.approx(np.linalg.norm(line) / np.hypot(*mad))
@@ -257,6 +258,15 @@ def test_mutual_merge_ends_without_pairs(spark):
     assert M.vicinity_pairs(units).filter("distance < 1.0").count() == 0
 
 
+def test_mutual_merge_of_many_clusters_is_fast():
+    rng = np.random.default_rng(3)
+    n = 20_000
+    sums, counts, channels = rng.normal(0, 3, (n, 4)), rng.integers(1, 50, n), np.repeat(np.arange(n // 5), 5)
+    begin = time.time()
+    found = M._merge_mutual_rows(sums * counts[:, None], counts, channels, channels.copy(), 8, 2.0)
+    assert time.time() - begin < 20 and (found <= np.arange(n)).all() and (found[found] == found).all()
+
+
 def test_dropped_events_are_conserved(spark):
     found = spark.createDataFrame([("r", 0, 12, 2), ("r", 1, 3, 3)], "recording string, interval_id int, found_events bigint, dropped_events bigint")
     summary = spark.createDataFrame([("r", 0, 7, 10)], "recording string, interval_id int, ord bigint, n bigint")
