@@ -2,11 +2,12 @@
 
 A sparse suffix array does it. Only suffixes at anchors are sorted (``anchors``), because equal strings have their
 anchors at the same offset: every pair of equal strings is seen as a pair of anchored suffixes with equal bytes to the
-right and to the left. The leading token of a suffix is its anchor's gram, named by a 64-bit hash.
+right and to the left. The leading token of a suffix is its anchor's gram, ordered by bits of its hash; suffixes of one
+hash are told apart by the gram's own bytes.
 
 1. Grams that occur once in the corpus are left out. They travel as packed hashes, once per batch of documents.
 2. Splitters sampled from the remaining grams cut the order of tokens into ranges. A suffix goes to its range's bucket
-   with up to 100 bytes to the right and the bytes to the left that its strings can begin in.
+   with its gram, up to 60 bytes after it, and the bytes to the left that its strings can begin in.
 3. A bucket sorts its suffixes by multikey quicksort, and equal neighbours give the first start of every string.
 4. A gram too frequent for one bucket has several. Their first starts are compared across buckets by an aggregate.
 """
@@ -209,8 +210,8 @@ def _suffixes(length: int, gram: int, parts: int, splitters: np.ndarray, hot: np
                     items["near"], items["far"] = p - last[part], p - first[part]
                     left = padded[p[:, None] + length - 1 - np.arange(length - gram)]
                     left[np.arange(length - gram) >= items["far"][:, None]] = 0
-                    right = padded[p[:, None] + length + gram + np.arange(length - gram)]
-                    right[np.arange(gram, length) >= length - items["near"][:, None].astype(int)] = 0
+                    right = padded[p[:, None] + length + np.arange(length)]
+                    right[np.arange(length) >= length - items["near"][:, None].astype(int)] = 0
                     held.append((items, left, right))
                     size += len(p)
                     if size >= 1 << 16:
@@ -276,9 +277,8 @@ def repeats(items: np.ndarray, left: np.ndarray, right: np.ndarray, length: int,
     """Matrices (suffix, offset): strings that a smaller suffix of the bucket has too, and strings seen here first."""
     span = length - gram + 1
     order = multikey_quicksort(np.concatenate([items["key"][:, None], _words(right)], axis=1))
-    ahead = gram + _common(right, order)
+    ahead = _common(right, order)  # the gram's bytes are the first ones, so suffixes of one key need not have one gram
     ahead[1:][items["key"][order][1:] != items["key"][order][:-1]] = 0
-    ahead[:1] = 0
     back = multikey_quicksort(_words(left))
     behind = _common(left, back)
     rank = np.lexsort((items["at"], items["k"], items["id"]))
@@ -312,17 +312,16 @@ def joined_spans(ids: np.ndarray, k: np.ndarray, at: np.ndarray, to: np.ndarray)
 
 
 def _bucket(length: int, gram: int, ranges: int):
-    span = length - gram + 1
     out = {"kind": "int32", "id": "int64", "k": "int64", "at": "int64", "to": "int64", "s1": "int64", "s2": "int64"}
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         parts = []
         for blob in frame["blob"]:
             raw = zstandard.ZstdDecompressor().decompress(blob)
-            n = len(raw) // (ITEM.itemsize + 2 * (length - gram))
-            items = np.frombuffer(raw, ITEM, n)
-            cells = np.frombuffer(raw, np.uint8, offset=n * ITEM.itemsize).reshape(2, n, length - gram)
-            parts.append((items, cells[0], cells[1]))
+            n = len(raw) // (ITEM.itemsize + 2 * length - gram)
+            cells = np.frombuffer(raw, np.uint8, offset=n * ITEM.itemsize)
+            left, right = cells[: n * (length - gram)], cells[n * (length - gram) :]
+            parts.append((np.frombuffer(raw, ITEM, n), left.reshape(n, length - gram), right.reshape(n, length)))
         items, left, right = (np.concatenate(x) for x in zip(*parts))
         again, first = repeats(items, left, right, length, gram)
         edge = np.diff(np.pad(again, ((0, 0), (1, 1))).astype(np.int8), axis=1)
@@ -332,8 +331,8 @@ def _bucket(length: int, gram: int, ranges: int):
         found = [joined_spans(items["id"][row], items["k"][row], at - high, at - low + length).assign(kind=0, s1=0, s2=0)]
         if key[0] >= ranges:  # a piece of a hot gram: what is first here is compared with the other pieces
             row, offset = np.nonzero(first)
-            shown = [left[r, :o][::-1].tobytes() + right[r, : span - 1 - o].tobytes() for r, o in zip(row.tolist(), offset.tolist())]
-            marks = [hashlib.blake2b(s, digest_size=16, salt=int(o).to_bytes(8, "little"), key=int(t).to_bytes(8, "little")).digest() for s, o, t in zip(shown, offset, items["key"][row])]
+            shown = [left[r, :o][::-1].tobytes() + right[r, : length - o].tobytes() for r, o in zip(row.tolist(), offset.tolist())]
+            marks = [hashlib.blake2b(s, digest_size=16, salt=int(o).to_bytes(8, "little")).digest() for s, o in zip(shown, offset)]
             marks = np.frombuffer(b"".join(marks), "<i8").reshape(-1, 2)
             at = items["at"][row] - offset
             found.append(pd.DataFrame({"kind": 1, "id": items["id"][row], "k": items["k"][row], "at": at, "to": at + length, "s1": marks[:, 0], "s2": marks[:, 1]}))
@@ -419,8 +418,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
 
     ``kept`` is null where nothing is removed and empty where everything is. Documents come in the order of doc_id, a
     null one first, rows of one doc_id by a hash of their text. Rows equal in both are one document and are returned as
-    often as they occur. Null texts count as empty. Strings never cross documents. Equal grams, equal texts and the
-    strings compared across buckets are known by hashes of 64, 128 and 128 bits.
+    often as they occur. Null texts count as empty. Strings never cross documents. Strings are compared by their bytes;
+    only equal texts and the strings compared across buckets are known by hashes, of 128 bits.
     """
     rows, spans = repeated_spans(docs, length, gram)
     texts = rows_of(docs).select("id", "k", "text").mapInArrow(compress_text, "id bigint, k bigint, packed binary")

@@ -2,7 +2,9 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
+import zstandard
 
 from pulsegrid.llm import anchors as A
 from pulsegrid.llm import suffixes as S
@@ -125,3 +127,33 @@ def test_multikey_quicksort_sorts():
         assert sorted(order.tolist()) == list(range(n))
         ranked = [tuple(x) for x in words[order].tolist()]
         assert ranked == sorted(ranked)
+
+
+def suffix_blob(texts, key, at=30, length=100, gram=40):
+    """Suffixes of 100-byte texts at one place, as a bucket gets them, all with one key."""
+    items = np.zeros(len(texts), S.ITEM)
+    items["key"], items["id"], items["k"], items["at"] = key, range(len(texts)), range(len(texts)), at
+    items["near"] = items["far"] = at
+    left, right = np.zeros((len(texts), length - gram), np.uint8), np.zeros((len(texts), length), np.uint8)
+    for i, t in enumerate(texts):
+        cells = np.frombuffer(t, np.uint8)
+        left[i, :at], right[i, : length - at] = cells[:at][::-1], cells[at:]
+    return zstandard.ZstdCompressor().compress(items.tobytes() + left.tobytes() + right.tobytes())
+
+
+@pytest.mark.parametrize("bucket", [0, 1])
+def test_grams_of_one_key_are_told_apart(bucket):
+    """Equal frames around different grams whose hashes collide in all ordered bits are no repeats."""
+    frame, other = b"L" * 30, b"R" * 30
+    texts = [frame + b"a" * 40 + other, frame + b"b" * 40 + other, frame + b"a" * 40 + other]
+    found = S._bucket(100, 40, 1)((bucket,), pd.DataFrame({"blob": [suffix_blob(texts, 7)]}))
+    assert found[found.kind == 0][["id", "at", "to"]].values.tolist() == [[2, 0, 100]]
+    marks = found[found.kind == 1]
+    assert bucket == 0 or (sorted(marks["id"]) == [0, 1] and len(set(zip(marks.s1, marks.s2))) == 2)
+
+
+def test_templated_documents_with_own_numbers(spark, documents):
+    """One frame with differing numbers inside: nothing but whole repeated strings goes."""
+    rows = [(i, f"{'Order form of the usual kind. ':<30}number {i % 400:032d}{' to be kept with all papers.':<31}") for i in range(900)]
+    got = {r.doc_id: r.n_removed for r in S.remove_repeats(documents(rows)).collect()}
+    assert got == {i: (len(rows[i][1]) if i >= 400 else 0) for i in range(900)}
