@@ -37,13 +37,15 @@ _MARK = np.arange(256, dtype=np.uint8)
 _MARK[[b for b in range(128) if not ord("a") <= b <= ord("z")]] = ord(" ")
 
 
-def subwords(data: np.ndarray) -> np.ndarray:
-    """Buckets of all 2-, 3- and 4-byte runs of a text, with marks for what is not a letter; runs of marks are left out."""
+def _plain(data: np.ndarray, after_mark: bool = False) -> np.ndarray:
+    """Lower-cased bytes with a mark for each run of bytes that are no letters; a run may have begun before ``data``."""
     plain = _MARK[_LOWER[data]]
     mark = plain == 32
-    if len(plain):
-        keep = ~(mark & np.concatenate([[False], mark[:-1]]))
-        plain, mark = plain[keep], mark[keep]
+    return plain[~(mark & np.concatenate([[after_mark], mark[:-1]]))] if len(plain) else plain
+
+
+def _grams(plain: np.ndarray, known: int = 0) -> np.ndarray:
+    """Buckets of all 2-, 3- and 4-byte runs that do not lie in the first ``known`` bytes."""
     values, out = _BYTE[plain], []
     run = values
     for n in range(2, max(GRAMS) + 1):
@@ -52,15 +54,22 @@ def subwords(data: np.ndarray) -> np.ndarray:
         run = run[: len(values) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + values[n - 1 :]
         run = run ^ (run >> np.uint64(29))
         if n in GRAMS:
-            out.append(((run * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - 15)).astype(np.int32))
+            out.append(((run[max(0, known - n + 1) :] * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - 15)).astype(np.int32))
     return np.concatenate(out) if out else np.empty(0, np.int32)
 
 
+def subwords(data: np.ndarray) -> np.ndarray:
+    """Buckets of all 2-, 3- and 4-byte runs of a text, with marks for what is not a letter; runs of marks are left out."""
+    return _grams(_plain(data))
+
+
 def counts(text: np.ndarray) -> np.ndarray:
-    """Bucket counts of a whole text, worked through in pieces that overlap by what a run needs."""
-    total = np.zeros(BUCKETS, np.int64)
-    for at in range(0, max(1, len(text)), PIECE_BYTES):
-        total += np.bincount(subwords(text[at : at + PIECE_BYTES]), minlength=BUCKETS)
+    """Bucket counts of a whole text, worked through in pieces; the last bytes of a piece go on into the next."""
+    total, tail = np.zeros(BUCKETS, np.int64), np.empty(0, np.uint8)
+    for at in range(0, len(text), PIECE_BYTES):
+        plain = np.concatenate([tail, _plain(text[at : at + PIECE_BYTES], len(tail) > 0 and tail[-1] == 32)])
+        total += np.bincount(_grams(plain, len(tail)), minlength=BUCKETS)
+        tail = plain[-(max(GRAMS) - 1) :]
     return total
 
 
@@ -89,14 +98,12 @@ class LanguageModel:
 def _features(batches):
     for batch in batches:
         data, offsets = text_bytes(batch.column("text"))
-        ids, many = [], []
+        packed = []
         for a, b in zip(offsets, offsets[1:]):
             c = counts(data[a:b])
             at = np.flatnonzero(c)
-            ids.append(at.astype(np.int32)), many.append(c[at].astype(np.float32))
-        yield pa.RecordBatch.from_pydict(
-            {"lang": batch.column("lang"), "fold": batch.column("fold"), "ids": pa.array(ids, pa.list_(pa.int32())), "many": pa.array(many, pa.list_(pa.float32()))}
-        )
+            packed.append(at.astype("<u2").tobytes() + (c[at] / max(c.sum(), 1)).astype("<f4").tobytes())
+        yield pa.RecordBatch.from_pydict({"lang": batch.column("lang"), "fold": batch.column("fold"), "share": pa.array(packed, pa.binary())})
 
 
 def held_out(doc_id) -> F.Column:
@@ -124,7 +131,7 @@ def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFr
     texts = docs.select(*row_key(F.col("doc_id"), whole_text()), whole_text().alias("text"))
     # At most 20,000 rows of a key and a label, whatever the corpus. Repeated rows are taken once.
     sample = texts.join(F.broadcast(chosen.dropDuplicates(names)), names).dropDuplicates(names)
-    return sample.select("lang", "fold", "text").mapInArrow(_features, "lang string, fold boolean, ids array<int>, many array<float>")
+    return sample.select("lang", "fold", "text").mapInArrow(_features, "lang string, fold boolean, share binary")
 
 
 def fit(sample: DataFrame, seed: int = 1) -> LanguageModel:
@@ -133,12 +140,16 @@ def fit(sample: DataFrame, seed: int = 1) -> LanguageModel:
     labels = tuple(sorted(set(rows["lang"].to_pylist())))
     if not labels:
         return LanguageModel((), np.zeros((BUCKETS, 1), np.float32), np.zeros(1, np.float32), 1.0, 1.0)
-    order = sorted(range(rows.num_rows), key=lambda i: zlib.crc32(b"%d:%d" % (rows["ids"][i].values.to_numpy().sum(), len(rows["ids"][i]))))
+    blobs = rows["share"].combine_chunks()
+    order = sorted(range(len(blobs)), key=lambda i: zlib.crc32(blobs[i].as_buffer()))
     known = {x: i for i, x in enumerate(labels)}
-    y = np.array([known[rows["lang"][i].as_py()] for i in order])
-    fold = np.array([rows["fold"][i].as_py() for i in order])
-    ids = [rows["ids"][i].values.to_numpy() for i in order]
-    share = [(m := rows["many"][i].values.to_numpy()) / max(m.sum(), 1.0) for i in order]
+    y = np.array([known[x] for x in rows["lang"].to_pylist()])[order]
+    fold = rows["fold"].to_numpy()[order]
+    # Views of the one buffer that came from the tasks; nothing is copied.
+    parts = [memoryview(blobs[i].as_buffer()) for i in order]
+    ids = [np.frombuffer(p, "<u2", len(p) // 6) for p in parts]
+    share = [np.frombuffer(p, "<f4", len(p) // 6, len(p) // 3) for p in parts]
+    del rows
     rng = np.random.default_rng(seed)
     train = np.flatnonzero(~fold) if (~fold).any() else np.arange(len(y))
     check = np.flatnonzero(fold) if fold.any() else train
@@ -236,7 +247,13 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """``docs`` without the rows that the model rejects. Text passes through the tasks once and is not shuffled."""
+    """``docs`` without the rows that the model rejects. Text passes through the tasks once and is not shuffled.
+
+    Null texts and texts without letters are rejected. A model that had no labelled document to learn from rejects
+    nothing. Repeated rows share one fate; columns may have any names.
+    """
+    if not model.labels:
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
     run = _predict(shared)
 

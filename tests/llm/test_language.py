@@ -52,13 +52,50 @@ def test_text_that_leans_to_no_language_is_rejected(documents, model):
     assert row.score < 0.9
 
 
-def test_pieces_of_long_texts_count_alike(monkeypatch, model):
-    text = np.frombuffer(("thering " * 5000).encode(), np.uint8)
-    whole = L.counts(text)
-    monkeypatch.setattr(L, "PIECE_BYTES", 10_000)
-    assert abs(L.counts(text) - whole).sum() <= 60
+@pytest.mark.parametrize("piece", [1, 2, 3, 5, 64, 10_000])
+def test_pieces_of_long_texts_count_alike(monkeypatch, piece):
+    r = random.Random(piece)
+    text = "".join(r.choice(["th", "É", " ", "  ", "12", "x", "\n", "ü", "Q", "--"]) for _ in range(400 if piece < 64 else 20_000))
+    data = np.frombuffer(text.encode(), np.uint8)
+    whole = np.bincount(L.subwords(data), minlength=L.BUCKETS)
+    monkeypatch.setattr(L, "PIECE_BYTES", piece)
+    assert (L.counts(data) == whole).all() and whole.sum()
+
+
+def buckets(text):
+    """Buckets of a text, one run at a time with Python's integers."""
+    out, plain = [], []
+    for b in text.encode():
+        b = b + 32 if 65 <= b <= 90 else b
+        b = 32 if b < 128 and not 97 <= b <= 122 else b
+        if not (b == 32 and plain and plain[-1] == 32):
+            plain.append(b)
+    full = 2**64
+    for n in (2, 3, 4):
+        for i in range(len(plain) - n + 1):
+            run = int(L._BYTE[plain[i]])
+            for b in plain[i + 1 : i + n]:
+                run = (run * 0x9E3779B97F4A7C15 + int(L._BYTE[b])) % full
+                run ^= run >> 29
+            out.append((run * 0xBF58476D1CE4E5B9) % full >> 49)
+    return out
+
+
+def test_prediction_equals_a_plain_recomputation(documents, model):
+    r = random.Random(9)
+    texts = [" ".join("".join(r.choices(sum(PARTS.values(), []), k=2)) for _ in range(r.randrange(1, 30))) for _ in range(40)]
+    texts += ["A", "é 1", "The, THE! the?", "x" * 300]
+    for row in L.predict(documents(list(enumerate(texts))), model).collect():
+        found = buckets(texts[row.doc_id])
+        z = [float(b) + sum(float(model.table[g][c]) for g in found) / max(len(found), 1) for c, b in enumerate(model.bias)]
+        e = np.exp((np.array(z) - max(z)) / model.temperature)
+        p = e / e.sum()
+        assert row.score == pytest.approx(p.max(), abs=1e-4)
+        assert row.lang_pred == model.labels[int(p.argmax())] or sorted(p)[-1] - sorted(p)[-2] < 1e-4
+        assert row.rejected == (p.max() < model.threshold) or abs(p.max() - model.threshold) < 1e-4
 
 
 def test_nothing_to_learn_from(documents):
     empty = L.fit(L.training_sample(documents([(1, "a", None, None)])))
     assert L.predict(documents([(1, "abc")]), empty).first().lang_pred == "und"
+    assert L.keep_known(documents([(1, "abc"), (2, None)]), empty).count() == 2
