@@ -31,6 +31,8 @@ LAST_WINDOW = 8_192
 TOP = 10
 
 INDEX = "segment bigint, term binary, df int, n_terms bigint, list binary"
+NAMES = [f.split()[0] for f in INDEX.split(", ")]
+ROWS_PER_BATCH = 16_384
 HITS = "query bigint, doc_id bigint, score bigint"
 HEAD = np.dtype([("last", "<u4"), ("size", "<u2"), ("pairs", "<u2"), ("doc_bytes", "u1"), ("tf_bytes", "u1")])
 PAIR = np.dtype([("tf", "<u4"), ("n", "<u4")])
@@ -56,11 +58,14 @@ def term_counts(text: bytes) -> Counter:
 # ---- building ----
 
 
-def _narrow(values: np.ndarray) -> tuple[int, bytes]:
-    """Bytes a value and the values in them."""
-    top = int(values.max())
-    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4
-    return width, values.astype(f"<u{width}").tobytes()
+def _width(top: int) -> int:
+    return 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4
+
+
+def _put(buffer: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
+    """Writes values of a fixed width to their places in a buffer of bytes."""
+    cells = np.ascontiguousarray(values).view(np.uint8).reshape(len(at), -1)
+    buffer[at[:, None] + np.arange(cells.shape[1])] = cells
 
 
 def _wide(data: bytes, at: int, count: int, width: int) -> np.ndarray:
@@ -86,13 +91,14 @@ class _Segment:
         self.held += len(text)
 
     def rows(self, segment: int):
-        """The row of documents, then one row for each term, by term. Documents are numbered by ascending doc_id."""
+        """The row of documents, then one row for each term, by term, in batches. Documents are numbered by ascending doc_id."""
         docs = np.zeros(len(self.ids), DOC)
         docs["id"], docs["null"], docs["n"] = [i or 0 for i in self.ids], [i is None for i in self.ids], self.lengths
         order = np.lexsort((docs["id"], docs["null"]))
         number = np.empty(len(order), np.int64)
         number[order] = np.arange(len(order))
-        yield segment, None, len(docs), int(docs["n"].sum(dtype=np.int64)), docs[order].tobytes()
+        head = [segment], [None], [len(docs)], [int(docs["n"].sum(dtype=np.int64))], [docs[order].tobytes()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(head, (pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary()))], NAMES)
 
         names = sorted(self.terms)
         rank = np.empty(len(names), np.int64)
@@ -114,46 +120,54 @@ class _Segment:
         pairs = np.zeros(len(best), PAIR)
         pairs["tf"], pairs["n"] = tf[best], n[best]
         pair_at = np.concatenate([[0], np.cumsum(np.bincount(block[best], minlength=first[-1]))])
-        for t, name in enumerate(names):
-            heads, bodies, at = np.zeros(blocks[t], HEAD), [], -1
-            for b in range(blocks[t]):
-                lo, hi = start[t] + b * BLOCK, min(start[t + 1], start[t] + (b + 1) * BLOCK)
-                doc_bytes, gaps = _narrow(np.diff(doc[lo:hi], prepend=at) - 1)
-                tf_bytes, counts = _narrow(tf[lo:hi])
-                at = doc[hi - 1]
-                heads[b] = at, hi - lo, pair_at[first[t] + b + 1] - pair_at[first[t] + b], doc_bytes, tf_bytes
-                bodies += [gaps, counts]
-            own = pairs[pair_at[first[t]] : pair_at[first[t + 1]]]
-            yield segment, name, int(df[t]), 0, b"".join([len(heads).to_bytes(4, "little"), heads.tobytes(), own.tobytes(), *bodies])
+        # A term's list: the number of blocks, their heads, their pairs, and for each block gaps, then occurrences.
+        doc_bytes, tf_bytes = _width(len(docs)), _width(int(tf.max()))
+        block_term = np.repeat(np.arange(len(names)), blocks)
+        nth = np.arange(first[-1]) - first[block_term]
+        heads = np.zeros(first[-1], HEAD)
+        heads["size"] = np.minimum(df[block_term] - nth * BLOCK, BLOCK)
+        heads["last"] = doc[start[block_term] + nth * BLOCK + heads["size"] - 1]
+        heads["pairs"] = np.diff(pair_at)
+        heads["doc_bytes"], heads["tf_bytes"] = doc_bytes, tf_bytes
+        own_pairs = pair_at[first[1:]] - pair_at[first[:-1]]
+        size = 4 + blocks * HEAD.itemsize + own_pairs * PAIR.itemsize + df * (doc_bytes + tf_bytes)
+        end = np.cumsum(size)
+        head_at = end - size + 4
+        pairs_from = head_at + blocks * HEAD.itemsize
+        body_at = (pairs_from + own_pairs * PAIR.itemsize)[block_term] + nth * BLOCK * (doc_bytes + tf_bytes)
+        buffer = np.zeros(int(end[-1]), np.uint8)
+        _put(buffer, end - size, blocks.astype("<u4"))
+        _put(buffer, head_at[block_term] + nth * HEAD.itemsize, heads)
+        pair_term = np.repeat(np.arange(len(names)), own_pairs)
+        _put(buffer, pairs_from[pair_term] + (np.arange(len(pairs)) - pair_at[first[pair_term]]) * PAIR.itemsize, pairs)
+        gaps = np.diff(doc, prepend=-1) - 1
+        gaps[start[:-1]] = doc[start[:-1]]
+        place = np.arange(len(code)) - start[code] - nth[block] * BLOCK
+        _put(buffer, body_at[block] + place * doc_bytes, gaps.astype(f"<u{doc_bytes}"))
+        _put(buffer, body_at[block] + heads["size"][block] * doc_bytes + place * tf_bytes, tf.astype(f"<u{tf_bytes}"))
+        offsets = np.concatenate([[0], end])
+        for lo in range(0, len(names), ROWS_PER_BATCH):
+            hi = min(len(names), lo + ROWS_PER_BATCH)
+            here = pa.py_buffer((offsets[lo : hi + 1] - offsets[lo]).astype(np.int32))
+            lists = pa.Array.from_buffers(pa.binary(), hi - lo, [None, here, pa.py_buffer(buffer[offsets[lo] : offsets[hi]])])
+            zeros = np.zeros(hi - lo, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(zeros + segment), pa.array(names[lo:hi], pa.binary()), pa.array(df[lo:hi].astype(np.int32)), pa.array(zeros), lists], NAMES)
 
 
 def _index(batches):
     """For ``mapInArrow`` over (doc_id, text as binary)."""
 
-    def flush(segment: _Segment, number: int):
-        names, rows = [f.split()[0] for f in INDEX.split(", ")], []
-        types = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary()]
-        size = 0
-        for row in segment.rows((TaskContext.get().partitionId() << 32) | number):
-            rows.append(row)
-            size += len(row[-1])
-            if len(rows) == 4_096 or size > SEGMENT_BYTES // 4:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
-                rows, size = [], 0
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
-
-    segment, number = _Segment(), 0
+    context, segment, number = TaskContext.get().partitionId() << 32, _Segment(), 0
     for batch in slices(batches):
         data, offsets = text_bytes(batch.column(1))
         for i, doc_id in enumerate(batch.column(0).to_pylist()):
             segment.add(doc_id, data[offsets[i] : offsets[i + 1]].tobytes())
             if segment.held >= SEGMENT_BYTES:
                 if segment.ids:
-                    yield from flush(segment, number)
+                    yield from segment.rows(context | number)
                 segment, number = _Segment(), number + 1
     if segment.ids:
-        yield from flush(segment, number)
+        yield from segment.rows(context | number)
 
 
 @dataclass(frozen=True)

@@ -45,6 +45,10 @@ def corpus(seed, size, vocabulary=60):
     return list(enumerate(texts)), [" ".join(draw.choices(words, k=n)) for n in (1, 2, 5, 12, 30)]
 
 
+def rows_of(segment):
+    return [tuple(r.values()) for batch in segment.rows(0) for r in batch.to_pylist()]
+
+
 def found(spark, docs, queries, k=10):
     asked = spark.createDataFrame([(i, t, "own") for i, t in enumerate(queries)], "item_id int, text string, score string")
     out = SearchIndex.build(docs).search(asked, k).collect()
@@ -67,7 +71,7 @@ def test_blocks_are_rejected_before_they_are_unpacked():
     segment = _Segment()
     for i, t in docs:
         segment.add(i, t.encode())
-    rows = list(segment.rows(0))
+    rows = rows_of(segment)
     header, lists = np.frombuffer(rows[0][-1], search.DOC), {r[1]: (r[2], r[-1]) for r in rows[1:]}
     totals = rows[0][2], rows[0][3]
     marks = search.length_marks(header["n"], *totals)
@@ -82,7 +86,7 @@ def test_bounds_are_the_blocks_maxima():
     segment = _Segment()
     for i, t in docs:
         segment.add(i, t.encode())
-    header, *rows = segment.rows(0)
+    header, *rows = rows_of(segment)
     marks = search.length_marks(np.frombuffer(header[-1], search.DOC)["n"], header[2], header[3])
     for r in rows:
         own = _List(r[-1], search.weight(header[2], r[2]), marks, (header[2], header[3]))
@@ -90,6 +94,23 @@ def test_bounds_are_the_blocks_maxima():
         assert sum(len(own.block(b)[0]) for b in range(len(own.heads))) == r[2]
 
 
+def test_wide_numbers_and_many_documents():
+    """Occurrences above 65,535 and documents beyond 256 take more bytes, in the same lists."""
+    segment = _Segment()
+    texts = ["a " * 70_000] + ["a b " * (i % 3 + 1) for i in range(700)] + ["c"]
+    for i, t in enumerate(texts):
+        segment.add(i, t.encode())
+    header, *rows = rows_of(segment)
+    marks = search.length_marks(np.frombuffer(header[-1], search.DOC)["n"], header[2], header[3])
+    for r in rows:
+        own = _List(r[-1], 1, marks, (header[2], header[3]))
+        docs = np.concatenate([own.block(b)[0] for b in range(len(own.heads))])
+        assert docs.tolist() == [i for i, t in enumerate(texts) if r[1].decode() in t]
+        adds = np.concatenate([own.block(b)[1] for b in range(len(own.heads))])
+        tf = np.array([texts[i].split().count(r[1].decode()) for i in docs])
+        assert (adds == search.impact(tf, marks[docs])).all()
+
+
 def test_terms():
     text = "Ab-c_d 12\x7fÄÖ x Y ÀB 🙂z\x85k"
     assert term_counts(text.encode()) == Counter(t.encode() for t in terms(text))
