@@ -9,8 +9,11 @@ from __future__ import annotations
 
 import json
 import math
+import re
+from array import array
 from collections import Counter
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +31,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 WINDOWS_KEPT = 300_000
 LONGEST_KEPT = 64
 DOCS_PER_BATCH = 64
-BATCH_BYTES = 8 << 20
+BATCH_CHARS = 1 << 20
 HOT_PAIRS = 50_000
 PAIR_BITS = 32
 
@@ -71,12 +74,17 @@ class ByteLevel(Vocabulary):
             raise ValueError(f"ids of {path} have gaps")
         self.encoding = tiktoken.Encoding("A", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [self.encoding.encode_ordinary(" " + x) for x in texts]
+    def encode(self, text: str) -> np.ndarray:
+        return self.encoding.encode_to_numpy(" " + text, disallowed_special=())
 
 
 class Pieces(Vocabulary):
-    """A SentencePiece file that puts a space before a text."""
+    """A SentencePiece file that puts a space before a text.
+
+    If no piece of the vocabulary has a space behind another character, no merge ever crosses such a place. A text is
+    then tokenised in parts of spaces and what follows them, which gives the tokens of the whole, and parts seen before
+    are remembered. Otherwise a text is one part.
+    """
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
@@ -84,79 +92,89 @@ class Pieces(Vocabulary):
         self.model = SentencePieceProcessor(model_file=path)
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         super().__init__([bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)])
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1)
-
-
-def groups_of(a: list[int], b: list[int], length_a: list[int], length_b: list[int]):
-    """The groups of a window as index ranges of both: cuts are where tokens of both end. The last ends coincide."""
-    i = j = first_a = first_b = 0
-    end_a, end_b = length_a[a[0]], length_b[b[0]]
-    while True:
-        if end_a < end_b:
-            i += 1
-            end_a += length_a[a[i]]
-        elif end_b < end_a:
-            j += 1
-            end_b += length_b[b[j]]
-        else:
-            i, j = i + 1, j + 1
-            yield first_a, i, first_b, j
-            if i == len(a):
-                return
-            first_a, first_b = i, j
-            end_a += length_a[a[i]]
-            end_b += length_b[b[j]]
+        apart = not any(re.search("[^▁]▁", p) for p in pieces)
+        self.parts = re.compile(" +[^ ]*" if apart else ".+", re.DOTALL)
+        self.space = self.model.piece_to_id("▁")
+        self.known: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str]) -> list[np.ndarray | None]:
+        """Ids of each text; None for a text that they do not spell."""
+        parts = [self.parts.findall(" " + x) for x in texts]
+        if len(self.known) > WINDOWS_KEPT:
+            self.known.clear()
+        new = list(set(chain.from_iterable(parts)).difference(self.known))
+        known = self.known if max(map(len, new), default=0) <= LONGEST_KEPT else dict(self.known)
+        for part, ids in zip(new, self.model.encode([p[1:] for p in new], num_threads=1) if new else ()):
+            ids = ids or [self.space]  # a single space
+            right = b"".join(map(self.spelled.__getitem__, ids)) == part.encode()
+            known[part] = array("i", ids).tobytes() if right else b""
+        packed = [list(map(known.__getitem__, p)) for p in parts]
+        return [None if b"" in p else np.frombuffer(b"".join(p), np.int32) for p in packed]
 
 
 class Windows(dict):
     """Numbers of windows by their ids, packed as (number of A's ids, A's ids, B's ids) in 32 bits each.
 
-    By number: the groups as text, how many they are, how many links they have, and the linked pairs, each as often as
-    it is linked. A window with very many links has its pairs in ``many`` instead, with counts.
+    By number: the groups as text, how many they are, how many links they have, and the linked pairs in 64 bits each, as
+    often as they are linked. A group with very many links has its pairs in ``many`` instead, with counts.
     """
 
     def __init__(self, a: Vocabulary, b: Vocabulary):
         super().__init__()
         self.a, self.b = a, b
         self.text: list[str] = []
-        self.groups: list[int] = []
-        self.links: list[int] = []
-        self.pairs: list[tuple[int, ...]] = []
+        self.pairs: list[bytes] = []
+        self.groups, self.links, self.listed = array("q"), array("q"), array("q")
         self.many: dict[int, Counter] = {}
 
     def make_room(self) -> None:
         """Forget all windows if they are too many; numbers given before are void then."""
         if len(self.text) > WINDOWS_KEPT:
             self.clear()
-            for kept in (self.text, self.groups, self.links, self.pairs, self.many):
-                kept.clear()
+            self.__init__(self.a, self.b)
 
     def __missing__(self, packed: bytes) -> int:
-        n_a, *ids = memoryview(packed).cast("i")
+        """Walks through both sides; a group ends where tokens of both do. The last ends coincide."""
+        n_a, *ids = array("i", packed)
         a, b = ids[:n_a], ids[n_a:]
-        spelled, links, pairs, many = [], 0, [], Counter()
-        for lo, hi, low, high in groups_of(a, b, self.a.lengths, self.b.lengths):
-            links += (hi - lo) * (high - low)
-            if hi - lo == high - low == 1:
-                spelled.append(f"{a[lo]}|{b[low]}")
-                pairs.append((a[lo] << PAIR_BITS) | b[low])
+        length_a, length_b = self.a.lengths, self.b.lengths
+        spelled, pairs, links, many = [], array("q"), 0, None
+        i = j = 0
+        while i < n_a:
+            first_a, first_b = i, j
+            x, y = a[i], b[j]
+            i, j = i + 1, j + 1
+            end_a, end_b = length_a[x], length_b[y]
+            if end_a == end_b:
+                links += 1
+                spelled.append(f"{x}|{y}")
+                pairs.append((x << PAIR_BITS) | y)
                 continue
-            spelled.append(f"{','.join(map(str, a[lo:hi]))}|{','.join(map(str, b[low:high]))}")
-            if (hi - lo) * (high - low) <= LONGEST_KEPT:
-                pairs += [(x << PAIR_BITS) | y for x in a[lo:hi] for y in b[low:high]]
+            while end_a != end_b:
+                if end_a < end_b:
+                    end_a += length_a[a[i]]
+                    i += 1
+                else:
+                    end_b += length_b[b[j]]
+                    j += 1
+            own_a, own_b = a[first_a:i], b[first_b:j]
+            size = len(own_a) * len(own_b)
+            links += size
+            spelled.append(f"{','.join(map(str, own_a))}|{','.join(map(str, own_b))}")
+            if size <= LONGEST_KEPT:
+                pairs.extend([(x << PAIR_BITS) | y for x in own_a for y in own_b])
                 continue
             # By counts of ids: a group of n and m tokens has n * m links, but few different pairs.
-            count_b = Counter(b[low:high]).items()
-            for x, n in Counter(a[lo:hi]).items():
+            many, count_b = many or Counter(), Counter(own_b).items()
+            for x, n in Counter(own_a).items():
                 for y, m in count_b:
                     many[(x << PAIR_BITS) | y] += n * m
         number = len(self.text)
         self.text.append(";".join(spelled))
         self.groups.append(len(spelled))
         self.links.append(links)
-        self.pairs.append(tuple(pairs))
+        self.listed.append(len(pairs))
+        self.pairs.append(pairs.tobytes())
         if many:
             self.many[number] = many
         if len(ids) <= LONGEST_KEPT:
@@ -190,36 +208,55 @@ class Aligner:
         raw = packed.tobytes()
         return cut_a, [raw[x:y] for x, y in zip((4 * begin).tolist(), (4 * (begin + size)).tolist())]
 
-    def texts(self, texts: list[str | None]):
-        """For each text: n_a, n_b, n_groups, n_links, groups, {pair: links}."""
-        there = [x for x in texts if x]
-        found = []
-        for text, a, b in zip(there, self.a.encode(there), self.b.encode(there)) if there else ():
-            if b"".join(map(self.b.spelled.__getitem__, b)) == b" " + text.encode():
-                found.append((a, b))
-            else:
-                found.append(([], []))
+    def texts(self, texts: list[str | None]) -> Aligned:
         known = self.windows
         known.make_room()
-        numbers, ends = [], iter(())
-        if any(a for a, _ in found):
-            a, b = (np.fromiter(chain.from_iterable(x), np.int32, sum(map(len, x))) for x in zip(*found))
-            cut_a, keys = self.cut(a, b)
-            numbers = list(map(known.__getitem__, keys))
-            ends = iter(np.searchsorted(cut_a, np.cumsum([len(a) for a, _ in found]), "right").tolist())
-        at, found = 0, iter(found)
-        for text in texts:
-            a, b = next(found) if text else ((), ())
-            end = next(ends, 0) if text else at
-            if not a:
-                yield 0, 0, 0, 0, "", {}
-                continue
-            own, at = numbers[at:end], end
-            pairs = Counter(chain.from_iterable(map(known.pairs.__getitem__, own)))
-            if known.many:
-                for number in own:
-                    pairs.update(known.many.get(number, {}))
-            yield len(a), len(b), sum(map(known.groups.__getitem__, own)), sum(map(known.links.__getitem__, own)), ";".join(map(known.text.__getitem__, own)), pairs
+        nothing = np.empty(0, np.int32)
+        right = iter(self.b.encode([x for x in texts if x]))
+        right = [next(right) if x else None for x in texts]
+        tokens = [(self.a.encode(x), b) if b is not None else (nothing, nothing) for x, b in zip(texts, right)]
+        n_a, n_b = (np.array([len(x) for x in side], np.int64) for side in zip(*tokens))
+        if not n_a.any():
+            zeros = np.zeros(len(texts), np.int64)
+            return Aligned(n_a, n_b, zeros, zeros, [""] * len(texts), zeros, np.empty(0, np.int64), np.empty(0, np.int64))
+        cut_a, keys = self.cut(*(np.concatenate(side).astype(np.int32) for side in zip(*tokens)))
+        numbers = list(map(known.__getitem__, keys))
+        ends = np.where(n_a > 0, np.searchsorted(cut_a, np.cumsum(n_a), "right"), 0)
+        ends = np.maximum.accumulate(ends)
+        begins = np.concatenate([[0], ends[:-1]])
+        text_of = np.repeat(np.arange(len(texts)), ends - begins)
+        at = np.array(numbers)
+        by_window = lambda values: np.frombuffer(values, np.int64)[at]
+        sums = lambda values: np.bincount(text_of, by_window(values), len(texts)).astype(np.int64)
+        spelled = [";".join(map(known.text.__getitem__, numbers[a:b])) for a, b in zip(begins.tolist(), ends.tolist())]
+
+        # Links by text and pair: one number for both, sorted and counted.
+        pairs = np.frombuffer(b"".join(map(known.pairs.__getitem__, numbers)), np.int64)
+        place, times = np.repeat(text_of, by_window(known.listed)), np.ones(len(pairs), np.int64)
+        if known.many:
+            more = [(t, p, n) for t, i in zip(text_of.tolist(), numbers) for p, n in known.many.get(i, {}).items()]
+            extra = np.array(more, np.int64).reshape(-1, 3)
+            place, pairs, times = (np.concatenate(x) for x in zip((place, pairs, times), extra.T))
+        ids_b = len(self.b.spelled)
+        key = place * (len(self.a.spelled) * ids_b) + (pairs >> PAIR_BITS) * ids_b + (pairs & ((1 << PAIR_BITS) - 1))
+        order = np.argsort(key)
+        key, times = key[order], times[order]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        place, pairs, times = place[order][first], pairs[order][first], np.add.reduceat(times, first)
+        return Aligned(n_a, n_b, sums(known.groups), sums(known.links), spelled, np.bincount(place, minlength=len(texts)), pairs, times)
+
+
+class Aligned(NamedTuple):
+    """Several texts: numbers and groups of each, how many different pairs it links, and these pairs with their links."""
+
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    n_links: np.ndarray
+    groups: list[str]
+    n_pairs: np.ndarray
+    pairs: np.ndarray
+    times: np.ndarray
 
 
 _ALIGNERS: dict[str, Aligner] = {}
@@ -233,44 +270,34 @@ def _aligner(folder: str) -> Aligner:
 
 
 def _align(folder: str):
-    types = [pa.int64()] * 6 + [pa.string(), pa.list_(pa.struct([("pair", pa.int64()), ("n", pa.int64())]))]
     names = ["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "links"]
 
-    def packed(rows):
-        ids, *numbers, pairs = zip(*rows)
-        flat = [list(chain.from_iterable(map(part, pairs))) for part in (dict.keys, dict.values)]
-        structs = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in flat], ["pair", "n"])
-        offsets = np.concatenate([[0], np.cumsum([len(p) for p in pairs])]).astype(np.int32)
-        row, doc_id = zip(*ids)
-        columns = [pa.array(c, t) for c, t in zip((row, doc_id, *numbers), types)]
-        return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(offsets), structs)], names)
-
     def run(batches):
         aligner, number = _aligner(folder), TaskContext.get().partitionId() << 40
         for batch in slices(batches, DOCS_PER_BATCH):
-            rows, held = [], 0
             texts = batch.column(1).to_pylist()
-            for doc_id, text, found in zip(batch.column(0).to_pylist(), texts, _in_small_lists(aligner, texts)):
-                rows.append(((number, doc_id), *found))
-                number, held = number + 1, held + len(text or "")
-                if held > BATCH_BYTES:
-                    yield packed(rows)
-                    rows, held = [], 0
-            if rows:
-                yield packed(rows)
+            for at, end in _few_at_a_time(texts):
+                found = aligner.texts(texts[at:end])
+                links = pa.StructArray.from_arrays([pa.array(found.pairs), pa.array(found.times)], ["pair", "n"])
+                offsets = pa.array(np.concatenate([[0], np.cumsum(found.n_pairs)]).astype(np.int32))
+                rows = pa.array(np.arange(number + at, number + end))
+                numbers = [pa.array(x) for x in found[:4]]
+                columns = [rows, batch.column(0).slice(at, end - at), *numbers, pa.array(found.groups), pa.ListArray.from_arrays(offsets, links)]
+                yield pa.RecordBatch.from_arrays(columns, names)
+            number += len(texts)
 
     return run
 
 
-def _in_small_lists(aligner: Aligner, texts: list[str | None]):
-    """Tokenises few texts at a time, so that a very long one is never held with many others."""
+def _few_at_a_time(texts: list[str | None]):
+    """Ranges of about a megabyte of text, so that a very long one is never held with many others."""
     at = 0
     while at < len(texts):
         end, size = at, 0
-        while end < len(texts) and (end == at or size + len(texts[end] or "") <= BATCH_BYTES // 8):
+        while end < len(texts) and (end == at or size + len(texts[end] or "") <= BATCH_CHARS):
             size += len(texts[end] or "")
             end += 1
-        yield from aligner.texts(texts[at:end])
+        yield at, end
         at = end
 
 

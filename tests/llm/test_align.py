@@ -102,14 +102,34 @@ def test_frequent_pairs_on_both_paths(spark, documents, models, monkeypatch):
     assert answer(spark, documents(docs)) == brute(models, docs)
 
 
+def as_rows(found):
+    """One plain tuple for each text."""
+    ends = found.n_pairs.cumsum().tolist()
+    pairs = [dict(zip(found.pairs[a:b].tolist(), found.times[a:b].tolist())) for a, b in zip([0, *ends], ends)]
+    return list(zip(*(x.tolist() for x in found[:4]), found.groups, pairs))
+
+
 def test_windows_are_remembered_and_forgotten(models, monkeypatch):
     aligner = Aligner(TOKENIZERS)
-    first = list(aligner.texts(TEXTS))
+    first = as_rows(aligner.texts(TEXTS))
     known = len(aligner.windows)
-    assert known and list(aligner.texts(TEXTS)) == first and len(aligner.windows) == known
+    assert known and as_rows(aligner.texts(TEXTS)) == first and len(aligner.windows) == known
     monkeypatch.setattr(align, "WINDOWS_KEPT", 3)
     small = Aligner(TOKENIZERS)
-    assert [next(small.texts([t])) for t in TEXTS] == first and len(small.windows) < known
+    assert [as_rows(small.texts([t]))[0] for t in TEXTS] == first and len(small.windows) < known
+
+
+def test_parts_give_the_tokens_of_whole_texts(models):
+    """The model's own encoding of whole texts, for all that can stand around spaces; None where it does not spell."""
+    own, draw = Aligner(TOKENIZERS).b, random.Random(6)
+    marks = ["a", "B", "the", " ", "  ", "   ", "\n", "\t", "1", ".", "é", "日", "🙂", "\u00a0", "\u3000", "\r\n", "'s", "-", "x" * 70]
+    for text in ["".join(draw.choices(marks, k=draw.randint(1, 12))) for _ in range(3_000)] + [t for t in TEXTS if t]:
+        whole = models[2].encode(text)
+        found = own.encode([text])[0]
+        if found is None:
+            assert b"".join(own.spelled[i] for i in whole) != (" " + text).encode()
+        else:
+            assert found.tolist() == whole
 
 
 def test_both_readers_of_the_vocabulary_agree(models):
@@ -117,12 +137,12 @@ def test_both_readers_of_the_vocabulary_agree(models):
     own = Aligner(TOKENIZERS).a
     for low in range(0, 0x110000, 0x4000):
         texts = [f"a{c}b {c}{c} 1{c}2 .{c}; {c} x  {c}y\n{c}'s" for c in map(chr, range(low, low + 0x4000, 97)) if not 0xD800 <= ord(c) <= 0xDFFF]
-        assert own.encode(texts) == [e.ids for e in models[0].encode_batch([" " + t for t in texts], add_special_tokens=False)]
+        assert [own.encode(t).tolist() for t in texts] == [e.ids for e in models[0].encode_batch([" " + t for t in texts], add_special_tokens=False)]
 
 
 def test_a_long_group_has_no_list_of_its_links():
-    text = "é" * 20_000 + " " + "　" * 9_000
-    (n_a, n_b, n_groups, n_links, groups, pairs), = Aligner(TOKENIZERS).texts([text])
+    text = "é" * 20_000 + " " + "\u3000" * 9_000
+    (n_a, n_b, n_groups, n_links, groups, pairs), = as_rows(Aligner(TOKENIZERS).texts([text]))
     assert n_a and sum(pairs.values()) == n_links and groups.count(";") == n_groups - 1
 
 
