@@ -20,6 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -202,15 +203,16 @@ def _suffixes(length: int, gram: int, parts: int, splitters: np.ndarray, hot: np
                 alive = np.frombuffer(alive, "<u4")
                 places, hashes, first, last = places[alive], hashes[alive], first[alive], last[alive]
                 padded = np.concatenate([np.zeros(length, np.uint8), text, np.zeros(length, np.uint8)])
-                for a in range(0, len(places), 1 << 16):
-                    part = slice(a, a + (1 << 16))
+                ahead, behind = sliding_window_view(padded, length), sliding_window_view(padded, length - gram)
+                for a in range(0, len(places), 1 << 13):
+                    part = slice(a, a + (1 << 13))
                     p = places[part]
                     items = np.zeros(len(p), ITEM)
                     items["key"], items["id"], items["k"], items["at"] = order_key(hashes[part], parts), id_, k, p
                     items["near"], items["far"] = p - last[part], p - first[part]
-                    left = padded[p[:, None] + length - 1 - np.arange(length - gram)]
+                    left = behind[p + gram][:, ::-1].copy()
                     left[np.arange(length - gram) >= items["far"][:, None]] = 0
-                    right = padded[p[:, None] + length + np.arange(length)]
+                    right = ahead[p + length]
                     right[np.arange(length) >= length - items["near"][:, None].astype(int)] = 0
                     held.append((items, left, right))
                     size += len(p)
@@ -258,25 +260,32 @@ def multikey_quicksort(words: np.ndarray) -> np.ndarray:
     return order
 
 
-def _words(cells: np.ndarray) -> np.ndarray:
-    wide = np.zeros((len(cells), -(-cells.shape[1] // 8) * 8), np.uint8)
-    wide[:, : cells.shape[1]] = cells
-    return wide.view(">u8").astype(np.uint64)
+def _words(cells: np.ndarray, first: np.ndarray | None = None) -> np.ndarray:
+    """Rows of bytes as rows of tokens of eight bytes, with the token ``first`` in front of them."""
+    ahead = 0 if first is None else 1
+    wide = np.zeros((len(cells), (ahead - (-cells.shape[1] // 8)) * 8), np.uint8)
+    wide[:, ahead * 8 : ahead * 8 + cells.shape[1]] = cells
+    words = wide.view(np.uint64)
+    words.byteswap(inplace=True)
+    if first is not None:
+        words[:, 0] = first
+    return words
 
 
 def _common(cells: np.ndarray, order: np.ndarray) -> np.ndarray:
     """Equal leading bytes of each row in ``order`` and the row before it; 0 for the first."""
-    ranked = cells[order]
     out = np.zeros(len(order), np.int64)
-    differ = ranked[1:] != ranked[:-1]
-    out[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), cells.shape[1])
+    for at in range(1, len(order), 1 << 14):  # a piece at a time, as this compares all bytes
+        rows = order[at - 1 : at + (1 << 14)]
+        differ = cells[rows[1:]] != cells[rows[:-1]]
+        out[at : at + len(rows) - 1] = np.where(differ.any(axis=1), differ.argmax(axis=1), cells.shape[1])
     return out
 
 
 def repeats(items: np.ndarray, left: np.ndarray, right: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """Matrices (suffix, offset): strings that a smaller suffix of the bucket has too, and strings seen here first."""
     span = length - gram + 1
-    order = multikey_quicksort(np.concatenate([items["key"][:, None], _words(right)], axis=1))
+    order = multikey_quicksort(_words(right, items["key"]))
     ahead = _common(right, order)  # the gram's bytes are the first ones, so suffixes of one key need not have one gram
     ahead[1:][items["key"][order][1:] != items["key"][order][:-1]] = 0
     back = multikey_quicksort(_words(left))
@@ -323,6 +332,7 @@ def _bucket(length: int, gram: int, ranges: int):
             left, right = cells[: n * (length - gram)], cells[n * (length - gram) :]
             parts.append((np.frombuffer(raw, ITEM, n), left.reshape(n, length - gram), right.reshape(n, length)))
         items, left, right = (np.concatenate(x) for x in zip(*parts))
+        del parts, raw, cells
         again, first = repeats(items, left, right, length, gram)
         edge = np.diff(np.pad(again, ((0, 0), (1, 1))).astype(np.int8), axis=1)
         row, low = np.nonzero(edge > 0)
