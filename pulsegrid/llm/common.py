@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import uuid
 
@@ -93,6 +94,14 @@ def unpack_text(blob: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
 
 
+def give_back() -> None:
+    """Returns memory that this process has freed to the machine, where the C library can; a driver lives long."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder under the checkpoint folder, which all executors reach."""
     return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
@@ -104,6 +113,7 @@ __all__ = [
     "ascii_lower",
     "compress_text",
     "fitted",
+    "give_back",
     "let",
     "materialize",
     "read_documents",

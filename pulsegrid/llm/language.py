@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import read_documents, row_key, whole_text
+from .common import give_back, read_documents, row_key, whole_text
 from .shingles import _BYTE, text_bytes
 
 BUCKETS = 1 << 15
@@ -136,7 +136,12 @@ def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFr
 
 def fit(sample: DataFrame, seed: int = 1) -> LanguageModel:
     """Stochastic gradient descent in numpy over the bounded sample, then calibration on its other part."""
-    rows = sample.toArrow()
+    model = _trained(sample.toArrow(), seed)
+    give_back()
+    return model
+
+
+def _trained(rows: pa.Table, seed: int) -> LanguageModel:
     labels = tuple(sorted(set(rows["lang"].to_pylist())))
     if not labels:
         return LanguageModel((), np.zeros((BUCKETS, 1), np.float32), np.zeros(1, np.float32), 1.0, 1.0)
