@@ -102,15 +102,34 @@ class Pieces(Vocabulary):
         parts = [self.parts.findall(" " + x) for x in texts]
         if len(self.known) > WINDOWS_KEPT:
             self.known.clear()
-        new = list(set(chain.from_iterable(parts)).difference(self.known))
-        known = self.known if max(map(len, new), default=0) <= LONGEST_KEPT else dict(self.known)
-        for part, ids in zip(new, self.model.encode([p[1:] for p in new], num_threads=1) if new else ()):
-            ids = ids or [self.space]  # a single space
-            right = b"".join(map(self.spelled.__getitem__, ids)) == part.encode()
-            known[part] = array("i", ids).tobytes() if right else b""
-        packed = [list(map(known.__getitem__, p)) for p in parts]
+        flat = list(chain.from_iterable(parts))
+        found = list(map(self.known.get, flat))
+        new = list(dict.fromkeys([p for p, x in zip(flat, found) if x is None]))
+        if new:
+            made = dict(zip(new, self._new(new)))
+            found = [made[p] if x is None else x for p, x in zip(flat, found)]
+            if max(map(len, new)) > LONGEST_KEPT:
+                made = {p: x for p, x in made.items() if len(p) <= LONGEST_KEPT}
+            self.known.update(made)
+        at = np.cumsum([0, *map(len, parts)]).tolist()
+        packed = [found[a:b] for a, b in zip(at, at[1:])]
         return [None if b"" in p else np.frombuffer(b"".join(p), np.int32) for p in packed]
 
+    def _new(self, parts: list[str]) -> list[bytes]:
+        """Packed ids of parts, each with the space that the model puts in front; empty if they do not spell it."""
+        ids = [x or [self.space] for x in self.model.encode([p[1:] for p in parts], num_threads=1)]  # [] for one space
+        count = list(map(len, ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.int32, sum(count))
+        end = np.cumsum(count)
+        spelled = list(map(str.encode, parts))
+        raw = flat.tobytes()
+        out = [raw[a:b] for a, b in zip((4 * (end - count)).tolist(), (4 * end).tolist())]
+        reached = np.cumsum(self.length[flat])[end - 1]
+        whole = b"".join(map(self.spelled.__getitem__, flat.tolist())) == b"".join(spelled)
+        if whole and (reached == np.cumsum(list(map(len, spelled)))).all():
+            return out
+        return [o if b"".join(map(self.spelled.__getitem__, x)) == s else b"" for o, x, s in zip(out, ids, spelled)]
+
 
 class Windows(dict):
     """Numbers of windows by their ids, packed as (number of A's ids, A's ids, B's ids) in 32 bits each.
@@ -126,60 +145,84 @@ class Windows(dict):
         self.pairs: list[bytes] = []
         self.groups, self.links, self.listed = array("q"), array("q"), array("q")
         self.many: dict[int, Counter] = {}
+        # An id of either side behind what stands before it in the text of a window's groups.
+        n_a, n_b = len(a.spelled), len(b.spelled)
+        self.written = [f"{mark}{i}" for mark in ("", ";", ",") for i in range(n_a)] + [f"{mark}{i}" for mark in ("|", ",") for i in range(n_b)]
 
-    def make_room(self) -> None:
-        """Forget all windows if they are too many; numbers given before are void then."""
+    def forget(self) -> None:
+        """All windows, if there are too many; numbers given before are void then."""
         if len(self.text) > WINDOWS_KEPT:
             self.clear()
-            self.__init__(self.a, self.b)
-
-    def __missing__(self, packed: bytes) -> int:
-        """Walks through both sides; a group ends where tokens of both do. The last ends coincide."""
-        n_a, *ids = array("i", packed)
-        a, b = ids[:n_a], ids[n_a:]
-        length_a, length_b = self.a.lengths, self.b.lengths
-        spelled, pairs, links, many = [], array("q"), 0, None
-        i = j = 0
-        while i < n_a:
-            first_a, first_b = i, j
-            x, y = a[i], b[j]
-            i, j = i + 1, j + 1
-            end_a, end_b = length_a[x], length_b[y]
-            if end_a == end_b:
-                links += 1
-                spelled.append(f"{x}|{y}")
-                pairs.append((x << PAIR_BITS) | y)
-                continue
-            while end_a != end_b:
-                if end_a < end_b:
-                    end_a += length_a[a[i]]
-                    i += 1
-                else:
-                    end_b += length_b[b[j]]
-                    j += 1
-            own_a, own_b = a[first_a:i], b[first_b:j]
-            size = len(own_a) * len(own_b)
-            links += size
-            spelled.append(f"{','.join(map(str, own_a))}|{','.join(map(str, own_b))}")
-            if size <= LONGEST_KEPT:
-                pairs.extend([(x << PAIR_BITS) | y for x in own_a for y in own_b])
-                continue
-            # By counts of ids: a group of n and m tokens has n * m links, but few different pairs.
-            many, count_b = many or Counter(), Counter(own_b).items()
-            for x, n in Counter(own_a).items():
+            self.many.clear()
+            for kept in (self.text, self.pairs, self.groups, self.links, self.listed):
+                del kept[:]
+
+    def numbers(self, keys: list[bytes]) -> list[int]:
+        """Numbers of windows; new ones are aligned together. Long ones are worked out each time."""
+        self.forget()
+        found = list(map(self.get, keys))
+        new = list(dict.fromkeys([k for k, x in zip(keys, found) if x is None]))
+        if new:
+            made = dict(zip(new, range(len(self.text), len(self.text) + len(new))))
+            self._align(new)
+            found = [made[k] if x is None else x for k, x in zip(keys, found)]
+            if max(map(len, new)) > 4 * LONGEST_KEPT:
+                made = {k: x for k, x in made.items() if len(k) <= 4 * LONGEST_KEPT}
+            self.update(made)
+        return found
+
+    def _align(self, windows: list[bytes]) -> None:
+        """Cuts both sides of each window where tokens of both end, and notes its groups, links and pairs."""
+        packed = np.frombuffer(b"".join(windows), np.int32)
+        size = np.fromiter(map(len, windows), np.int64, len(windows)) // 4
+        begin = np.cumsum(size) - size
+        n_a = packed[begin].astype(np.int64)
+        place = np.arange(len(packed)) - np.repeat(begin, size)
+        of_a = (place > 0) & (place <= np.repeat(n_a, size))
+        a, b = packed[of_a].astype(np.int64), packed[place > np.repeat(n_a, size)].astype(np.int64)
+        end_a, end_b = np.cumsum(self.a.length[a]), np.cumsum(self.b.length[b])
+        at = np.searchsorted(end_b, end_a)
+        last_a = np.flatnonzero(end_b[at] == end_a)
+        stop_a, stop_b = last_a + 1, at[last_a] + 1
+        in_a, in_b = np.diff(stop_a, prepend=0), np.diff(stop_b, prepend=0)
+        window = np.searchsorted(np.cumsum(n_a), last_a, "right")
+        links = in_a * in_b
+        total = np.bincount(window, links, len(windows)).astype(np.int64)
+
+        # Text: of each group A's ids, then B's, each behind its mark.
+        length = in_a + in_b
+        group_at = np.cumsum(length) - length
+        codes = np.empty(len(a) + len(b), np.int64)
+        place_a = np.arange(len(a)) - np.repeat(stop_a - in_a, in_a)
+        place_b = np.arange(len(b)) - np.repeat(stop_b - in_b, in_b)
+        opens = np.repeat(np.diff(window, prepend=-1) > 0, in_a)
+        ids_a, ids_b = len(self.a.spelled), len(self.b.spelled)
+        codes[np.repeat(group_at, in_a) + place_a] = a + ids_a * np.where(place_a > 0, 2, np.where(opens, 0, 1))
+        codes[np.repeat(group_at + in_a, in_b) + place_b] = b + 3 * ids_a + ids_b * (place_b > 0)
+        marks = list(map(self.written.__getitem__, codes.tolist()))
+        stops = np.cumsum(size - 1).tolist()
+        self.text += ["".join(marks[x:y]) for x, y in zip([0, *stops], stops)]
+
+        # Pairs: every one of A's ids with every one of B's, for groups of an ordinary size.
+        shown = np.where(links <= LONGEST_KEPT, links, 0)
+        group = np.repeat(np.arange(len(links)), shown)
+        nth = np.arange(len(group)) - np.repeat(np.cumsum(shown) - shown, shown)
+        left = a[(stop_a - in_a)[group] + nth // in_b[group]]
+        right = b[(stop_b - in_b)[group] + nth % in_b[group]]
+        raw = ((left << PAIR_BITS) | right).tobytes()
+        listed = np.bincount(window, shown, len(windows)).astype(np.int64)
+        stops = (8 * np.cumsum(listed)).tolist()
+        first = len(self.pairs)
+        self.pairs += [raw[x:y] for x, y in zip([0, *stops], stops)]
+        for kept, values in ((self.groups, np.bincount(window, minlength=len(windows)).astype(np.int64)), (self.links, total), (self.listed, listed)):
+            kept.frombytes(values.tobytes())
+        # Larger groups by counts of ids: n and m tokens have n * m links, but few different pairs.
+        for g in np.flatnonzero(links > LONGEST_KEPT).tolist():
+            found = self.many.setdefault(first + int(window[g]), Counter())
+            count_b = Counter(b[stop_b[g] - in_b[g] : stop_b[g]].tolist()).items()
+            for x, n in Counter(a[stop_a[g] - in_a[g] : stop_a[g]].tolist()).items():
                 for y, m in count_b:
-                    many[(x << PAIR_BITS) | y] += n * m
-        number = len(self.text)
-        self.text.append(";".join(spelled))
-        self.groups.append(len(spelled))
-        self.links.append(links)
-        self.listed.append(len(pairs))
-        self.pairs.append(pairs.tobytes())
-        if many:
-            self.many[number] = many
-        if len(ids) <= LONGEST_KEPT:
-            self[packed] = number
-        return number
+                    found[(x << PAIR_BITS) | y] += n * m
 
 
 class Aligner:
@@ -210,7 +253,6 @@ class Aligner:
 
     def texts(self, texts: list[str | None]) -> Aligned:
         known = self.windows
-        known.make_room()
         nothing = np.empty(0, np.int32)
         right = iter(self.b.encode([x for x in texts if x]))
         right = [next(right) if x else None for x in texts]
@@ -220,7 +262,7 @@ class Aligner:
             zeros = np.zeros(len(texts), np.int64)
             return Aligned(n_a, n_b, zeros, zeros, [""] * len(texts), zeros, np.empty(0, np.int64), np.empty(0, np.int64))
         cut_a, keys = self.cut(*(np.concatenate(side).astype(np.int32) for side in zip(*tokens)))
-        numbers = list(map(known.__getitem__, keys))
+        numbers = known.numbers(keys)
         ends = np.where(n_a > 0, np.searchsorted(cut_a, np.cumsum(n_a), "right"), 0)
         ends = np.maximum.accumulate(ends)
         begins = np.concatenate([[0], ends[:-1]])
