@@ -138,14 +138,15 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
 
 def op7_mixing(spark, folder):
     emitted, _ = mix(read_documents(spark, folder))
-    return emitted.select("doc_id", "source", "n_tokens", "pass", "block", "rank")
+    return emitted.select("doc_id", "source", "n_tokens", "copies", "pass", "block", "rank")
 
 
 OP7_SQL = r"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+'))::BIGINT AS n_tokens FROM documents
+  SELECT doc_id, source, any_value(len(regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+')))::BIGINT AS n_tokens, count(*) AS copies
+  FROM documents GROUP BY doc_id, source, coalesce(text, '')
 ), s AS (
-  SELECT source, sum(n_tokens)::BIGINT AS tokens FROM d GROUP BY source
+  SELECT source, sum(n_tokens * copies)::BIGINT AS tokens FROM d GROUP BY source
 ), p AS (
   SELECT source, tokens, tokens / (SELECT sum(tokens) FROM s)::DOUBLE AS p FROM s
 ), bisect(i, low, high) AS (
@@ -161,16 +162,16 @@ WITH RECURSIVE d AS (
   SELECT source, tokens, floor(raw / z * (most * z) + 1e-6)::BIGINT AS quota
   FROM w, (SELECT sum(raw) AS z, max(tokens / raw) AS most FROM w)
 ), e AS (
-  SELECT doc_id, d.source, n_tokens, tokens, quota, unnest(range(greatest(1, ceil(quota / tokens)::BIGINT))) AS pass
+  SELECT doc_id, d.source, n_tokens, copies, tokens, quota, unnest(range(greatest(1, ceil(quota / tokens)::BIGINT))) AS pass
   FROM d JOIN q ON d.source = q.source
 ), h AS (
   SELECT *, md5('mix:' || pass || ':' || doc_id) AS h FROM e
 ), b AS (
-  SELECT *, (pass * tokens + coalesce(sum(n_tokens) OVER (PARTITION BY source, pass ORDER BY h, doc_id
+  SELECT *, (pass * tokens + coalesce(sum(n_tokens * copies) OVER (PARTITION BY source, pass ORDER BY h, doc_id
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS at_token FROM h
 ), t AS (
   SELECT *, least(floor(at_token * 64 / greatest(quota, 1)), 63)::BIGINT AS block FROM b
   WHERE at_token < quota OR (n_tokens = 0 AND pass = 0)
 )
-SELECT doc_id, source, n_tokens, pass, block, md5('mix:' || block || ':' || pass || ':' || doc_id) AS rank FROM t
+SELECT doc_id, source, n_tokens, copies, pass, block, md5('mix:' || block || ':' || pass || ':' || doc_id) AS rank FROM t
 """

@@ -30,6 +30,8 @@ IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
+#: The same words in the JVM: letters and numbers of all kinds, also superscripts and fractions.
+JVM_WORD = r"([\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*)"
 DIGIT = re.compile(r"[0-9]")
 
 
@@ -167,7 +169,7 @@ def _contexts(batches):
 def _line_words(docs: DataFrame) -> DataFrame:
     """Every line of the corpus with its distinct words, by built-in expressions."""
     line = F.explode(F.split(whole_text(), "\n", -1)).alias("l")
-    words = F.array_distinct(F.regexp_extract_all(F.lower("l"), F.lit(r"([\p{L}\p{Nd}]+(?:['’-][\p{L}\p{Nd}]+)*)"), F.lit(1)))
+    words = F.array_distinct(F.regexp_extract_all(F.lower("l"), F.lit(JVM_WORD), F.lit(1)))
     return docs.select(line).select(F.xxhash64("l").alias("line"), F.explode(words).alias("term"))
 
 
@@ -254,10 +256,11 @@ def disclosing_terms(docs: DataFrame, disclosure: float = DISCLOSURE, support: i
     counted = checked_join(_line_words(docs), terms, ["term"], rows=terms.count(), row_bytes=128)
     term = counted.distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     lines = docs.agg(F.sum(F.size(F.split(whole_text(), "\n", -1)))).first()[0]
-    joined = both.join(entity, "entity").join(term, "term")
+    # No term is lost if the two sides should ever cut a word differently: it then occurs where it was seen.
+    joined = both.join(entity, "entity").join(term, "term", "left")
     n = F.lit(float(lines)) - F.col("all_e") + F.col("n_e")
     # A line may be cut differently in the two counts; a term is in no fewer lines than with the entity.
-    n_t = F.greatest(F.col("n_t") - F.col("all_both"), F.lit(0)) + F.col("n_both")
+    n_t = F.greatest(F.coalesce("n_t", "all_both") - F.col("all_both"), F.lit(0)) + F.col("n_both")
     # An entity that every line names has no information.
     known = F.try_divide(F.log2(F.col("n_both") * n / (F.col("n_e") * n_t)), F.log2(n / F.col("n_e")))
     return materialize(joined.withColumn("share", known).filter(F.col("share") >= disclosure).select("entity", "term", "share"))
@@ -293,7 +296,7 @@ def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, support:
     if terms.isEmpty():
         rows = rows.withColumn("terms", F.array().cast("array<string>"))
     else:
-        words = F.array_distinct(F.regexp_extract_all(F.lower(whole_text()), F.lit(r"([\p{L}\p{Nd}]+(?:['’-][\p{L}\p{Nd}]+)*)"), F.lit(1)))
+        words = F.array_distinct(F.regexp_extract_all(F.lower(whole_text()), F.lit(JVM_WORD), F.lit(1)))
         holds = checked_join(rows.select("_k1", "_k2", F.explode(words).alias("term")), terms, ["term"], rows=terms.count(), row_bytes=128)
         holds = holds.groupBy("_k1", "_k2").agg(F.collect_set("term").alias("terms"))
         rows = rows.join(holds.hint("shuffle_merge"), ["_k1", "_k2"], "left")

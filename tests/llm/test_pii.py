@@ -3,6 +3,9 @@ import random
 import re
 import time
 
+import numpy as np
+import pytest
+
 from pulsegrid.llm import pii as P
 
 
@@ -70,6 +73,49 @@ def test_terms_that_give_an_entity_away(documents):
     assert got[1000].base_sha256 == hashlib.sha256(got[1000].spans.split(",term")[0].encode()).hexdigest()
 
 
+def test_words_with_other_numbers_and_signs_are_terms(documents):
+    """Superscripts, fractions and accents are part of words on both sides of the count."""
+    r = random.Random(4)
+    plain = lambda: " ".join(f"word{r.randrange(400)}" for _ in range(8))
+    terms = ["zorgon²", "½flim", "dräl’ñ", "ⅷnox", "日本x"]
+    rows = [(i, plain()) for i in range(150)]
+    rows += [(1000 + 10 * k + i, f"{plain()} {t} u{i} v{i} a{k}@ex.org s{i} t{i} {plain()}") for k, t in enumerate(terms) for i in range(6)]
+    docs = documents(rows + [(5000 + k, f"here is {t.upper()} again") for k, t in enumerate(terms[:1])])
+    assert {(x.entity, x.term) for x in P.disclosing_terms(docs).collect()} == {(f"email:a{k}@ex.org", t) for k, t in enumerate(terms)}
+    assert {x.doc_id: x.spans for x in P.find_personal_data(docs).collect()}[5000] == "term:8:15"
+
+
+def test_terms_equal_a_count_over_sets(documents):
+    """Every share of every candidate, from plain sets of lines."""
+    r = random.Random(5)
+    names = [f"e{i}@ex.org" for i in range(6)]
+    lines = []
+    for i in range(700):
+        words = [f"w{r.randrange(60 if r.random() < 0.2 else 400)}x" for _ in range(r.randrange(9, 14))]
+        if i % 4 == 0:
+            k = r.randrange(6)
+            words[r.randrange(2, 7)] = names[k]
+            words += [f"tell{k}"] if r.random() < 0.8 else []
+            words += [f"hint{k % 3}"] if r.random() < 0.5 else []
+        lines.append(" ".join(words))
+    holding = {e: [x for x in set(lines) if e in x.split()] for e in names}
+    bags = {x: {w for w in x.split() if "@" not in w and len(w) >= 3} for x in set(lines)}
+    expect = {}
+    for e, own in holding.items():
+        for t in set().union(*(bags[x] for x in own)):
+            both = [x for x in own if t in bags[x]]
+            near = {tuple(w[max(0, at - 2) : at] + w[at + 1 : at + 3]) for w in (x.split() for x in both) for at in [w.index(e)]}
+            n_t = sum(t in b for b in bags.values())
+            share = np.log2(len(both) * len(lines) / (len(own) * n_t)) / np.log2(len(lines) / len(own))
+            if len(both) >= 5 and len(near) >= 5:
+                expect["email:" + e, t] = share
+    docs = documents(list(enumerate(lines)))
+    found = {(x.entity, x.term): x.share for x in P.disclosing_terms(docs, disclosure=-99.0).collect()}
+    assert found.keys() == expect.keys() and len(found) > 12
+    assert all(found[k] == pytest.approx(expect[k]) for k in found)
+    assert {k for k, v in expect.items() if v >= 0.9} == {(x.entity, x.term) for x in P.disclosing_terms(docs).collect()} != set()
+
+
 def test_near_copies_count_once_and_hide_no_other_lines(documents):
     r = random.Random(3)
     plain = lambda: " ".join(f"word{r.randrange(400)}" for _ in range(8))
