@@ -13,11 +13,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.butterworth import bandpass_coefficients
 from .functions.rules import cluster_count
 from .functions.vectors import doubles
 from .operators import cluster as clusters
 from .operators import detect, kmeans, merge, mixture, svm
-from .operators.bandpass import bandpass, warm_up
+from .operators.bandpass import bandpass, bandpass_joined, warm_up
 from .operators.moments import covariance
 from .operators.reduce import extract_features, library_pca, pca_features
 from .operators.report import run_report, scatter_2d
@@ -201,6 +202,34 @@ def _waveform_ranges(spark: SparkSession, folder: str) -> DataFrame:
     return price_events(spark, folder).select("channel", "peak", F.array_min("wave").alias("low"), F.array_max("wave").alias("high"))
 
 
+def _filter_sql(low: float, high: float) -> str:
+    """The filter as a recursion over the samples of a channel."""
+    b, a = bandpass_coefficients(low, high, 30_000)
+    values = ", ".join(f"{float(v)!r}::DOUBLE" for v in (b[0], b[2], b[4], *a[1:]))
+    return (
+        SERIES_SQL.replace("WITH priced", "WITH RECURSIVE priced")
+        + f""", c(b0, b2, b4, a1, a2, a3, a4) AS (SELECT {values}),
+    x AS (SELECT channel, sample, value / 100000.0::DOUBLE AS v FROM series),
+    run AS (
+      SELECT channel, sample, b0 * v AS y, -a1 * (b0 * v) AS s1, b2 * v - a2 * (b0 * v) AS s2, -a3 * (b0 * v) AS s3,
+             b4 * v - a4 * (b0 * v) AS s4 FROM x, c WHERE sample = 0
+      UNION ALL
+      SELECT x.channel, x.sample, b0 * v + s1, s2 - a1 * (b0 * v + s1), s3 + b2 * v - a2 * (b0 * v + s1),
+             s4 - a3 * (b0 * v + s1), b4 * v - a4 * (b0 * v + s1)
+      FROM run JOIN x ON x.channel = run.channel AND x.sample = run.sample + 1, c)
+    SELECT channel, sample, round(y, 4) + 0.0 AS y FROM run"""
+    )
+
+
+@query("bandpass_joined", _filter_sql(300, 330))
+def _bandpass_joined(spark: SparkSession, folder: str) -> DataFrame:
+    """A narrow band, whose states last over many blocks, on blocks without neighbours."""
+    scaled = price_series(spark, folder).withColumn("value", F.col("value") / F.lit(100000.0))
+    blocks = materialize(signal_blocks(scaled, BLOCK))
+    filtered = bandpass_joined(blocks, 300, 330, fan=4)
+    return explode_blocks(filtered, "y").select("channel", "sample", rounded("value", 4).alias("y"))
+
+
 @query(
     "bandpass",
     SERIES_SQL.replace("WITH priced", "WITH RECURSIVE priced")

@@ -39,14 +39,14 @@ class BlockFilter:
     advance: np.ndarray
     absorb: np.ndarray
 
-    def run(self, x: np.ndarray) -> np.ndarray:
-        """Filter each row of ``x`` from a zero state."""
+    def run(self, x: np.ndarray, state: np.ndarray | None = None) -> np.ndarray:
+        """Filter each row of ``x`` from its row of ``state``, or from a zero state."""
         rows, length = x.shape
         padded = -(-length // self.size) * self.size
         source = np.zeros((rows, padded))
         source[:, :length] = x
         out = np.empty((rows, padded))
-        state = np.zeros((rows, self.advance.shape[0]))
+        state = np.zeros((rows, self.advance.shape[0])) if state is None else state
         for at in range(0, padded, self.size):
             piece = source[:, at : at + self.size]
             out[:, at : at + self.size] = piece @ self.toeplitz + state @ self.carry
@@ -54,6 +54,18 @@ class BlockFilter:
         return out[:, :length]
 
 
+    def end_state(self, x: np.ndarray) -> np.ndarray:
+        """State after each row of ``x``, from a zero state. Zeros in front of a row do not matter."""
+        rows, length = x.shape
+        padded = -(-length // self.size) * self.size
+        source = np.zeros((rows, padded))
+        source[:, padded - length :] = x
+        state = np.zeros((rows, self.advance.shape[0]))
+        for at in range(0, padded, self.size):
+            state = state @ self.advance + source[:, at : at + self.size] @ self.absorb
+        return state
+
+
 def state_matrices(b: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Transposed direct form: s' = A s + B x, y = C s + D x."""
     n = len(a) - 1

@@ -1,8 +1,9 @@
 """Band-pass filter over signal blocks.
 
 The filter is a recursion over time, which no built-in expression states; it runs as matrix products on whole Arrow
-batches. Blocks carry enough earlier samples for the start state to have died out, so no state travels between
-rows and the step is narrow.
+batches. ``bandpass`` asks for blocks with so many earlier samples that the start state has died out: no state travels
+between rows, and the step is narrow. ``bandpass_joined`` asks for none: a block maps the state at its begin to the one
+at its end by an affine map, and a parallel prefix over these maps gives every block the exact state it begins with.
 """
 
 from __future__ import annotations
@@ -10,13 +11,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.butterworth import bandpass_coefficients, block_filter, settle_length
+from ..functions.butterworth import bandpass_coefficients, block_filter, settle_length, state_matrices
 from ..functions.rules import FILTER_ORDER, HIGH_HZ, LOW_HZ, SAMPLE_HZ
+from ..plans.spread import checked_join, materialize
+from ..session import KEYS
 
+FAN = 1024  # blocks whose maps are composed in one piece
 BATCH_SAMPLES = 4_000_000  # samples filtered at once; bounds a task's memory
 
 
@@ -50,13 +56,8 @@ def bandpass(
 
     def filtered_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         cell = lambda name: batch.column(batch.schema.get_field_index(name))
-        offsets = cell(samples).offsets.to_numpy()
-        flat = cell(samples).values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
-        sizes = np.diff(offsets)
+        matrix, inside, sizes = _matrix(cell(samples))
         start, first, n_core = (cell(c).to_numpy() for c in ("start", "first", "n_core"))
-        matrix = np.zeros((len(sizes), int(sizes.max(initial=0))))
-        inside = np.arange(matrix.shape[1]) < sizes[:, None]
-        matrix[inside] = flat
         filtered = kernel.run(matrix)
         drop = np.maximum(start - first - keep_lead, 0)
         if ((first > 0) & (drop < settle)).any():
@@ -70,11 +71,131 @@ def bandpass(
         columns[names.index("first")] = pa.array(first + drop, pa.int64())
         return pa.RecordBatch.from_arrays([*columns, sums, y], names=[*names, "abs_sum", "y"])
 
+    return blocks.mapInArrow(_in_pieces(filtered_rows, samples), schema)
+
+
+def _matrix(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lists of samples as the rows of a matrix, which cells are inside a list, and the lists' lengths."""
+    offsets = column.offsets.to_numpy()
+    flat = column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+    sizes = np.diff(offsets)
+    matrix = np.zeros((len(sizes), int(sizes.max(initial=0))))
+    inside = np.arange(matrix.shape[1]) < sizes[:, None]
+    matrix[inside] = flat
+    return matrix, inside, sizes
+
+
+def _in_pieces(work, samples: str):
+    """``work`` on batches with a bounded number of samples."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held = len(batch.column(batch.schema.get_field_index(samples)).flatten())
             rows = max(1, batch.num_rows * BATCH_SAMPLES // max(held, 1))
             for at in range(0, batch.num_rows, rows):
-                yield filtered_rows(batch.slice(at, rows))
+                yield work(batch.slice(at, rows))
+
+    return run
+
+
+def _vectors(rows: np.ndarray) -> pa.ListArray:
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.reshape(-1)))
+
+
+def state_maps(blocks: DataFrame, b: np.ndarray, a: np.ndarray, lead: int = 0, samples: str = "samples") -> DataFrame:
+    """``keys…, block, m, z``: the state where the next block's samples begin is ``s · m + z``, with s where this one's do.
+
+    ``lead`` is the number of earlier samples that blocks carry, all but those at the begin of an interval.
+    """
+    step, kernel = state_matrices(b, a)[0], block_filter(b, a)
+    schema = T.StructType([*[blocks.schema[k] for k in KEYS], blocks.schema["block"], *[T.StructField(c, T.ArrayType(T.DoubleType())) for c in "mz"]])
+
+    def mapped(batch: pa.RecordBatch) -> pa.RecordBatch:
+        cell = lambda name: batch.column(batch.schema.get_field_index(name))
+        matrix, _, sizes = _matrix(cell(samples))
+        start, first, n_core = (cell(c).to_numpy().astype(np.int64) for c in ("start", "first", "n_core"))
+        length = np.maximum(start + n_core - lead, 0) - first
+        if (length > sizes).any() or (length < 0).any() or (first != np.maximum(start - lead, 0)).any():
+            raise ValueError("blocks do not carry the earlier samples that lead says")
+        held = np.zeros((len(sizes), int(length.max(initial=0))))
+        for row, n in enumerate(length):
+            held[row, held.shape[1] - n :] = matrix[row, :n]
+        powers = {n: np.linalg.matrix_power(step, int(n)).T.reshape(-1) for n in set(length.tolist())}
+        m = np.array([powers[n] for n in length.tolist()]).reshape(len(length), -1)
+        return pa.RecordBatch.from_arrays([*[cell(k) for k in KEYS], cell("block"), _vectors(m), _vectors(kernel.end_state(held))], names=schema.names)
+
+    used = blocks.select(*KEYS, "block", "start", "first", "n_core", samples)
+    return used.mapInArrow(_in_pieces(mapped, samples), schema)
+
+
+def entry_states(maps: DataFrame, fan: int = FAN) -> DataFrame:
+    """``keys…, block, state`` where each block's samples begin, from its interval's zero state, for any number of blocks.
+
+    Runs of ``fan`` blocks are composed to one map each, runs of runs likewise, until one run is left; then states go
+    back down. So a group is at most ``fan`` small rows, and the number of levels is logarithmic. ``maps`` is written.
+    """
+    kinds = ", ".join(f"{k} {maps.schema[k].dataType.simpleString()}" for k in KEYS)
+
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("block", ignore_index=True)
+        n = len(rows["z"].iloc[0])
+        begin = rows["begin"].iloc[0] if "begin" in rows else None
+        state, out = np.zeros(n) if begin is None else np.asarray(begin), []
+        for m, z in zip(rows["m"], rows["z"]):
+            out.append(state)
+            state = state @ np.reshape(m, (n, n)) + z
+        return rows[[*KEYS, "block"]].assign(state=out)
+
+    def compose(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("block", ignore_index=True)
+        n = len(rows["z"].iloc[0])
+        whole, state = np.eye(n), np.zeros(n)
+        for m, z in zip(rows["m"], rows["z"]):
+            m = np.reshape(m, (n, n))
+            whole, state = whole @ m, state @ m + z
+        return rows[[*KEYS, "_run"]].head(1).assign(m=[whole.reshape(-1)], z=[state])
+
+    out = f"{kinds}, block bigint, state array<double>"
+    if (maps.agg(F.max("block")).first()[0] or 0) < fan:
+        return maps.groupBy(*KEYS).applyInPandas(walk, out)
+    runs = maps.withColumn("_run", F.floor(F.col("block") / fan))
+    upper = runs.groupBy(*KEYS, "_run").applyInPandas(compose, f"{kinds}, _run bigint, m array<double>, z array<double>")
+    begins = entry_states(materialize(upper.withColumnRenamed("_run", "block")), fan)
+    begins = begins.select(*KEYS, F.col("block").alias("_run"), F.col("state").alias("begin"))
+    return runs.join(begins, [*KEYS, "_run"]).groupBy(*KEYS, "_run").applyInPandas(walk, out)
+
+
+def bandpass_joined(
+    blocks: DataFrame,
+    low: float = LOW_HZ,
+    high: float = HIGH_HZ,
+    sample_hz: float = SAMPLE_HZ,
+    order: int = FILTER_ORDER,
+    lead: int = 0,
+    samples: str = "samples",
+    fan: int = FAN,
+) -> DataFrame:
+    """As ``bandpass``, exact for blocks of any length and bands of any width, without samples to warm up on.
+
+    ``lead`` is the number of earlier samples that the blocks carry for later steps; it may be zero, and all are kept.
+    Blocks are read twice: for their maps, four times four plus four numbers each, and for the filter.
+    """
+    b, a = bandpass_coefficients(low, high, sample_hz, order)
+    kernel = block_filter(b, a)
+    states = materialize(entry_states(materialize(state_maps(blocks, b, a, lead, samples)), fan))
+    kept = [f for f in blocks.schema.fields if f.name != samples]
+    names = [f.name for f in kept]
+    schema = T.StructType([*kept, T.StructField("abs_sum", T.DoubleType()), T.StructField("y", T.ArrayType(T.DoubleType()))])
+
+    def filtered_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        cell = lambda name: batch.column(batch.schema.get_field_index(name))
+        matrix, inside, sizes = _matrix(cell(samples))
+        filtered = kernel.run(matrix, _matrix(cell("state"))[0])
+        y = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(filtered[inside]))
+        skip, n_core = cell("start").to_numpy() - cell("first").to_numpy(), cell("n_core").to_numpy()
+        sums = pa.array([np.abs(row[at : at + n]).sum() for row, at, n in zip(filtered, skip, n_core)], pa.float64())
+        return pa.RecordBatch.from_arrays([*[cell(n) for n in names], sums, y], names=[*names, "abs_sum", "y"])
 
-    return blocks.mapInArrow(run, schema)
+    joined = checked_join(blocks, states, [*KEYS, "block"], rows=states.count(), row_bytes=128)
+    return joined.select(*names, samples, "state").mapInArrow(_in_pieces(filtered_rows, samples), schema)

@@ -51,11 +51,12 @@ def descent(mode: str) -> Descent:
     return MODES[mode]
 
 
-STATE = ["labels", "w", "b", "loss", "change", "done", "steps"]
+PATIENCE = 1_000
+STATE = ["labels", "w", "b", "loss", "change", "best", "stale", "done", "steps"]
 
 
 def model_bytes(width: int) -> int:
-    return 8 * (width + 7)
+    return 8 * (width + 9)
 
 
 def scope_bytes(points: Spread, models: int, width: int) -> int:
@@ -73,12 +74,13 @@ def start_state(labelled: DataFrame, scope: list[str], width: int) -> DataFrame:
         F.array_repeat(F.lit(0.0), F.size("labels") * width).alias("w"),
         zeros.alias("b"),
         F.array_repeat(F.lit(float("nan")), F.size("labels")).alias("loss"),
-        *[zeros.alias(c) for c in ("change", "done", "steps")],
+        F.array_repeat(F.lit(float("inf")), F.size("labels")).alias("best"),
+        *[zeros.alias(c) for c in ("change", "stale", "done", "steps")],
     )
 
 
 def models_of(state: DataFrame, scope: list[str], width: int) -> DataFrame:
-    """``scope…, label, w, b, loss, done, steps`` from the training state."""
+    """``scope…, label, w, b, loss, done, steps`` from the training state. Models that are stuck are not ``done``."""
     at = F.col("_i")
     cell = lambda c: F.get(F.col(c), at)
     return state.select(*scope, *STATE, F.explode(F.sequence(F.lit(0), F.size("labels") - 1)).alias("_i")).select(
@@ -87,7 +89,7 @@ def models_of(state: DataFrame, scope: list[str], width: int) -> DataFrame:
         F.slice("w", at * width + 1, width).alias("w"),
         cell("b").alias("b"),
         cell("loss").alias("loss"),
-        (cell("done") > 0).alias("done"),
+        (cell("done") == 1).alias("done"),
         cell("steps").cast("int").alias("steps"),
     )
 
@@ -126,9 +128,13 @@ def loss_and_gradient(chunks: Spread, state: DataFrame, row_bytes: int, step: in
 
 
 def advance(
-    chunks: Spread, state: DataFrame, plan: Descent, row_bytes: int, step: int, penalty: float, eval_every: int, batched: bool
+    chunks: Spread, state: DataFrame, plan: Descent, row_bytes: int, step: int, penalty: float, eval_every: int, batched: bool, patience: int = PATIENCE
 ) -> DataFrame:
-    """Test each model for convergence with the loss of its weights, then take one step if it has not converged."""
+    """Test each model for convergence with the loss of its weights, then take one step if it has not converged.
+
+    ``done`` becomes 1 for a model that has met its stop rule, and 2 for one whose loss has not gone below its best in
+    ``patience`` tests: it is stuck, and its rule may never be met.
+    """
     sums = loss_and_gradient(chunks, state.select(*chunks.keys, "labels", "w", "b"), row_bytes, step, batched)
     evaluate = step % eval_every == 0
 
@@ -137,7 +143,7 @@ def advance(
         w, b, loss, change = cells["w"].reshape(models, -1), cells["b"], cells["loss"], cells["change"]
         parts = cells["stats"].reshape(models, -1)
         live = cells["done"] == 0
-        stop = ~live
+        stop, best, stale, done = ~live, cells["best"], cells["stale"], cells["done"]
         if evaluate:
             fresh = 0.5 * (w * w).sum(axis=1) + penalty * parts[:, 0]
             with np.errstate(divide="ignore", invalid="ignore"):
@@ -146,12 +152,17 @@ def advance(
             tested = ~np.isnan(loss)
             moved = np.where(tested, 0.5 * change + 0.5 * percent if plan.smoothed else percent, change)
             stop = stop | (tested & (moved < plan.epsilon)) | (fresh == 0)
+            done = np.where(live & stop, 1.0, done)
+            stale = np.where(fresh < best, 0.0, stale + 1)
+            best = np.minimum(best, fresh)
+            done = np.where((done == 0) & (stale >= patience), 2.0, done)
+            stop = done > 0
             loss, change = np.where(live, fresh, loss), np.where(live, moved, change)
         go = ~stop
         w = np.where(go[:, None], w - plan.rate * (w + penalty * parts[:, 2:]), w)
         b = np.where(go, b - plan.rate * penalty * parts[:, 1], b)
-        new = {"labels": cells["labels"], "w": w, "b": b, "loss": loss, "change": change}
-        return new | {"done": stop.astype(float), "steps": cells["steps"] + go}
+        new = {"labels": cells["labels"], "w": w, "b": b, "loss": loss, "change": change, "best": best, "stale": stale}
+        return new | {"done": done, "steps": cells["steps"] + go}
 
     return per_group(sums.join(state, chunks.keys), chunks.keys, ["stats", *STATE], STATE, walk)
 
@@ -178,11 +189,12 @@ def fit_svm(
     fixed_steps: int | None = None,
     eval_every: int = 1,
     seed: int = 1,
+    patience: int = PATIENCE,
 ) -> DataFrame:
     """``scope…, label, w, b, loss, done, steps`` from ``scope…, event_id, x, label``.
 
-    Steps go on until every class has met the stop rule of its mode (``done``) or ``max_steps`` were taken.
-    Without ``max_steps`` there is no other end.
+    Steps go on until every class has met the stop rule of its mode (``done``), is stuck, or ``max_steps`` were taken.
+    A class is stuck, and not ``done``, if its loss has not fallen below its best in ``patience`` tests.
     ``fixed_steps`` takes exactly that many steps without testing, and leaves the loss before the last one.
     """
     plan = descent(mode)
@@ -195,9 +207,9 @@ def fit_svm(
     row_bytes = scope_bytes(points, models, width)
     chunks = points.chunks(["x", "label", *(["batch", "batches"] if batched else [])], row_bytes).settle()
     if fixed_steps is not None:
-        plan, max_steps = replace(plan, epsilon=-1.0), fixed_steps
+        plan, max_steps, patience = replace(plan, epsilon=-1.0), fixed_steps, fixed_steps + 1
     for step in itertools.count() if max_steps is None else range(max_steps):
-        state = chunks.hold(advance(chunks, state, plan, row_bytes, step, penalty, eval_every, batched), row_bytes)
+        state = chunks.hold(advance(chunks, state, plan, row_bytes, step, penalty, eval_every, batched, patience), row_bytes)
         if fixed_steps is None and state.filter("exists(done, d -> d = 0)").isEmpty():
             break
     return models_of(state, scope, width)

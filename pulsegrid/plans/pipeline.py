@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import HIGH_HZ, LOW_HZ, MINIMAL_SUPPORT, SAMPLE_HZ, SIMILARITY
 from ..operators import detect
-from ..operators.bandpass import bandpass, warm_up
+from ..operators.bandpass import bandpass, bandpass_joined, warm_up
 from ..operators.cluster import cluster_events, cluster_summary
 from ..operators.merge import SCOPE, label_events, merge_clusters, unit_table
 from ..operators.reduce import COMPONENTS, extract_features
 from ..operators.report import check_conservation, run_report
 from ..operators.svm import fit_svm, library_svm, predict
-from ..plans.spread import materialize
+from ..plans.spread import materialize, stage
 from ..session import KEYS
 from ..sources.recording import BLOCK_LIMIT, CHANNELS, INTERVAL_SECONDS, frame_ranges, list_files, read_recording
 from ..sources.sinks import commit_result, committed, write_result
@@ -79,21 +79,21 @@ def sort_blocks(
 ) -> Sorted:
     """From filtered blocks (``y``) to units and classifier.
 
-    Features, assignments, units and weights are each written once to the checkpoint folder, since later steps
-    read them several times. ``svm``: ``BGD``, ``MBGD``, ``SGD``, ``library`` (for one interval) or None for no
+    Events, features, assignments and labels are each written once as columns to the checkpoint folder, small tables
+    as rows, since later steps read them several times. ``svm``: ``BGD``, ``MBGD``, ``SGD``, ``library`` (for one interval) or None for no
     classifier; ``max_steps`` None goes on until every class has met its stop rule.
     """
     events = detect.detect_events(blocks, window, factor, offset, max_threshold, whole=whole, min_events=2)
-    found = materialize(detect.normalise_all(events).select(*KEYS, "event_id", "wave"))
+    found = stage(detect.normalise_all(events).select(*KEYS, "event_id", "wave"))
     waves = found.filter("wave is not null")
     width = min(components, 2 * window)
     extra = {"basis": basis} if features.lower() == "pca" else {}
-    reduced = materialize(extract_features(waves, features, width, **extra))
-    assigned = materialize(cluster_events(reduced, cluster, width, seed=seed))
+    reduced = stage(extract_features(waves, features, width, **extra))
+    assigned = stage(cluster_events(reduced, cluster, width, seed=seed))
     summary = materialize(cluster_summary(assigned, width))
     unit_map = materialize(merge_clusters(summary, merge, similarity=similarity))
     units = materialize(unit_table(unit_map, minimal_support))
-    labelled = materialize(label_events(assigned, unit_map, units).filter("kept").drop("kept"))
+    labelled = stage(label_events(assigned, unit_map, units).filter("kept").drop("kept"))
     weights = _train(labelled, svm, width, max_steps, seed)
     counts = found.groupBy(*SCOPE).agg(F.count(F.lit(1)).alias("found_events"), F.count_if(F.col("wave").isNull()).alias("dropped_events"))
     report = run_report(summary, units, counts)
@@ -130,12 +130,15 @@ def sort_recording(
     """Sort an interleaved int16 recording; every interval is sorted on its own.
 
     An interval of up to ``BLOCK_LIMIT`` samples is one block per channel: scan, filter, threshold and detection
-    then form one stage without a shuffle. Longer intervals are cut into blocks with neighbours.
+    then form one stage without a shuffle. Longer intervals are cut into blocks with neighbours; if the band is so
+    narrow that a block would need more samples to warm up on than it has, states are joined across blocks instead.
     """
     interval = interval_s * sample_hz
     options.setdefault("merge", "greedy")  # the device bounds the channels of an interval
     length = block_len or min(interval, BLOCK_LIMIT)
     lead = detect.lead_needed(window, offset)
+    settle = warm_up(low, high, sample_hz)
+    joined = length < interval and settle > length  # a narrow band: states are joined, samples would be too many
     # Of a folder, the first interval of every file.
     ranges = len(list_files(path)) if first_interval_only else frame_ranges(path, channels, interval)
     cores = spark.sparkContext.defaultParallelism
@@ -146,12 +149,17 @@ def sort_recording(
         sample_hz=sample_hz,
         interval_s=interval_s,
         block_len=length,
-        lead=warm_up(low, high, sample_hz) + lead,
+        lead=lead if joined else settle + lead,
         tail=detect.tail_needed(window, offset),
         channel_groups=max(1, cores // max(ranges, 1)) if length >= interval else 1,
         **({"max_frames": interval} if first_interval_only else {}),
     )
-    filtered = bandpass(blocks, low, high, sample_hz, keep_lead=lead)
+    if joined:
+        filtered = bandpass_joined(blocks, low, high, sample_hz, lead=lead)
+    else:
+        filtered = bandpass(blocks, low, high, sample_hz, keep_lead=lead)
+    if length < interval:  # thresholds need one column of it, detection the others: the recording is read once
+        filtered = stage(filtered)
     result = sort_blocks(filtered, window=window, offset=offset, whole=length >= interval, **options)
     if output:
         result.write(output)

@@ -11,6 +11,7 @@ Rules kept here, once, for every operator:
 from __future__ import annotations
 
 import math
+import uuid
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -33,6 +34,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stage(df: DataFrame) -> DataFrame:
+    """Write wide rows once, as columns, to the checkpoint folder, and continue from what is written.
+
+    Later steps read only the columns they name; ``materialize`` would have them read whole rows. Files stay until the
+    folder is cleared.
+    """
+    folder = f"{checkpoint_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def task_count(df: DataFrame, rows: int) -> int:
     """Partitions for rows that are read many times: no fewer than there are cores, and no more than hold 16 rows."""
     session = df.sparkSession

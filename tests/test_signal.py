@@ -1,10 +1,11 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from rules import events_of, pulses, sequential_filter
 
 from pulsegrid.functions.butterworth import bandpass_coefficients
 from pulsegrid.operators import detect
-from pulsegrid.operators.bandpass import bandpass, warm_up
+from pulsegrid.operators.bandpass import bandpass, bandpass_joined, warm_up
 from pulsegrid.plans import spread as plans
 from pulsegrid.plans.select import exact_median
 from pulsegrid.plans.spread import number_rows
@@ -44,6 +45,24 @@ def test_blocked_filter_is_the_sequential_one(spark, block_len):
         assert np.abs(got[got.channel == c].value.to_numpy() - sequential_filter(b, a, data[c])).max() < 1e-9
 
 
+@pytest.mark.parametrize("block_len,lead,fan", [(64, 0, 1024), (64, 20, 5), (100, 250, 3), (6000, 0, 1024)])
+def test_joined_filter_is_the_sequential_one(spark, block_len, lead, fan):
+    """Also for a band so narrow that states last longer than the interval."""
+    data = np.rint(pulses(channels=2))
+    for low, high in ((300, 6000), (8, 9)):
+        b, a = bandpass_coefficients(low, high, 30000)
+        blocks = signal_blocks(series(spark, data), block_len, lead=lead, tail=30)
+        filtered = bandpass_joined(blocks, low, high, lead=lead, fan=fan)
+        got = explode_blocks(filtered, "y").toPandas().sort_values(["channel", "sample"])
+        total = {r.channel: r.s for r in filtered.groupBy("channel").agg(F.sum("abs_sum").alias("s")).collect()}
+        for c in range(2):
+            expect = sequential_filter(b, a, data[c])
+            assert np.abs(got[got.channel == c].value.to_numpy() - expect).max() < 1e-7 * np.abs(expect).max()
+            assert total[c] == pytest.approx(np.abs(expect).sum())
+    with pytest.raises(Exception, match="lead says"):
+        bandpass_joined(blocks, lead=lead + 1).count()
+
+
 def test_filter_refuses_short_lead(spark):
     blocks = signal_blocks(series(spark, pulses(channels=1)), 1000, lead=10)
     with pytest.raises(Exception, match="earlier samples"):

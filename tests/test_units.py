@@ -205,6 +205,18 @@ def test_mini_batches_match_brute_force(spark, mode, batch, rate):
     assert np.allclose(got[3].w, w, rtol=1e-9) and got[3].b == pytest.approx(b)
 
 
+def test_descent_without_progress_ends(spark):
+    """Steps far too long: the loss only grows, the stop rule is not met, and the models say so."""
+    df, _, _ = two_class(spark)
+    plan = S.MODES["MBGD"]
+    S.MODES["MBGD"] = S.replace(plan, rate=0.5)
+    try:
+        got = S.fit_svm(df, "MBGD", width=3, patience=4).collect()
+    finally:
+        S.MODES["MBGD"] = plan
+    assert len(got) == 2 and not any(r.done for r in got) and all(4 <= r.steps < 60 for r in got)
+
+
 def test_svm_modes_and_prediction(spark):
     df, x, label = two_class(spark)
     with pytest.raises(ValueError):
