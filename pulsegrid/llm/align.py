@@ -28,6 +28,8 @@ TOKENIZER_A = "byte_bpe_50k.json"
 TOKENIZER_B = "piece_bpe_32k.model"
 # Fixed value: how the vocabulary's texts were cut into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+SPACED = re.compile(" +[^ ]*")
+MIXED = re.compile(r"[^\S ] ")
 WINDOWS_KEPT = 300_000
 LONGEST_KEPT = 64
 DOCS_PER_BATCH = 64
@@ -74,17 +76,13 @@ class ByteLevel(Vocabulary):
             raise ValueError(f"ids of {path} have gaps")
         self.encoding = tiktoken.Encoding("A", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def encode(self, text: str) -> np.ndarray:
-        return self.encoding.encode_to_numpy(" " + text, disallowed_special=())
+    def encode(self, parts: list[str]) -> list[list[int]]:
+        """Ids of parts of texts; a text's first part begins with the space in front of it."""
+        return list(map(self.encoding.encode_ordinary, parts))
 
 
 class Pieces(Vocabulary):
-    """A SentencePiece file that puts a space before a text.
-
-    If no piece of the vocabulary has a space behind another character, no merge ever crosses such a place. A text is
-    then tokenised in parts of spaces and what follows them, which gives the tokens of the whole, and parts seen before
-    are remembered. Otherwise a text is one part.
-    """
+    """A SentencePiece file that puts a space before a text."""
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
@@ -92,43 +90,74 @@ class Pieces(Vocabulary):
         self.model = SentencePieceProcessor(model_file=path)
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         super().__init__([bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)])
-        apart = not any(re.search("[^▁]▁", p) for p in pieces)
-        self.parts = re.compile(" +[^ ]*" if apart else ".+", re.DOTALL)
+        #: No piece has a space behind another character, so no merge goes across such a place.
+        self.apart = not any(re.search("[^▁]▁", p) for p in pieces)
         self.space = self.model.piece_to_id("▁")
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray | None]:
-        """Ids of each text; None for a text that they do not spell."""
-        parts = [self.parts.findall(" " + x) for x in texts]
-        if len(self.known) > WINDOWS_KEPT:
-            self.known.clear()
-        flat = list(chain.from_iterable(parts))
-        found = list(map(self.known.get, flat))
-        new = list(dict.fromkeys([p for p, x in zip(flat, found) if x is None]))
+
+    def encode(self, parts: list[str]) -> list[list[int]]:
+        """Ids of parts of texts that begin with a space, which the model adds by itself; none for an empty rest."""
+        return [x or [self.space] for x in self.model.encode([p[1:] for p in parts], num_threads=1)]
+
+
+class Parts(dict):
+    """Numbers of parts of texts, and by number their packed ids in both vocabularies.
+
+    A text with a space in front of it is cut before every space that stands behind something else than white space.
+    Neither tokenizer joins what such a place divides, so the ids of the parts are those of the whole text, and a part
+    seen before is not tokenised again. ``wrong`` has the numbers of parts that B's ids do not spell.
+    """
+
+    def __init__(self, a: ByteLevel, b: Pieces):
+        super().__init__()
+        self.vocabularies = a, b
+        self.ids_a: list[bytes] = []
+        self.ids_b: list[bytes] = []
+        self.wrong: set[int] = set()
+
+    def cut(self, text: str) -> list[str]:
+        text = " " + text
+        if not self.vocabularies[1].apart:
+            return [text]
+        found = SPACED.findall(text)
+        if not MIXED.search(text):
+            return found
+        out = found[:1]
+        for part in found[1:]:
+            if out[-1][-1].isspace():
+                out[-1] += part
+            else:
+                out.append(part)
+        return out
+
+    def numbers(self, parts: list[str]) -> list[int]:
+        """Numbers of parts, until the next call. Long parts are tokenised each time."""
+        if len(self.ids_a) > WINDOWS_KEPT:
+            self.clear()
+            self.wrong.clear()
+            del self.ids_a[:], self.ids_b[:]
+        found = list(map(self.get, parts))
+        new = list(dict.fromkeys([p for p, x in zip(parts, found) if x is None]))
         if new:
-            made = dict(zip(new, self._new(new)))
-            found = [made[p] if x is None else x for p, x in zip(flat, found)]
+            made = dict(zip(new, range(len(self.ids_a), len(self.ids_a) + len(new))))
+            self._tokenise(new)
+            found = [made[p] if x is None else x for p, x in zip(parts, found)]
             if max(map(len, new)) > LONGEST_KEPT:
                 made = {p: x for p, x in made.items() if len(p) <= LONGEST_KEPT}
-            self.known.update(made)
-        at = np.cumsum([0, *map(len, parts)]).tolist()
-        packed = [found[a:b] for a, b in zip(at, at[1:])]
-        return [None if b"" in p else np.frombuffer(b"".join(p), np.int32) for p in packed]
-
-    def _new(self, parts: list[str]) -> list[bytes]:
-        """Packed ids of parts, each with the space that the model puts in front; empty if they do not spell it."""
-        ids = [x or [self.space] for x in self.model.encode([p[1:] for p in parts], num_threads=1)]  # [] for one space
-        count = list(map(len, ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.int32, sum(count))
-        end = np.cumsum(count)
-        spelled = list(map(str.encode, parts))
-        raw = flat.tobytes()
-        out = [raw[a:b] for a, b in zip((4 * (end - count)).tolist(), (4 * end).tolist())]
-        reached = np.cumsum(self.length[flat])[end - 1]
-        whole = b"".join(map(self.spelled.__getitem__, flat.tolist())) == b"".join(spelled)
-        if whole and (reached == np.cumsum(list(map(len, spelled)))).all():
-            return out
-        return [o if b"".join(map(self.spelled.__getitem__, x)) == s else b"" for o, x, s in zip(out, ids, spelled)]
+            self.update(made)
+        return found
+
+    def _tokenise(self, new: list[str]) -> None:
+        first = len(self.ids_a)
+        for vocabulary, kept in zip(self.vocabularies, (self.ids_a, self.ids_b)):
+            ids = vocabulary.encode(new)
+            count = list(map(len, ids))
+            flat = np.fromiter(chain.from_iterable(ids), np.int32, sum(count))
+            raw, end = flat.tobytes(), np.cumsum(count)
+            kept += [raw[a:b] for a, b in zip((4 * (end - count)).tolist(), (4 * end).tolist())]
+        spelled = list(map(str.encode, new))
+        joined = b"".join(map(vocabulary.spelled.__getitem__, flat.tolist()))
+        if joined != b"".join(spelled) or (np.cumsum(vocabulary.length[flat])[end - 1] != np.cumsum(list(map(len, spelled)))).any():
+            self.wrong.update(first + i for i, (x, s) in enumerate(zip(ids, spelled)) if b"".join(map(vocabulary.spelled.__getitem__, x)) != s)
 
 
 class Windows(dict):
@@ -228,7 +257,7 @@ class Windows(dict):
 class Aligner:
     def __init__(self, folder: str):
         self.a, self.b = ByteLevel(f"{folder}/{TOKENIZER_A}"), Pieces(f"{folder}/{TOKENIZER_B}")
-        self.windows = Windows(self.a, self.b)
+        self.parts, self.windows = Parts(self.a, self.b), Windows(self.a, self.b)
 
     def cut(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
         """Packed windows of the tokens of texts behind one another, and where windows end in tokens of A.
@@ -254,21 +283,26 @@ class Aligner:
     def texts(self, texts: list[str | None]) -> Aligned:
         known = self.windows
         nothing = np.empty(0, np.int32)
-        right = iter(self.b.encode([x for x in texts if x]))
-        right = [next(right) if x else None for x in texts]
-        tokens = [(self.a.encode(x), b) if b is not None else (nothing, nothing) for x, b in zip(texts, right)]
+        parts = [self.parts.cut(x) if x else [] for x in texts]
+        found = self.parts.numbers(list(chain.from_iterable(parts)))
+        ids_a, ids_b, wrong = self.parts.ids_a, self.parts.ids_b, self.parts.wrong
+        tokens, at = [], 0
+        for own in parts:
+            own, at = found[at : at + len(own)], at + len(own)
+            right = own and (not wrong or wrong.isdisjoint(own))
+            tokens.append(tuple(np.frombuffer(b"".join(map(ids.__getitem__, own)), np.int32) if right else nothing for ids in (ids_a, ids_b)))
         n_a, n_b = (np.array([len(x) for x in side], np.int64) for side in zip(*tokens))
         if not n_a.any():
             zeros = np.zeros(len(texts), np.int64)
             return Aligned(n_a, n_b, zeros, zeros, [""] * len(texts), zeros, np.empty(0, np.int64), np.empty(0, np.int64))
-        cut_a, keys = self.cut(*(np.concatenate(side).astype(np.int32) for side in zip(*tokens)))
+        cut_a, keys = self.cut(*(np.concatenate(side) for side in zip(*tokens)))
         numbers = known.numbers(keys)
         ends = np.where(n_a > 0, np.searchsorted(cut_a, np.cumsum(n_a), "right"), 0)
         ends = np.maximum.accumulate(ends)
         begins = np.concatenate([[0], ends[:-1]])
         text_of = np.repeat(np.arange(len(texts)), ends - begins)
-        at = np.array(numbers)
-        by_window = lambda values: np.frombuffer(values, np.int64)[at]
+        window = np.array(numbers)
+        by_window = lambda values: np.frombuffer(values, np.int64)[window]
         sums = lambda values: np.bincount(text_of, by_window(values), len(texts)).astype(np.int64)
         spelled = [";".join(map(known.text.__getitem__, numbers[a:b])) for a, b in zip(begins.tolist(), ends.tolist())]
 
