@@ -103,12 +103,28 @@ def _vectors(rows: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.reshape(-1)))
 
 
+def modes(b: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Poles, and the matrices from a state to its parts along them and back.
+
+    Along its poles a state is only multiplied from step to step. Powers of the state matrix itself would lose half of
+    the digits in narrow bands, where poles lie close together.
+    """
+    poles, basis = np.linalg.eig(state_matrices(b, a)[0].T)
+    return poles, basis, np.linalg.inv(basis)
+
+
+def _complex(rows) -> np.ndarray:
+    """Rows of pairs (real, imaginary) as complex numbers."""
+    return np.ascontiguousarray(np.stack([np.asarray(r) for r in rows])).view(np.complex128)
+
+
 def state_maps(blocks: DataFrame, b: np.ndarray, a: np.ndarray, lead: int = 0, samples: str = "samples") -> DataFrame:
     """``keys…, block, m, z``: the state where the next block's samples begin is ``s · m + z``, with s where this one's do.
 
-    ``lead`` is the number of earlier samples that blocks carry, all but those at the begin of an interval.
+    States are given by their parts along the filter's poles, as pairs of real and imaginary part. ``lead`` is the
+    number of earlier samples that blocks carry, all but those at the begin of an interval.
     """
-    step, kernel = state_matrices(b, a)[0], block_filter(b, a)
+    kernel, (poles, basis, _) = block_filter(b, a), modes(b, a)
     schema = T.StructType([*[blocks.schema[k] for k in KEYS], blocks.schema["block"], *[T.StructField(c, T.ArrayType(T.DoubleType())) for c in "mz"]])
 
     def mapped(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -121,9 +137,9 @@ def state_maps(blocks: DataFrame, b: np.ndarray, a: np.ndarray, lead: int = 0, s
         held = np.zeros((len(sizes), int(length.max(initial=0))))
         for row, n in enumerate(length):
             held[row, held.shape[1] - n :] = matrix[row, :n]
-        powers = {n: np.linalg.matrix_power(step, int(n)).T.reshape(-1) for n in set(length.tolist())}
-        m = np.array([powers[n] for n in length.tolist()]).reshape(len(length), -1)
-        return pa.RecordBatch.from_arrays([*[cell(k) for k in KEYS], cell("block"), _vectors(m), _vectors(kernel.end_state(held))], names=schema.names)
+        m, z = poles ** length[:, None], kernel.end_state(held) @ basis
+        made = [_vectors(np.ascontiguousarray(v).view(np.float64)) for v in (m, z)]
+        return pa.RecordBatch.from_arrays([*[cell(k) for k in KEYS], cell("block"), *made], names=schema.names)
 
     used = blocks.select(*KEYS, "block", "start", "first", "n_core", samples)
     return used.mapInArrow(_in_pieces(mapped, samples), schema)
@@ -139,22 +155,18 @@ def entry_states(maps: DataFrame, fan: int = FAN) -> DataFrame:
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("block", ignore_index=True)
-        n = len(rows["z"].iloc[0])
-        begin = rows["begin"].iloc[0] if "begin" in rows else None
-        state, out = np.zeros(n) if begin is None else np.asarray(begin), []
-        for m, z in zip(rows["m"], rows["z"]):
-            out.append(state)
-            state = state @ np.reshape(m, (n, n)) + z
+        state, out = _complex(rows["begin"].iloc[:1])[0] if "begin" in rows else 0.0, []
+        for m, z in zip(_complex(rows["m"]), _complex(rows["z"])):
+            out.append(np.broadcast_to(state, m.shape).astype(np.complex128).view(np.float64))
+            state = state * m + z
         return rows[[*KEYS, "block"]].assign(state=out)
 
     def compose(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("block", ignore_index=True)
-        n = len(rows["z"].iloc[0])
-        whole, state = np.eye(n), np.zeros(n)
-        for m, z in zip(rows["m"], rows["z"]):
-            m = np.reshape(m, (n, n))
-            whole, state = whole @ m, state @ m + z
-        return rows[[*KEYS, "_run"]].head(1).assign(m=[whole.reshape(-1)], z=[state])
+        whole, state = 1.0, 0.0
+        for m, z in zip(_complex(rows["m"]), _complex(rows["z"])):
+            whole, state = whole * m, state * m + z
+        return rows[[*KEYS, "_run"]].head(1).assign(m=[whole.view(np.float64)], z=[state.view(np.float64)])
 
     out = f"{kinds}, block bigint, state array<double>"
     if (maps.agg(F.max("block")).first()[0] or 0) < fan:
@@ -176,13 +188,16 @@ def bandpass_joined(
     samples: str = "samples",
     fan: int = FAN,
 ) -> DataFrame:
-    """As ``bandpass``, exact for blocks of any length and bands of any width, without samples to warm up on.
+    """As ``bandpass``, exact for blocks of any length, also for narrow bands, without samples to warm up on.
+
+    The filter's direct form sets a limit: a band of a few hertz near zero, at tens of kilohertz, is beyond what its
+    coefficients can say in doubles, here as in any other evaluation of them.
 
     ``lead`` is the number of earlier samples that the blocks carry for later steps; it may be zero, and all are kept.
-    Blocks are read twice: for their maps, four times four plus four numbers each, and for the filter.
+    Blocks are read twice: for their maps, two complex numbers for each pole, and for the filter.
     """
     b, a = bandpass_coefficients(low, high, sample_hz, order)
-    kernel = block_filter(b, a)
+    kernel, back = block_filter(b, a), modes(b, a)[2]
     states = materialize(entry_states(materialize(state_maps(blocks, b, a, lead, samples)), fan))
     kept = [f for f in blocks.schema.fields if f.name != samples]
     names = [f.name for f in kept]
@@ -191,7 +206,7 @@ def bandpass_joined(
     def filtered_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         cell = lambda name: batch.column(batch.schema.get_field_index(name))
         matrix, inside, sizes = _matrix(cell(samples))
-        filtered = kernel.run(matrix, _matrix(cell("state"))[0])
+        filtered = kernel.run(matrix, (_complex(_matrix(cell("state"))[0]) @ back).real)
         y = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(filtered[inside]))
         skip, n_core = cell("start").to_numpy() - cell("first").to_numpy(), cell("n_core").to_numpy()
         sums = pa.array([np.abs(row[at : at + n]).sum() for row, at, n in zip(filtered, skip, n_core)], pa.float64())
