@@ -8,10 +8,12 @@ against all classes of a scope are one matrix product per chunk.
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml.classification import LinearSVC, OneVsRest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.rules import uniform
-from ..plans.chunked import add_up, per_group
+from ..plans.chunked import add_up, add_up_packed, packed_cells, per_group
 from ..plans.spread import Spread, materialize, number_rows, spread
 from ..session import KEYS
 from .kmeans import one_interval
@@ -52,6 +54,8 @@ def descent(mode: str) -> Descent:
 
 
 PATIENCE = 1_000
+STEP_ROWS, TASK_ROWS = 10_000, 100_000
+HELD_BYTES = 16 * 1024 * 1024  # sums of one step, of all tasks, that the driver adds up itself
 STATE = ["labels", "w", "b", "loss", "change", "best", "stale", "done", "steps"]
 
 
@@ -106,12 +110,8 @@ def state_of(models: DataFrame, scope: list[str]) -> DataFrame:
     )
 
 
-def loss_and_gradient(chunks: Spread, state: DataFrame, row_bytes: int, step: int = 0, batched: bool = False) -> DataFrame:
-    """``scope…, stats``: per model, the hinge sum over all points and the gradient sums over the batch of ``step``.
-
-    ``stats`` is (hinge, gradient of b, gradient of w) for each model.
-    """
-    used = ["event_ids", "x", "label", "labels", "w", "b", *(["batch", "batches"] if batched else [])]
+def _sums_of(step: int, batched: bool) -> Callable[[dict[str, np.ndarray]], np.ndarray]:
+    """Of a chunk and its models: hinge sum, gradient of b and gradient of w for each model."""
 
     def statistic(cells: dict[str, np.ndarray]) -> np.ndarray:
         x = points_of(cells)
@@ -124,19 +124,24 @@ def loss_and_gradient(chunks: Spread, state: DataFrame, row_bytes: int, step: in
         hinge = np.maximum(0.0, 1.0 - margin).sum(axis=0)
         return np.concatenate([hinge[:, None], pull.sum(axis=0)[:, None], pull.T @ x], axis=1).reshape(-1)
 
-    return add_up(chunks.attach(state, row_bytes), chunks.keys, used, statistic)
+    return statistic
 
 
-def advance(
-    chunks: Spread, state: DataFrame, plan: Descent, row_bytes: int, step: int, penalty: float, eval_every: int, batched: bool, patience: int = PATIENCE
-) -> DataFrame:
-    """Test each model for convergence with the loss of its weights, then take one step if it has not converged.
+def _point_columns(batched: bool) -> list[str]:
+    return ["event_ids", "x", "label", *(["batch", "batches"] if batched else [])]
 
-    ``done`` becomes 1 for a model that has met its stop rule, and 2 for one whose loss has not gone below its best in
-    ``patience`` tests: it is stuck, and its rule may never be met.
+
+def loss_and_gradient(chunks: Spread, state: DataFrame, row_bytes: int, step: int = 0, batched: bool = False) -> DataFrame:
+    """``scope…, stats``: per model, the hinge sum over all points and the gradient sums over the batch of ``step``.
+
+    ``stats`` is (hinge, gradient of b, gradient of w) for each model.
     """
-    sums = loss_and_gradient(chunks, state.select(*chunks.keys, "labels", "w", "b"), row_bytes, step, batched)
-    evaluate = step % eval_every == 0
+    used = [*_point_columns(batched), "labels", "w", "b"]
+    return add_up(chunks.attach(state, row_bytes), chunks.keys, used, _sums_of(step, batched))
+
+
+def _walk(plan: Descent, evaluate: bool, penalty: float, patience: int) -> Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]]:
+    """One step of the models of a scope, from their state and ``stats``."""
 
     def walk(cells: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         models = len(cells["labels"])
@@ -164,9 +169,53 @@ def advance(
         new = {"labels": cells["labels"], "w": w, "b": b, "loss": loss, "change": change, "best": best, "stale": stale}
         return new | {"done": done, "steps": cells["steps"] + go}
 
+    return walk
+
+
+def advance(
+    chunks: Spread, state: DataFrame, plan: Descent, row_bytes: int, step: int, penalty: float, eval_every: int, batched: bool, patience: int = PATIENCE
+) -> DataFrame:
+    """Test each model for convergence with the loss of its weights, then take one step if it has not converged.
+
+    ``done`` becomes 1 for a model that has met its stop rule, and 2 for one whose loss has not gone below its best in
+    ``patience`` tests: it is stuck, and its rule may never be met.
+    """
+    sums = loss_and_gradient(chunks, state.select(*chunks.keys, "labels", "w", "b"), row_bytes, step, batched)
+    walk = _walk(plan, step % eval_every == 0, penalty, patience)
     return per_group(sums.join(state, chunks.keys), chunks.keys, ["stats", *STATE], STATE, walk)
 
 
+def _step_tasks(points: Spread) -> int:
+    """Tasks of a step: one for each ``STEP_ROWS`` points up to the number of cores, more only if they would be large."""
+    cores = points.sizes.sparkSession.sparkContext.defaultParallelism
+    return max(1, min(cores, -(-points.total // STEP_ROWS)), -(-points.total // TASK_ROWS))
+
+
+def _descend_held(
+    chunks: Spread, state: DataFrame, tasks: int, plan: Descent, max_steps: int | None, until_done: bool, penalty: float, eval_every: int, batched: bool, patience: int
+) -> DataFrame:
+    """All steps with the models on the driver: a step is one job of one stage over points that executors keep.
+
+    A descent takes a thousand steps and more, so what a step costs besides its sums decides. Points stay in the tasks;
+    each hands on one vector per scope. Points that are lost are read from ``chunks`` again.
+    """
+    session, keys = state.sparkSession, chunks.keys
+    packed = packed_cells(chunks.points, keys, _point_columns(batched)).repartition(tasks)
+    held = packed.rdd.map(tuple).persist(StorageLevel.MEMORY_AND_DISK)
+    models = {tuple(r[k] for k in keys): {c: np.array(r[c], dtype=np.float64) for c in STATE} for r in state.collect()}
+    try:
+        for step in itertools.count() if max_steps is None else range(max_steps):
+            sums = add_up_packed(held, {k: {c: m[c] for c in ("labels", "w", "b")} for k, m in models.items()}, _sums_of(step, batched))
+            walk = _walk(plan, step % eval_every == 0, penalty, patience)
+            models = {k: walk(m | {"stats": sums[k]}) for k, m in models.items() if k in sums}
+            if until_done and all((m["done"] != 0).all() for m in models.values()):
+                break
+    finally:
+        held.unpersist()
+    rows = [(*k, *[np.ravel(m[c]).tolist() for c in STATE]) for k, m in models.items()]
+    return session.createDataFrame(rows, state.select(*keys, *STATE).schema)
+
+
 def with_batches(labelled: DataFrame, scope: list[str], batch: int, seed: int) -> DataFrame:
     """Seeded shuffle and batch number: position in hash order, cut every ``batch`` rows."""
     order = [c for c in ("event_id", "channel") if c in labelled.columns]
@@ -208,6 +257,10 @@ def fit_svm(
     chunks = points.chunks(["x", "label", *(["batch", "batches"] if batched else [])], row_bytes).settle()
     if fixed_steps is not None:
         plan, max_steps, patience = replace(plan, epsilon=-1.0), fixed_steps, fixed_steps + 1
+    tasks = _step_tasks(chunks)
+    if chunks.groups * row_bytes * tasks <= HELD_BYTES:
+        state = _descend_held(chunks, state, tasks, plan, max_steps, fixed_steps is None, penalty, eval_every, batched, patience)
+        return models_of(state, scope, width)
     for step in itertools.count() if max_steps is None else range(max_steps):
         state = chunks.hold(advance(chunks, state, plan, row_bytes, step, penalty, eval_every, batched, patience), row_bytes)
         if fixed_steps is None and state.filter("exists(done, d -> d = 0)").isEmpty():

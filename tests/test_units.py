@@ -205,6 +205,21 @@ def test_mini_batches_match_brute_force(spark, mode, batch, rate):
     assert np.allclose(got[3].w, w, rtol=1e-9) and got[3].b == pytest.approx(b)
 
 
+def test_a_step_of_descent_is_one_job(spark, monkeypatch):
+    """Points stay where they are and models on the driver; with too many models, steps give the same through tables."""
+    df, _, _ = two_class(spark, classes=3)
+    jobs, fitted = [], []
+    for steps in (2, 7):
+        spark.sparkContext.setJobGroup(f"descent-{steps}", "steps")
+        fitted = S.fit_svm(df, "BGD", width=3, fixed_steps=steps).orderBy("label").collect()
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"descent-{steps}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[1] - jobs[0] == 5
+    monkeypatch.setattr(S, "HELD_BYTES", -1)
+    for a, b in zip(fitted, S.fit_svm(df, "BGD", width=3, fixed_steps=7).orderBy("label").collect()):
+        assert np.allclose(a.w, b.w, rtol=1e-12) and (a.label, a.steps, a.done) == (b.label, b.steps, b.done)
+
+
 def test_descent_without_progress_ends(spark):
     """Steps far too long: the loss only grows, the stop rule is not met, and the models say so."""
     df, _, _ = two_class(spark)
