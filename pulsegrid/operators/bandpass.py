@@ -11,8 +11,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -113,9 +113,40 @@ def modes(b: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
     return poles, basis, np.linalg.inv(basis)
 
 
-def _complex(rows) -> np.ndarray:
-    """Rows of pairs (real, imaginary) as complex numbers."""
-    return np.ascontiguousarray(np.stack([np.asarray(r) for r in rows])).view(np.complex128)
+def _complex(column: pa.ListArray) -> np.ndarray:
+    """A column of lists of pairs (real, imaginary), all of one length, as the rows of a complex matrix."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return np.ascontiguousarray(flat).view(np.complex128).reshape(len(column), -1)
+
+
+def _begins(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """Where runs of equal ``keys`` begin in sorted rows; nulls are equal."""
+    new = np.zeros(max(len(table) - 1, 0), bool)
+    for k in keys:
+        column = table.column(k).combine_chunks()
+        a, b = column.slice(0, len(new)), column.slice(1)
+        differ = pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False)
+        new |= differ | (pc.is_null(a).to_numpy(zero_copy_only=False) != pc.is_null(b).to_numpy(zero_copy_only=False))
+    return np.flatnonzero(np.concatenate([[len(table) > 0], new]))
+
+
+def _per_run(rows: DataFrame, keys: list[str], work, schema: str) -> DataFrame:
+    """``work`` on whole runs of equal ``keys``, many at once, as sorted rows and the places where runs begin."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch] if batch.num_rows else [], batch.schema)
+            table = pa.concat_tables([rest, table]) if rest is not None else table
+            begins = _begins(table, keys)
+            if len(begins) > 1:  # the last run may go on in the next batch
+                yield from work(table.slice(0, begins[-1]).combine_chunks(), begins[:-1]).to_batches()
+                table = table.slice(begins[-1])
+            rest = table
+        if rest is not None and len(rest):
+            yield from work(rest.combine_chunks(), np.zeros(1, np.int64)).to_batches()
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "block").mapInArrow(run, schema)
 
 
 def state_maps(blocks: DataFrame, b: np.ndarray, a: np.ndarray, lead: int = 0, samples: str = "samples") -> DataFrame:
@@ -153,29 +184,39 @@ def entry_states(maps: DataFrame, fan: int = FAN) -> DataFrame:
     """
     kinds = ", ".join(f"{k} {maps.schema[k].dataType.simpleString()}" for k in KEYS)
 
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("block", ignore_index=True)
-        state, out = _complex(rows["begin"].iloc[:1])[0] if "begin" in rows else 0.0, []
-        for m, z in zip(_complex(rows["m"]), _complex(rows["z"])):
-            out.append(np.broadcast_to(state, m.shape).astype(np.complex128).view(np.float64))
-            state = state * m + z
-        return rows[[*KEYS, "block"]].assign(state=out)
-
-    def compose(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("block", ignore_index=True)
-        whole, state = 1.0, 0.0
-        for m, z in zip(_complex(rows["m"]), _complex(rows["z"])):
-            whole, state = whole * m, state * m + z
-        return rows[[*KEYS, "_run"]].head(1).assign(m=[whole.view(np.float64)], z=[state.view(np.float64)])
+    def steps(begins: np.ndarray, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Which runs have an n-th block, and its row: all runs go on by one block together."""
+        sizes = np.diff(np.append(begins, rows))
+        for n in range(int(sizes.max(initial=0))):
+            live = np.flatnonzero(sizes > n)
+            yield live, begins[live] + n
+
+    def walk(table: pa.Table, begins: np.ndarray) -> pa.Table:
+        m, z = (_complex(table.column(c).combine_chunks()) for c in "mz")
+        out, state = np.empty_like(m), np.zeros((len(begins), m.shape[1]), np.complex128)
+        if "begin" in table.column_names:
+            state = _complex(table.column("begin").combine_chunks())[begins]
+        for live, at in steps(begins, len(table)):
+            out[at] = state[live]
+            state[live] = state[live] * m[at] + z[at]
+        return table.select([*KEYS, "block"]).append_column("state", _vectors(out.view(np.float64)))
+
+    def compose(table: pa.Table, begins: np.ndarray) -> pa.Table:
+        m, z = (_complex(table.column(c).combine_chunks()) for c in "mz")
+        whole, state = np.ones((len(begins), m.shape[1]), np.complex128), np.zeros((len(begins), m.shape[1]), np.complex128)
+        for live, at in steps(begins, len(table)):
+            whole[live], state[live] = whole[live] * m[at], state[live] * m[at] + z[at]
+        heads = table.select([*KEYS, "_run"]).take(pa.array(begins))
+        return heads.append_column("m", _vectors(whole.view(np.float64))).append_column("z", _vectors(state.view(np.float64)))
 
     out = f"{kinds}, block bigint, state array<double>"
     if (maps.agg(F.max("block")).first()[0] or 0) < fan:
-        return maps.groupBy(*KEYS).applyInPandas(walk, out)
+        return _per_run(maps, KEYS, walk, out)
     runs = maps.withColumn("_run", F.floor(F.col("block") / fan))
-    upper = runs.groupBy(*KEYS, "_run").applyInPandas(compose, f"{kinds}, _run bigint, m array<double>, z array<double>")
+    upper = _per_run(runs, [*KEYS, "_run"], compose, f"{kinds}, _run bigint, m array<double>, z array<double>")
     begins = entry_states(materialize(upper.withColumnRenamed("_run", "block")), fan)
     begins = begins.select(*KEYS, F.col("block").alias("_run"), F.col("state").alias("begin"))
-    return runs.join(begins, [*KEYS, "_run"]).groupBy(*KEYS, "_run").applyInPandas(walk, out)
+    return _per_run(runs.join(begins, [*KEYS, "_run"]), [*KEYS, "_run"], walk, out)
 
 
 def bandpass_joined(
@@ -206,7 +247,7 @@ def bandpass_joined(
     def filtered_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         cell = lambda name: batch.column(batch.schema.get_field_index(name))
         matrix, inside, sizes = _matrix(cell(samples))
-        filtered = kernel.run(matrix, (_complex(_matrix(cell("state"))[0]) @ back).real)
+        filtered = kernel.run(matrix, (_complex(cell("state")) @ back).real)
         y = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(filtered[inside]))
         skip, n_core = cell("start").to_numpy() - cell("first").to_numpy(), cell("n_core").to_numpy()
         sums = pa.array([np.abs(row[at : at + n]).sum() for row, at, n in zip(filtered, skip, n_core)], pa.float64())

@@ -5,7 +5,7 @@ from rules import events_of, pulses, sequential_filter
 
 from pulsegrid.functions.butterworth import bandpass_coefficients
 from pulsegrid.operators import detect
-from pulsegrid.operators.bandpass import bandpass, bandpass_joined, warm_up
+from pulsegrid.operators.bandpass import bandpass, bandpass_joined, entry_states, warm_up
 from pulsegrid.plans import spread as plans
 from pulsegrid.plans.select import exact_median
 from pulsegrid.plans.spread import number_rows
@@ -64,6 +64,30 @@ def test_joined_filter_is_the_sequential_one(spark, block_len, lead, fan):
             bandpass_joined(blocks, lead=lead + 1).count()
 
 
+def test_states_of_many_runs_are_joined_in_batches(spark):
+    """Runs go through Arrow batches together, also where a batch ends inside a run; no group is a call of its own."""
+    rng = np.random.default_rng(2)
+    rows = [("r", 0, c, i, rng.normal(size=4).tolist(), rng.normal(size=4).tolist()) for c in (0, 1, 2) for i in range((7, 1, 23)[c])]
+    maps = spark.createDataFrame(rows, "recording string, interval_id int, channel int, block bigint, m array<double>, z array<double>")
+    expect = {}
+    for c in (0, 1, 2):
+        state = np.zeros(2, complex)
+        for _, _, k, i, m, z in rows:
+            if k == c:
+                expect[c, i] = state
+                state = state * np.array(m).view(complex) + np.array(z).view(complex)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+        for fan in (3, 1024):
+            states = entry_states(maps, fan)
+            assert "FlatMapGroupsInPandas" not in states._jdf.queryExecution().toString()
+            got = {(r.channel, r.block): np.array(r.state).view(complex) for r in states.collect()}
+            assert got.keys() == expect.keys() and all(np.allclose(got[k], expect[k], rtol=1e-12) for k in expect)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_filter_refuses_short_lead(spark):
     blocks = signal_blocks(series(spark, pulses(channels=1)), 1000, lead=10)
     with pytest.raises(Exception, match="earlier samples"):
