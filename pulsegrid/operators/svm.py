@@ -334,7 +334,12 @@ def library_svm(labelled: DataFrame, penalty: float = PENALTY, max_iter: int = 1
     n = labelled.count()
     index = (F.array_position(F.array(*[F.lit(v) for v in labels]), F.col("label")) - 1).cast("double")
     vectors = labelled.select(array_to_vector("x").alias("features"), index.alias("label"))
+    # Up to eight classes are fitted side by side, an evaluation of the loss a job each: few tasks to each of them, as
+    # long as these stay small. Four or fewer partial sums need no further level in the library's tree of sums.
+    together = min(8, max(len(labels), 1))
+    cores = labelled.sparkSession.sparkContext.defaultParallelism
+    vectors = vectors.coalesce(max(-(-cores // together), -(-n // TASK_ROWS)))
     base = LinearSVC(regParam=1.0 / (penalty * n), standardization=False, maxIter=max_iter)
-    model = OneVsRest(classifier=base, parallelism=min(8, max(len(labels), 1))).fit(vectors)
+    model = OneVsRest(classifier=base, parallelism=together).fit(vectors)
     rows = [(label, [float(v) for v in m.coefficients], float(m.intercept)) for label, m in zip(labels, model.models)]
     return labelled.sparkSession.createDataFrame(rows, "label int, w array<double>, b double")

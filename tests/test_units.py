@@ -220,6 +220,16 @@ def test_a_step_of_descent_is_one_job(spark, monkeypatch):
         assert np.allclose(a.w, b.w, rtol=1e-12) and (a.label, a.steps, a.done) == (b.label, b.steps, b.done)
 
 
+def test_library_svm_fits_on_few_tasks(spark, monkeypatch):
+    """Classes are fitted side by side, so each has its share of the cores and no tree of many partial sums."""
+    df, _, _ = two_class(spark, classes=4)
+    parts = []
+    fit = S.OneVsRest.fit
+    monkeypatch.setattr(S.OneVsRest, "fit", lambda self, data: parts.append(data.rdd.getNumPartitions()) or fit(self, data))
+    assert S.library_svm(df).count() == 4
+    assert parts == [1]
+
+
 def test_descent_without_progress_ends(spark):
     """Steps far too long: the loss only grows, the stop rule is not met, and the models say so."""
     df, _, _ = two_class(spark)
