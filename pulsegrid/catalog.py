@@ -62,16 +62,16 @@ def long(name: str) -> Column:
 # ---------------------------------------------------------------- series
 
 
-def price_series(spark: SparkSession, folder: str) -> DataFrame:
+def price_series(spark: SparkSession, folder: str, write: bool = True) -> DataFrame:
     lines = spark.read.parquet(f"{folder}/lineitem.parquet").select("l_suppkey", *SERIES_ORDER)
     cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
     series = series_from_table(lines, F.col("l_suppkey"), SERIES_ORDER, cents, "lineitem")
-    return centre(series)
+    return centre(series, write)
 
 
 def price_blocks(spark: SparkSession, folder: str) -> DataFrame:
     lead, tail = detect.lead_needed(WINDOW, OFFSET), detect.tail_needed(WINDOW, OFFSET)
-    return materialize(signal_blocks(price_series(spark, folder), BLOCK, lead, tail, values="y"))
+    return materialize(signal_blocks(price_series(spark, folder, write=False), BLOCK, lead, tail, values="y"))
 
 
 SERIES_SQL = """

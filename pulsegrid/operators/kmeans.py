@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.rules import uniform, uniforms
-from ..plans.chunked import add_up, best_point, chosen_points, per_group, per_point
+from ..plans.chunked import add_up, best_point, chosen_points, leading_point, per_group, per_point
 from ..plans.spread import Spread
 from ..session import KEYS
 from .moments import points_of
@@ -60,6 +60,13 @@ def _centers_of(cells: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
     return cells["centers"].reshape(-1, x.shape[1])
 
 
+def _race_times(cells: dict[str, np.ndarray], centers: np.ndarray, seed: int, step: int) -> np.ndarray:
+    """Exponential times with the squared distance to the nearest of ``centers`` as their rate."""
+    away = squared_distances(points_of(cells), centers).min(axis=1)
+    draws = -np.log(uniforms(seed, step, cells["event_ids"]))
+    return np.divide(draws, away, out=np.full(len(away), np.inf), where=away > 0)
+
+
 def spread_out_seeds(points: Spread, chunks: Spread, k: Column, k_max: int, row_bytes: int, seed: int = 1) -> DataFrame:
     """k-means++ seeds, ``keys…, centers``: each next seed is drawn with probability ∝ squared distance.
 
@@ -76,13 +83,7 @@ def spread_out_seeds(points: Spread, chunks: Spread, k: Column, k_max: int, row_
     seeds = points.hold(first.join(points.sizes, keys).select(*keys, k.alias("_k"), "centers"), row_bytes)
 
     def race(step: int):
-        def times(cells: dict[str, np.ndarray]) -> np.ndarray:
-            x = points_of(cells)
-            away = squared_distances(x, _centers_of(cells, x)).min(axis=1)
-            draws = -np.log(uniforms(seed, step, cells["event_ids"]))
-            return np.divide(draws, away, out=np.full(len(x), np.inf), where=away > 0)
-
-        return times
+        return lambda cells: _race_times(cells, _centers_of(cells, points_of(cells)), seed, step)
 
     for step in range(1, k_max):
         wanting = seeds.filter(F.col("_k") > step).select(*keys, "centers")
@@ -169,22 +170,30 @@ def assign_nearest(chunks: Spread, centers: DataFrame, row_bytes: int, keys: lis
     return per_point(chunks.attach(centers, row_bytes), keys or chunks.keys, ["x", "centers"], fields, nearest)
 
 
+def _member_sums(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Per centre of ``at``: how many points are nearest to it, and their sum."""
+    member = np.eye(len(at))[squared_distances(x, at).argmin(axis=1)]
+    return np.concatenate([member.sum(axis=0)[:, None], member.T @ x], axis=1)
+
+
+def _renewed(parts: np.ndarray, old: np.ndarray) -> np.ndarray:
+    counts = np.rint(parts[:, :1])
+    return np.where(counts > 0, parts[:, 1:] / np.maximum(counts, 1), old)
+
+
 def move_centers(chunks: Spread, centers: DataFrame, row_bytes: int) -> DataFrame:
     """One round: the mean of each cluster's points; an empty cluster keeps its centre. Adds ``moved`` (0 or 1)."""
 
     def sums_of(cells: dict[str, np.ndarray]) -> np.ndarray:
         x = points_of(cells)
-        at = _centers_of(cells, x)
-        member = np.eye(len(at))[squared_distances(x, at).argmin(axis=1)]
-        return np.concatenate([member.sum(axis=0)[:, None], member.T @ x], axis=1).reshape(-1)
+        return _member_sums(x, _centers_of(cells, x)).reshape(-1)
 
     sums = add_up(chunks.attach(centers.select(*chunks.keys, "centers"), row_bytes), chunks.keys, ["event_ids", "x", "centers"], sums_of)
 
     def renew(cells: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         k = len(cells["stats"]) - len(cells["centers"])
-        parts, old = cells["stats"].reshape(k, -1), cells["centers"].reshape(k, -1)
-        counts = np.rint(parts[:, :1])
-        new = np.where(counts > 0, parts[:, 1:] / np.maximum(counts, 1), old)
+        old = cells["centers"].reshape(k, -1)
+        new = _renewed(cells["stats"].reshape(k, -1), old)
         return {"centers": new, "moved": np.array([float((new != old).any())])}
 
     joined = sums.join(centers.select(*chunks.keys, "centers"), chunks.keys)
@@ -200,6 +209,31 @@ def lloyd(chunks: Spread, centers: DataFrame, row_bytes: int, max_iter: int = MA
     return centers.select(*chunks.keys, "centers")
 
 
+def centers_of_small(chunks: Spread, k: Column, k_max: int, max_iter: int, seed: int) -> DataFrame:
+    """Seeds and all rounds of groups that are one chunk row each, in one pass; ``keys…, centers``.
+
+    Draws and sums are those of ``spread_out_seeds`` and ``lloyd``, so the centres are the same.
+    """
+    wanted = chunks.sizes.select(*chunks.keys, F.array(k.cast("double")).alias("k"))
+
+    def settle(cells: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        x, ids = points_of(cells), cells["event_ids"]
+        at = [leading_point(uniforms(seed, 0, ids), ids)]
+        for step in range(1, min(int(cells["k"][0]), k_max)):
+            won = leading_point(_race_times(cells, x[at], seed, step), ids)
+            if won is None:
+                break
+            at.append(won)
+        centers = x[at]
+        for _ in range(max_iter):
+            old, centers = centers, _renewed(_member_sums(x, centers), centers)
+            if not (centers != old).any():
+                break
+        return {"centers": centers}
+
+    return per_group(chunks.attach(wanted), chunks.keys, ["event_ids", "x", "k"], ["centers"], settle)
+
+
 def kmeans(
     points: Spread,
     k: Column,
@@ -216,23 +250,34 @@ def kmeans(
     The last assignment is made before a further update, so the centres returned are those of the assignment.
     ``init``: ``kpp``, ``parallel`` or ``random``; given ``centers`` replace it. ``pool`` names a part of the keys: all
     groups that agree in it are then clustered together, from seeds by ``parallel`` unless ``random`` is asked for.
+
+    With ``kpp``, a group that is one chunk row goes through seeds and rounds in the task that reads it. Larger ones go
+    through a job a round, in which no group is gathered.
     """
     row_bytes = center_bytes(k_max, width)
     chunks, whole = points.chunks(["x"], row_bytes), points
     if pool:
         chunks, whole = chunks.pooled(pool), points.pooled(pool)
         init = "random" if init == "random" else "parallel"
-    chunks = chunks.settle()
+    chunks, done = chunks.settle(), None
+    rest = chunks
+    if centers is None and init == "kpp":
+        small, rest = chunks.by_rows()
+        done = chunks.hold(centers_of_small(small, k, k_max, max_iter, seed), row_bytes)
+        if rest is None:
+            return assign_nearest(chunks, done, row_bytes, points.keys), done
     if centers is None:
         if init == "kpp":
-            centers = spread_out_seeds(points, chunks, k, k_max, row_bytes, seed)
+            centers = spread_out_seeds(points, rest, k, k_max, row_bytes, seed)
         elif init == "parallel":
             centers = parallel_seeds(chunks, k, k_max, width, seed)
         elif init == "random":
             centers = chunks.hold(random_seeds(whole, k, k_max, seed), row_bytes)
         else:
             raise ValueError(f"unsupported init {init!r}")
-    centers = lloyd(chunks, centers, row_bytes, max_iter)
+    centers = lloyd(rest, centers, row_bytes, max_iter)
+    if done is not None:
+        centers = done.unionByName(centers)
     return assign_nearest(chunks, centers, row_bytes, points.keys), centers
 
 

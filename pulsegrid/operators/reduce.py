@@ -13,7 +13,7 @@ from ..plans.chunked import per_group, per_point
 from ..plans.spread import ROWS_PER_CHUNK, spread
 from ..session import KEYS
 from .kmeans import one_interval
-from .moments import covariance, from_upper, points_of
+from .moments import covariance, from_upper, points_of, upper
 
 # Fixed value of the workload.
 COMPONENTS = 10
@@ -23,6 +23,13 @@ def basis_bytes(k: int, width: int) -> int:
     return 64 + 8 * (k + 1) * width
 
 
+def _leading_vectors(cov: np.ndarray, k: int) -> np.ndarray:
+    values, vectors = np.linalg.eigh(np.nan_to_num(from_upper(cov)))
+    leading = vectors[:, np.argsort(values)[::-1][:k]].T
+    largest = np.abs(leading).argmax(axis=1)
+    return leading * np.where(leading[np.arange(len(leading)), largest] < 0, -1.0, 1.0)[:, None]
+
+
 def pca_basis(covariances: DataFrame, keys: list[str], k: int = COMPONENTS) -> DataFrame:
     """``keys…, mean, basis``: the k leading eigenvectors, by rows.
 
@@ -31,11 +38,7 @@ def pca_basis(covariances: DataFrame, keys: list[str], k: int = COMPONENTS) -> D
     """
 
     def decompose(cells: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        values, vectors = np.linalg.eigh(np.nan_to_num(from_upper(cells["cov"])))
-        leading = vectors[:, np.argsort(values)[::-1][:k]].T
-        largest = np.abs(leading).argmax(axis=1)
-        leading = leading * np.where(leading[np.arange(len(leading)), largest] < 0, -1.0, 1.0)[:, None]
-        return {"mean": cells["mean"], "basis": leading}
+        return {"mean": cells["mean"], "basis": _leading_vectors(cells["cov"], k)}
 
     return per_group(covariances, keys, ["mean", "cov"], ["mean", "basis"], decompose)
 
@@ -52,7 +55,8 @@ def pca_features(
 
     ``basis='channel'`` fits one basis per channel interval, so coordinates of different channels are not in the
     same frame; ``basis='pooled'`` fits one for all channels of an interval and makes their distances comparable.
-    ``carry`` names further columns to return; rows that differ in them are kept in separate chunks.
+    ``carry`` names further columns to return; rows that differ in them are kept in separate chunks. With a basis per
+    channel and nothing carried, a group that is one chunk row gets its basis in the task that projects it.
     """
     if basis not in ("channel", "pooled"):
         raise ValueError(f"unsupported basis {basis!r}")
@@ -64,6 +68,20 @@ def pca_features(
     if basis == "pooled" or carry:
         chunks = chunks.pooled(KEYS[:2] if basis == "pooled" else KEYS)
     chunks = chunks.settle()
+    output = T.StructField("x", T.ArrayType(T.DoubleType()))
+    done = None
+    if basis == "channel" and not carry:
+
+        def fit_and_project(cells: dict[str, np.ndarray]) -> list[np.ndarray]:
+            x = points_of(cells)
+            away = x - x.sum(axis=0) / len(x)
+            return [away @ _leading_vectors(upper(away.T @ away) / len(x), k).T]
+
+        small, rest = chunks.by_rows(rows_per_chunk)
+        done = per_point(small.points, keys, ["x"], [output], fit_and_project).select(*keys, "event_id", "x")
+        if rest is None:
+            return done
+        chunks = rest
     bases = chunks.hold(pca_basis(covariance(chunks, 64 + 8 * (shape[0][0] if shape else 0)), chunks.keys, k), row_bytes)
     ready = chunks.attach(bases, row_bytes)
 
@@ -71,8 +89,8 @@ def pca_features(
         away = points_of(cells) - cells["mean"]
         return [away @ cells["basis"].reshape(-1, away.shape[1]).T]
 
-    output = T.StructField("x", T.ArrayType(T.DoubleType()))
-    return per_point(ready, keys, ["x", "mean", "basis"], [output], project).select(*keys, "event_id", "x")
+    large = per_point(ready, keys, ["x", "mean", "basis"], [output], project).select(*keys, "event_id", "x")
+    return large if done is None else done.unionByName(large)
 
 
 def library_pca(waves: DataFrame, k: int = COMPONENTS, column: str = "wave") -> DataFrame:

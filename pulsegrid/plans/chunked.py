@@ -184,6 +184,13 @@ def chosen_points(chunks: DataFrame, keys: list[str], columns: list[str], choose
     return chunks.select(*dict.fromkeys([*keys, *columns])).mapInArrow(run, schema)
 
 
+def leading_point(scores: np.ndarray, ids: np.ndarray) -> int | None:
+    """Place of the smallest score, the smallest id on ties; None if no score is finite."""
+    if not np.isfinite(scores).any():
+        return None
+    return int(min(np.flatnonzero(scores == np.nanmin(scores)), key=lambda i: ids[i]))
+
+
 def best_point(chunks: DataFrame, keys: list[str], columns: list[str], score: Callable[[dict[str, np.ndarray]], np.ndarray]) -> DataFrame:
     """``keys…, event_id, score, x``: the point of smallest finite ``score`` in each group, the smallest id on ties.
 
@@ -206,9 +213,9 @@ def best_point(chunks: DataFrame, keys: list[str], columns: list[str], score: Ca
             labels = zip(*[batch.column(batch.schema.get_field_index(k)).to_pylist() for k in keys])
             for key, cells in zip(labels, _cells(batch, list(dict.fromkeys(["event_ids", "x", *columns])))):
                 scores, ids = score(cells), cells["event_ids"]
-                if not np.isfinite(scores).any():
+                at = leading_point(scores, ids)
+                if at is None:
                     continue
-                at = min(np.flatnonzero(scores == np.nanmin(scores)), key=lambda i: ids[i])
                 if key not in best or (scores[at], ids[at]) < best[key][:2]:
                     best[key] = float(scores[at]), int(ids[at]), cells["x"].reshape(len(ids), -1)[at].copy()
                 if len(best) > HELD_GROUPS:

@@ -183,6 +183,14 @@ class Spread:
             points = points.join(hot, keys, "left").withColumn("salt", salt).drop("n_salts")
         return Spread(points, sizes, list(keys), groups, largest, self.total)
 
+    def by_rows(self, rows_per_chunk: int = ROWS_PER_CHUNK) -> tuple[Spread, Spread | None]:
+        """Chunk rows of the groups that are one row each, and those of all other groups (None if there are none)."""
+        one = (F.col("n") <= rows_per_chunk) & (F.col("n_salts") == 1)
+        if self.sizes.filter(~one).isEmpty():
+            return self, None
+        part = lambda which: self.with_points(self.attach(self.sizes.filter(which).select(*self.keys)))
+        return part(one), part(~one)
+
     def with_points(self, points: DataFrame) -> Spread:
         return replace(self, points=points)
 

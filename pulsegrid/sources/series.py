@@ -43,12 +43,14 @@ def split_intervals(series: DataFrame, interval_samples: int) -> DataFrame:
     )
 
 
-def centre(series: DataFrame) -> DataFrame:
+def centre(series: DataFrame, write: bool = True) -> DataFrame:
     """Whole-number series around its floored mean, per channel interval; a hot channel is spread by position.
 
-    The series is written once, since numbering its rows is the expensive part and it is read twice here.
+    The series is written once, since numbering its rows is the expensive part and it is read twice here. With
+    ``write=False`` it is not: the means need no positions, so Spark leaves the numbering out of their plan, and a
+    consumer that reads the result once numbers the rows once. Only for keys that do not depend on the position.
     """
-    series = materialize(series)
+    series = materialize(series) if write else series
     means = materialize(
         series.groupBy(*KEYS).agg(F.floor(F.sum("value") / F.count("value")).alias("_mean"), F.count("value").alias("_n"))
     )

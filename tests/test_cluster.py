@@ -251,3 +251,33 @@ def test_library_models_refuse_several_intervals(spark):
     both = table(spark, {0: clouds()}).unionByName(table(spark, {0: clouds(1)}).withColumn("interval_id", F.lit(1)))
     with pytest.raises(ValueError, match="one interval"):
         library_pca(both, 2, "x")
+
+
+def test_small_groups_are_clustered_in_one_pass(spark, plan, monkeypatch):
+    groups = {0: clouds(gap=1.0), 1: clouds(1, per=20, gap=0.5), 2: np.ones((9, 4)), 3: clouds(2, per=500)}
+    points = spread(table(spark, groups), KEYS)
+    k = F.when(F.col("n") < 100, 2).otherwise(4)
+    placed, used = KM.kmeans(points, k, 4, 4)
+    got = placed.toPandas().sort_values(["channel", "event_id"]), used.toPandas().sort_values("channel")
+    monkeypatch.setattr(plans.Spread, "by_rows", lambda self, rows_per_chunk=1024: (self.with_points(self.points.limit(0)), self))
+    placed, used = KM.kmeans(points, k, 4, 4)
+    rounds = placed.toPandas().sort_values(["channel", "event_id"]), used.toPandas().sort_values("channel")
+    assert got[0].cluster.tolist() == rounds[0].cluster.tolist() and got[0].d2.tolist() == pytest.approx(rounds[0].d2.tolist())
+    assert np.allclose(np.concatenate(got[1].centers.tolist()), np.concatenate(rounds[1].centers.tolist()))
+
+
+def test_small_groups_need_no_rounds(spark, monkeypatch):
+    def refuse(*_, **__):
+        raise AssertionError("a round over all groups")
+
+    monkeypatch.setattr(KM, "move_centers", refuse)
+    placed, _ = KM.kmeans(spread(table(spark, {0: clouds(), 1: clouds(1)}), KEYS), F.lit(3), 3, 4)
+    assert placed.count() == 360
+
+
+def test_small_groups_get_their_basis_where_they_are_projected(spark, monkeypatch):
+    waves = table(spark, {0: clouds(per=3), 1: clouds(1, per=40)}).withColumnRenamed("x", "wave")
+    mixed = pca_features(waves, 3, rows_per_chunk=32).toPandas().sort_values(["channel", "event_id"])
+    monkeypatch.setattr("pulsegrid.operators.reduce.covariance", None)
+    whole = pca_features(waves, 3).toPandas().sort_values(["channel", "event_id"])
+    assert np.allclose(np.stack(mixed.x), np.stack(whole.x))

@@ -9,7 +9,8 @@ from pulsegrid.operators.bandpass import bandpass, bandpass_joined, entry_states
 from pulsegrid.plans import spread as plans
 from pulsegrid.plans.select import exact_median
 from pulsegrid.plans.spread import number_rows
-from pulsegrid.sources.series import explode_blocks, signal_blocks
+from pulsegrid.sources import series as sources
+from pulsegrid.sources.series import centre, explode_blocks, series_from_table, signal_blocks
 
 SERIES = "recording string, interval_id int, channel int, sample bigint, value double"
 
@@ -159,3 +160,13 @@ def test_exact_median(spark, limit):
     got = {r.k: r.m for r in exact_median(spark.createDataFrame(rows, "k int, v double"), ["k"], "v", "m", limit).collect()}
     for k in range(4):
         assert got[k] == pytest.approx(np.median([v for q, v in rows if q == k]), abs=1e-15)
+
+
+def test_means_need_no_numbered_rows(spark, monkeypatch):
+    rows = spark.createDataFrame([(c, i, (7 * i) % 5 + (c or 0)) for c in (1, 2, None) for i in range(50)], "c int, i int, v bigint")
+    make = lambda: series_from_table(rows, F.col("c"), ["i"], F.col("v"))
+    expect = sorted(map(tuple, centre(make()).collect()))
+    written = []
+    monkeypatch.setattr(sources, "materialize", lambda df: written.append(df._jdf.queryExecution().optimizedPlan().toString()) or plans.materialize(df))
+    assert sorted(map(tuple, centre(make(), write=False).collect())) == expect and len(expect) == 100
+    assert len(written) == 1 and "row_number" not in written[0]
