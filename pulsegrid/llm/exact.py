@@ -7,7 +7,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read_documents, row_key, scratch, tiered_join, whole_rows, whole_text
+from .common import give_back, materialize, read_documents, row_key, scratch, tiered_join, whole_rows, whole_text
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PER_TRIGGER = 64
@@ -124,6 +124,7 @@ def resolve(docs: DataFrame, state: DataFrame, digest=sha_digest) -> DataFrame:
         other = ~((F.col("_k1") == F.col("keep_1")) & (F.col("_k2") == F.col("keep_2")))
         checked = materialize(_compare(docs, hits.filter(other)).select("_k1", "_k2", "digest", "doc_id", "_n", *keep, "same"))
         differ = checked.filter(~F.col("same"))
+        give_back(docs.sparkSession)
         if differ.isEmpty():
             return done.unionByName(hits.select(*names))
         # A digest with different texts: those equal to the kept row are settled, the others start anew.

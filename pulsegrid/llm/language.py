@@ -137,7 +137,7 @@ def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFr
 def fit(sample: DataFrame, seed: int = 1) -> LanguageModel:
     """Stochastic gradient descent in numpy over the bounded sample, then calibration on its other part."""
     model = _trained(sample.toArrow(), seed)
-    give_back()
+    give_back(sample.sparkSession)
     return model
 
 

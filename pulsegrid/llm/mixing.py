@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, read_documents, row_key, tiered_join, whole_rows, whole_text
+from .common import give_back, materialize, read_documents, row_key, tiered_join, whole_rows, whole_text
 
 REPEAT_LIMIT = 2.0
 BLOCK_SHARE = 64
@@ -131,6 +131,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """
     emitted, _ = mix(docs, **how)
     times = materialize(emitted.select("_k1", "_k2", "block", "rank"))
+    give_back(docs.sparkSession)
     taken = whole_rows(docs, "doc_id", "source").join(times.hint("shuffle_merge"), ["_k1", "_k2"])
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return taken.repartitionByRange(parts, "block", "rank").sortWithinPartitions("block", "rank").select("_row.*")
