@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import tempfile
 import zlib
 from dataclasses import dataclass
 
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import give_back, read_documents, row_key, whole_text
+from .common import give_back, materialize, read_documents, row_key, whole_text
 from .shingles import _BYTE, text_bytes
 
 BUCKETS = 1 << 15
@@ -22,6 +23,7 @@ DIM = 16
 PER_LANGUAGE = 800
 MAX_SAMPLE = 20_000
 SALTS = 64
+FETCH_BYTES = 4 << 20
 EPOCHS = 12
 MIN_STEPS = 500
 MINI = 64
@@ -135,26 +137,40 @@ def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFr
 
 
 def fit(sample: DataFrame, seed: int = 1) -> LanguageModel:
-    """Stochastic gradient descent in numpy over the bounded sample, then calibration on its other part."""
-    model = _trained(sample.toArrow(), seed)
+    """Stochastic gradient descent in numpy over the bounded sample, then calibration on its other part.
+
+    A text's features take up to 196 KB, and the sample's some GB. The driver fetches them in parts of a few MB and puts
+    them into a file of its own, which training reads from. Equal features keep the order that the sample has.
+    """
+    give_back(sample.sparkSession)
+    sample = materialize(sample.withColumn("at", F.monotonically_increasing_id()))
+    size = sample.agg(F.coalesce(F.sum(F.octet_length("share")), F.lit(0))).first()[0]
+    langs, folds, at, ends = [], [], [], [0]
+    with tempfile.TemporaryFile() as file:
+        for row in sample.repartition(1 + size // FETCH_BYTES).toLocalIterator():
+            langs.append(row["lang"]), folds.append(row["fold"]), at.append(row["at"])
+            ends.append(ends[-1] + file.write(row["share"]))
+        file.flush()
+        features = np.memmap(file, np.uint8, "r") if size else np.empty(0, np.uint8)
+        model = _trained(langs, folds, at, features, ends, seed)
     give_back(sample.sparkSession)
     return model
 
 
-def _trained(rows: pa.Table, seed: int) -> LanguageModel:
-    labels = tuple(sorted(set(rows["lang"].to_pylist())))
+def _trained(langs: list[str], folds: list[bool], at: list[int], features: np.ndarray, ends: list[int], seed: int) -> LanguageModel:
+    """``features``: those of all texts one after the other; ``ends`` are their edges, ``at`` is their order."""
+    labels = tuple(sorted(set(langs)))
     if not labels:
         return LanguageModel((), np.zeros((BUCKETS, 1), np.float32), np.zeros(1, np.float32), 1.0, 1.0)
-    blobs = rows["share"].combine_chunks()
-    order = sorted(range(len(blobs)), key=lambda i: zlib.crc32(blobs[i].as_buffer()))
+    blobs = [memoryview(features)[a:b] for a, b in zip(ends, ends[1:])]
+    order = sorted(range(len(blobs)), key=lambda i: (zlib.crc32(blobs[i]), at[i]))
     known = {x: i for i, x in enumerate(labels)}
-    y = np.array([known[x] for x in rows["lang"].to_pylist()])[order]
-    fold = rows["fold"].to_numpy()[order]
-    # Views of the one buffer that came from the tasks; nothing is copied.
-    parts = [memoryview(blobs[i].as_buffer()) for i in order]
+    y = np.array([known[x] for x in langs])[order]
+    fold = np.array(folds, dtype=bool)[order]
+    # Views of the file; nothing is copied.
+    parts = [blobs[i] for i in order]
     ids = [np.frombuffer(p, "<u2", len(p) // 6) for p in parts]
     share = [np.frombuffer(p, "<f4", len(p) // 6, len(p) // 3) for p in parts]
-    del rows
     rng = np.random.default_rng(seed)
     train = np.flatnonzero(~fold) if (~fold).any() else np.arange(len(y))
     check = np.flatnonzero(fold) if fold.any() else train

@@ -99,3 +99,22 @@ def test_nothing_to_learn_from(documents):
     empty = L.fit(L.training_sample(documents([(1, "a", None, None)])))
     assert L.predict(documents([(1, "abc")]), empty).first().lang_pred == "und"
     assert L.keep_known(documents([(1, "abc"), (2, None)]), empty).count() == 2
+
+
+def test_training_holds_a_part_of_its_sample_only(spark, monkeypatch):
+    r = random.Random(2)
+    rows = [(i, " ".join("".join(r.choices(PARTS[x], k=2)) for _ in range(40)), x, None, 0) for i, x in enumerate(list(PARTS) * 40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    sample, whole = L.training_sample(docs), L.fit(L.training_sample(docs))
+
+    def refuse(*_):
+        raise AssertionError("the driver gathers the sample as a whole")
+
+    monkeypatch.setattr(type(sample), "toArrow", refuse)
+    monkeypatch.setattr(L, "FETCH_BYTES", 4096)
+    parts, repartition = [], type(sample).repartition
+    monkeypatch.setattr(type(sample), "repartition", lambda self, n: (parts.append(n), repartition(self, n))[1])
+    model = L.fit(sample)
+    assert parts and parts[0] > 10
+    # Neither the number of parts nor the order in which they come makes a difference.
+    assert (model.table == whole.table).all() and (model.temperature, model.threshold) == (whole.temperature, whole.threshold)
